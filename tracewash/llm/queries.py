@@ -3,15 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, pieces, pii, quality, token_counts
 from .common import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLE_SQL: dict[str, str] = {}
