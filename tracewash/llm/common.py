@@ -43,6 +43,14 @@ def buckets(rows: int, each: int = 50_000, least: int = 64) -> int:
     return max(least, -(-rows // each))
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The ``used`` columns, and each whole row in ``_row``.
+
+    What an operator adds then never clashes with a column of the input.
+    """
+    return docs.select(*used, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of undirected ``edges(u, v)`` by connected component.
 

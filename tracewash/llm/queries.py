@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, pieces, pii, quality, token_counts
+from . import minhash, mixing, pieces, pii, quality, secrets, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return pieces.encode(table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -31,6 +35,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.asc_nulls_last("position"), "doc_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,8 +48,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
