@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pieces, pii, quality, secrets, token_counts
+from . import minhash, mixing, pieces, pii, quality, secrets, sharding, token_counts
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.asc_nulls_last("position"), "doc_id")
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
