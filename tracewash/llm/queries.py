@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pieces, pii, quality, secrets, sharding, token_counts
+from . import minhash, mixing, pieces, pii, quality, secrets, sharding, token_counts, vectors
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_vector_near_dedup": op2_vector_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
