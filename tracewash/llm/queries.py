@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pieces, pii, quality, secrets, sharding, token_counts, vectors
+from . import minhash, mixing, pieces, pii, pseudo_likelihood, quality, secrets, sharding, token_counts, vectors
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.asc_nulls_last("position"), "doc_id")
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
