@@ -60,11 +60,12 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of undirected ``edges(u, v)`` by connected component.
 
-    Randomised contraction: in every round each node points to the neighbour
-    (or itself) of the smallest hash, edges are rewritten to those targets and
-    loops go, which shrinks the node set by a constant factor in expectation,
-    whatever the shape of the graph.  The maps of all rounds, applied in turn,
-    give the label.  Only edges and maps are stored, nothing is collected.
+    Randomised contraction: in every round each node points to the node of the
+    smallest hash within two steps, edges are rewritten to those targets and
+    loops go.  A star collapses in one round, and the node set shrinks by a
+    constant factor in expectation whatever the shape of the graph.  The maps
+    of all rounds, applied in turn, give the label.  Only edges and maps are
+    stored, nothing is collected.
 
     Returns ``(node, label)`` for every node that has an edge; nodes of one
     component share a label, which is the id of one of them.
@@ -77,8 +78,9 @@ def components(edges: DataFrame) -> DataFrame:
         if both.isEmpty():
             break
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
-        to = both.groupBy("u").agg(F.min(order("v")).alias("best"))
-        to = cut(to.select(F.col("u").alias("node"), F.least("best", order("u"))["id"].alias("label")))
+        near = both.groupBy("u").agg(F.min(order("v")).alias("n")).select(F.col("u").alias("v"), F.least("n", order("u")).alias("n"))
+        far = both.join(near, "v").groupBy("u").agg(F.min("n").alias("n"))
+        to = cut(far.select(F.col("u").alias("node"), F.least("n", order("u"))["id"].alias("label")))
         maps.append(to)
         a = to.select(F.col("node").alias("u"), F.col("label").alias("a"))
         b = to.select(F.col("node").alias("v"), F.col("label").alias("b"))

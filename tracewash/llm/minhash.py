@@ -36,6 +36,8 @@ LONGS = HASHES // PER_LONG
 #: Standard errors below the threshold at which an estimate still passes.
 MARGIN = 5.0
 MEMO = 300_000
+#: Shingles whose sets a task keeps while it confirms pairs, 48 MB.
+HELD = 6_000_000
 
 
 class _Hashes(dict):
@@ -103,6 +105,31 @@ def _bands(minima: np.ndarray) -> np.ndarray:
     return key
 
 
+class _Sets(dict):
+    """Sets by node, emptied when they hold ``HELD`` shingles."""
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width, self.words, self.held = width, _Hashes(), 0
+
+    def of(self, node: int, text: str) -> np.ndarray:
+        found = self.get(node)
+        if found is None:
+            if self.held >= HELD:
+                self.clear()
+                self.held = 0
+            found = self[node] = shingles(text, self.width, self.words)
+            self.held += len(found)
+        return found
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, signature, bands`` for every row."""
 
@@ -150,13 +177,15 @@ def _least_estimate(share: float) -> float:
 def _verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full sets reach the threshold.
 
-    ``nodes``: node, signature, text.  Signatures prune first, then texts are
-    joined; Spark can split the join on a frequent ``v``.
+    ``nodes``: node, n_shingles, signature, text.  Sizes and signatures prune
+    first, then texts are joined; Spark can split the join on a frequent ``v``.
     """
-    sign = nodes.select("node", "signature")
+    sign = nodes.select("node", "n_shingles", "signature")
+    side = lambda x: sign.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("signature").alias("s" + x))
     near = (
-        pairs.join(sign.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u")
-        .join(sign.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
+        pairs.join(side("u"), "u")
+        .join(side("v"), "v")
+        .where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
         .where(estimate(F.col("su"), F.col("sv")) >= _least_estimate(percent / 100))
         .select("u", "v")
     )
@@ -164,18 +193,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> D
     full = near.join(text.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def confirm(batches):
-        memo, last, hub = _Hashes(), None, None
+        sets = _Sets(width)
         for batch in batches:
-            us, vs, tu, tv = (batch.column(k).to_pylist() for k in range(4))
             keep = []
-            for i in range(len(us)):
-                if vs[i] != last:
-                    last, hub = vs[i], shingles(tv[i], width, memo)
-                own = shingles(tu[i], width, memo)
-                both = len(np.intersect1d(own, hub, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(hub) - both):
+            for i, (u, v, tu, tv) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                a, b = sets.of(u, tu), sets.of(v, tv)
+                both = _shared(a, b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
 
     return full.select("u", "v", "tu", "tv").mapInArrow(confirm, "u long, v long")
 
@@ -197,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     member = cut(band.join(some.select("band", "pivot"), "band"))
 
     ids = member.select("node").distinct()
-    signature = sets.select(F.col("doc_id").alias("node"), "signature").join(ids, "node", "left_semi").dropDuplicates(["node"])
+    signature = sets.select(F.col("doc_id").alias("node"), "n_shingles", "signature").join(ids, "node", "left_semi").dropDuplicates(["node"])
     text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi").dropDuplicates(["node"])
     nodes = cut(signature.join(text, "node"))
 
