@@ -1,13 +1,12 @@
-"""Helpers that the operators share: checkpoints, words, component labels."""
+"""Helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, cut  # noqa: F401
+
 #: Separators of words: blank and the five ASCII control blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -16,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from its files.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where a
-    session names none (local tests) a temporary one is set.  A table read back
-    has no lineage and, unlike a checkpoint, carries no constraints of earlier
-    plans, which would slow the planning of loops.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of words; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -55,40 +36,3 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
     What an operator adds then never clashes with a column of the input.
     """
     return docs.select(*used, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Label the nodes of undirected ``edges(u, v)`` by connected component.
-
-    Randomised contraction: in every round each node points to the node of the
-    smallest hash within two steps, edges are rewritten to those targets and
-    loops go.  A star collapses in one round, and the node set shrinks by a
-    constant factor in expectation whatever the shape of the graph.  The maps
-    of all rounds, applied in turn, give the label.  Only edges and maps are
-    stored, nothing is collected.
-
-    Returns ``(node, label)`` for every node that has an edge; nodes of one
-    component share a label, which is the id of one of them.
-    """
-    edges = edges.where("u <> v").select("u", "v")
-    maps: list[DataFrame] = []
-    while True:
-        turn = len(maps)
-        both = cut(edges.union(edges.select("v", "u")).distinct())
-        if both.isEmpty():
-            break
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
-        near = both.groupBy("u").agg(F.min(order("v")).alias("n")).select(F.col("u").alias("v"), F.least("n", order("u")).alias("n"))
-        far = both.join(near, "v").groupBy("u").agg(F.min("n").alias("n"))
-        to = cut(far.select(F.col("u").alias("node"), F.least("n", order("u"))["id"].alias("label")))
-        maps.append(to)
-        a = to.select(F.col("node").alias("u"), F.col("label").alias("a"))
-        b = to.select(F.col("node").alias("v"), F.col("label").alias("b"))
-        edges = both.where("u < v").join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    if not maps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    out = maps[0]
-    for step in maps[1:]:
-        step = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        out = out.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return out
