@@ -1,6 +1,327 @@
-"""All queries of the library by name, with the SQL that checks them."""
+"""All queries of the library by name, with the SQL that checks them.
+
+Each query reads its whole view or table.  The SQL is written apart from the
+Spark code, in relational form, for DuckDB.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import urls, values
+from ..functions.dictionaries import AUTHOR_PARTS, CATEGORIES, DESKTOP, DEVICE_PARTS, EXIF_RISK, HIGH_PARAMS, IPAD, IPHONE, MEDIUM_PARAMS, OTHER_SCREENS, PHONE_MAKERS, PRESERVED, SHOT_NAMES, SHOT_SOFTWARE, SUSPECT_KEY, SUSPECT_VALUE, TRACKERS
+from ..operators import correlation, items, results, screenshots
+from .views import view, with_views
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return keep
+
+
+def _list(names) -> str:
+    return "(" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + ")"
+
+
+def _cases(key: str, table: dict, test) -> str:
+    return " ".join(f"WHEN {test(key, names)} THEN '{name}'" for name, names in table.items())
+
+
+# -- URLs ---------------------------------------------------------------------
+
+_URL = urls.URL.replace("'", "''")
+
+
+def _tracker(key: str, names: str) -> str:
+    exact = [n for n in names.split() if not n.endswith("*")]
+    stars = [f"starts_with({key}, '{n[:-1]}')" for n in names.split() if n.endswith("*")]
+    return "(" + " OR ".join([f"{key} IN {_list(exact)}", *stars]) + ")"
+
+
+def _decoded(c: str) -> str:
+    return f"url_decode(replace({c}, '+', ' '))"
+
+
+_PARSED = f"""WITH parsed AS (
+    SELECT page_id, url, regexp_matches(url, '{_URL}') AS ok, lower(regexp_extract(url, '{_URL}', 1)) AS scheme,
+        lower(regexp_replace(regexp_extract(url, '{_URL}', 2), ':80$', '')) AS domain,
+        CASE WHEN regexp_extract(url, '{_URL}', 3) = '' THEN '/' ELSE regexp_extract(url, '{_URL}', 3) END AS path,
+        substring(regexp_extract(url, '{_URL}', 4), 2) AS query, substring(regexp_extract(url, '{_URL}', 5), 2) AS hash
+    FROM v_urls),
+pairs AS (
+    SELECT page_id, 'query' AS section, unnest(list_filter(string_split(query, '&'), lambda x: x <> '')) AS pair,
+        generate_subscripts(list_filter(string_split(query, '&'), lambda x: x <> ''), 1) - 1 AS pos FROM parsed WHERE ok
+    UNION ALL
+    SELECT page_id, 'hash', unnest(list_filter(string_split(hash, '&'), lambda x: x <> '')),
+        generate_subscripts(list_filter(string_split(hash, '&'), lambda x: x <> ''), 1) - 1 FROM parsed WHERE ok AND contains(hash, '=')),
+named AS (
+    SELECT page_id, section, pos, {_decoded("regexp_extract(pair, '^[^=]*', 0)")} AS name,
+        {_decoded("CASE WHEN contains(pair, '=') THEN substring(pair, instr(pair, '=') + 1) ELSE '' END")} AS value FROM pairs),
+placed AS (
+    SELECT *, CASE WHEN lower(name) IN {_list(PRESERVED)} THEN NULL {_cases("lower(name)", TRACKERS, _tracker)}
+        WHEN regexp_matches(lower(name), '{SUSPECT_KEY}') OR regexp_matches(value, '{SUSPECT_VALUE}') THEN 'unknown' END AS platform FROM named),
+classified AS (
+    SELECT *, CASE WHEN platform = 'unknown' THEN 'suspected' WHEN platform IS NOT NULL THEN 'tracking' END AS category,
+        CASE WHEN platform = 'unknown' THEN 'low' WHEN platform IS NULL THEN NULL WHEN lower(name) IN {_list(HIGH_PARAMS)} THEN 'high'
+            WHEN lower(name) IN {_list(MEDIUM_PARAMS)} THEN 'medium' ELSE 'low' END AS risk FROM placed)
+"""
+_ENCODED = lambda c: f"replace(replace(replace(url_encode({c}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+_CLEAN = f"""{_PARSED}, kept AS (
+    SELECT page_id, string_agg({_ENCODED("name")} || '=' || {_ENCODED("value")}, '&' ORDER BY pos) AS q
+    FROM classified WHERE section = 'query' AND category IS NULL GROUP BY page_id),
+gone AS (SELECT page_id, count(*) AS n FROM classified WHERE section = 'query' AND category IS NOT NULL GROUP BY page_id),
+done AS (
+    SELECT p.page_id, p.url, p.ok, CASE WHEN ok THEN scheme || '://' || domain || path || CASE WHEN q IS NULL THEN '' ELSE '?' || q END END AS cleaned,
+        CASE WHEN ok THEN coalesce(g.n, 0) END AS removed_count
+    FROM parsed p LEFT JOIN kept k USING (page_id) LEFT JOIN gone g USING (page_id))"""
+
+
+@query(f"{_CLEAN} SELECT page_id, url, ok AS success, cleaned, removed_count, length(url) - length(cleaned) AS size_saved FROM done")
+def url_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = urls.clean_url(F.col("url"))
+    out = view(spark, sf_dir, "v_urls").withColumn("c", c)
+    return out.select("page_id", "url", "c.success", "c.cleaned", F.when(F.col("c.success"), F.col("c.removed_count")).alias("removed_count"), "c.size_saved")
+
+
+@query(f"{_PARSED} SELECT page_id, section, pos, name, CASE WHEN length(value) > 30 THEN substring(value, 1, 30) || '...' ELSE value END AS value, category, platform, risk FROM classified")
+def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.exploded(view(spark, sf_dir, "v_urls")).drop("url")
+
+
+@query(
+    f"""{_PARSED}, a AS (SELECT page_id, count(*) FILTER (section = 'query' AND category IS NOT NULL) AS n_tracking,
+            count(*) FILTER (section = 'query' AND category IS NULL) AS n_preserved, count(*) FILTER (section = 'hash' AND category IS NOT NULL) AS n_hash,
+            coalesce(sum(CASE WHEN category IS NULL THEN 0 WHEN section = 'hash' THEN 1 WHEN risk = 'high' THEN 3 WHEN risk = 'medium' THEN 2 ELSE 1 END), 0) AS score,
+            array_to_string(list_sort(list(DISTINCT platform) FILTER (section = 'query' AND platform IS NOT NULL)), ',') AS platforms
+        FROM classified GROUP BY page_id)
+    SELECT p.page_id, CASE WHEN ok THEN domain END AS domain, CASE WHEN ok THEN path END AS path, CASE WHEN ok THEN coalesce(n_tracking, 0) END AS n_tracking,
+        CASE WHEN ok THEN coalesce(n_preserved, 0) END AS n_preserved, CASE WHEN ok THEN coalesce(n_hash, 0) END AS n_hash, CASE WHEN ok THEN coalesce(score, 0) END AS risk_score,
+        CASE WHEN ok THEN CASE WHEN coalesce(score, 0) > 5 THEN 'high' WHEN coalesce(score, 0) > 2 THEN 'medium' ELSE 'low' END END AS risk_level,
+        CASE WHEN ok THEN coalesce(platforms, '') END AS platforms, coalesce(n_tracking, 0) > 0 AS has_tracking
+    FROM parsed p LEFT JOIN a USING (page_id)"""
+)
+def url_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.analyzed(view(spark, sf_dir, "v_urls")).drop("url")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for k, names in TRACKERS.items() for p in names.split()) + ") t(param, platform)")
+def url_known_trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.known_trackers(spark)
+
+
+@query()
+def url_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = view(spark, sf_dir, "v_text").withColumn("c", urls.clean_text(F.col("text")))
+    return out.select("doc_id", F.col("c.found").alias("n_found"), F.col("c.cleaned_urls").alias("n_cleaned"), F.sha2("c.text", 256).alias("text_sha256"))
+
+
+# -- Items --------------------------------------------------------------------
+
+_PARTS = lambda key, names: "(" + " OR ".join(f"contains({key}, '{n}')" for n in names) + ")"
+_CATEGORY = f"CASE {_cases('lower(field)', CATEGORIES, _PARTS)} ELSE 'technical' END"
+_EXIF = f"CASE {_cases('field', EXIF_RISK, lambda k, n: f'{k} IN {_list(n)}')} ELSE 'low' END"
+_LEVEL = "CASE WHEN score >= 70 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"SELECT file_id, ord, field, {_EXIF} AS risk, {_CATEGORY} AS category FROM v_items")
+def item_risk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_items").select("file_id", "ord", "field", items.exif_risk(F.col("field")).alias("risk"), items.category(F.col("field")).alias("category"))
+
+
+@query(f"SELECT file_id, {_CATEGORY} AS category, count(*) AS n FROM v_items GROUP BY ALL")
+def item_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.category_counts(view(spark, sf_dir, "v_items"))
+
+
+@query(
+    f"""WITH s AS (SELECT file_id, count(*) AS n_items, count(*) FILTER (risk = 'critical') AS n_critical, count(*) FILTER (risk = 'high') AS n_high,
+        count(*) FILTER (risk = 'medium') AS n_medium, count(*) FILTER (risk = 'low') AS n_low,
+        least(sum(CASE WHEN risk IN ('critical', 'high') THEN 35 WHEN risk = 'medium' THEN 15 ELSE 5 END), 100) AS score FROM v_risk GROUP BY file_id)
+    SELECT *, {_LEVEL} AS level FROM s"""
+)
+def file_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.file_risk(view(spark, sf_dir, "v_risk"))
+
+
+@query("SELECT file_id, ord, risk, row_number() OVER (PARTITION BY file_id ORDER BY CASE risk WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, ord) AS place FROM v_risk")
+def items_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.sorted_items(view(spark, sf_dir, "v_risk")).select("file_id", "ord", "risk", "place")
+
+
+_POINTS = """points AS (SELECT file_id, arg_max(CAST(value AS DOUBLE), ord) FILTER (field = 'GPSLatitude') AS lat,
+    arg_max(CAST(value AS DOUBLE), ord) FILTER (field = 'GPSLongitude') AS lon FROM v_items WHERE field IN ('GPSLatitude', 'GPSLongitude') GROUP BY file_id)"""
+
+
+@query(f"WITH {_POINTS} SELECT * FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL")
+def gps_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.gps_points(view(spark, sf_dir, "v_items"))
+
+
+@query("SELECT file_id, lat, floor(abs(lat)) AS d, floor((abs(lat) - floor(abs(lat))) * 60) AS m FROM v_gps")
+def decimal_to_dms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat = F.col("lat").cast("double")
+    return view(spark, sf_dir, "v_gps").select("file_id", lat.alias("lat"), values.decimal_to_dms(lat)["d"].cast("double").alias("d"), values.decimal_to_dms(lat)["m"].cast("double").alias("m"))
+
+
+@query("SELECT file_id, ord, field FROM v_items WHERE field IN ('GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'Make', 'Model', 'Software', 'BodySerialNumber', 'DateTimeOriginal', 'Artist', 'Author')")
+def selective_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.selective(view(spark, sf_dir, "v_items")).where("removed").select("file_id", "ord", "field")
+
+
+@query("SELECT file_id, ord, field, risk, substring(value, 1, 100) AS value FROM v_risk WHERE risk <> 'low'")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.report_rows(view(spark, sf_dir, "v_risk"))
+
+
+# -- Findings across files ----------------------------------------------------
+
+_SHARED = lambda rows, kind, severity: f"SELECT '{kind}' AS finding_type, {severity} AS severity, key, count(*) AS n_files, string_agg(file_id, ',' ORDER BY file_id) AS files FROM (SELECT DISTINCT key, file_id FROM {rows}) x GROUP BY key HAVING count(*) > 1"
+_DEVICE = f"""mm AS (SELECT file_id, arg_min(value, ord) FILTER (field = 'Make') AS make, arg_min(value, ord) FILTER (field = 'Model') AS model FROM v_items WHERE field IN ('Make', 'Model') GROUP BY file_id),
+    devices AS (SELECT file_id, 'makemodel:' || lower(trim(coalesce(make, ''))) || '|' || lower(trim(coalesce(model, ''))) AS key FROM mm WHERE coalesce(make, '') <> '' OR coalesce(model, '') <> ''
+    UNION ALL SELECT file_id, 'serial:' || lower(trim(value)) FROM v_items WHERE {_PARTS("lower(field)", DEVICE_PARTS)} AND trim(value) <> '')"""
+_AUTHOR = f"authors AS (SELECT file_id, lower(trim(value)) AS key FROM v_items WHERE {_PARTS('lower(field)', AUTHOR_PARTS)} AND trim(value) <> '')"
+_DEVICE_ROWS = _SHARED("devices", "device-match", "CASE WHEN starts_with(key, 'serial:') THEN 'high' ELSE 'medium' END")
+_AUTHOR_ROWS = _SHARED("authors", "author-match", "'medium'")
+
+
+def _km(a: str, b: str) -> str:
+    return f"2 * 6371 * asin(sqrt(least(1.0, power(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))))"
+
+
+def _clusters(points: str) -> str:
+    return f"""near AS (SELECT a.file_id AS u, b.file_id AS v FROM {points} a, {points} b WHERE {_km("a", "b")} <= 2),
+    reach(u, v) AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON r.v = n.u),
+    cluster AS (SELECT u AS file_id, min(v) AS cluster FROM reach GROUP BY u),
+    gps AS (SELECT 'gps-cluster' AS finding_type, 'high' AS severity, cluster AS key, count(*) AS n_files, string_agg(file_id, ',' ORDER BY file_id) AS files FROM cluster GROUP BY cluster HAVING count(*) > 1)"""
+
+
+@query(f"WITH RECURSIVE {_clusters('v_gps')} SELECT * FROM cluster")
+def gps_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.gps_clusters(view(spark, sf_dir, "v_gps"))
+
+
+@query(f"WITH {_DEVICE} {_DEVICE_ROWS}")
+def device_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.device_matches(view(spark, sf_dir, "v_items"))
+
+
+@query(f"WITH {_AUTHOR} {_AUTHOR_ROWS}")
+def author_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.author_matches(view(spark, sf_dir, "v_items"))
+
+
+@query(f"WITH RECURSIVE {_POINTS}, placed AS (SELECT * FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL), {_clusters('placed')}, {_DEVICE}, {_AUTHOR} SELECT * FROM gps UNION ALL {_DEVICE_ROWS} UNION ALL {_AUTHOR_ROWS}")
+def batch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_items")
+    return correlation.batch_findings(rows, items.gps_points(rows))
+
+
+# -- Screenshots --------------------------------------------------------------
+
+_SCREENS = "(VALUES " + ", ".join(f"({w}, {h})" for w, h in dict.fromkeys([*IPHONE, *IPAD, *DESKTOP, *OTHER_SCREENS])) + ") s(w, h)"
+_IN = lambda sizes: "((width, height) IN (" + ", ".join(f"({a}, {b})" for w, h in sizes for a, b in ((w, h), (h, w))) + "))"
+_MATCH = lambda c, p: f"regexp_matches(lower(coalesce({c}, '')), '{p}')"
+
+
+@query(
+    f"""WITH f AS (SELECT *, {_MATCH("name", "|".join(SHOT_NAMES).replace("'", "''"))} AS a,
+            EXISTS (SELECT 1 FROM {_SCREENS} WHERE abs(width - w) <= 10 AND abs(height - h) <= 10 OR abs(width - h) <= 10 AND abs(height - w) <= 10) AS b,
+            {_MATCH("software", SHOT_SOFTWARE)} AS c, {_MATCH("make", "|".join(PHONE_MAKERS))} OR {_MATCH("model", "|".join(PHONE_MAKERS))} AS d FROM v_files)
+    SELECT file_id, a::INT * 40 + b::INT * 30 + c::INT * 30 + d::INT * 20 AS confidence, a::INT * 40 + b::INT * 30 + c::INT * 30 + d::INT * 20 >= 40 AS is_screenshot,
+        concat_ws(',', CASE WHEN a THEN 'filename_pattern' END, CASE WHEN b THEN 'phone_resolution' END, CASE WHEN c THEN 'software_tag' END, CASE WHEN d THEN 'phone_manufacturer' END) AS reasons,
+        CASE WHEN b THEN CASE WHEN {_IN(IPHONE)} THEN 'iPhone' WHEN {_IN(IPAD)} THEN 'iPad' WHEN {_IN(DESKTOP)} THEN 'Desktop' ELSE 'Android' END END AS platform FROM f"""
+)
+def screenshot_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screenshots.detect(view(spark, sf_dir, "v_files")).select("file_id", "confidence", "is_screenshot", "reasons", "platform")
+
+
+# -- Results ------------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT file_id, count(*) AS n, count(*) FILTER (risk IN ('high', 'critical')) AS bad FROM v_after GROUP BY file_id)
+    SELECT b.file_id, n_before, coalesce(n, 0) AS n_remaining, greatest(n_before - coalesce(n, 0), 0) AS n_removed, coalesce(bad, 0) = 0 AS verified
+    FROM (SELECT file_id, count(*) AS n_before FROM v_risk GROUP BY file_id) b LEFT JOIN a USING (file_id)"""
+)
+def verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.verify_counts(view(spark, sf_dir, "v_risk"), view(spark, sf_dir, "v_after"))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT file_id, field, value FROM v_risk), a AS (SELECT DISTINCT file_id, field, value FROM v_after)
+    SELECT b.file_id, b.field, b.value, CASE WHEN a.file_id IS NULL THEN 'removed' ELSE 'kept' END AS status
+    FROM b LEFT JOIN a ON a.file_id = b.file_id AND a.field = b.field AND a.value IS NOT DISTINCT FROM b.value"""
+)
+def verify_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.verify_detail(view(spark, sf_dir, "v_risk"), view(spark, sf_dir, "v_after"))
+
+
+@query(
+    f"""WITH b AS (SELECT file_id, {_CATEGORY} AS category, count(*) AS n_before FROM v_risk GROUP BY ALL), a AS (SELECT file_id, {_CATEGORY} AS category, count(*) AS n FROM v_after GROUP BY ALL)
+    SELECT file_id, category, n_before, coalesce(n, 0) AS n_after, coalesce(n, 0) < n_before AS removed FROM b LEFT JOIN a USING (file_id, category)"""
+)
+def certificate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.removed_by_category(view(spark, sf_dir, "v_risk"), view(spark, sf_dir, "v_after"))
+
+
+@query(
+    """SELECT file_id, sha256(content) AS original_sha256, sha256(substring(content, 1, 2)) AS cleaned_sha256, length(content) AS original_size, length(substring(content, 1, 2)) AS cleaned_size,
+        length(content) - length(substring(content, 1, 2)) AS size_difference FROM v_files"""
+)
+def certificate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "v_files").withColumn("cleaned", F.substring("content", 1, 2))
+    return results.certificates(files).select("file_id", "original_sha256", "cleaned_sha256", "original_size", "cleaned_size", "size_difference")
+
+
+@query("SELECT file_id, sha256(content) AS sha256, row_number() OVER (PARTITION BY sha256(content) ORDER BY ord) > 1 AS already_cleaned FROM v_files")
+def dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "v_files").select("file_id", "ord", F.sha2("content", 256).alias("sha256"))
+    return results.session_duplicates(files).select("file_id", "sha256", "already_cleaned")
+
+
+@query(
+    """SELECT count(*) AS n_files, count(*) FILTER (ord % 10 = 0) AS n_failed, sum(size) FILTER (ord % 10 <> 0) AS original_bytes, sum(size // 2) FILTER (ord % 10 <> 0) AS cleaned_bytes,
+        sum(size - size // 2) FILTER (ord % 10 <> 0) AS saved_bytes, count(*) FILTER (ord % 10 <> 0 AND ord % 3 = 0) AS n_verified FROM v_files"""
+)
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_files").select(
+        F.col("size").alias("original_size"), F.expr("size div 2").alias("cleaned_size"), F.when(F.col("ord") % 10 == 0, "FAILED").alias("error_code"), (F.col("ord") % 3 == 0).alias("verified")
+    )
+    return results.batch_summary(rows)
+
+
+@query(
+    r"""SELECT file_id, replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+        'clean_' || regexp_replace(name, '(?i)\.hei[cf]$', '.jpg') AS cleaned_name, CASE WHEN contains(name, '.') THEN regexp_replace(name, '(\.[^.]+)$', '_redacted\1') ELSE name || '_redacted' END AS redacted_name,
+        CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(size / 1048576.0 * 100 + 0.5) / 100) END AS shown_size FROM v_files"""
+)
+def file_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    return view(spark, sf_dir, "v_files").select("file_id", values.escaped(name).alias("escaped"), values.clean_name(name).alias("cleaned_name"), values.redacted_name(name).alias("redacted_name"), values.human_size(F.col("size")).alias("shown_size"))
+
+
+# -- Markup and text ----------------------------------------------------------
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '<!--[^>]*-->')) AS n_comments, len(regexp_extract_all(html, '(?i)<script')) AS n_scripts,
+        len(regexp_extract_all(html, '(?i)src="data:image/')) AS n_embedded, len(regexp_extract_all(html, '(?i)<meta')) AS n_meta FROM pages"""
+)
+def html_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda p: F.regexp_count("html", F.lit(p))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", count("<!--[^>]*-->").alias("n_comments"), count("(?i)<script").alias("n_scripts"), count('(?i)src="data:image/').alias("n_embedded"), count("(?i)<meta").alias("n_meta"))
+
+
+@query(r"SELECT doc_id, regexp_extract(text, '(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})', 1) AS first_ip FROM documents WHERE regexp_matches(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}')")
+def text_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ip = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(ip)).select("doc_id", F.regexp_extract("text", ip, 1).alias("first_ip"))
