@@ -53,19 +53,24 @@ def _ratio(a: Column, b: Column) -> Column:
 def _repeats(word: Column) -> Column:
     """Words inside three-word windows that the text holds twice or more.
 
-    Windows are sorted with their places, so equal ones are neighbours; each
-    start then covers what is left of its three words up to the next start.
+    Windows are compared by 64-bit hash.  Where all differ the count is 0;
+    else they are sorted with their places, so that equal ones are neighbours,
+    and each start covers what is left of its three words up to the next start.
     """
     starts = F.sequence(F.lit(0), F.size(word) - 3)
-    window = lambda i: F.struct(F.concat_ws(" ", word[i], word[i + 1], word[i + 2]).alias("w"), i.alias("i"))
-    pair = lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"]))
     tail = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
-    equal = lambda s: F.filter(F.zip_with(s, tail(s), pair), lambda x: x.isNotNull())
-    covered = lambda p: F.aggregate(
-        F.zip_with(p, tail(p), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda n, x: n + x
-    )
-    found = let(F.array_sort(F.transform(starts, window)), equal)
-    return F.when(F.size(word) < 3, F.lit(0)).otherwise(let(F.sort_array(F.array_distinct(F.flatten(found))), covered))
+    pair = lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
+    equal = lambda s: F.flatten(F.filter(F.zip_with(s, tail(s), pair), lambda x: x.isNotNull()))
+    step = lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))
+    covered = lambda p: F.aggregate(F.zip_with(p, tail(p), step), F.lit(0), lambda n, x: n + x)
+
+    def count(hashes):
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        found = let(F.sort_array(placed), equal)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(F.sort_array(F.array_distinct(found)), covered))
+
+    hashes = F.transform(starts, lambda i: F.xxhash64(word[i], word[i + 1], word[i + 2]))
+    return F.when(F.size(word) < 3, F.lit(0)).otherwise(let(hashes, count))
 
 
 def _is_stop_word(code: str):
