@@ -8,9 +8,11 @@ for chance agreement, estimate the similarity.  Estimates only prune: every
 link is confirmed on the full sets.
 
 How skew is met: documents with equal sets are one node; within a band bucket
-each node is first compared with one pivot only, so a bucket gives rows in
-proportion to its size; a second round compares only nodes that still lie in
-different components, and only buckets with more than one component take part.
+each node is first compared with the bucket's hub only, the node that shares
+most buckets, so a bucket gives rows in proportion to its size; the next hub
+follows in buckets that still hold several components.  Pairs that the hubs
+leave apart are then compared by size and by sharper signatures inside the
+join, and come out of the first bucket that they share.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 null ``doc_id`` links with nothing and keeps a null component; repeated rows
@@ -32,10 +34,13 @@ from .common import components, cut
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
 PER_LONG = 64 // BITS
-LONGS = HASHES // PER_LONG
+#: Hash functions of the sharper signatures for what the hubs leave open.
+SHARP = 1024
 #: Standard errors below the threshold at which an estimate still passes.
-MARGIN = 5.0
+MARGIN = 4.5
 MEMO = 300_000
+#: Hubs of a bucket that all its members are compared with.
+HUBS = 2
 #: Shingles whose sets a task keeps while it confirms pairs, 48 MB.
 HELD = 6_000_000
 
@@ -70,20 +75,20 @@ def shingles(text: str | None, width: int, memo: dict | None = None) -> np.ndarr
     return np.unique(out)
 
 
-@lru_cache(1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _functions(many: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, np.uint32)
+    return rng.integers(0, 2**32, many, np.uint32) | np.uint32(1), rng.integers(0, 2**32, many, np.uint32)
 
 
-def _minima(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of all functions, a row for each set; no set is empty."""
-    a, b = _functions()
+def _minima(sets: list[np.ndarray], many: int = HASHES) -> np.ndarray:
+    """Minima of ``many`` functions, a row for each set; no set is empty."""
+    a, b = _functions(many)
     at = np.zeros(len(sets), np.int64)
     np.cumsum([len(s) for s in sets[:-1]], out=at[1:])
     low = np.concatenate(sets).astype(np.uint32)
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(sets), many), np.uint32)
+    for k in range(many):
         x = low * a[k]
         x += b[k]
         x ^= x >> np.uint32(15)
@@ -93,7 +98,7 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _pack(minima: np.ndarray) -> np.ndarray:
-    low = (minima & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(-1, LONGS, PER_LONG)
+    low = (minima & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(len(minima), -1, PER_LONG)
     return np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
@@ -156,7 +161,22 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, schema)
 
 
-def estimate(a, b):
+def sharp_signatures(nodes: DataFrame, width: int) -> DataFrame:
+    """``node, n_shingles, signature`` by ``SHARP`` functions."""
+
+    def sketch(batches):
+        memo = _Hashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingles(t, width, memo) for t in part.column(2).to_pylist()]
+                packed = pa.array(list(_pack(_minima(sets, SHARP)).view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["node", "n_shingles", "signature"])
+
+    return nodes.select("node", "n_shingles", "text").mapInArrow(sketch, "node long, n_shingles long, signature array<long>")
+
+
+def estimate(a, b, many: int = HASHES):
     """Similarity from agreeing bit pairs, corrected for agreement by chance."""
     differ = F.aggregate(
         F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)),
@@ -164,31 +184,36 @@ def estimate(a, b):
         lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))),
     )
     chance = 2.0**-BITS
-    return ((1 - differ / HASHES) - chance) / (1 - chance)
+    return ((1 - differ / many) - chance) / (1 - chance)
 
 
-def _least_estimate(share: float) -> float:
+def _least_estimate(share: float, many: int = HASHES) -> float:
     """The threshold less ``MARGIN`` standard errors of the estimate."""
     chance = 2.0**-BITS
     agree = chance + (1 - chance) * share
-    return share - MARGIN * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
+    return share - MARGIN * (agree * (1 - agree) / many) ** 0.5 / (1 - chance)
+
 
+def _close(percent: int, many: int = HASHES):
+    """Sizes and signatures of ``u`` and ``v`` let the pair reach the threshold."""
+    sizes = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    return sizes & (estimate(F.col("su"), F.col("sv"), many) >= _least_estimate(percent / 100, many))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets reach the threshold.
 
-    ``nodes``: node, n_shingles, signature, text.  Sizes and signatures prune
-    first, then texts are joined; Spark can split the join on a frequent ``v``.
+def _signed(nodes: DataFrame, x: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("signature").alias("s" + x))
+
+
+def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` that sizes and signatures leave."""
+    return pairs.join(_signed(nodes, "u"), "u").join(_signed(nodes, "v"), "v").where(_close(percent)).select("u", "v")
+
+
+def _verified(near: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs of ``near(u, v)`` whose full sets reach the threshold.
+
+    ``nodes`` has the texts; Spark can split the join on a frequent ``v``.
     """
-    sign = nodes.select("node", "n_shingles", "signature")
-    side = lambda x: sign.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("signature").alias("s" + x))
-    near = (
-        pairs.join(side("u"), "u")
-        .join(side("v"), "v")
-        .where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        .where(estimate(F.col("su"), F.col("sv")) >= _least_estimate(percent / 100))
-        .select("u", "v")
-    )
     text = nodes.select("node", "text")
     full = near.join(text.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
@@ -207,6 +232,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> D
     return full.select("u", "v", "tu", "tv").mapInArrow(confirm, "u long, v long")
 
 
+def _open(member: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members, with their labels, of the buckets that hold two or more."""
+    if label is None:
+        return member.withColumn("label", F.col("node"))
+    known = member.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    return cut(known.join(mixed, "band", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Component of every document under links of ``percent`` similarity.
 
@@ -220,31 +254,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     band = first.join(sets.select("set_key", F.col("doc_id").alias("node"), "bands"), ["set_key", "node"]).dropDuplicates(["node"])
     band = band.select("node", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
-    some = band.groupBy("band").agg(F.count("*").alias("n"), F.min(order)["node"].alias("pivot")).where("n > 1")
-    member = cut(band.join(some.select("band", "pivot"), "band"))
-
-    ids = member.select("node").distinct()
+    some = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = cut(band.join(some, "band"))
+    degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
+    order = F.struct("degree", F.xxhash64("node").alias("h"), "node")
+    none = F.lit(None).cast("struct<degree:bigint,h:bigint,node:bigint>")
+    member = cut(member.join(degree, "node").select("band", "node", order.alias("order"), none.alias("last")))
+
+    ids = degree.select("node")
     signature = sets.select(F.col("doc_id").alias("node"), "n_shingles", "signature").join(ids, "node", "left_semi").dropDuplicates(["node"])
     text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi").dropDuplicates(["node"])
     nodes = cut(signature.join(text, "node"))
 
-    star = cut(member.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct())
-    links = cut(_verified(star, nodes, width, percent))
-    label = cut(components(links))
-
-    # What the stars leave open: nodes of a bucket that are still apart.
-    known = member.join(label, "node", "left").select("band", "node", "pivot", F.coalesce("label", "node").alias("label"))
-    head = known.where("node = pivot").select("band", F.col("label").alias("main"))
-    known = cut(known.join(head, "band"))
-    apart = known.where("label <> main").select("band", F.col("node").alias("u"), F.col("label").alias("lu"))
-    other = known.select("band", F.col("node").alias("v"), F.col("label").alias("lv"), "pivot", "main")
-    open_pairs = (
-        apart.join(other, "band")
-        .where("v <> pivot and lu <> lv and (lv = main or u < v)")
-        .select("u", "v")
-        .distinct()
-    )
-    more = cut(_verified(open_pairs, nodes, width, percent))
+    links, label = None, None
+    for _ in range(HUBS):
+        member = _open(member, label)
+        top = member.where("last is null or order < last").groupBy("band").agg(F.max(F.struct("order", "label")).alias("top"))
+        member = cut(member.drop("last", "main").join(top.select("band", F.col("top.order").alias("last"), F.col("top.label").alias("main")), "band"))
+        star = cut(member.where("order < last and label <> main").select(F.col("node").alias("u"), F.col("last.node").alias("v")).distinct())
+        new = cut(_verified(_pruned(star, nodes, percent), nodes, width, percent))
+        links = new if links is None else links.union(new)
+        label = cut(components(links))
+
+    # What the hubs leave open: pairs of a bucket that are still apart.
+    known = _open(member.drop("main"), label).where("order < last")
+    head = known.groupBy("band").agg(F.max(F.struct("order", "label"))["label"].alias("main"))
+    known = cut(known.join(head, "band").select("band", "node", "label", "main"))
+    sharp = sharp_signatures(nodes.join(known.select("node").distinct(), "node", "left_semi"), width)
+    sharp = cut(sharp.join(known.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"))
+    side = lambda x: _signed(sharp, x).join(sharp.select(F.col("node").alias(x), F.col("bands").alias("b" + x)), x)
+    apart = known.where("label <> main").select("band", F.col("node").alias("u"), F.col("label").alias("lu")).join(side("u"), "u")
+    other = known.select("band", F.col("node").alias("v"), F.col("label").alias("lv"), "main").join(side("v"), "v")
+    once = (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("main")) | (F.col("u") < F.col("v")))
+    first_shared = apart["band"] == F.array_min(F.array_intersect("bu", "bv"))
+    rest = cut(apart.join(other, (apart["band"] == other["band"]) & once & _close(percent, SHARP) & first_shared).select("u", "v"))
+    more = cut(_verified(rest, nodes, width, percent))
     if not more.isEmpty():
         label = cut(components(links.union(more)))
 
