@@ -71,14 +71,16 @@ def mix(docs: DataFrame, most: int = 3, ramp: float = 0.5) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     size = F.size(words(F.col("text").cast("string"))).cast("long")
     n = buckets(docs.count())
-    order = F.xxhash64("doc_id", "text")
-    rows = docs.withColumns({"size": size, "key": key, "_order": order, "_bucket": F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(n))})
+    # Buckets are ranges of the order, so results do not depend on their number.
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+    bucket = F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * n, 32)
+    rows = docs.withColumns({"size": size, "key": key, "_order": order}).withColumn("_bucket", bucket)
     lean = rows.select("key", "source", "size", "_bucket")
     targets = source_targets(lean.select("key", "source", "size"), most)
     part = lean.groupBy("key", "_bucket").agg(F.sum("size").alias("part"))
     upto = W.partitionBy("key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     part = part.withColumn("_skip", F.coalesce(F.sum("part").over(upto), F.lit(0))).drop("part").join(targets.drop("source"), "key")
-    within = W.partitionBy("key", "_bucket").orderBy("_order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("key", "_bucket").orderBy("_order").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(part, ["key", "_bucket"])
     at = F.col("_skip") + F.col("_before")
     goal = F.round("target").cast("long")

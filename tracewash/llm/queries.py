@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import minhash, mixing, pieces, pii, pseudo_likelihood, quality, secrets, sharding, token_counts, vectors
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _vocabulary(name: str) -> str:
@@ -70,5 +71,3 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
