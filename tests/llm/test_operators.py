@@ -280,6 +280,16 @@ def test_pseudo_likelihood_scores_each_word(spark):
     assert pseudo_likelihood.score(df.limit(0), pseudo_likelihood.fit(df.limit(0))).count() == 0
 
 
+def test_every_word_is_a_training_target_once(text_of):
+    found = [pseudo_likelihood.numbers(t, pseudo_likelihood.Numbers()) for t in text_of.values()]
+    rounds = pseudo_likelihood.ROUNDS
+    line, at = pseudo_likelihood.laid_out(found)
+    turns = [pseudo_likelihood.masked(line, at, [len(f) for f in found], k, rounds) for k in range(rounds)]
+    assert sorted(np.concatenate(turns)) == list(at) and min(map(len, turns)) > len(at) / rounds / 2
+    alone = [pseudo_likelihood.masked(*pseudo_likelihood.laid_out([f]), [len(f)], 0, rounds) for f in found]
+    assert sum(map(len, alone)) == len(turns[0])  # the same places whatever the batch
+
+
 def test_mixing_targets_and_words(docs, text_of, empty):
     source = {i: [None, "b", "a", "ż"][min(i % 7, 3)] for i in text_of}
     size = {i: len(WORD.findall(t or "")) for i, t in text_of.items()}

@@ -6,9 +6,10 @@ through tanh, and two softmaxes give the word's hashed number digit by digit,
 the second knowing the first.  The score of a document is the sum of the log
 probabilities of its words, each given the words around it.
 
-Training covers the whole corpus.  In round ``r`` every task trains, in numpy,
-on the masked places of its own documents, one place in ``MASK`` chosen by a
-hash and another set in each round, starting from the broadcast parameters.
+Training covers the whole corpus: each word is the masked target once.  A hash
+deals the places of every document to the rounds; in round ``r`` every task
+trains, in numpy, on the places of its own documents that were dealt to ``r``,
+starting from the broadcast parameters.
 The parameters of all tasks, weighted by the places trained on, are averaged
 in blocks by two shuffles and only the average, whose size is fixed, reaches the
 driver.  A lost task is run again from the same start with the same result.
@@ -30,7 +31,7 @@ from .common import cut
 
 BASE = 32  # of the two digits of a word's number
 WORDS = BASE * BASE
-SIDE, WIDTH, MASK, ROUNDS = 2, 32, 8, 2
+SIDE, WIDTH, ROUNDS = 2, 32, 2
 BATCH, RATE, CHUNK, BLOCK, MEMO = 512, 0.15, 16_384, 2048, 300_000
 _SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 
@@ -114,7 +115,7 @@ def log_probabilities(p: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _add_rows(target, squares, rows, grad):
     """Adagrad on the rows of a table, repeated rows summed first."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # at most 4 * (WORDS + 1) rows; short numbers sort by radix
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     total, rows = np.add.reduceat(grad[order], first, axis=0), rows[first]
@@ -122,6 +123,9 @@ def _add_rows(target, squares, rows, grad):
     target[rows] -= RATE * total / np.sqrt(squares[rows])
 
 
+_FIRST_ROW = np.arange(len(_SHIFTS))[:, None] * (WORDS + 1)
+
+
 def train(p: dict, squares: dict, line: np.ndarray, at: np.ndarray) -> None:
     for lo in range(0, len(at), BATCH):
         some = at[lo : lo + BATCH]
@@ -137,14 +141,19 @@ def train(p: dict, squares: dict, line: np.ndarray, at: np.ndarray) -> None:
             squares[name] += g * g
             p[name] -= RATE * g / np.sqrt(squares[name])
         _add_rows(p["second_bias"], squares["second_bias"], a, gb)
-        for k, shift in enumerate(_SHIFTS):
-            _add_rows(p["embed"][k], squares["embed"][k], line[some + shift], gh)
+        rows = line[some + np.array(_SHIFTS)[:, None]] + _FIRST_ROW
+        _add_rows(p["embed"].reshape(-1, WIDTH), squares["embed"].reshape(-1, WIDTH), rows.ravel(), np.tile(gh, (len(_SHIFTS), 1)))
+
 
+def masked(line: np.ndarray, at: np.ndarray, lengths: list[int], turn: int, rounds: int) -> np.ndarray:
+    """Places of this round, by a hash of the words around and the place in the document.
 
-def masked(line: np.ndarray, at: np.ndarray, turn: int) -> np.ndarray:
-    """Places of this round: chosen by a hash of the words around them."""
-    h = (line[at] + line[at - 1] * 1031 + line[at + 1] * 523_987 + at * 40_503) * 2_654_435_761
-    return at[(h >> 16) % MASK == turn]
+    Each place belongs to one round, however rows are dealt to batches.
+    """
+    ends = np.cumsum(lengths)
+    place = np.arange(len(at)) - np.repeat(ends - lengths, lengths)
+    h = (line[at] + line[at - 1] * 1031 + line[at + 1] * 523_987 + place * 40_503) * 2_654_435_761
+    return at[(h >> 16) % rounds == turn]
 
 
 def _texts(batches):
@@ -155,7 +164,7 @@ def _texts(batches):
             yield part, part.column(part.num_columns - 1).to_pylist()
 
 
-def _train_round(docs: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
+def _train_round(docs: DataFrame, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(flat)  # SIZE floats
 
@@ -166,8 +175,9 @@ def _train_round(docs: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
         p, squares = views(own), views(np.full(SIZE, 1.0, np.float32))
         memo, seen = Numbers(), 0
         for _, texts in _texts(batches):
-            line, at = laid_out([numbers(t, memo) for t in texts])
-            at = masked(line, at, turn)
+            found = [numbers(t, memo) for t in texts]
+            line, at = laid_out(found)
+            at = masked(line, at, [len(f) for f in found], turn, rounds)
             train(p, squares, line, at)
             seen += len(at)
         if seen:
@@ -207,10 +217,10 @@ def _train_round(docs: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters trained on all documents, as one flat array of fixed size."""
+    """Parameters trained on each word of all documents, as one flat array of fixed size."""
     flat = start()
     for turn in range(rounds):
-        flat = _train_round(docs, flat, turn)
+        flat = _train_round(docs, flat, turn, rounds)
     return flat
 
 
