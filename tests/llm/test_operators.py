@@ -290,6 +290,30 @@ def test_every_word_is_a_training_target_once(text_of):
     assert sum(map(len, alone)) == len(turns[0])  # the same places whatever the batch
 
 
+def test_words_of_one_number_have_their_own_probability(spark, monkeypatch):
+    of, k = defaultdict(list), 0
+    while len(of[0]) < 2:
+        of[pseudo_likelihood.Numbers()[f"x{k}".encode()]].append(f"x{k}")
+        k += 1
+    often, seldom = of[0]
+    rows = [(i, f"a {often} b") for i in range(30)] + [(100, f"a {seldom} b"), (100, f"a {seldom} b"), (None, f"A {seldom.upper()} b"), (101, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    flat = pseudo_likelihood.start()
+    want = {often: np.log(30 / 33), seldom: np.log(3 / 33)}
+    for held in (100_000, 0):  # all words broadcast, all joined
+        monkeypatch.setattr(pseudo_likelihood, "COMMON", held)
+        got = pseudo_likelihood.score(df, flat).collect()
+        assert len(got) == len(rows)
+        by = defaultdict(set)
+        for r in got:
+            by[r.doc_id].add(r.score)
+        assert by[101] == {0.0} and by[100] == by[None] and len(by[100]) == 1
+        assert min(by[0]) - min(by[100]) == pytest.approx(want[often] - want[seldom], abs=1e-6)
+        given = pseudo_likelihood.vocabulary(df.where("doc_id < 100"))
+        unseen = {r.doc_id: r.score for r in pseudo_likelihood.score(df, flat, given).collect()}
+        assert unseen[0] - unseen[100] == pytest.approx(np.log(31), abs=1e-6)
+
+
 def test_mixing_targets_and_words(docs, text_of, empty):
     source = {i: [None, "b", "a", "ż"][min(i % 7, 3)] for i in text_of}
     size = {i: len(WORD.findall(t or "")) for i, t in text_of.items()}

@@ -3,8 +3,10 @@
 A small bidirectional network predicts every word from ``SIDE`` words on either
 side, the word itself being masked: embeddings by position are added up, pass
 through tanh, and two softmaxes give the word's hashed number digit by digit,
-the second knowing the first.  The score of a document is the sum of the log
-probabilities of its words, each given the words around it.
+the second knowing the first.  Words that share a number are told apart by the
+corpus's own word counts: a word's log probability is that of its number, given
+the words around it, plus that of the word among those of its number.  The
+score of a document is the sum over its words.
 
 Training covers the whole corpus: each word is the masked target once.  A hash
 deals the places of every document to the rounds; in round ``r`` every task
@@ -13,14 +15,20 @@ starting from the broadcast parameters.
 The parameters of all tasks, weighted by the places trained on, are averaged
 in blocks by two shuffles and only the average, whose size is fixed, reaches the
 driver.  A lost task is run again from the same start with the same result.
+The vocabulary grows with the corpus and stays in tables.  At most ``COMMON``
+words, the most frequent, are broadcast with their shares; the others of each
+row are joined with the vocabulary by word.
 
 Defined results: a null or blank text has no words, the score 0 and no mean;
 rows that repeat get equal scores; an empty table trains nothing and scores
-nothing.  Other columns are not read.
+nothing.  A word that a given vocabulary lacks counts as seen once more beside
+those of its number.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +41,8 @@ BASE = 32  # of the two digits of a word's number
 WORDS = BASE * BASE
 SIDE, WIDTH, ROUNDS = 2, 32, 2
 BATCH, RATE, CHUNK, BLOCK, MEMO = 512, 0.15, 16_384, 2048, 300_000
+COMMON = 100_000  # words held by every task, whatever the corpus
+_FINE = 2.0**30  # shares are added up as whole numbers, so that their order doesn't matter
 _SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 SHAPES = {
@@ -65,15 +75,24 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Numbers(dict):
+    """Number of a word; with ``common``, plus ``WORDS`` times its place there, 0 if it isn't there."""
+
+    def __init__(self, common: dict[bytes, int] | None = None):
+        self.common = common or {}
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word) % WORDS
+        n = self[word] = xxhash.xxh3_64_intdigest(word) % WORDS + WORDS * self.common.get(word, 0)
         return n
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def numbers(text: str | None, memo: Numbers) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
@@ -224,22 +243,90 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
-    """``doc_id, n_words, score, mean_score`` for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(flat)
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``word, number, n, share``: every word, how often it occurs and the log of its part in its number."""
 
     def run(batches):
-        p, memo = views(held.value), Numbers()
+        counts: Counter = Counter()
+
+        def flush():
+            memo = Numbers()
+            out = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(map(memo.__getitem__, counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "number", "n"])
+            counts.clear()
+            return out
+
+        for _, texts in _texts(batches):
+            for text in texts:
+                counts.update(words_of(text))
+            if len(counts) >= MEMO:
+                yield flush()
+        if counts:
+            yield flush()
+
+    partial = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, number int, n long")
+    words = cut(partial.groupBy("word", "number").agg(F.sum("n").alias("n")))
+    total = words.groupBy("number").agg(F.sum("n").alias("total"))
+    return cut(words.join(F.broadcast(total), "number").select("word", "number", "n", F.log(F.col("n") / F.col("total")).alias("share")))
+
+
+def _least_common(words: DataFrame) -> int:
+    """The least power of two that at most ``COMMON`` words occur as often as."""
+    size = F.floor(F.log2("n")).cast("int").alias("size")
+    held, least = 0, 2**62
+    for row in sorted(words.groupBy(size).count().collect(), reverse=True):  # 63 rows at most
+        held += row["count"]
+        if held > COMMON:
+            break
+        least = 2 ** row["size"]
+    return least
+
+
+def score(docs: DataFrame, flat: np.ndarray, words: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_words, score, mean_score`` for every row.
+
+    ``words`` is the ``vocabulary`` of the corpus, by default that of ``docs``.
+    """
+    spark = docs.sparkSession
+    words = vocabulary(docs) if words is None else words
+    total = np.zeros(WORDS)
+    for row in words.groupBy("number").agg(F.sum("n").alias("n")).collect():  # WORDS rows at most
+        total[row.number] = row.n
+    least = _least_common(words)
+    common, parts = {}, [0]
+    for row in words.where(F.col("n") >= least).select("word", "share").collect():  # COMMON rows at most
+        common[bytes(row.word)] = len(parts)
+        parts.append(round(row.share * _FINE))
+    held = spark.sparkContext.broadcast((flat, common, np.array(parts, np.int64)))
+
+    def run(batches):
+        flat, common, parts = held.value
+        p, memo = views(flat), Numbers(common)
         for part, texts in _texts(batches):
-            found = [numbers(t, memo) for t in texts]
+            split = [words_of(t) for t in texts]
+            found, shares, rare = [], [], []
+            for w in split:
+                known, number = np.divmod(np.fromiter(map(memo.__getitem__, w), np.int64, len(w)), WORDS)
+                found.append(number)
+                shares.append(int(parts[known].sum()))
+                seen = Counter((w[k], int(number[k])) for k in np.flatnonzero(known == 0))
+                rare.append([{"word": x, "number": n, "k": k} for (x, n), k in seen.items()])
             line, at = laid_out(found)
             logs = log_probabilities(p, line, at)
             ends = np.cumsum([len(f) for f in found])
-            total = [float(x.sum()) for x in np.split(logs, ends[:-1])]
-            n = [len(f) for f in found]
+            sums = [float(x.sum()) for x in np.split(logs, ends[:-1])]
+            kind = pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([t / k if k else None for t, k in zip(total, n)], pa.float64())],
-                ["doc_id", "n_words", "score", "mean_score"],
+                [part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array(sums, pa.float64()), pa.array(shares, pa.int64()), pa.array(rare, pa.list_(kind))],
+                ["rid", "doc_id", "n_words", "logs", "shares", "rare"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, score double, mean_score double")
+    schema = "rid long, doc_id long, n_words long, logs double, shares long, rare array<struct<word:binary,number:int,k:long>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = cut(rows.mapInArrow(run, schema))
+    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
+    unseen = -F.log(F.element_at(F.array(*map(F.lit, total.tolist())), F.col("number") + 1) + 1)
+    rare = rare.join(words.where(F.col("n") < least).select("word", "share"), "word", "left")
+    more = rare.groupBy("rid").agg(F.sum(F.col("k") * F.round(F.coalesce("share", unseen) * _FINE).cast("long")).alias("more"))
+    whole = F.col("logs") + (F.col("shares") + F.coalesce("more", F.lit(0))) / _FINE
+    out = rows.drop("rare").join(more, "rid", "left").select("doc_id", "n_words", whole.alias("score"))
+    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
