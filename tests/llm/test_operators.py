@@ -99,6 +99,18 @@ def test_copies_disclose_nothing(spark):
     assert pii.disclosing_terms(df).count() == 0
 
 
+def test_copies_hide_no_disclosing_term(spark):
+    rnd = random.Random(1)
+    plain = lambda n: " ".join(f"w{rnd.randint(0, 300)}" for _ in range(n))
+    rows = [(i, f"{plain(20)} Zorblax wrote from zorb@x.org {plain(20)}") for i in range(8)] + [(100 + i, plain(60)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    copied = df.selectExpr("doc_id", "text", "explode(sequence(1, 100)) as copy")
+    once, often = ({tuple(r) for r in pii.disclosing_terms(x).collect()} for x in (df, copied))
+    assert once == often and "zorblax" in {r[0] for r in often}
+    edited = copied.selectExpr("doc_id", "concat(text, ' ', repeat('z', copy)) as text")  # texts differ, contexts don't
+    assert "zorblax" in {r.term for r in pii.disclosing_terms(edited).collect()}
+
+
 def test_vectors_equal_all_pairs(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 24))

@@ -3,20 +3,21 @@
 Patterns give the base spans (e-mail, IP, card, phone).  The information-
 theoretic part then asks which other terms give a protected value away.  A term
 near a value in several distinct contexts is compared with how often the term
-occurs in the whole corpus: with ``N`` words in all, the term discloses the
-value when the pointwise mutual information ``log(both * N / (value * term))``
+occurs in the whole corpus.  All counts are occurrences in distinct texts: with
+``N`` words in all, the term discloses the value when the pointwise mutual information ``log(both * N / (value * term))``
 reaches the share ``disclosure`` of the value's own information
 ``log(N / value)``.  Such a term, wherever it stands, becomes a ``term`` span.
 Sanitised text replaces base spans by their kind; disclosing terms are
 generalised to a placeholder or removed.
 
-Scale: counting sends partial counts by word and by (value, term, context); a
+Scale: each distinct text is shuffled once; counting sends partial counts by word and by (value, term, context); a
 frequent value or word is summed before the shuffle.  Disclosing terms are not
 broadcast: a bit map of fixed size finds possible occurrences and a join on the
 term confirms them.
 
 Defined results: a null text counts as empty and has no spans.  Copies of a
-context count once, so copying a document discloses nothing.  Rows stay rows,
+text count once and those of a context support no pair, so copying a document
+neither discloses a term nor hides one.  Rows stay rows,
 whatever repeats; rows that share a ``doc_id`` must share the text.
 """
 
@@ -161,11 +162,12 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, support: int = 3)
 
     ``support`` is the number of distinct contexts a pair needs.
     """
-    counted = cut(_counts(docs).groupBy("value", "term", "context").agg(F.sum("n").alias("n")))
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    counted = cut(_counts(texts).groupBy("value", "term", "context").agg(F.sum("n").alias("n")))
     n_term = counted.where("value is null and term <> ''").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = n_term.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
     n_value = counted.where("value is not null and term is null").groupBy("value").agg(F.sum("n").alias("n_value"))
-    both = counted.where("value is not null and term is not null").groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    both = counted.where("value is not null and term is not null").groupBy("value", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     mutual = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term")))
     own = F.log(F.lit(float(total)) / F.col("n_value"))
     return both.join(n_value, "value").join(n_term, "term").where(mutual >= disclosure * own).select("term", "value", "both", "n_value", "n_term")
