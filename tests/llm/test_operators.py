@@ -266,6 +266,21 @@ def test_shards_are_even_and_keep_copies_together(spark, docs, text_of, empty):
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_shards_keep_groups_whole_where_all_rows_are_copies(spark):
+    pairs = [f"p{i // 2}" for i in range(3200)]
+    fours = [f"f{i // 4}" for i in range(1600)]
+    mixed = [f"m{k}" for k in range(2, 40) for _ in range(k)] + [f"q{i // 2}" for i in range(200)]
+    large = ["same"] * 200 + [f"t{i // 2}" for i in range(300)]
+    for texts, split in ((pairs, 0), (fours, 0), (mixed, 16), (large, 16)):
+        got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).collect()
+        sizes, of = Counter(r.shard for r in got), defaultdict(set)
+        for r in got:
+            of[texts[r.doc_id]].add(r.shard)
+        assert sorted(r.doc_id for r in got) == list(range(len(texts))) and len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
+        assert sum(len(s) > 1 for s in of.values()) <= split
+    assert len(of["same"]) <= 8  # 200 rows over quotas of about 31
+
+
 def test_pseudo_likelihood_scores_each_word(spark):
     rnd = random.Random(6)
     cycle = ["sun", "moon", "star", "sky"]

@@ -1,16 +1,17 @@
-"""Shards of even row counts by balanced label propagation over equal texts.
-
-Documents with equal texts are linked.  Each starts on a shard of its own
-hash.  In every round the shards of a group's documents are counted, which is
-the vote of all neighbours without writing a pair; a document wants the shard
-with most votes.  A shard takes at most what its quota leaves: where more want
-in than fit, each is let in with the fitting chance, drawn from a hash.
-Unlinked documents have no edge to cut; they fill what is left, so that in the
-end the row counts of any two shards differ by one at most.
-
-Scale: votes are partial sums; a join on a frequent text is one that Spark
+"""Shards of even row counts that keep equal texts together.
+
+Documents with equal texts are linked, so every group of copies is one label,
+which all of its rows have from the start; what is left to find is a shard for
+each label.  Groups larger than a quota come first and fill shard after shard.
+The others are counted by size and taken from the largest: groups of one size go whole to the shards with most room.  A group that fits in
+no shard's room is laid over the room that is left, row after row, so that it
+is cut only where a shard ends.  Unlinked documents have no edge to cut; they
+fill what is left, so that in the end the row counts of any two shards differ
+by one at most.
+
+Scale: groups are partial sums; a join on a frequent text is one that Spark
 splits; ranks are taken within buckets of about 50,000 rows and over bucket
-totals.  The driver sees counts by shard only.
+totals.  The driver sees counts by size of group and by shard only.
 
 Defined results: a null text has size 1, the checksum of an empty text, and
 links with nothing; rows that repeat are rows of their own, linked by their
@@ -19,35 +20,16 @@ text; an empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import buckets, cut
 
 
-def _unit(*seed) -> Column:
-    """A number in 0..1 from a hash."""
-    return F.pmod(F.xxhash64(*seed), F.lit(1_000_003)) / 1_000_003
-
-
-def _by_shard(rows: DataFrame, shard: str, shards: int) -> list[int]:
-    found = {r[0]: r[1] for r in rows.groupBy(shard).count().collect()}  # a row for each shard
-    return [found.get(k, 0) for k in range(shards)]
-
-
-def _choice(shard: str, values: list) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.col(shard) + 1)
-
-
-def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int, late: Column | None = None) -> DataFrame:
-    """``rank`` from 0 within ``keys``: bucket totals, then within buckets.
-
-    Rows with ``late`` rank after the others.
-    """
-    bucket = F.pmod(F.xxhash64(F.lit(3), *order), F.lit(n))
-    bucket = bucket if late is None else bucket + F.when(late, n).otherwise(0)
-    rows = rows.withColumn("_bucket", bucket)
+def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """``rank`` from 0 within ``keys``: bucket totals, then within buckets."""
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(n)))
     total = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     skip = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     total = total.select(*keys, "_bucket", F.coalesce(skip, F.lit(0)).alias("_skip"))
@@ -55,25 +37,29 @@ def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int, late: Co
     return rows.withColumn("_at", at).join(total, [*keys, "_bucket"]).withColumn("rank", F.col("_skip") + F.col("_at")).drop("_bucket", "_at", "_skip")
 
 
-def _propagate(linked: DataFrame, shards: int, cap: int, rounds: int) -> DataFrame:
-    """``linked(rid, gid, n)`` with ``shard``, at about ``cap`` rows each."""
-    now = cut(linked.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        votes = now.groupBy("gid", "shard").agg(F.count("*").alias("votes"))
-        lead = F.struct("votes", F.xxhash64("gid", "shard").alias("tie"), "shard")
-        goal = votes.groupBy("gid").agg(F.max(lead)["shard"].alias("goal"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        want = cut(now.join(goal, "gid", "left"))
-        asked = _by_shard(want.where("shard <> goal"), "goal", shards)
-        if not sum(asked):
-            return want.drop("goal")
-        held = _by_shard(want, "shard", shards)
-        let_in = [min(1.0, max(0, cap - h) / a) if a else 0.0 for h, a in zip(held, asked)]
-        moves = (F.col("shard") != F.col("goal")) & (_unit(F.lit(turn), "rid") < _choice("goal", let_in))
-        now = cut(want.withColumn("shard", F.when(moves, F.col("goal")).otherwise(F.col("shard"))).drop("goal"))
-    return now
-
-
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def _plan(sizes: list[tuple[int, int]], quota: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Rows ``n, shard, from, to``, ranks among the groups of ``n`` rows, and the room left."""
+    room, plan = list(quota), []
+    for n, m in sorted(sizes, reverse=True):
+        fit = lambda level: [max(0, r - level) // n for r in room]  # noqa: B023, E731
+        low, high = 0, max(room)
+        while low < high:  # the least level down to which m groups can fill all shards
+            level = (low + high) // 2
+            low, high = (low, level) if sum(fit(level)) <= m else (level + 1, high)
+        take = fit(low)
+        over = m - sum(take)
+        for k in sorted(range(len(room)), key=lambda k: take[k] * n - room[k]):
+            if over and room[k] - take[k] * n >= n:
+                take[k], over = take[k] + 1, over - 1
+        at = 0
+        for k, t in enumerate(take):
+            if t:
+                plan.append((n, k, at, at + t))
+            at, room[k] = at + t, room[k] - t * n
+    return plan, room
+
+
+def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, n_copies``."""
     text = F.col("text").cast("string")
     full = F.coalesce(text, F.lit(""))
@@ -89,22 +75,31 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     total = rows.count()
     n = buckets(total)
     quota = [total // shards + (k < total % shards) for k in range(shards)]
-    groups = rows.where("gid is not null").groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
+    groups = cut(rows.where("gid is not null").groupBy("gid").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = [(r["n"], r["count"]) for r in groups.groupBy("n").count().collect()]  # a row for each size of group
+    over = sum(k * m for k, m in sizes if k > quota[0])
+    laid = [max(0, min(q, over - sum(quota[:k]))) for k, q in enumerate(quota)]
+    plan, spare = _plan([(k, m) for k, m in sizes if k <= quota[0]], [q - x for q, x in zip(quota, laid)])
+    goals = F.broadcast(docs.sparkSession.createDataFrame(plan, "n long, shard int, lo long, hi long"))
+    ranks = _ranked(groups, ["n"], ["gid"], n).alias("g")
+    groups = cut(ranks.join(goals.alias("p"), (F.col("g.n") == F.col("p.n")) & (F.col("g.rank") >= F.col("p.lo")) & (F.col("g.rank") < F.col("p.hi")), "left").select("gid", "g.n", "shard"))
     flagged = cut(rows.join(groups, "gid", "left").withColumn("n", F.coalesce("n", F.lit(1))))
 
-    moved = _propagate(flagged.where("n > 1").select("rid", "gid", "n", "doc_id", "size", "text_crc32"), shards, total // shards, rounds)
-    # What chance let in beyond a quota leaves again, large groups first.
-    ranked = cut(_ranked(moved, ["shard"], ["rid"], n, late=F.col("n") > max(1, total // shards)))
-    keep = ranked.where(F.col("rank") < _choice("shard", quota)).drop("rank")
-    spare = [q - h for q, h in zip(quota, _by_shard(keep, "shard", shards))]
     columns = ["rid", "doc_id", "size", "text_crc32", "n"]
-    rest = ranked.where(F.col("rank") >= _choice("shard", quota)).select(*columns).union(flagged.where("n = 1").select(*columns))
-    rest = _ranked(rest.withColumn("_all", F.lit(0)), ["_all"], ["rid"], n)
-    upto, place = 0, F.lit(None).cast("int")
-    for k, s in enumerate(spare):
-        upto += s
-        place = F.coalesce(place, F.when(F.col("rank") < upto, k))
-    placed = keep.select(*columns, "shard").union(rest.select(*columns, place.alias("shard")))
+    keep = flagged.where("shard is not null").select(*columns, "shard")
+    # Groups that fit nowhere, each in one run; a few of each size at most.
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("n"), "gid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = groups.where("shard is null").select("gid", before.alias("before"))
+    split = _ranked(flagged.where("n > 1 and shard is null").join(runs, "gid"), ["gid"], ["rid"], n).withColumn("rank", F.col("rank") + F.col("before"))
+    n_split = sum(k * m for k, m in sizes) - sum((hi - lo) * k for k, _, lo, hi in plan)
+    rest = _ranked(flagged.where("n = 1").withColumn("_all", F.lit(0)), ["_all"], ["rid"], n).withColumn("rank", F.col("rank") + n_split)
+    rest = split.select(*columns, "rank").union(rest.select(*columns, "rank"))
+    upto, steps = 0, []
+    for k, free in [*enumerate(laid), *sorted(enumerate(spare), key=lambda x: -x[1])]:
+        upto += free
+        steps.append(F.when(F.col("rank") < upto, k))
+    place = F.coalesce(*steps, F.lit(None).cast("int"))
+    placed = keep.union(rest.select(*columns, place.alias("shard")))
     out = _ranked(cut(placed), ["shard"], ["rid"], n)
     return out.select(
         "doc_id",
