@@ -136,3 +136,14 @@ def test_mail_svg_and_pdf(spark):
     assert {(r.field, r.value, r.risk) for r in metadata.pdf_items(df).collect()} == {("Author", "Jane", "high"), ("Title", "a\\)b", "medium")}
     clean = bytes(metadata.clean_pdf(df).first().cleaned)
     assert b"Jane" not in clean and len(clean) == len(pdf) and clean.endswith(b"trailer")
+
+
+def test_parts_after_many_others_are_found(spark):
+    pixels = chunk(b"IDAT", b"") * 10_050
+    late = png()[:-12].replace(chunk(b"tEXt", b"Author\0" + SECRET), b"") + pixels + chunk(b"tEXt", b"Author\0" + SECRET) + chunk(b"IEND", b"")
+    boxes = mp4() + struct.pack(">I4s", 8, b"free") * 10_050
+    df = spark.createDataFrame([("late.png", "png", bytearray(late)), ("a.mp4", "video", bytearray(boxes))], "name string, file_type string, content binary")
+    got = {r["name"]: r for r in metadata.with_parts(df).collect()}
+    assert any(p["text"] == SECRET.decode() for p in got["late.png"].parts)
+    assert any(p["key"] == "mvhd" for p in got["a.mp4"].parts) and len(got["a.mp4"].parts) > 10_050
+    assert all(r.error_code is None for r in got.values())

@@ -38,7 +38,7 @@ def _walked_type() -> Column:
 
 def with_parts(files: DataFrame) -> DataFrame:
     """``files`` with ``parts`` and ``error_code``."""
-    from .walkers import LIMIT, WALKERS
+    from .walkers import WALKERS
 
     files = files.withColumn("walked", _walked_type()).withColumn("error_code", magic_error(F.col("file_type"), F.col("content")))
     columns = files.columns
@@ -46,8 +46,6 @@ def with_parts(files: DataFrame) -> DataFrame:
     schema = T.StructType([*files.schema.fields, T.StructField("parts", T.DataType.fromDDL(f"array<{PART}>"))])
 
     def run(batches):
-        from itertools import islice
-
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
@@ -55,7 +53,7 @@ def with_parts(files: DataFrame) -> DataFrame:
                 error, parts = row.column(at["error_code"])[0].as_py(), []
                 if walker and not error:
                     try:
-                        for part in islice(walker(row.column(at["content"])[0].as_py() or b""), LIMIT):
+                        for part in walker(row.column(at["content"])[0].as_py() or b""):
                             parts.append(part)
                     except Exception as e:  # a damaged file keeps the parts found so far
                         error = f"DAMAGED: {type(e).__name__}"

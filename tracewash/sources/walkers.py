@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import struct
 
-LIMIT = 10_000
 TEXT = 1000
 # Names of EXIF tags by number.
 TAGS = {
@@ -110,7 +109,7 @@ def tiff(b: bytes, base: int = 0):
             continue
         seen.add(offset)
         count = struct.unpack(order + "H", b[at : at + 2])[0]
-        for k in range(min(count, LIMIT)):
+        for k in range(count):
             e = at + 2 + 12 * k
             if e + 12 > len(b):
                 break
@@ -200,7 +199,7 @@ def flac(b: bytes):
             k += 4 + size
             count = struct.unpack("<I", b[k : k + 4])[0] if k + 4 <= end else 0
             k += 4
-            for _ in range(min(count, LIMIT)):
+            for _ in range(count):
                 if k + 4 > end:
                     break
                 size = struct.unpack("<I", b[k : k + 4])[0]
@@ -215,10 +214,9 @@ HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf"}
 
 def mp4(b: bytes):
     todo = [(0, len(b), "", 0)]
-    found = 0
-    while todo and found < LIMIT:
+    while todo:
         at, stop, path, depth = todo.pop()
-        while at + 8 <= stop and found < LIMIT:
+        while at + 8 <= stop:
             n, kind = struct.unpack(">I4s", b[at : at + 8])
             head = 8
             if n == 1 and at + 16 <= stop:
@@ -226,7 +224,6 @@ def mp4(b: bytes):
             end = stop if n == 0 else at + n
             if end < at + head or end > stop:
                 break
-            found += 1
             kind = kind.decode("latin-1")
             text = None
             body = b[at + head : end]
