@@ -281,63 +281,121 @@ def test_shards_keep_groups_whole_where_all_rows_are_copies(spark):
     assert len(of["same"]) <= 8  # 200 rows over quotas of about 31
 
 
-def test_pseudo_likelihood_scores_each_word(spark):
+def forward(p, ids, k):
+    """Hidden values and the three distributions for one word, in plain loops."""
+    pl = pseudo_likelihood
+    h = p["bias"].astype(float)
+    for e, s in zip(p["scale"], (-2, -1, 1, 2)):
+        h = h + e * p["embed"][ids[k + s] if 0 <= k + s < len(ids) else pl.WORDS]
+    h = np.tanh(h)
+    a, b, c = ids[k] // 1024, ids[k] // 32 % 32, ids[k] % 32
+    out = []
+    for w, bias, want in ((p["first"], p["first_bias"], a), (p["second"][a], p["second_bias"][a], b), (p["third"][ids[k] // 32], p["third_bias"][ids[k] // 32], c)):
+        x = np.exp(h @ w + bias)
+        out.append((x / x.sum(), want))
+    return h, out
+
+
+CYCLE = ["sun", "moon", "star", "sky"]
+
+
+def cycles(n=160):
     rnd = random.Random(6)
-    cycle = ["sun", "moon", "star", "sky"]
-    rows = [(i, " ".join(cycle[(k + i) % 4] for k in range(80)) if i % 2 else " ".join(rnd.choice(cycle) for _ in range(80))) for i in range(120)] + [(900, None), (901, " "), (902, "one")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    flat = pseudo_likelihood.fit(df.where("doc_id >= 20"))
-    got = {r.doc_id: r for r in pseudo_likelihood.score(df, flat).collect()}
-    assert (got[900].score, got[900].mean_score, got[901].n_words) == (0.0, None, 0)
-    p, memo = pseudo_likelihood.views(flat), pseudo_likelihood.Numbers()
-    for i in (3, 4, 902):
-        ids = pseudo_likelihood.numbers(dict(rows)[i], memo)
-        total = 0.0
-        for k, n in enumerate(ids):
-            h = p["bias"].astype(float)
-            for e, s in zip(p["embed"], (-2, -1, 1, 2)):
-                h = h + e[ids[k + s] if 0 <= k + s < len(ids) else pseudo_likelihood.WORDS]
-            a, b = divmod(n, pseudo_likelihood.BASE)
-            h = np.tanh(h)
-            for x, want in ((h @ p["first"] + p["first_bias"], a), (h @ p["second"] + p["second_bias"][a], b)):
-                total += x[want] - np.log(np.exp(x).sum())
-        assert abs(total - got[i].score) < 1e-2
-    held_out = lambda odd: np.mean([got[i].mean_score for i in range(20) if i % 2 == odd])
-    assert held_out(1) > held_out(0) > np.log(1 / pseudo_likelihood.WORDS)
-    assert pseudo_likelihood.score(df.limit(0), pseudo_likelihood.fit(df.limit(0))).count() == 0
+    rows = [(i, " ".join(CYCLE[(k + i) % 4] for k in range(80)) if i % 2 else " ".join(rnd.choice(CYCLE) for _ in range(80))) for i in range(n) if not 160 <= i < 1000]
+    return rows + [(900, None), (901, " "), (902, "one"), (None, "one two"), (None, "one two")]
 
 
-def test_every_word_is_a_training_target_once(text_of):
-    found = [pseudo_likelihood.numbers(t, pseudo_likelihood.Numbers()) for t in text_of.values()]
-    rounds = pseudo_likelihood.ROUNDS
-    line, at = pseudo_likelihood.laid_out(found)
-    turns = [pseudo_likelihood.masked(line, at, [len(f) for f in found], k, rounds) for k in range(rounds)]
-    assert sorted(np.concatenate(turns)) == list(at) and min(map(len, turns)) > len(at) / rounds / 2
-    alone = [pseudo_likelihood.masked(*pseudo_likelihood.laid_out([f]), [len(f)], 0, rounds) for f in found]
-    assert sum(map(len, alone)) == len(turns[0])  # the same places whatever the batch
+def test_pseudo_likelihood_scores_each_word(spark, empty):
+    pl = pseudo_likelihood
+    df = spark.createDataFrame(cycles(5000), "doc_id long, text string").repartition(3, "doc_id")
+    model = pl.fit(df.where("doc_id >= 20"))
+    got = {r.doc_id: r for r in pl.score(df, model).collect()}
+    assert (got[900].score, got[900].mean_score, got[901].n_words) == (0.0, None, 0)
+    p, memo, text = pl.views(model.flat), pl.Numbers(model.vocabulary.common), dict(cycles(5000))
+    for i in (23, 24, 902):
+        ids = [memo[w] % pl.WORDS for w in pl.words_of(text[i])]
+        total = sum(np.log(x[want]) for k in range(len(ids)) for x, want in forward(p, ids, k)[1])
+        assert abs(total - got[i].score) < 1e-2
+    counts = Counter(w for i, t in cycles(5000) if i is not None and i >= 20 for w in pl.words_of(t))
+    unigram = lambda i: np.mean([np.log(counts[w] / sum(counts.values())) for w in pl.words_of(text[i])])
+    assert np.mean([got[i].mean_score - unigram(i) for i in range(1, 20, 2)]) > 0.1  # held-out documents with an order
+    assert pl.score(empty, pl.fit(empty)).count() == 0
+
+
+def test_training_equals_plain_loops(monkeypatch):
+    pl = pseudo_likelihood
+    monkeypatch.setattr(pl, "BATCH", 7)
+    rnd = np.random.default_rng(1)
+    docs = [rnd.integers(0, 3000, n) for n in (9, 0, 1, 12)]
+    flat = pl.start(np.bincount(np.concatenate(docs), minlength=pl.WORDS))
+    flat += rnd.standard_normal(len(flat)).astype(np.float32) * 0.05
+    mine, plain = flat.copy(), {k: v.astype(float) for k, v in pl.views(flat.copy()).items()}
+    line, at = pl.laid_out(docs)
+    pl.train(pl.views(mine), pl.views(np.ones(pl.SIZE, np.float32)), line, at)
+    squares = {k: np.ones_like(v) for k, v in plain.items()}
+    words = [(list(d), k) for d in docs for k in range(len(d))]
+    for lo in range(0, len(words), 7):
+        grad = {k: np.zeros_like(v) for k, v in plain.items()}
+        for ids, k in words[lo : lo + 7]:
+            h, ((x, a), (y, b), (z, c)) = forward(plain, ids, k)
+            x[a], y[b], z[c] = x[a] - 1, y[b] - 1, z[c] - 1
+            back = np.zeros_like(h)
+            for name, row, e in (("first", ..., x), ("second", a, y), ("third", ids[k] // 32, z)):
+                grad[name][row] += np.outer(h, e)
+                grad[name + "_bias"][row] += e
+                back += plain[name][row] @ e
+            back *= 1 - h * h
+            grad["bias"] += back
+            for m, s in enumerate((-2, -1, 1, 2)):
+                near = ids[k + s] if 0 <= k + s < len(ids) else pl.WORDS
+                grad["scale"][m] += back * plain["embed"][near]
+                grad["embed"][near] += back * plain["scale"][m]
+        for name, g in grad.items():
+            squares[name] += g * g
+            plain[name] -= pl.RATE * g / np.sqrt(squares[name])
+    for name, v in pl.views(mine).items():
+        assert np.allclose(v, plain[name], atol=1e-4), name
+
+
+def test_every_word_is_trained_on_once_whatever_the_splits(spark, monkeypatch):
+    pl = pseudo_likelihood
+    monkeypatch.setattr(pl, "GROUP", (2000, 2000))
+    df = spark.createDataFrame(cycles(), "doc_id long, text string")
+    one, other = pl.fit(df.repartition(2)), pl.fit(df.repartition(7, "text"))
+    assert np.allclose(one.flat, other.flat, atol=1e-5) and one.vocabulary.common == other.vocabulary.common
+    a, b = ({(r.doc_id, r.n_words): r.score for r in pl.score(x, m).collect()} for x, m in ((df, one), (df.repartition(5), other)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-2 for k in a)
+    memo = pl.Numbers(one.vocabulary.common)
+    texts = [t for _, t in cycles()]
+    import pyarrow as pa
+
+    batch = lambda group, some: pa.RecordBatch.from_arrays([pa.array([group] * len(some)), pa.array(range(len(some))), pa.array(some, pa.string())], ["group", "key", "text"])
+    runs = list(pl._groups([batch(0, texts[:50]), batch(0, texts[50:70]), batch(1, texts[70:])], memo))
+    assert {g for g, _ in runs} == {0, 1} and sum(len(d) for _, r in runs for d in r) == sum(len(pl.words_of(t)) for t in texts)
 
 
 def test_words_of_one_number_have_their_own_probability(spark, monkeypatch):
+    pl = pseudo_likelihood
     of, k = defaultdict(list), 0
-    while len(of[0]) < 2:
-        of[pseudo_likelihood.Numbers()[f"x{k}".encode()]].append(f"x{k}")
+    while max(map(len, of.values()), default=0) < 2:
+        of[pl.shared_number(f"x{k}".encode())].append(f"x{k}")
         k += 1
-    often, seldom = of[0]
-    rows = [(i, f"a {often} b") for i in range(30)] + [(100, f"a {seldom} b"), (100, f"a {seldom} b"), (None, f"A {seldom.upper()} b"), (101, None)]
+    often, seldom = max(of.values(), key=len)
+    rows = [(i, f"{often}") for i in range(30)] + [(100, f"{seldom}"), (100, f"{seldom}"), (None, f"{seldom.upper()}"), (101, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    flat = pseudo_likelihood.start()
     want = {often: np.log(30 / 33), seldom: np.log(3 / 33)}
     for held in (100_000, 0):  # all words broadcast, all joined
-        monkeypatch.setattr(pseudo_likelihood, "COMMON", held)
-        got = pseudo_likelihood.score(df, flat).collect()
+        monkeypatch.setattr(pl, "COMMON", held)
+        known = pl.vocabulary(df, own=0)
+        got = pl.score(df, pl.Model(pl.start(known.totals), known)).collect()
         assert len(got) == len(rows)
         by = defaultdict(set)
         for r in got:
             by[r.doc_id].add(r.score)
         assert by[101] == {0.0} and by[100] == by[None] and len(by[100]) == 1
         assert min(by[0]) - min(by[100]) == pytest.approx(want[often] - want[seldom], abs=1e-6)
-        given = pseudo_likelihood.vocabulary(df.where("doc_id < 100"))
-        unseen = {r.doc_id: r.score for r in pseudo_likelihood.score(df, flat, given).collect()}
+        given = pl.vocabulary(df.where("doc_id < 100"), own=0)
+        unseen = {r.doc_id: r.score for r in pl.score(df, pl.Model(pl.start(given.totals), given)).collect()}
         assert unseen[0] - unseen[100] == pytest.approx(np.log(31), abs=1e-6)
 
 

@@ -1,23 +1,26 @@
 """Documents scored by masked pseudo-likelihood.
 
 A small bidirectional network predicts every word from ``SIDE`` words on either
-side, the word itself being masked: embeddings by position are added up, pass
-through tanh, and two softmaxes give the word's hashed number digit by digit,
-the second knowing the first.  Words that share a number are told apart by the
-corpus's own word counts: a word's log probability is that of its number, given
-the words around it, plus that of the word among those of its number.  The
-score of a document is the sum over its words.
-
-Training covers the whole corpus: each word is the masked target once.  A hash
-deals the places of every document to the rounds; in round ``r`` every task
-trains, in numpy, on the places of its own documents that were dealt to ``r``,
-starting from the broadcast parameters.
-The parameters of all tasks, weighted by the places trained on, are averaged
-in blocks by two shuffles and only the average, whose size is fixed, reaches the
-driver.  A lost task is run again from the same start with the same result.
+side, the word itself being masked: embeddings, scaled by position, are added up
+and pass through tanh, and three softmaxes give the word's number digit by
+digit, each knowing the digits before it.  The ``OWN`` most frequent words have
+a number each; the others share the ``SHARED`` numbers left by hash, and of a
+shared number a word has the part that it has in the corpus's counts.  A word's
+log probability is that of its number, given the words around it, plus the log
+of its part.  The score of a document is the sum over its words.
+
+Training starts from the corpus's word counts as biases, so that the network
+only has to learn what context adds.  A hash of ``doc_id`` and text deals the
+documents to rounds and, within a round, to groups of about ``GROUP`` words;
+every document is trained on once, all its words being targets.  A group is
+trained in numpy in the order of the hash, from the parameters that the round
+starts with, and the parameters of all groups, weighted by words, are averaged
+in blocks by two shuffles; only the average, whose size is fixed, reaches the
+driver.  Neither input splits nor lost tasks change the result.
+
 The vocabulary grows with the corpus and stays in tables.  At most ``COMMON``
-words, the most frequent, are broadcast with their shares; the others of each
-row are joined with the vocabulary by word.
+words of at most ``LONGEST`` bytes, the most frequent, are broadcast with their
+parts; the others of each document are joined with the vocabulary by word.
 
 Defined results: a null or blank text has no words, the score 0 and no mean;
 rows that repeat get equal scores; an empty table trains nothing and scores
@@ -28,6 +31,7 @@ those of its number.  Other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +41,51 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BASE = 32  # of the two digits of a word's number
-WORDS = BASE * BASE
-SIDE, WIDTH, ROUNDS = 2, 32, 2
-BATCH, RATE, CHUNK, BLOCK, MEMO = 512, 0.15, 16_384, 2048, 300_000
-COMMON = 100_000  # words held by every task, whatever the corpus
-_FINE = 2.0**30  # shares are added up as whole numbers, so that their order doesn't matter
-_SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
+BASE = 32  # of the three digits of a word's number
+WORDS = BASE**3
+SHARED = 4096
+OWN = WORDS - SHARED
+SIDE, WIDTH, ROUNDS = 2, 8, 2
+BATCH, RATE, MEMO = 8192, 0.15, 300_000
+GROUP = (1_000_000, 32_000_000)  # words of a group, at least and at most
+BLOCK = 2**15
+COMMON, LONGEST = 200_000, 64
+_FINE = 2.0**30  # parts are added up as whole numbers, so that their order doesn't matter
+_SHIFTS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 SHAPES = {
-    "embed": (len(_SHIFTS), WORDS + 1, WIDTH),
+    "embed": (WORDS + 1, WIDTH),
+    "scale": (len(_SHIFTS), WIDTH),
     "bias": (WIDTH,),
     "first": (WIDTH, BASE),
     "first_bias": (BASE,),
-    "second": (WIDTH, BASE),
+    "second": (BASE, WIDTH, BASE),
     "second_bias": (BASE, BASE),
+    "third": (BASE * BASE, WIDTH, BASE),
+    "third_bias": (BASE * BASE, BASE),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def start() -> np.ndarray:
-    rng = np.random.default_rng(8)
-    flat = np.zeros(SIZE, np.float32)
-    for name, part in views(flat).items():
-        if "bias" not in name:
-            part[...] = rng.standard_normal(part.shape) * (0.1 if name == "embed" else 0.2)
-    return flat
+@dataclass
+class Vocabulary:
+    """``words``: table ``word, number, n`` of all words; the rest is of bounded size.
+
+    ``least`` is the count from which words are in ``common``, which holds the
+    number of each and its place in ``parts``; ``totals`` are counts by number.
+    """
+
+    words: DataFrame
+    least: int
+    common: dict[bytes, int]
+    parts: np.ndarray
+    totals: np.ndarray
+
+
+@dataclass
+class Model:
+    flat: np.ndarray
+    vocabulary: Vocabulary
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -74,160 +97,269 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def start(totals: np.ndarray) -> np.ndarray:
+    """Parameters that give each number its share of ``totals``, whatever the context."""
+    rng = np.random.default_rng(8)
+    flat = np.zeros(SIZE, np.float32)
+    p = views(flat)
+    p["embed"][...] = rng.standard_normal(SHAPES["embed"]) * 0.1
+    p["first"][...] = rng.standard_normal(SHAPES["first"]) * 0.1
+    p["scale"][...] = 1
+    seen = totals.reshape(BASE, BASE, BASE) + 0.1
+    for name, x in (("third_bias", seen.reshape(-1, BASE)), ("second_bias", seen.sum(2)), ("first_bias", seen.sum((1, 2)))):
+        p[name][...] = np.log(x / x.sum(-1, keepdims=True))
+    return flat
+
+
 class Numbers(dict):
-    """Number of a word; with ``common``, plus ``WORDS`` times its place there, 0 if it isn't there."""
+    """Number of a word, plus ``WORDS`` times its place among the parts, 0 if it isn't common."""
 
     def __init__(self, common: dict[bytes, int] | None = None):
+        super().__init__()
         self.common = common or {}
 
     def __missing__(self, word: bytes) -> int:
+        n = self.common.get(word)
+        if n is None:
+            n = shared_number(word)
         if len(self) >= MEMO:
             self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word) % WORDS + WORDS * self.common.get(word, 0)
+        self[word] = n
         return n
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shared_number(word: bytes) -> int:
+    return OWN + xxhash.xxh3_64_intdigest(word) % SHARED
 
 
-def numbers(text: str | None, memo: Numbers) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents in one array with gaps between them, and the words' places."""
     gap = np.full(SIDE, WORDS, np.int64)
     line = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
-    lengths = np.array([len(d) for d in docs])
-    first = SIDE + np.concatenate([[0], np.cumsum(lengths[:-1] + SIDE)]) if len(docs) else np.zeros(0, np.int64)
-    places = np.repeat(first - np.concatenate([[0], np.cumsum(lengths[:-1])]), lengths) + np.arange(lengths.sum()) if len(docs) else first
-    return line, places.astype(np.int64)
+    lengths = np.array([len(d) for d in docs], np.int64)
+    return line, np.arange(lengths.sum()) + SIDE + np.repeat(np.arange(len(docs)) * SIDE, lengths)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _hidden(p: dict, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    near = line[at + _SHIFTS[:, None]]
+    seen = p["embed"].take(near, axis=0)
+    return near, seen, np.tanh(np.einsum("kh,knh->nh", p["scale"], seen) + p["bias"])
 
 
-def hidden(p: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = p["embed"][0][line[at + _SHIFTS[0]]] + p["bias"]
-    for k, shift in enumerate(_SHIFTS[1:], 1):
-        h += p["embed"][k][line[at + shift]]
-    return np.tanh(h)
+def _by(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by ``rows``, and ``rows`` in it; numbers up to 16 bits sort by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    return order, rows[order]
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one row start in sorted ``rows``, and with the end behind them."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return first, np.append(first, len(rows))
+
+
+def _logits(p: dict, h: np.ndarray, number: np.ndarray):
+    """Rows, wanted digits and logits of the three softmaxes; numbers come sorted by their first digits."""
+    a, ab = number >> 10, number >> 5
+    yield None, a, h @ p["first"] + p["first_bias"]
+    x = p["second_bias"].take(a, axis=0)
+    first, ends = _runs(a)
+    for row, i, j in zip(a[first].tolist(), ends.tolist(), ends[1:].tolist()):
+        x[i:j] += h[i:j] @ p["second"][row]
+    yield a, ab & 31, x
+    yield ab, number & 31, np.matmul(h[:, None, :], p["third"].take(ab, axis=0))[:, 0] + p["third_bias"].take(ab, axis=0)
 
 
 def log_probabilities(p: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at))
-    for lo in range(0, len(at), CHUNK):
-        some = at[lo : lo + CHUNK]
-        a, b = np.divmod(line[some], BASE)
-        h = hidden(p, line, some)
+    for lo in range(0, len(at), BATCH):
+        some = at[lo : lo + BATCH]
+        order = _by(line[some] >> 5)[0]
+        some = some[order]
         total = 0.0
-        for x, want in ((h @ p["first"] + p["first_bias"], a), (h @ p["second"] + p["second_bias"][a], b)):
-            top = x.max(axis=1, keepdims=True)
-            total = total + x[np.arange(len(some)), want] - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))
-        out[lo : lo + CHUNK] = total
+        for _, want, x in _logits(p, _hidden(p, line, some)[2], line[some]):
+            x -= max(x.max() - 60, 0)  # far from overflow
+            total = total + x[np.arange(len(some)), want] - np.log(np.exp(x).sum(axis=1))
+        out[lo + order] = total
     return out
 
 
-def _add_rows(target, squares, rows, grad):
-    """Adagrad on the rows of a table, repeated rows summed first."""
-    order = np.argsort(rows.astype(np.int16), kind="stable")  # at most 4 * (WORDS + 1) rows; short numbers sort by radix
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total, rows = np.add.reduceat(grad[order], first, axis=0), rows[first]
-    squares[rows] += total * total
-    target[rows] -= RATE * total / np.sqrt(squares[rows])
+def _step(target: np.ndarray, squares: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
+    """Adagrad."""
+    squares[rows] += grad * grad
+    target[rows] -= RATE * grad / np.sqrt(squares[rows])
 
 
-_FIRST_ROW = np.arange(len(_SHIFTS))[:, None] * (WORDS + 1)
+def _outer(h: np.ndarray, g: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``h.T @ g`` of each run; runs of one row all at once."""
+    out = h[ends[:-1], :, None] * g[ends[:-1], None, :]
+    for k in np.flatnonzero(np.diff(ends) > 1).tolist():
+        i, j = ends[k], ends[k + 1]
+        np.matmul(h[i:j].T, g[i:j], out=out[k])
+    return out
 
 
 def train(p: dict, squares: dict, line: np.ndarray, at: np.ndarray) -> None:
+    """One pass over the words at ``at``, changing ``p`` and ``squares``."""
     for lo in range(0, len(at), BATCH):
         some = at[lo : lo + BATCH]
-        n = len(some)
-        a, b = np.divmod(line[some], BASE)
-        h = hidden(p, line, some)
-        ga = _softmax(h @ p["first"] + p["first_bias"])
-        gb = _softmax(h @ p["second"] + p["second_bias"][a])
-        ga[np.arange(n), a] -= 1
-        gb[np.arange(n), b] -= 1
-        gh = (ga @ p["first"].T + gb @ p["second"].T) * (1 - h * h)
-        for name, g in (("first", h.T @ ga), ("first_bias", ga.sum(0)), ("second", h.T @ gb), ("bias", gh.sum(0))):
-            squares[name] += g * g
-            p[name] -= RATE * g / np.sqrt(squares[name])
-        _add_rows(p["second_bias"], squares["second_bias"], a, gb)
-        rows = line[some + np.array(_SHIFTS)[:, None]] + _FIRST_ROW
-        _add_rows(p["embed"].reshape(-1, WIDTH), squares["embed"].reshape(-1, WIDTH), rows.ravel(), np.tile(gh, (len(_SHIFTS), 1)))
-
-
-def masked(line: np.ndarray, at: np.ndarray, lengths: list[int], turn: int, rounds: int) -> np.ndarray:
-    """Places of this round, by a hash of the words around and the place in the document.
-
-    Each place belongs to one round, however rows are dealt to batches.
-    """
-    ends = np.cumsum(lengths)
-    place = np.arange(len(at)) - np.repeat(ends - lengths, lengths)
-    h = (line[at] + line[at - 1] * 1031 + line[at + 1] * 523_987 + place * 40_503) * 2_654_435_761
-    return at[(h >> 16) % rounds == turn]
+        some = some[_by(line[some] >> 5)[0]]
+        near, seen, h = _hidden(p, line, some)
+        errors = []
+        for row, want, x in _logits(p, h, line[some]):
+            x -= max(x.max() - 60, 0)
+            np.exp(x, out=x)
+            x /= x.sum(axis=1, keepdims=True)
+            x[np.arange(len(some)), want] -= 1
+            errors.append((row, x))
+        (_, g), (a, ga), (ab, gab) = errors
+        back = g @ p["first"].T + np.matmul(p["third"].take(ab, axis=0), gab[:, :, None])[:, :, 0]
+        first, ends = _runs(a)
+        for row, i, j in zip(a[first].tolist(), ends.tolist(), ends[1:].tolist()):
+            back[i:j] += ga[i:j] @ p["second"][row].T
+        back *= 1 - h * h
+        _step(p["first"], squares["first"], h.T @ g)
+        _step(p["first_bias"], squares["first_bias"], g.sum(0))
+        for name, row, error in (("second", a, ga), ("third", ab, gab)):
+            first, ends = _runs(row)
+            _step(p[name], squares[name], _outer(h, error, ends), row[first])
+            _step(p[name + "_bias"], squares[name + "_bias"], np.add.reduceat(error, first, axis=0), row[first])
+        _step(p["bias"], squares["bias"], back.sum(0))
+        grads = p["scale"][:, None, :] * back
+        _step(p["scale"], squares["scale"], np.einsum("nh,knh->kh", back, seen))
+        order, rows = _by(near.ravel())
+        first, _ = _runs(rows)
+        _step(p["embed"], squares["embed"], np.add.reduceat(grads.reshape(-1, WIDTH)[order], first, axis=0), rows[first])
+
+
+# -- Counting -----------------------------------------------------------------
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        counts: Counter = Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(map(shared_number, counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "number", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(words_of(text.as_py()))
+                if len(counts) >= MEMO:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    partial = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, number int, n long")
+    return partial.groupBy("word", "number").agg(F.sum("n").alias("n"))
+
+
+def _least_common(short: DataFrame) -> int:
+    """The least count, to an eighth of an octave, that at most ``COMMON`` words reach."""
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    held, least = 0, 2**62
+    for row in sorted(short.groupBy(step).count().collect(), reverse=True):  # 500 rows at most
+        held += row["count"]
+        if held > COMMON:
+            break
+        least = int(np.ceil(2 ** (row["step"] / 8) - 1e-9))
+    return least
+
+
+def vocabulary(docs: DataFrame, own: int = OWN) -> Vocabulary:
+    """Every word with its count, and the bounded tables of the frequent ones; ``own`` words, ``OWN`` at most, get a number each."""
+    words = cut(_word_counts(docs))
+    short = words.where(F.octet_length("word") <= LONGEST)
+    least = _least_common(short)
+    totals = np.zeros(WORDS, np.int64)
+    for row in words.groupBy("number").agg(F.sum("n").alias("n")).collect():  # SHARED rows at most
+        totals[row.number] = row.n
+    rows = sorted(((-r.n, bytes(r.word), r.number) for r in short.where(F.col("n") >= least).select("word", "number", "n").collect()))  # COMMON rows at most
+    for k, (n, _, number) in enumerate(rows[:own]):
+        totals[k], totals[number] = -n, totals[number] + n
+    common = {word: (k if k < own else number) + WORDS * (k + 1) for k, (_, word, number) in enumerate(rows)}
+    parts = [0] + [0 if k < own else round(np.log(-n / totals[number]) * _FINE) for k, (n, _, number) in enumerate(rows)]
+    return Vocabulary(words, least, common, np.array(parts, np.int64), totals)
 
 
-def _texts(batches):
-    """Lists of at most 256 texts, with the rows they come from."""
+# -- Training -----------------------------------------------------------------
+
+
+def _groups(batches, memo: Numbers):
+    """Runs of one group, sorted by it, as lists of documents of bounded size."""
+    held, size, now = [], 0, None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            yield part, part.column(part.num_columns - 1).to_pylist()
+        for group, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+            words = words_of(text.as_py())
+            if held and (group != now or size >= 8 * BATCH):
+                yield now, held
+                held, size = [], 0
+            now = group
+            held.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) % WORDS)
+            size += len(words)
+    if held:
+        yield now, held
+
+
+def _blocks(group: int, seen: int, flat: np.ndarray) -> pa.RecordBatch:
+    blocks = [flat[k : k + BLOCK] * np.float32(seen) for k in range(0, SIZE, BLOCK)]
+    n = len(blocks)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int32()), pa.array([group] * n, pa.int64()), pa.array([float(seen)] * n), pa.array(blocks, pa.list_(pa.float32()))],
+        ["block", "part", "weight", "total"],
+    )
+
+
+def _added(batches):
+    """Sums of rows that share ``block`` and ``part``, which come sorted."""
+    now = None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([now[2]]), pa.array([now[3].astype(np.float32)], pa.list_(pa.float32()))], ["block", "part", "weight", "total"])
 
+    for batch in batches:
+        for block, part, weight, total in zip(*(batch.column(k).to_pylist() for k in range(3)), (np.asarray(x.values) for x in batch.column(3))):
+            if now and now[:2] == [block, part]:
+                now[2] += weight
+                now[3] = now[3] + total
+            else:
+                if now:
+                    yield row()
+                now = [block, part, weight, total.astype(np.float64)]
+    if now:
+        yield row()
 
-def _train_round(docs: DataFrame, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(flat)  # SIZE floats
 
-    def run(batches):
-        from pyspark import TaskContext
+def _train_round(dealt: DataFrame, groups: int, flat: np.ndarray, common: dict[bytes, int]) -> np.ndarray:
+    held = dealt.sparkSession.sparkContext.broadcast((flat, common))  # SIZE floats, COMMON short words
 
-        own = held.value.copy()
-        p, squares = views(own), views(np.full(SIZE, 1.0, np.float32))
-        memo, seen = Numbers(), 0
-        for _, texts in _texts(batches):
-            found = [numbers(t, memo) for t in texts]
+    def run(batches):
+        flat, common = held.value
+        memo, group, seen, own, p, squares = Numbers(common), None, 0, None, None, None
+        for now, found in _groups(batches, memo):
+            if now != group:
+                if seen:
+                    yield _blocks(group, seen, own)
+                group, seen, own = now, 0, flat.copy()
+                p, squares = views(own), views(np.full(SIZE, 1.0, np.float32))
             line, at = laid_out(found)
-            at = masked(line, at, [len(f) for f in found], turn, rounds)
             train(p, squares, line, at)
             seen += len(at)
         if seen:
-            blocks = [own[k : k + BLOCK].astype(np.float64) * seen for k in range(0, SIZE, BLOCK)]
-            n = len(blocks)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(blocks, pa.list_(pa.float64()))],
-                ["block", "part", "weight", "total"],
-            )
-
-    schema = "block int, part int, weight double, total array<double>"
-
-    def add(batches):
-        now = None  # block, part, weight, total of the run being added up
-        for batch in batches:
-            for block, part, weight, total in zip(*(batch.column(k).to_pylist() for k in range(3)), (np.asarray(x.values) for x in batch.column(3))):
-                if now and now[0] == block and now[1] == part:
-                    now[2] += weight
-                    now[3] = now[3] + total
-                else:
-                    if now:
-                        yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([now[2]]), pa.array([now[3]], pa.list_(pa.float64()))], ["block", "part", "weight", "total"])
-                    now = [block, part, weight, total]
-        if now:
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([now[2]]), pa.array([now[3]], pa.list_(pa.float64()))], ["block", "part", "weight", "total"])
-
-    rows = cut(docs.select(F.col("text").cast("string")).mapInArrow(run, schema))
-    for spread in (32, 1):  # sums of sums, so that no task adds up what all tasks sent
-        rows = rows.withColumn("order", F.col("part")).withColumn("part", F.pmod("part", F.lit(spread)).cast("int"))
-        rows = rows.repartition(F.col("block"), F.col("part")).sortWithinPartitions("block", "part", "order").drop("order").mapInArrow(add, schema)
+            yield _blocks(group, seen, own)
+
+    schema = "block int, part long, weight double, total array<float>"
+    sent = dealt.repartition(groups, "group").sortWithinPartitions("group", "key").select("group", "key", "text")
+    rows = cut(sent.mapInArrow(run, schema))
+    for spread in (32, 1):  # sums of sums, so that no task adds up what all groups sent
+        rows = rows.withColumn("order", F.col("part")).withColumn("part", F.pmod("part", F.lit(spread)))
+        rows = rows.repartition(F.col("block"), F.col("part")).sortWithinPartitions("block", "part", "order").drop("order").mapInArrow(_added, schema)
     new = flat.copy()
     for row in rows.collect():  # SIZE floats
         k = row.block * BLOCK
@@ -235,98 +367,62 @@ def _train_round(docs: DataFrame, flat: np.ndarray, turn: int, rounds: int) -> n
     return new
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters trained on each word of all documents, as one flat array of fixed size."""
-    flat = start()
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A model trained on each word of all documents."""
+    known = vocabulary(docs)
+    flat = start(known.totals)
+    total = int(known.totals.sum())
+    groups = -(-total // rounds // min(max(total // 64, GROUP[0]), GROUP[1])) or 1
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(F.col("doc_id").cast("long"), text)
+    dealt = docs.select(F.pmod(key, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(key, 8), F.lit(groups)).alias("group"), key.alias("key"), text.alias("text"))
     for turn in range(rounds):
-        flat = _train_round(docs, flat, turn, rounds)
-    return flat
+        flat = _train_round(dealt.where(F.col("round") == turn).drop("round"), groups, flat, known.common)
+    return Model(flat, known)
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """``word, number, n, share``: every word, how often it occurs and the log of its part in its number."""
+# -- Scoring ------------------------------------------------------------------
 
-    def run(batches):
-        counts: Counter = Counter()
+_SCORED = "rid long, doc_id long, n_words long, logs double, parts long, rare array<struct<word:binary,number:int,k:long>>"
 
-        def flush():
-            memo = Numbers()
-            out = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(map(memo.__getitem__, counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "number", "n"])
-            counts.clear()
-            return out
-
-        for _, texts in _texts(batches):
-            for text in texts:
-                counts.update(words_of(text))
-            if len(counts) >= MEMO:
-                yield flush()
-        if counts:
-            yield flush()
 
-    partial = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, number int, n long")
-    words = cut(partial.groupBy("word", "number").agg(F.sum("n").alias("n")))
-    total = words.groupBy("number").agg(F.sum("n").alias("total"))
-    return cut(words.join(F.broadcast(total), "number").select("word", "number", "n", F.log(F.col("n") / F.col("total")).alias("share")))
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_words, score, mean_score`` for every row."""
+    known = model.vocabulary
+    held = docs.sparkSession.sparkContext.broadcast((model.flat, known.common, known.parts))
 
-
-def _least_common(words: DataFrame) -> int:
-    """The least power of two that at most ``COMMON`` words occur as often as."""
-    size = F.floor(F.log2("n")).cast("int").alias("size")
-    held, least = 0, 2**62
-    for row in sorted(words.groupBy(size).count().collect(), reverse=True):  # 63 rows at most
-        held += row["count"]
-        if held > COMMON:
-            break
-        least = 2 ** row["size"]
-    return least
-
-
-def score(docs: DataFrame, flat: np.ndarray, words: DataFrame | None = None) -> DataFrame:
-    """``doc_id, n_words, score, mean_score`` for every row.
-
-    ``words`` is the ``vocabulary`` of the corpus, by default that of ``docs``.
-    """
-    spark = docs.sparkSession
-    words = vocabulary(docs) if words is None else words
-    total = np.zeros(WORDS)
-    for row in words.groupBy("number").agg(F.sum("n").alias("n")).collect():  # WORDS rows at most
-        total[row.number] = row.n
-    least = _least_common(words)
-    common, parts = {}, [0]
-    for row in words.where(F.col("n") >= least).select("word", "share").collect():  # COMMON rows at most
-        common[bytes(row.word)] = len(parts)
-        parts.append(round(row.share * _FINE))
-    held = spark.sparkContext.broadcast((flat, common, np.array(parts, np.int64)))
+    def scored(part: pa.RecordBatch, p: dict, memo: Numbers, parts: np.ndarray) -> pa.RecordBatch:
+        found, shares, rare = [], [], []
+        for text in part.column(2).to_pylist():
+            words = words_of(text)
+            place, number = np.divmod(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), WORDS)
+            found.append(number)
+            shares.append(int(parts[place].sum()))
+            rare.append([{"word": w, "number": n, "k": k} for (w, n), k in Counter((words[i], int(number[i])) for i in np.flatnonzero(place == 0)).items()])
+        line, at = laid_out(found)
+        lengths = [len(f) for f in found]
+        sums = np.add.reduceat(np.append(log_probabilities(p, line, at), 0.0), np.concatenate([[0], np.cumsum(lengths)[:-1]])) * (np.array(lengths) > 0)
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())]))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(shares, pa.int64()), pa.array(rare, kind)],
+            ["rid", "doc_id", "n_words", "logs", "parts", "rare"],
+        )
 
     def run(batches):
         flat, common, parts = held.value
         p, memo = views(flat), Numbers(common)
-        for part, texts in _texts(batches):
-            split = [words_of(t) for t in texts]
-            found, shares, rare = [], [], []
-            for w in split:
-                known, number = np.divmod(np.fromiter(map(memo.__getitem__, w), np.int64, len(w)), WORDS)
-                found.append(number)
-                shares.append(int(parts[known].sum()))
-                seen = Counter((w[k], int(number[k])) for k in np.flatnonzero(known == 0))
-                rare.append([{"word": x, "number": n, "k": k} for (x, n), k in seen.items()])
-            line, at = laid_out(found)
-            logs = log_probabilities(p, line, at)
-            ends = np.cumsum([len(f) for f in found])
-            sums = [float(x.sum()) for x in np.split(logs, ends[:-1])]
-            kind = pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array(sums, pa.float64()), pa.array(shares, pa.int64()), pa.array(rare, pa.list_(kind))],
-                ["rid", "doc_id", "n_words", "logs", "shares", "rare"],
-            )
-
-    schema = "rid long, doc_id long, n_words long, logs double, shares long, rare array<struct<word:binary,number:int,k:long>>"
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                yield scored(batch.slice(lo, 128), p, memo, parts)
+
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInArrow(run, schema))
+    rows = cut(rows.mapInArrow(run, _SCORED))
     rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
-    unseen = -F.log(F.element_at(F.array(*map(F.lit, total.tolist())), F.col("number") + 1) + 1)
-    rare = rare.join(words.where(F.col("n") < least).select("word", "share"), "word", "left")
-    more = rare.groupBy("rid").agg(F.sum(F.col("k") * F.round(F.coalesce("share", unseen) * _FINE).cast("long")).alias("more"))
-    whole = F.col("logs") + (F.col("shares") + F.coalesce("more", F.lit(0))) / _FINE
+    counts = known.words.where((F.col("n") < known.least) | (F.octet_length("word") > LONGEST)).select("word", "n")
+    total = docs.sparkSession.createDataFrame([(k, int(known.totals[k])) for k in range(OWN, WORDS)], "number int, total long")
+    rare = rare.join(counts, "word", "left").join(F.broadcast(total), "number")
+    part = F.when(F.col("n").isNull(), -F.log(F.col("total") + 1)).otherwise(F.log(F.col("n") / F.col("total")))
+    more = rare.groupBy("rid").agg(F.sum(F.col("k") * F.round(part * _FINE).cast("long")).alias("more"))
+    whole = F.col("logs") + (F.col("parts") + F.coalesce("more", F.lit(0))) / _FINE
     out = rows.drop("rare").join(more, "rid", "left").select("doc_id", "n_words", whole.alias("score"))
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
