@@ -7,7 +7,8 @@ the tests hold the pipeline against a brute-force version.
 
 Nulls, empty texts and ties follow the operators: texts without words are
 rejected by the quality rules; of a group of near duplicates the document with
-the smallest ``doc_id`` stays; documents that the mix takes twice come twice.
+the smallest ``doc_id`` stays; rows that share a ``doc_id`` and differ in text
+are documents of their own; documents that the mix takes twice come twice.
 """
 
 from __future__ import annotations
@@ -27,10 +28,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words, similarity of 0.8."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """One document of each group stays: five words, similarity of 0.8.
+
+    Of rows equal in ``doc_id`` and text one stays, the same in every run; rows
+    without a ``doc_id`` and rows without words all stay.
+    """
+    main = minhash.near_duplicates(docs, width=5, percent=80).where("main and doc_id is not null and text_key is not null")
+    main = main.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = packed(docs, F.col("doc_id").cast("long").alias("_id"), minhash.text_key().alias("_key"))
+    whole = F.col("_id").isNull() | F.col("_key").isNull()
+    once = rows.where(~whole).join(main, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return once.select("_row.*").unionByName(rows.where(whole).select("_row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

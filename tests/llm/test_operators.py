@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewash.llm import minhash, mixing, pieces, pii, pseudo_likelihood, quality, secrets, sharding, token_counts, vectors
 
@@ -94,6 +95,52 @@ def test_pii_terms_that_disclose(spark):
     assert "[TERM]" not in removed[500] and "orblax" not in removed[500]
 
 
+def test_disclosing_terms_equal_brute_force(spark):
+    rnd = random.Random(9)
+    names = [f"n{k}" for k in range(12)]
+    docs = []
+    for i in range(150):
+        words = [rnd.choice(["of", "the", "in", f"w{rnd.randint(0, 60)}"]) for _ in range(rnd.randint(3, 40))]
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(12)
+            at = rnd.randint(0, len(words))
+            words[at:at] = [names[k].upper() + ",", f"m{k // 2}@x.org"]
+        docs.append(" ".join(words))
+    df = spark.createDataFrame([(i % 90, t) for i, t in enumerate([*docs, *docs[:40], "", None])], "doc_id long, text string")
+    terms, values, both, contexts = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in set(docs):
+        words = [w.lower().strip(".,;:!?\"'()[]{}<>#*$%&|") for w in t.split()]
+        terms.update(w for w in words if w)
+        for i, w in enumerate(words):
+            if "@" in w:
+                near = [x for x in words[max(0, i - 6) : i] + words[i + 1 : i + 7] if "@" not in x]
+                values[w] += 1
+                for x in {x for x in near if len(x) > 1}:
+                    both[w, x] += 1
+                    contexts[w, x].add(tuple(near))
+    n = sum(terms.values())
+    want = {(x, f"email:{v}") for (v, x), k in both.items() if len(contexts[v, x]) >= 3 and np.log(k * n / (values[v] * terms[x])) >= 0.6 * np.log(n / values[v])}
+    assert {(r.term, r.value) for r in pii.disclosing_terms(df, disclosure=0.6).collect()} == want and want
+    listed = {x for x, _ in want}
+    for r in pii.find(df, disclosure=0.6).collect():
+        texts = [t or "" for i, t in enumerate([*docs, *docs[:40], "", None]) if i % 90 == r.doc_id]
+        spans = [[(m.start() + len(m[0]) - len(m[0].lstrip(",")), m.end() - len(m[0]) + len(m[0].rstrip(","))) for m in re.finditer(r"\S+", t) if m[0].lower().strip(",") in listed] for t in texts]
+        assert [(s.start, s.end) for s in r.terms] in spans
+
+
+def test_sanitised_rows_with_null_and_repeated_ids_and_clashing_names(spark):
+    rnd = random.Random(1)
+    plain = lambda n: " ".join(f"w{rnd.randint(0, 300)}" for _ in range(n))
+    rows = [(i, f"{plain(20)} Zorblax wrote from zorb@x.org {plain(20)}") for i in range(8)] + [(100 + i, plain(60)) for i in range(80)] + [(None, "zorblax here"), (7, "my zorblax"), (7, "none"), (7, None)]
+    df = spark.createDataFrame([(*r, "a", 1, "b", [1], 5) for r in rows], "doc_id long, text string, _doc string, _row int, base string, terms array<int>, n_chars int")
+    got = pii.sanitise(df).collect()
+    assert len(got) == len(rows) and {(r._doc, r._row, r.base) for r in got} == {("a", 1, "b")} and pii.sanitise(df).columns == df.columns
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got if r.doc_id in (None, 7))[None, "[TERM] here", 11] == 1
+    assert {r.text for r in got if r.doc_id == 7 and not (r.text or "").startswith("w")} == {"my [TERM]", "none", None}
+    found = Counter((r.doc_id, r.spans) for r in pii.digests(pii.find(df)).collect() if r.doc_id in (None, 7))
+    assert found[None, "term:0:7"] == 1 and found[7, "term:3:10"] == 1 and found[7, ""] == 2
+
+
 def test_copies_disclose_nothing(spark):
     df = spark.createDataFrame([(i, "only these rare words stand near me@x.org in every copy") for i in range(30)], "doc_id long, text string")
     assert pii.disclosing_terms(df).count() == 0
@@ -218,9 +265,13 @@ def test_minhash_equals_all_pairs(docs, text_of, empty, width, percent):
 
 
 def test_minhash_null_and_repeated_ids(spark):
-    rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)]
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(False, 1, 1, True), (False, 1, 1, True), (False, 2, 1, False), (False, 3, 3, True), (True, 0, None, True)]
+    rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (1, "h i j k l m n"), (4, "h i j k l m n"), (4, "A b c d e f g")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in found)
+    assert got == [(False, 1, 1, True)] * 3 + [(False, 2, 1, False), (False, 3, 3, True), (False, 4, 1, False), (False, 4, 1, False), (True, 0, None, True)]
+    apart = [(5, "one two three four five six"), (5, "red blue green pink grey tan"), (9, "red blue green pink grey tan"), (9, "one two three four five six")]
+    found = minhash.near_duplicates(spark.createDataFrame(apart, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.main) for r in found) == [(5, 5, True), (5, 5, True), (9, 5, False), (9, 5, False)]
 
 
 def test_signatures_estimate_similarity():
@@ -308,10 +359,12 @@ def cycles(n=160):
 def test_pseudo_likelihood_scores_each_word(spark, empty):
     pl = pseudo_likelihood
     df = spark.createDataFrame(cycles(5000), "doc_id long, text string").repartition(3, "doc_id")
-    model = pl.fit(df.where("doc_id >= 20"))
-    got = {r.doc_id: r for r in pl.score(df, model).collect()}
+    seen = df.where("doc_id >= 20")
+    known = pl.vocabulary(seen)
+    flat = pl.fit(pl.encoded(seen, known), known)
+    got = {r.doc_id: r for r in pl.score(pl.encoded(df, known), known, flat).collect()}
     assert (got[900].score, got[900].mean_score, got[901].n_words) == (0.0, None, 0)
-    p, memo, text = pl.views(model.flat), pl.Numbers(model.vocabulary.common), dict(cycles(5000))
+    p, memo, text = pl.views(flat), pl.Numbers(known.common), dict(cycles(5000))
     for i in (23, 24, 902):
         ids = [memo[w] % pl.WORDS for w in pl.words_of(text[i])]
         total = sum(np.log(x[want]) for k in range(len(ids)) for x, want in forward(p, ids, k)[1])
@@ -319,7 +372,7 @@ def test_pseudo_likelihood_scores_each_word(spark, empty):
     counts = Counter(w for i, t in cycles(5000) if i is not None and i >= 20 for w in pl.words_of(t))
     unigram = lambda i: np.mean([np.log(counts[w] / sum(counts.values())) for w in pl.words_of(text[i])])
     assert np.mean([got[i].mean_score - unigram(i) for i in range(1, 20, 2)]) > 0.1  # held-out documents with an order
-    assert pl.score(empty, pl.fit(empty)).count() == 0
+    assert pl.fit_and_score(empty).count() == 0
 
 
 def test_training_equals_plain_loops(monkeypatch):
@@ -361,17 +414,16 @@ def test_every_word_is_trained_on_once_whatever_the_splits(spark, monkeypatch):
     pl = pseudo_likelihood
     monkeypatch.setattr(pl, "GROUP", (2000, 2000))
     df = spark.createDataFrame(cycles(), "doc_id long, text string")
-    one, other = pl.fit(df.repartition(2)), pl.fit(df.repartition(7, "text"))
-    assert np.allclose(one.flat, other.flat, atol=1e-5) and one.vocabulary.common == other.vocabulary.common
-    a, b = ({(r.doc_id, r.n_words): r.score for r in pl.score(x, m).collect()} for x, m in ((df, one), (df.repartition(5), other)))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-2 for k in a)
-    memo = pl.Numbers(one.vocabulary.common)
-    texts = [t for _, t in cycles()]
-    import pyarrow as pa
-
-    batch = lambda group, some: pa.RecordBatch.from_arrays([pa.array([group] * len(some)), pa.array(range(len(some))), pa.array(some, pa.string())], ["group", "key", "text"])
-    runs = list(pl._groups([batch(0, texts[:50]), batch(0, texts[50:70]), batch(1, texts[70:])], memo))
-    assert {g for g, _ in runs} == {0, 1} and sum(len(d) for _, r in runs for d in r) == sum(len(pl.words_of(t)) for t in texts)
+    flats, scores = [], []
+    for some in (df.repartition(2), df.repartition(7, "text")):
+        known = pl.vocabulary(some)
+        coded = pl.encoded(some, known)
+        flats.append(pl.fit(coded, known))
+        scores.append({(r.doc_id, r.n_words): r.score for r in pl.score(coded, known, flats[-1]).collect()})
+    assert np.allclose(*flats, atol=1e-5) and scores[0].keys() == scores[1].keys() and all(abs(x - scores[1][k]) < 1e-2 for k, x in scores[0].items())
+    rows = coded.select(F.pmod("key", F.lit(2)).alias("group"), "key", "numbers").orderBy("group", "key").toArrow().to_batches(max_chunksize=9)
+    runs = list(pl._groups(rows))
+    assert {g for g, _ in runs} == {0, 1} and sum(len(d) for _, r in runs for d in r) == sum(len(pl.words_of(t)) for _, t in cycles())
 
 
 def test_words_of_one_number_have_their_own_probability(spark, monkeypatch):
@@ -387,7 +439,7 @@ def test_words_of_one_number_have_their_own_probability(spark, monkeypatch):
     for held in (100_000, 0):  # all words broadcast, all joined
         monkeypatch.setattr(pl, "COMMON", held)
         known = pl.vocabulary(df, own=0)
-        got = pl.score(df, pl.Model(pl.start(known.totals), known)).collect()
+        got = pl.score(pl.encoded(df, known), known, pl.start(known.totals)).collect()
         assert len(got) == len(rows)
         by = defaultdict(set)
         for r in got:
@@ -395,7 +447,7 @@ def test_words_of_one_number_have_their_own_probability(spark, monkeypatch):
         assert by[101] == {0.0} and by[100] == by[None] and len(by[100]) == 1
         assert min(by[0]) - min(by[100]) == pytest.approx(want[often] - want[seldom], abs=1e-6)
         given = pl.vocabulary(df.where("doc_id < 100"), own=0)
-        unseen = {r.doc_id: r.score for r in pl.score(df, pl.Model(pl.start(given.totals), given)).collect()}
+        unseen = {r.doc_id: r.score for r in pl.score(pl.encoded(df, given), given, pl.start(given.totals)).collect()}
         assert unseen[0] - unseen[100] == pytest.approx(np.log(31), abs=1e-6)
 
 

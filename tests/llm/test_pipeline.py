@@ -40,15 +40,21 @@ def test_stages_take_effect(spark):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in got.collect()) == want
 
 
+CLASHING = ["size", "_row", "_doc", "_kept", "_id", "_key", "kept", "taken", "target", "position", "text_key", "rid", "key", "weight"]
+
+
 def test_nulls_extra_columns_and_an_empty_table(spark):
     from tracewash.llm.common import cut
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, _row string"
-    clean = " ".join(f"the word{i} of line{i * 7 % 31}" for i in range(60))
-    rows = [(1, clean, "en", None, None, "a", "b"), (1, clean, "en", None, None, "a", "b"), (None, clean + " more", None, "s", 1, None, None), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, "", "")]
-    for data, ends in ((rows, {1, None}), ([], set())):
-        docs = spark.createDataFrame(data, schema)
-        for _, stage in pipeline.STAGES[:-1]:
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    clean = " ".join(f"the word{i} of line{i}x" for i in range(60))
+    other = " ".join(f"a thing{i} in that{i}y" for i in range(60))
+    rows = [(1, clean, "en", None, None), (1, clean, "en", None, None), (1, other, "en", None, 7), (None, clean + " more", None, "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    for data, ends in ((rows, {(1, clean), (1, other), (None, clean + " more")}), ([], set())):
+        docs = spark.createDataFrame([(*r, *CLASHING) for r in data], schema)
+        for name, stage in pipeline.STAGES[:-1]:
             docs = cut(stage(spark, docs, ""))
-        assert docs.columns == [c.strip().split()[0] for c in schema.split(",")]
-        assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, "").collect()} <= ends
+            assert docs.columns == [c.strip().split()[0] for c in schema.split(",")] and all(list(r)[5:] == CLASHING for r in docs.collect())
+            if name == "near_duplicates":
+                assert {(r.doc_id, r.text) for r in docs.collect()} == ends and docs.count() == len(ends)
+        assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, "").collect()} <= {i for i, _ in ends}

@@ -16,7 +16,9 @@ join, and come out of the first bucket that they share.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 null ``doc_id`` links with nothing and keeps a null component; repeated rows
-are rows of their own with the same component.  Other columns are not read.
+are rows of their own with the same component.  Nodes are sets, not ids, so rows
+that share a ``doc_id`` and differ in text are documents of their own.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -135,15 +137,20 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def text_key():
+    """With ``doc_id``, what tells rows apart: the hash of the text."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("text_key")
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature, bands`` for every row."""
+    """``doc_id, text_key, n_shingles, set_key, signature, bands`` for every row."""
 
     def sketch(batches):
         memo = _Hashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingles(t, width, memo) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, width, memo) for t in part.column(2).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 signature, bands = [None] * len(sets), [None] * len(sets)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -153,12 +160,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         signature[i], bands[i] = s, k
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signature, longs), pa.array(bands, longs)],
-                    ["doc_id", "n_shingles", "set_key", "signature", "bands"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signature, longs), pa.array(bands, longs)],
+                    ["doc_id", "text_key", "n_shingles", "set_key", "signature", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, set_key binary, signature array<long>, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, schema)
+    schema = "doc_id long, text_key binary, n_shingles long, set_key binary, signature array<long>, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), text_key(), F.col("text").cast("string")).mapInArrow(sketch, schema)
 
 
 def sharp_signatures(nodes: DataFrame, width: int) -> DataFrame:
@@ -244,16 +251,19 @@ def _open(member: DataFrame, label: DataFrame | None) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Component of every document under links of ``percent`` similarity.
 
-    Returns ``doc_id, n_shingles, component_id, kept`` for every row;
-    ``component_id`` is the smallest ``doc_id`` that links reach.
+    Returns ``doc_id, n_shingles, component_id, kept, text_key, main`` for every
+    row; ``component_id`` is the smallest ``doc_id`` that links reach.  ``main``
+    marks the rows of each component that have its smallest ``doc_id`` and, of
+    its texts, the one of the smallest ``text_key``; rows without a component
+    are their own.
     """
     rows = cut(sketches(docs, width))
     sets = rows.where("doc_id is not null and set_key is not null")
-    first = sets.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    shared = rows.select("doc_id", "n_shingles", "set_key")
-    band = first.join(sets.select("set_key", F.col("doc_id").alias("node"), "bands"), ["set_key", "node"]).dropDuplicates(["node"])
-    band = band.select("node", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
+    shared = rows.select("doc_id", "text_key", "n_shingles", "set_key")
+    # A node is a set; one document stands for it.
+    first = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bands")))
+    first = cut(first.withColumn("node", F.monotonically_increasing_id()))
+    band = first.select("node", F.explode("bands").alias("band"))
     some = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(band.join(some, "band"))
     degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -261,10 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     none = F.lit(None).cast("struct<degree:bigint,h:bigint,node:bigint>")
     member = cut(member.join(degree, "node").select("band", "node", order.alias("order"), none.alias("last")))
 
-    ids = degree.select("node")
-    signature = sets.select(F.col("doc_id").alias("node"), "n_shingles", "signature").join(ids, "node", "left_semi").dropDuplicates(["node"])
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi").dropDuplicates(["node"])
-    nodes = cut(signature.join(text, "node"))
+    chosen = first.join(degree.select("node"), "node", "left_semi").select("node", "n_shingles", "signature", "least.*")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
+    nodes = cut(chosen.join(text, ["doc_id", "text_key"]).dropDuplicates(["node"]).drop("doc_id", "text_key"))
 
     links, label = None, None
     for _ in range(HUBS):
@@ -293,9 +302,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         label = cut(components(links.union(more)))
 
     # A component is named by its smallest document.
-    of_node = first.join(label, "node", "left").select("set_key", "node", F.coalesce("label", "node").alias("label"))
-    least = of_node.groupBy("label").agg(F.min("node").alias("component_id"))
-    of_set = cut(of_node.join(least, "label").select("set_key", "component_id"))
+    of_node = first.join(label, "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label"))
+    least = of_node.groupBy("label").agg(F.min("least").alias("first"))
+    of_set = cut(of_node.join(least, "label").select("set_key", "first"))
     out = shared.join(of_set, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    main = kept & F.coalesce(F.col("text_key") == F.col("first.text_key"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key", main.alias("main"))

@@ -10,15 +10,15 @@ reaches the share ``disclosure`` of the value's own information
 Sanitised text replaces base spans by their kind; disclosing terms are
 generalised to a placeholder or removed.
 
-Scale: each distinct text is shuffled once; counting sends partial counts by word and by (value, term, context); a
-frequent value or word is summed before the shuffle.  Disclosing terms are not
-broadcast: a bit map of fixed size finds possible occurrences and a join on the
-term confirms them.
+Scale: each distinct text is shuffled once; counting sends partial counts by
+word and by (value, term, context); a frequent value or word is summed before
+the shuffle.  Disclosing terms are not broadcast: a bit map of 16 bits a term,
+16 MB at most, finds possible occurrences and a join on the term confirms them.
 
 Defined results: a null text counts as empty and has no spans.  Copies of a
 text count once and those of a context support no pair, so copying a document
-neither discloses a term nor hides one.  Rows stay rows,
-whatever repeats; rows that share a ``doc_id`` must share the text.
+neither discloses a term nor hides one.  Rows stay rows, whatever repeats;
+``doc_id`` may be null and rows of one ``doc_id`` may differ in text.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, packed
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a value that are its context.
 WINDOW = 6
-#: Bits of the map of disclosing terms, 2 MB whatever the corpus.
-BITS = 2**24
+#: Most bits of the map of disclosing terms, and bits of a block that one row holds.
+BITS, BLOCK = 2**27, 2**15
 FLUSH = 200_000
 
 # The base patterns.  Digits are consumed whole, so no start is tried twice.
@@ -173,71 +174,95 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, support: int = 3)
     return both.join(n_value, "value").join(n_term, "term").where(mutual >= disclosure * own).select("term", "value", "both", "n_value", "n_term")
 
 
-def _slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BITS
+def _slot(term: str, bits: int) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % bits
 
 
 def _bit_map(terms: DataFrame) -> bytes:
-    """Set bits of the terms' slots; at most ``BITS`` numbers reach the driver."""
-    slots = terms.select((F.crc32(F.col("term").cast("binary")) % BITS).cast("int").alias("slot")).distinct()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for batch in slots.toLocalIterator():
-        bits[batch.slot >> 3] |= 1 << (batch.slot & 7)
-    return bits.tobytes()
+    """Set bits of the terms' slots, put together in tasks; empty without terms."""
+    many = terms.count()
+    if not many:
+        return b""
+    bits = min(BITS, max(2 * BLOCK, 2 ** (16 * many - 1).bit_length()))
+    slot = F.crc32(F.col("term").cast("binary")) % bits
+    blocks = terms.groupBy(F.floor(slot / BLOCK).alias("block")).agg(F.collect_set((slot % BLOCK).cast("int")).alias("slots"))  # BLOCK slots at most
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for slots in batch.column(1):
+                flags = np.zeros(BLOCK, np.uint8)
+                flags[np.asarray(slots.values)] = 1
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "flags"])
+
+    flat = bytearray(bits // 8)
+    for row in blocks.mapInArrow(run, "block long, flags binary").toLocalIterator():
+        at = row.block * BLOCK // 8
+        flat[at : at + BLOCK // 8] = row.flags
+    return bytes(flat)
 
 
-_ROW = "doc_id long, base array<struct<kind:int,start:int,end:int>>, maybe array<struct<term:string,start:int,end:int>>"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _scan(docs: DataFrame, bits: bytes) -> DataFrame:
-    """Base spans of every row and words that may be disclosing terms."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def _scan(rows: DataFrame, flat: bytes) -> DataFrame:
+    """``rows`` with, for the last column ``text``, its base spans and the words that may be disclosing terms."""
+    held = rows.sparkSession.sparkContext.broadcast(flat)
+    keys = rows.columns[:-1]
 
     def run(batches):
         seen: dict[str, bool] = {}
         flat = held.value
-        empty = not any(flat)
+        bits = 8 * len(flat)
 
         def listed(word: str) -> bool:
             hit = seen.get(word)
             if hit is None:
                 if len(seen) >= FLUSH:
                     seen.clear()
-                k = _slot(term_of(word))
+                k = _slot(term_of(word), bits)
                 hit = seen[word] = bool(flat[k >> 3] >> (k & 7) & 1)
             return hit
 
         for batch in batches:
             base, maybe = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(keys)).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": b} for a, k, b, _ in spans])
+                base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in spans])
                 found = []
-                if not empty and any(map(listed, set(_WORD.findall(text)))):
+                if bits and any(map(listed, set(_WORD.findall(text)))):
                     for m in _WORD.finditer(text):
                         if listed(m[0]) and not _overlaps(m.start(), m.end(), spans):
                             lead = len(m[0]) - len(m[0].lstrip(_EDGE))
                             bare = m[0].strip(_EDGE)
                             found.append({"term": term_of(m[0]), "start": m.start() + lead, "end": m.start() + lead + len(bare)})
                 maybe.append(found)
-            span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+            span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
             term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(span)), pa.array(maybe, pa.list_(term))], ["doc_id", "base", "maybe"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(base, pa.list_(span)), pa.array(maybe, pa.list_(term))], [*keys, "base", "maybe"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ROW)
+    schema = rows.drop("text").schema.add("base", T.DataType.fromDDL(_SPANS)).add("maybe", T.DataType.fromDDL("array<struct<term:string,start:int,end:int>>"))
+    return rows.mapInArrow(run, schema)
+
+
+def _confirmed(maybe: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """``key, terms``: the spans of ``maybe`` whose term is one of ``terms``, sorted."""
+    hits = maybe.where(F.size("maybe") > 0).select(key, F.explode("maybe").alias("m")).join(terms, F.col("m.term") == F.col("term"), "left_semi")
+    return hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("m.start").alias("start"), F.lit(4).alias("kind"), F.col("m.end").alias("end")))).alias("terms"))
 
 
 def find(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """Rows ``doc_id, base, terms``: arrays of ``(start, kind, end)``, sorted."""
     terms = cut(disclosing_terms(docs, disclosure, support).select("term").distinct())
-    rows = _scan(docs, _bit_map(terms)).select("doc_id", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"), "maybe")
-    if terms.isEmpty():
-        return rows.select("doc_id", "base", F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("terms"))
+    flat = _bit_map(terms)
+    none = F.array().cast(_SPANS)
+    rows = _scan(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), flat)
+    if not flat:
+        return rows.select("doc_id", "base", none.alias("terms"))
     rows = cut(rows)
-    hits = rows.where(F.size("maybe") > 0).select("doc_id", F.explode("maybe").alias("m")).join(terms, F.col("m.term") == F.col("term"), "left_semi")
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("m.start").alias("start"), F.lit(4).alias("kind"), F.col("m.end").alias("end")))).alias("terms"))
-    return rows.drop("maybe").join(hits, "doc_id", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("terms"))
+    return rows.drop("maybe").join(_confirmed(rows, "rid", terms), "rid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -259,25 +284,24 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, remove:
 
     Base spans become ``[EMAIL]`` and so on; disclosing terms become ``[TERM]``
     or, with ``remove``, go.  ``n_chars`` follows the new text where it exists.
+    Spans depend on the text alone, so those of terms come back by its hash.
     """
     terms = cut(disclosing_terms(docs, disclosure, support).select("term").distinct())
-    none = terms.isEmpty()
-    held = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
-    at = docs.columns.index("text")
-    schema = docs.schema
+    flat = _bit_map(terms)
+    rows = packed(docs, F.col("text").cast("string").alias("text"))
+    if flat:
+        key = F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
+        maybe = _scan(docs.select(key, F.col("text").cast("string").alias("text")), flat).where(F.size("maybe") > 0)
+        spans = _confirmed(maybe.groupBy("text_key").agg(F.first("maybe").alias("maybe")), "text_key", terms)
+        rows = rows.select(key, "*").join(spans, "text_key", "left").drop("text_key")
 
-    # Words on the bit map's slots are looked up by a join; their true spans come back by document.
-    spans = None
-    if not none:
-        spans = find_terms(docs, terms, held.value)
-        docs = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    listed = bool(flat)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            extra = [None] * len(texts) if none else batch.column(batch.num_columns - 1).to_pylist()
             new = []
-            for text, found in zip(texts, extra):
+            extra = batch.column(2).to_pylist() if listed else [None] * batch.num_rows
+            for text, found in zip(batch.column(0).to_pylist(), extra):
                 if text is None:
                     new.append(None)
                     continue
@@ -291,15 +315,9 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, remove:
                         out += [text[end:a], name]
                     end = b
                 new.append("".join([*out, text[end:]]))
-            columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(schema))]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
-
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(1)], ["text", "_row"])
 
-def find_terms(docs: DataFrame, terms: DataFrame, bits: bytes) -> DataFrame:
-    """Spans of ``terms`` by document: ``_doc, _terms``."""
-    maybe = _scan(docs, bits).where(F.size("maybe") > 0).select("doc_id", F.explode("maybe").alias("m"))
-    hits = maybe.join(terms, F.col("m.term") == F.col("term"), "left_semi")
-    return hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct(F.col("m.start").alias("start"), F.col("m.end").alias("end"))).alias("_terms"))
+    out = rows.mapInArrow(run, rows.select("text", "_row").schema)
+    length = F.length("text")
+    new = {"text": F.col("text"), "n_chars": length}
+    return out.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("_row")[f.name]).alias(f.name) for f in docs.schema))

@@ -46,7 +46,7 @@ WORDS = BASE**3
 SHARED = 4096
 OWN = WORDS - SHARED
 SIDE, WIDTH, ROUNDS = 2, 8, 2
-BATCH, RATE, MEMO = 8192, 0.15, 300_000
+BATCH, RATE, MEMO = 16_384, 0.2, 300_000
 GROUP = (1_000_000, 32_000_000)  # words of a group, at least and at most
 BLOCK = 2**15
 COMMON, LONGEST = 200_000, 64
@@ -82,12 +82,6 @@ class Vocabulary:
     totals: np.ndarray
 
 
-@dataclass
-class Model:
-    flat: np.ndarray
-    vocabulary: Vocabulary
-
-
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
@@ -162,16 +156,20 @@ def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first, len(rows))
 
 
+def _by_runs(rows: np.ndarray, product, out: np.ndarray) -> np.ndarray:
+    """Adds ``product(row, i, j)`` to ``out[i:j]`` for each run of one row in sorted ``rows``."""
+    first, ends = _runs(rows)
+    for row, i, j in zip(rows[first].tolist(), ends.tolist(), ends[1:].tolist()):
+        out[i:j] += product(row, i, j)
+    return out
+
+
 def _logits(p: dict, h: np.ndarray, number: np.ndarray):
     """Rows, wanted digits and logits of the three softmaxes; numbers come sorted by their first digits."""
     a, ab = number >> 10, number >> 5
     yield None, a, h @ p["first"] + p["first_bias"]
-    x = p["second_bias"].take(a, axis=0)
-    first, ends = _runs(a)
-    for row, i, j in zip(a[first].tolist(), ends.tolist(), ends[1:].tolist()):
-        x[i:j] += h[i:j] @ p["second"][row]
-    yield a, ab & 31, x
-    yield ab, number & 31, np.matmul(h[:, None, :], p["third"].take(ab, axis=0))[:, 0] + p["third_bias"].take(ab, axis=0)
+    for name, row, want in (("second", a, ab & 31), ("third", ab, number & 31)):
+        yield row, want, _by_runs(row, lambda r, i, j: h[i:j] @ p[name][r], p[name + "_bias"].take(row, axis=0))  # noqa: B023
 
 
 def log_probabilities(p: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -217,10 +215,9 @@ def train(p: dict, squares: dict, line: np.ndarray, at: np.ndarray) -> None:
             x[np.arange(len(some)), want] -= 1
             errors.append((row, x))
         (_, g), (a, ga), (ab, gab) = errors
-        back = g @ p["first"].T + np.matmul(p["third"].take(ab, axis=0), gab[:, :, None])[:, :, 0]
-        first, ends = _runs(a)
-        for row, i, j in zip(a[first].tolist(), ends.tolist(), ends[1:].tolist()):
-            back[i:j] += ga[i:j] @ p["second"][row].T
+        back = g @ p["first"].T
+        for name, row, error in (("second", a, ga), ("third", ab, gab)):
+            _by_runs(row, lambda r, i, j: error[i:j] @ p[name][r].T, back)  # noqa: B023
         back *= 1 - h * h
         _step(p["first"], squares["first"], h.T @ g)
         _step(p["first_bias"], squares["first_bias"], g.sum(0))
@@ -288,21 +285,57 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> Vocabulary:
     return Vocabulary(words, least, common, np.array(parts, np.int64), totals)
 
 
+def _unpacked(numbers: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(numbers.as_buffer(), np.uint16).astype(np.int64)
+
+
+def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """Documents as numbers of two bytes each, written once for training and scoring.
+
+    ``parts`` is the sum over common words, ``rare`` has the other words.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((known.common, known.parts))  # COMMON short words
+
+    def coded(part: pa.RecordBatch, memo: Numbers, parts: np.ndarray) -> pa.RecordBatch:
+        lengths, numbers, shares, rare = [], [], [], []
+        for text in part.column(3).to_pylist():
+            words = words_of(text)
+            place, number = np.divmod(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), WORDS)
+            lengths.append(len(words))
+            numbers.append(number.astype(np.uint16).tobytes())
+            shares.append(int(parts[place].sum()))
+            rare.append([{"word": w, "number": n, "k": k} for (w, n), k in Counter((words[i], int(number[i])) for i in np.flatnonzero(place == 0)).items()])
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())]))
+        new = [pa.array(lengths, pa.int64()), pa.array(numbers, pa.binary()), pa.array(shares, pa.int64()), pa.array(rare, kind)]
+        return pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *new], ["rid", "key", "doc_id", "n_words", "numbers", "parts", "rare"])
+
+    def run(batches):
+        common, parts = held.value
+        memo = Numbers(common)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                yield coded(batch.slice(lo, 256), memo, parts)
+
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    schema = "rid long, key long, doc_id long, n_words long, numbers binary, parts long, rare array<struct<word:binary,number:int,k:long>>"
+    return cut(rows.mapInArrow(run, schema))
+
+
 # -- Training -----------------------------------------------------------------
 
 
-def _groups(batches, memo: Numbers):
+def _groups(batches):
     """Runs of one group, sorted by it, as lists of documents of bounded size."""
     held, size, now = [], 0, None
     for batch in batches:
-        for group, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-            words = words_of(text.as_py())
-            if held and (group != now or size >= 8 * BATCH):
+        for group, numbers in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if held and (group != now or size >= 4 * BATCH):
                 yield now, held
                 held, size = [], 0
             now = group
-            held.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) % WORDS)
-            size += len(words)
+            held.append(_unpacked(numbers))
+            size += len(held[-1])
     if held:
         yield now, held
 
@@ -336,13 +369,13 @@ def _added(batches):
         yield row()
 
 
-def _train_round(dealt: DataFrame, groups: int, flat: np.ndarray, common: dict[bytes, int]) -> np.ndarray:
-    held = dealt.sparkSession.sparkContext.broadcast((flat, common))  # SIZE floats, COMMON short words
+def _train_round(dealt: DataFrame, groups: int, flat: np.ndarray) -> np.ndarray:
+    held = dealt.sparkSession.sparkContext.broadcast(flat)  # SIZE floats
 
     def run(batches):
-        flat, common = held.value
-        memo, group, seen, own, p, squares = Numbers(common), None, 0, None, None, None
-        for now, found in _groups(batches, memo):
+        flat = held.value
+        group, seen, own, p, squares = None, 0, None, None, None
+        for now, found in _groups(batches):
             if now != group:
                 if seen:
                     yield _blocks(group, seen, own)
@@ -355,7 +388,7 @@ def _train_round(dealt: DataFrame, groups: int, flat: np.ndarray, common: dict[b
             yield _blocks(group, seen, own)
 
     schema = "block int, part long, weight double, total array<float>"
-    sent = dealt.repartition(groups, "group").sortWithinPartitions("group", "key").select("group", "key", "text")
+    sent = dealt.repartition(groups, "group").sortWithinPartitions("group", "key").select("group", "key", "numbers")
     rows = cut(sent.mapInArrow(run, schema))
     for spread in (32, 1):  # sums of sums, so that no task adds up what all groups sent
         rows = rows.withColumn("order", F.col("part")).withColumn("part", F.pmod("part", F.lit(spread)))
@@ -367,62 +400,49 @@ def _train_round(dealt: DataFrame, groups: int, flat: np.ndarray, common: dict[b
     return new
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """A model trained on each word of all documents."""
-    known = vocabulary(docs)
+def fit(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters trained on each word of the ``encoded`` documents, as one flat array of fixed size."""
     flat = start(known.totals)
     total = int(known.totals.sum())
-    groups = -(-total // rounds // min(max(total // 64, GROUP[0]), GROUP[1])) or 1
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id").cast("long"), text)
-    dealt = docs.select(F.pmod(key, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(key, 8), F.lit(groups)).alias("group"), key.alias("key"), text.alias("text"))
+    groups = -(-total // rounds // int(min(max((total * GROUP[0]) ** 0.5 / 8, GROUP[0]), GROUP[1]))) or 1
+    dealt = coded.select(F.pmod("key", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("key", 8), F.lit(groups)).alias("group"), "key", "numbers")
     for turn in range(rounds):
-        flat = _train_round(dealt.where(F.col("round") == turn).drop("round"), groups, flat, known.common)
-    return Model(flat, known)
+        flat = _train_round(dealt.where(F.col("round") == turn).drop("round"), groups, flat)
+    return flat
 
 
 # -- Scoring ------------------------------------------------------------------
 
-_SCORED = "rid long, doc_id long, n_words long, logs double, parts long, rare array<struct<word:binary,number:int,k:long>>"
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_words, score, mean_score`` for every row."""
-    known = model.vocabulary
-    held = docs.sparkSession.sparkContext.broadcast((model.flat, known.common, known.parts))
 
-    def scored(part: pa.RecordBatch, p: dict, memo: Numbers, parts: np.ndarray) -> pa.RecordBatch:
-        found, shares, rare = [], [], []
-        for text in part.column(2).to_pylist():
-            words = words_of(text)
-            place, number = np.divmod(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), WORDS)
-            found.append(number)
-            shares.append(int(parts[place].sum()))
-            rare.append([{"word": w, "number": n, "k": k} for (w, n), k in Counter((words[i], int(number[i])) for i in np.flatnonzero(place == 0)).items()])
-        line, at = laid_out(found)
-        lengths = [len(f) for f in found]
-        sums = np.add.reduceat(np.append(log_probabilities(p, line, at), 0.0), np.concatenate([[0], np.cumsum(lengths)[:-1]])) * (np.array(lengths) > 0)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(shares, pa.int64()), pa.array(rare, kind)],
-            ["rid", "doc_id", "n_words", "logs", "parts", "rare"],
-        )
+def score(coded: DataFrame, known: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """``doc_id, n_words, score, mean_score`` for every row of ``encoded`` documents."""
+    held = coded.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches):
-        flat, common, parts = held.value
-        p, memo = views(flat), Numbers(common)
+        p = views(held.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                yield scored(batch.slice(lo, 128), p, memo, parts)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInArrow(run, _SCORED))
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [_unpacked(x) for x in part.column(4)]
+                line, at = laid_out(found)
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+                sums = np.add.reduceat(np.append(log_probabilities(p, line, at), 0.0), ends[:-1]) * (np.diff(ends) > 0)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(sums, pa.float64())], ["rid", "doc_id", "n_words", "parts", "logs"])
+
+    rows = coded.select("rid", "doc_id", "n_words", "parts", "numbers").mapInArrow(run, "rid long, doc_id long, n_words long, parts long, logs double")
+    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
     counts = known.words.where((F.col("n") < known.least) | (F.octet_length("word") > LONGEST)).select("word", "n")
-    total = docs.sparkSession.createDataFrame([(k, int(known.totals[k])) for k in range(OWN, WORDS)], "number int, total long")
+    total = coded.sparkSession.createDataFrame([(k, int(known.totals[k])) for k in range(OWN, WORDS)], "number int, total long")
     rare = rare.join(counts, "word", "left").join(F.broadcast(total), "number")
     part = F.when(F.col("n").isNull(), -F.log(F.col("total") + 1)).otherwise(F.log(F.col("n") / F.col("total")))
     more = rare.groupBy("rid").agg(F.sum(F.col("k") * F.round(part * _FINE).cast("long")).alias("more"))
     whole = F.col("logs") + (F.col("parts") + F.coalesce("more", F.lit(0))) / _FINE
-    out = rows.drop("rare").join(more, "rid", "left").select("doc_id", "n_words", whole.alias("score"))
+    out = rows.join(more, "rid", "left").select("doc_id", "n_words", whole.alias("score"))
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
+
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """Documents scored by a network trained on all of them."""
+    known = vocabulary(docs)
+    coded = encoded(docs, known)
+    return score(coded, known, fit(coded, known))
