@@ -106,3 +106,36 @@ def test_components_of_a_path_and_a_star(spark):
     label = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert len({label[i] for i in range(61)}) == 1 and len({label[100 + i] for i in range(40)}) == 1 and label[0] != label[100]
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_tables_need_a_shared_folder_and_can_be_dropped(spark, monkeypatch):
+    import os
+
+    from tracewash.operators import graph
+
+    table = graph.cut(spark.range(3))
+    folder_of = graph.shared_folder(spark).removeprefix("file:")
+    assert table.count() == 3 and os.listdir(folder_of)
+    graph.drop_tables(spark)
+    assert not os.path.exists(folder_of)
+
+    class Far:
+        class sparkContext:
+            master = "spark://x:1"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(RuntimeError):
+        graph.shared_folder(Far)
+
+
+def test_faults_inside_optional_modules_are_not_hidden(monkeypatch, tmp_path):
+    import __spark_entry__
+
+    (tmp_path / "faulty.py").write_text("import xxhash_is_missing")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert __spark_entry__._optional("not_there_at_all") is None
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__._optional("faulty")

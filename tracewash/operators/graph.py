@@ -5,28 +5,44 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from its files.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for this session's tables, below the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where a
-    session names none (local tests) a temporary one is set.  A table read back
-    has no lineage and, unlike a checkpoint, carries no constraints of earlier
-    plans, which would slow the planning of loops.
+    Where a session names none, a local one gets a temporary folder; on a
+    cluster, where executors do not share it, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/tables"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from its files.
+
+    A table read back has no lineage and, unlike a checkpoint, carries no
+    constraints of earlier plans, which would slow the planning of loops.
+    Results are read lazily, so tables stay until ``drop_tables``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what ``cut`` wrote in this session; for when its results have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of undirected ``edges(u, v)`` by connected component.
 
