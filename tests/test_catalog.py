@@ -99,6 +99,29 @@ def test_clusters_equal_all_pairs(spark):
     assert got == {p[0]: root(p[0]) for p in pts}
 
 
+def test_two_clouds_at_just_the_radius(spark):
+    import numpy as np
+
+    from tracewash.operators.correlation import gps_clusters
+
+    rng = np.random.default_rng(3)
+    unit = lambda p: np.stack([np.cos(p[:, 0]) * np.cos(p[:, 1]), np.cos(p[:, 0]) * np.sin(p[:, 1]), np.sin(p[:, 0])], 1)
+    rows, want = [], {}
+    for k in range(40):  # pairs of clouds far from each other, each cloud well within the radius
+        turn, at = rng.uniform(0, 6.28), np.array([k * 0.5 - 10, 20.0])
+        here = at + rng.standard_normal((30, 2)) * 0.0012
+        there = at + rng.standard_normal((30, 2)) * 0.0012 + np.array([np.sin(turn), np.cos(turn)]) * rng.uniform(0.0195, 0.0235)
+        h = np.linalg.norm(unit(np.radians(here))[:, None] - unit(np.radians(there))[None], axis=2)
+        joined = (2 * 6371 * np.arcsin(h / 2) <= 2).any()
+        for name, cloud in (("a", here), ("b", there)):
+            for n, (lat, lon) in enumerate(cloud):
+                rows.append((f"{k:02d}{name}{n:02d}", float(lat), float(lon)))
+                want[rows[-1][0]] = f"{k:02d}a00" if joined or name == "a" else f"{k:02d}b00"
+    assert len(set(want.values())) not in (40, 80)
+    got = {r.file_id: r.cluster for r in gps_clusters(spark.createDataFrame(rows, "file_id string, lat double, lon double")).collect()}
+    assert got == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     from tracewash.operators.graph import components
 

@@ -184,7 +184,8 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- Findings across files ----------------------------------------------------
 
-_SHARED = lambda rows, kind, severity: f"SELECT '{kind}' AS finding_type, {severity} AS severity, key, count(*) AS n_files, string_agg(file_id, ',' ORDER BY file_id) AS files FROM (SELECT DISTINCT key, file_id FROM {rows}) x GROUP BY key HAVING count(*) > 1"
+_SHARED = lambda rows, kind, severity: f"SELECT '{kind}' AS finding_type, {severity} AS severity, key, count(DISTINCT file_id) AS n_files FROM {rows} GROUP BY key HAVING count(DISTINCT file_id) > 1"
+_FILES = lambda rows, kind: f"SELECT DISTINCT '{kind}' AS finding_type, key, file_id FROM {rows} WHERE key IN (SELECT key FROM {rows} GROUP BY key HAVING count(DISTINCT file_id) > 1)"
 _DEVICE = f"""mm AS (SELECT file_id, arg_min(value, ord) FILTER (field = 'Make') AS make, arg_min(value, ord) FILTER (field = 'Model') AS model FROM v_items WHERE field IN ('Make', 'Model') GROUP BY file_id),
     devices AS (SELECT file_id, 'makemodel:' || lower(trim(coalesce(make, ''))) || '|' || lower(trim(coalesce(model, ''))) AS key FROM mm WHERE coalesce(make, '') <> '' OR coalesce(model, '') <> ''
     UNION ALL SELECT file_id, 'serial:' || lower(trim(value)) FROM v_items WHERE {_PARTS("lower(field)", DEVICE_PARTS)} AND trim(value) <> '')"""
@@ -201,7 +202,7 @@ def _clusters(points: str) -> str:
     return f"""near AS (SELECT a.file_id AS u, b.file_id AS v FROM {points} a, {points} b WHERE {_km("a", "b")} <= 2),
     reach(u, v) AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON r.v = n.u),
     cluster AS (SELECT u AS file_id, min(v) AS cluster FROM reach GROUP BY u),
-    gps AS (SELECT 'gps-cluster' AS finding_type, 'high' AS severity, cluster AS key, count(*) AS n_files, string_agg(file_id, ',' ORDER BY file_id) AS files FROM cluster GROUP BY cluster HAVING count(*) > 1)"""
+    gps AS (SELECT cluster AS key, file_id FROM cluster)"""
 
 
 @query(f"WITH RECURSIVE {_clusters('v_gps')} SELECT * FROM cluster")
@@ -211,20 +212,30 @@ def gps_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DEVICE} {_DEVICE_ROWS}")
 def device_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.device_matches(view(spark, sf_dir, "v_items"))
+    return correlation.findings(correlation.device_members(view(spark, sf_dir, "v_items")))
 
 
 @query(f"WITH {_AUTHOR} {_AUTHOR_ROWS}")
 def author_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.author_matches(view(spark, sf_dir, "v_items"))
+    return correlation.findings(correlation.author_members(view(spark, sf_dir, "v_items")))
 
 
-@query(f"WITH RECURSIVE {_POINTS}, placed AS (SELECT * FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL), {_clusters('placed')}, {_DEVICE}, {_AUTHOR} SELECT * FROM gps UNION ALL {_DEVICE_ROWS} UNION ALL {_AUTHOR_ROWS}")
+_BATCH = f"WITH RECURSIVE {_POINTS}, placed AS (SELECT * FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL), {_clusters('placed')}, {_DEVICE}, {_AUTHOR}"
+_GPS_ROWS = _SHARED("gps", "gps-cluster", "'high'")
+
+
+@query(f"{_BATCH} {_GPS_ROWS} UNION ALL {_DEVICE_ROWS} UNION ALL {_AUTHOR_ROWS}")
 def batch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_items")
     return correlation.batch_findings(rows, items.gps_points(rows))
 
 
+@query(f"{_BATCH} {_FILES('gps', 'gps-cluster')} UNION ALL {_FILES('devices', 'device-match')} UNION ALL {_FILES('authors', 'author-match')}")
+def batch_finding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_items")
+    return correlation.finding_files(correlation.batch_members(rows, items.gps_points(rows)))
+
+
 # -- Screenshots --------------------------------------------------------------
 
 _SCREENS = "(VALUES " + ", ".join(f"({w}, {h})" for w, h in dict.fromkeys([*IPHONE, *IPAD, *DESKTOP, *OTHER_SCREENS])) + ") s(w, h)"

@@ -30,13 +30,13 @@ VIEWS = {
         SELECT d.doc_id, concat(d.text, ' see ', u.url, ' and ', u.url, '.') AS text
         FROM documents d JOIN v_urls u ON u.page_id = d.doc_id % 97""",
     "v_items": """
-        SELECT concat('f', CAST(l_orderkey % 500 AS VARCHAR(20))) AS file_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000 AS ord, field,
+        SELECT concat('f', CAST(l_orderkey AS VARCHAR(20))) AS file_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000 AS ord, field,
             CASE field
                 WHEN 'Make' THEN CASE l_suppkey % 4 WHEN 0 THEN 'Canon' WHEN 1 THEN ' canon ' WHEN 2 THEN 'NIKON' ELSE 'Apple' END
                 WHEN 'Model' THEN concat('M', CAST(l_suppkey % 7 AS VARCHAR(20)))
                 WHEN 'Software' THEN CASE l_suppkey % 3 WHEN 0 THEN 'ShareX 13' WHEN 1 THEN 'Snipping Tool' ELSE 'Editor' END
-                WHEN 'GPSLatitude' THEN concat(CAST(l_partkey % 80 AS VARCHAR(20)), '.', CAST(l_suppkey % 90 + 10 AS VARCHAR(20)))
-                WHEN 'GPSLongitude' THEN concat('-', CAST(l_partkey % 170 AS VARCHAR(20)), '.', CAST(l_suppkey % 90 + 10 AS VARCHAR(20)))
+                WHEN 'GPSLatitude' THEN concat(CAST(l_partkey % 8 AS VARCHAR(20)), '.', CAST(l_suppkey % 9 + 10 AS VARCHAR(20)))
+                WHEN 'GPSLongitude' THEN concat('-', CAST(l_partkey % 17 AS VARCHAR(20)), '.', CAST(l_suppkey % 9 + 10 AS VARCHAR(20)))
                 WHEN 'BodySerialNumber' THEN CASE WHEN l_suppkey % 9 = 0 THEN ' ' ELSE concat('SN', CAST(l_partkey % 900 AS VARCHAR(20))) END
                 WHEN 'ImageWidth' THEN CASE l_suppkey % 3 WHEN 0 THEN '1170' WHEN 1 THEN '1920' ELSE '801' END
                 WHEN 'ImageHeight' THEN CASE l_suppkey % 3 WHEN 0 THEN '2532' WHEN 1 THEN '1080' ELSE '601' END
@@ -70,7 +70,7 @@ VIEWS = {
             CASE p_partkey % 5 WHEN 0 THEN 'Flameshot' WHEN 1 THEN NULL ELSE 'Camera' END AS software,
             CASE p_partkey % 3 WHEN 0 THEN 'SAMSUNG' WHEN 1 THEN NULL ELSE 'Canon' END AS make,
             CASE p_partkey % 7 WHEN 0 THEN 'Pixel 8' ELSE 'X1' END AS model,
-            p_partkey * p_partkey * 37 AS size, p_partkey AS ord, substring(p_name, 1, 4) AS content
+            p_partkey * p_partkey * 37 AS size, p_partkey AS ord, p_name AS content
         FROM part""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
