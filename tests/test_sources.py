@@ -1,149 +1,111 @@
-"""Extraction, cleaning and verification on files built here."""
+"""Extraction, cleaning and verification on files built here, damaged ones included."""
 
+import base64
 import struct
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracewash.plans.fixtures import EXPECTED, FORMS, NAMES, REFUSED, chunk
 from tracewash.sources import files, metadata
 
-SECRET = b"Jane Q. Secret"
+SECRET = b"Jane Secret 00000007"
+BUILT = {NAMES.get(k, f"a.{k}").replace("a.", f"{k}."): f(SECRET) for k, f in FORMS.items()}
 
 
-def chunk(kind, body):
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+def frame(spark, rows):
+    """``file_id, name, file_type, content`` of (name, content) pairs."""
+    rows = [(str(i), name, bytearray(content)) for i, (name, content) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "file_id string, name string, content binary")
+    return df.select("file_id", "name", files.file_type(F.col("name")).alias("file_type"), "content")
 
 
-def png():
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 3, 8, 2, 0, 0, 0)) + chunk(b"tEXt", b"Author\0" + SECRET) + chunk(b"tEXt", b"Software\0Tool") + chunk(b"IDAT", b"pixels") + chunk(b"IEND", b"")
+def cleaned(spark, rows):
+    return {r.file_id: r for r in metadata.cleaned(metadata.with_parts(frame(spark, rows))).select("file_id", "name", "error_code", "cleaned").collect()}
 
 
-def wav():
-    info = b"INFO" + b"IART" + struct.pack("<I", 14) + SECRET + b"ISFT" + struct.pack("<I", 4) + b"Tool"
-    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 176400, 4, 16) + b"LIST" + struct.pack("<I", len(info)) + info + b"data" + struct.pack("<I", 4) + b"abcd"
-    return b"RIFF" + struct.pack("<I", len(body)) + body
-
-
-def gif():
-    return b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + b"!\xfe" + bytes([len(SECRET)]) + SECRET + b"\0" + b"!\xff\x0bNETSCAPE2.0\x03\x01\0\0\0" + b"," + bytes(9) + b"\x02\x01X\0" + b";"
-
-
-def tiff_body(order="<"):
-    mark = b"II*\0" if order == "<" else b"MM\0*"
-    make, artist = b"Canon\0\0\0", SECRET + b"\0\0"
-    at = 8 + 2 + 12 * 3 + 4
-    gps_at = at + len(make) + len(artist)
-    rows = struct.pack(order + "HHII", 0x010F, 2, 6, at) + struct.pack(order + "HHII", 0x013B, 2, 15, at + 8) + struct.pack(order + "HHII", 0x8825, 4, 1, gps_at)
-    gps_data = gps_at + 2 + 12 * 2 + 4
-    gps = struct.pack(order + "H", 2) + struct.pack(order + "HHI4s", 1, 2, 2, b"N\0\0\0") + struct.pack(order + "HHII", 2, 5, 3, gps_data) + bytes(4) + struct.pack(order + "6I", 41, 1, 30, 1, 36, 1)
-    return mark + struct.pack(order + "I", 8) + struct.pack(order + "H", 3) + rows + bytes(4) + make + artist + gps
-
-
-def jpeg():
-    exif = b"Exif\0\0" + tiff_body(">")
-    return b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xfe" + struct.pack(">H", len(SECRET) + 2) + SECRET + b"\xff\xda\0\x02scan\xff\xd9"
-
-
-def mp3():
-    frame = b"TPE1" + struct.pack(">I", len(SECRET) + 1) + b"\0\0" + b"\0" + SECRET
-    return b"ID3\x03\0\0" + bytes([0, 0, 0, len(frame)]) + frame + b"\xff\xfbaudio" + b"TAG" + b"Title".ljust(30, b"\0") + SECRET.ljust(30, b"\0") + bytes(65)
-
-
-def flac():
-    body = struct.pack("<I", 4) + b"libF" + struct.pack("<I", 1) + struct.pack("<I", 7 + len(SECRET)) + b"ARTIST=" + SECRET
-    return b"fLaC" + b"\0\0\0\x22" + bytes(34) + b"\x84" + len(body).to_bytes(3, "big") + body + b"frames"
-
-
-def mp4():
-    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
-    mvhd = box(b"mvhd", bytes(4) + struct.pack(">IIII", 3_700_000_000, 3_700_000_000, 1000, 5000) + bytes(80))
-    udta = box(b"udta", box("©too".encode("latin-1"), struct.pack(">HH", len(SECRET), 0) + SECRET))
-    return box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", mvhd + udta) + box(b"mdat", b"frames")
-
-
-BUILT = {"a.png": png(), "a.wav": wav(), "a.gif": gif(), "a.tiff": tiff_body(), "a.jpg": jpeg(), "a.mp3": mp3(), "a.flac": flac(), "a.mp4": mp4()}
-EXPECT = {
-    "a.png": [("Author", "high"), ("Software", "medium")],
-    "a.wav": [("IART", "medium"), ("ISFT", "high")],
-    "a.gif": [("comment", "high"), ("NETSCAPE2.0", "low")],
-    "a.tiff": [("Make", "high"), ("Artist", "high"), ("GPSLatitude", "critical")],
-    "a.jpg": [("Make", "medium"), ("Artist", "high"), ("GPSLatitude", "high"), ("comment", "medium")],
-    "a.mp3": [("TPE1", "medium"), ("Artist", "medium")],
-    "a.flac": [("ARTIST", "medium"), ("VENDOR", "high")],
-    "a.mp4": [("mvhd", "high"), ("©too", "high")],
-}
-
-
-@pytest.fixture(scope="module")
-def scanned(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("files")
+def test_scan_items_clean_and_clean_again(spark, tmp_path):
     for name, content in BUILT.items():
-        (folder / name).write_bytes(content)
-    (folder / "fake.pdf").write_bytes(b"<html>300</html>")
-    (folder / "what.xyz").write_bytes(b"?")
-    for n in range(0, len(jpeg()), 7):
-        (folder / f"cut{n}.jpg").write_bytes(jpeg()[:n])
-    return files.scan(spark, str(folder))
-
-
-def test_items_risks_and_planted_bytes(scanned):
-    walked = metadata.with_parts(scanned.where(F.col("name").startswith("a.")))
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "fake.pdf").write_bytes(b"<html>300</html>")
+    (tmp_path / "what.xyz").write_bytes(b"?")
+    (tmp_path / "old.msg").write_bytes(b"\xd0\xcf\x11\xe0 outlook")
+    walked = metadata.with_parts(files.scan(spark, str(tmp_path)))
     found = {}
     for r in walked.select("file_id", "name").join(metadata.items(walked), "file_id").collect():
-        found.setdefault(r.name, []).append((r.field, r.risk))
-    for name, items in EXPECT.items():
-        assert set(items) <= set(found[name]), (name, found[name])
-    clean = metadata.cleaned(walked).select("file_id", "name", "file_type", "content", "cleaned", "error_code")
-    rows = {r.name: r for r in clean.collect()}
+        found.setdefault(r.name.split(".")[0], []).append((r.field, r.value, r.risk))
+    for kind, want in EXPECTED.items():
+        assert sorted(map(str, found[kind])) == sorted(str((f, v and v.replace("*", SECRET.decode()), r)) for f, v, r in want)
+    rows = {r.name: r for r in metadata.cleaned(walked).collect()}
     for name in BUILT:
-        assert rows[name].error_code is None
-        assert SECRET in bytes(rows[name].content) and SECRET not in bytes(rows[name].cleaned), name
-    assert bytes(rows["a.wav"].cleaned)[4:8] == struct.pack("<I", len(rows["a.wav"].cleaned) - 8)
-    assert b"frames" in bytes(rows["a.mp4"].cleaned) and len(rows["a.mp4"].cleaned) == len(BUILT["a.mp4"])
-    assert b"NETSCAPE" in bytes(rows["a.gif"].cleaned)
-    bad = [r.asDict() for r in metadata.verified(clean).where("not verified").collect()]
-    assert not bad
-    again = metadata.cleaned(metadata.with_parts(clean.drop("content", "error_code").withColumnRenamed("cleaned", "content")))
-    assert all(bytes(r.cleaned) == bytes(rows[r.name].cleaned) for r in again.collect())
-
-
-def test_gps_is_decimal(scanned):
-    walked = metadata.with_parts(scanned.where("name = 'a.jpg'"))
-    assert metadata.items(walked).where("field = 'GPSLatitude'").first().value == "41.510000"
-
-
-def test_damaged_and_wrong_files_do_not_fail(scanned):
-    walked = metadata.with_parts(scanned)
-    rows = {r.name: r for r in walked.select("name", "file_type", "error_code", F.size("parts").alias("n")).collect()}
-    assert rows["fake.pdf"].error_code == "NOT_PDF" and rows["what.xyz"].file_type == "unknown"
-    assert "cut0.jpg" not in rows  # Spark's scans pass over empty files
-    assert rows["cut7.jpg"].error_code is None
-    assert metadata.cleaned(walked).count() == len(rows)
-
-
-def test_mail_svg_and_pdf(spark):
-    mail = b"From: a@b\r\nReceived: from x\r\n by [10.1.2.3]\r\nX-Originating-IP: 9.9.9.9\r\nSubject: hi\r\n\r\nReceived: body\r\n"
-    svg = b'<svg xmlns:inkscape="i" inkscape:v="1"><!-- made by Jane -->\n<metadata><rdf:RDF/></metadata><script>x</script><title>t</title></svg>'
-    pdf = b"%PDF-1.4\n1 0 obj<</Author (Jane) /Title (a\\)b)>>endobj\ntrailer"
-    df = spark.createDataFrame([("m", "eml", bytearray(mail)), ("s", "svg", bytearray(svg)), ("p", "pdf", bytearray(pdf))], "file_id string, file_type string, content binary")
-    heads = {(r.field, r.value, r.risk) for r in metadata.mail_headers(df).collect()}
-    assert ("Received", "10.1.2.3", "high") in heads and ("X-Originating-IP", "9.9.9.9", "critical") in heads and ("Subject", "hi", "low") in heads
-    assert bytes(metadata.clean_mail(df).first().cleaned) == b"From: a@b\r\nSubject: hi\r\n\r\nReceived: body\r\n"
-    assert {(r.field, r.risk) for r in metadata.svg_items(df).collect()} == {("rdf", "high"), ("editor", "medium"), ("comment", "medium"), ("script", "high"), ("title", "low")}
-    out = bytes(metadata.clean_svg(df).first().cleaned)
-    assert b"Jane" not in out and b"inkscape" not in out and b"<title>t</title>" in out and b"script" not in out
-    assert {(r.field, r.value, r.risk) for r in metadata.pdf_items(df).collect()} == {("Author", "Jane", "high"), ("Title", "a\\)b", "medium")}
-    clean = bytes(metadata.clean_pdf(df).first().cleaned)
-    assert b"Jane" not in clean and len(clean) == len(pdf) and clean.endswith(b"trailer")
-
-
-def test_parts_after_many_others_are_found(spark):
-    pixels = chunk(b"IDAT", b"") * 10_050
-    late = png()[:-12].replace(chunk(b"tEXt", b"Author\0" + SECRET), b"") + pixels + chunk(b"tEXt", b"Author\0" + SECRET) + chunk(b"IEND", b"")
-    boxes = mp4() + struct.pack(">I4s", 8, b"free") * 10_050
-    df = spark.createDataFrame([("late.png", "png", bytearray(late)), ("a.mp4", "video", bytearray(boxes))], "name string, file_type string, content binary")
-    got = {r["name"]: r for r in metadata.with_parts(df).collect()}
-    assert any(p["text"] == SECRET.decode() for p in got["late.png"].parts)
-    assert any(p["key"] == "mvhd" for p in got["a.mp4"].parts) and len(got["a.mp4"].parts) > 10_050
-    assert all(r.error_code is None for r in got.values())
+        kind = name.split(".")[0]
+        assert rows[name].error_code == REFUSED.get(kind)
+        assert kind in REFUSED or bytes(rows[name].cleaned) == FORMS[kind](None), name
+    assert rows["fake.pdf"].error_code == "NOT_PDF" and rows["old.msg"].error_code.startswith("DAMAGED") and rows["what.xyz"].cleaned is None
+    assert {r.name for r in files.rejects(spark, str(tmp_path), 20_000).collect() if r.error_code == "UNKNOWN_TYPE"} == {"what.xyz"}
+    again = cleaned(spark, [(n, r.cleaned) for n, r in rows.items() if r.cleaned is not None])
+    assert all(bytes(r.cleaned) == bytes(rows[r.name].cleaned) for r in again.values())
+
+
+def test_files_cut_at_every_place_keep_no_secret(spark):
+    rows = []
+    for name, content in BUILT.items():
+        step = max(1, len(content) // 400)
+        rows += [(name, content[:n]) for n in range(0, len(content), step)]
+    got = cleaned(spark, rows)
+    assert len(got) == len(rows)
+    for i, (name, _) in enumerate(rows):
+        r = got[str(i)]
+        assert (r.cleaned is None) == (r.error_code is not None)
+        if r.cleaned is not None and not name.startswith("office"):
+            assert SECRET not in bytes(r.cleaned) and base64.b64encode(SECRET)[:24] not in bytes(r.cleaned), (name, i)
+
+
+def test_many_parts_and_long_values(spark):
+    png = FORMS["png"](None)[:-12]
+    late = png + chunk(b"IDAT", b"") * 20_000 + chunk(b"tEXt", b"Author\0" + SECRET) + chunk(b"IEND", b"")
+    broken = png + b"\x7f\xff\xff\xff" + b"tEXtAuthor\0" + SECRET + chunk(b"IEND", b"")
+    long = b"%PDF-1.4\n1 0 obj<</Author (" + b"x(y)" * 250_000 + SECRET + b")>>endobj trailer<</Info 1 0 R>>%%EOF"
+    hexed = b"%PDF-1.4\n1 0 obj<</Author <" + SECRET.hex().encode() + b">>>endobj trailer<</Info 1 0 R>>%%EOF"
+    locked = b"%PDF-1.4\n1 0 obj<</Author (x)>>endobj trailer<</Info 1 0 R /Encrypt 9 0 R>>%%EOF"
+    folds = b"From: a@b\r\nReceived: x" + b"\r\n " * 20_000 + SECRET + b"\r\nSubject: s\r\n\r\nbody"
+    mail = b"Reply-To: " + SECRET + b"\nX-Spam-Score: " + b"9" * 1_000_000 + b"\nSubject: s\n\nbody"
+    entity = b"<svg><!-- " + SECRET * 50_000 + b"--></svg>"
+    garbage = FORMS["jpeg"](SECRET).replace(b"\xff\xfe", b"zz\xff\xfe", 1)
+    boxes = FORMS["mp4"](SECRET) + struct.pack(">I4s", 8, b"free") * 20_000
+    cycle = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 0x010F, 2, 20, 26, 8) + SECRET
+    rows = [("a.png", late), ("b.png", broken), ("c.pdf", long), ("d.pdf", hexed), ("e.pdf", locked), ("f.eml", folds), ("g.eml", mail), ("h.svg", entity), ("i.jpg", garbage), ("j.mp4", boxes), ("k.tiff", cycle), ("l.svg", b"<svg><x></svg>"), ("m.gif", b"")]
+    got = {r.name: r for r in cleaned(spark, rows).values()}
+    errors = {n for n, r in got.items() if r.error_code}
+    assert errors == {"b.png", "e.pdf", "i.jpg", "l.svg", "m.gif"} and got["e.pdf"].error_code == "PDF_ENCRYPTED"
+    for n, r in got.items():
+        assert n in errors or SECRET not in bytes(r.cleaned) and SECRET.hex().encode() not in bytes(r.cleaned), n
+    assert bytes(got["g.eml"].cleaned) == b"Subject: s\n\nbody" and bytes(got["f.eml"].cleaned) == b"From: a@b\r\nSubject: s\r\n\r\nbody"
+    walked = metadata.with_parts(frame(spark, rows[:4]))
+    values = {r.value for r in metadata.items(walked).where("field = 'Author'").collect()}
+    assert values == {SECRET.decode(), "x(y)" * 250_000 + SECRET.decode()}
+
+
+def test_scans_labels_and_attachments(spark):
+    tiff = b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHII", 0x011A, 5, 1, 38) + struct.pack(">HHII", 0x010E, 2, 8, 46) + bytes(4) + struct.pack(">II", 300, 1) + b"my scan\0"
+    exif = b"Exif\0\0" + tiff
+    photo = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xda\0\x02x\xff\xd9"
+    walked = metadata.with_parts(frame(spark, [("a.jpg", photo), ("b.eml", FORMS["eml"](SECRET)), ("c.m4a", FORMS["m4a"](SECRET))]))
+    got = {(r.file_id, r.field): r for r in metadata.items(walked).collect()}
+    assert got["0", "PrinterTracking"].risk == "high" and got["0", "XResolution"].value == "300.00" and got["0", "ImageDescription"].label == "Description"
+    assert got["2", "©too"].label == "Encoder"
+    assert metadata.attachment_counts(walked).collect()[0][1:] == (1, 1)
+
+
+def test_arriving_files(spark, tmp_path):
+    from tracewash.streaming import arrivals
+
+    (tmp_path / "in").mkdir()
+    for name in ("one.png", "copy.png"):
+        (tmp_path / "in" / name).write_bytes(BUILT["png.png"])
+    (tmp_path / "in" / "b.gif").write_bytes(BUILT["gif.gif"])
+    run = lambda: arrivals.keep_scores(spark, str(tmp_path / "in"), str(tmp_path / "scores"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    assert run() and spark.read.parquet(str(tmp_path / "scores")).where("n_items > 0").count() == 2
+    (tmp_path / "in" / "late.wav").write_bytes(BUILT["wav.wav"])
+    (tmp_path / "in" / "again.gif").write_bytes(BUILT["gif.gif"])
+    assert run() and spark.read.parquet(str(tmp_path / "scores")).count() == 3

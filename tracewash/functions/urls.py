@@ -40,7 +40,7 @@ def decoded(text: Column) -> Column:
 
 def params(query: Column) -> Column:
     """``(pos, name, value)`` in order, duplicates kept; ``query`` starts with ? or #."""
-    pairs = F.filter(F.split(F.substring(query, 2, 1_000_000), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substring(query, 2, 2**31 - 1), "&"), lambda p: p != "")
     cut = lambda p: F.instr(p, F.lit("="))
     name = lambda p: F.when(cut(p) > 0, F.substring_index(p, "=", 1)).otherwise(p)
     value = lambda p: F.when(cut(p) > 0, p.substr(cut(p) + 1, F.length(p))).otherwise("")

@@ -6,12 +6,17 @@ Spark code, in relational form, for DuckDB.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls, values
 from ..functions.dictionaries import AUTHOR_PARTS, CATEGORIES, DESKTOP, DEVICE_PARTS, EXIF_RISK, HIGH_PARAMS, IPAD, IPHONE, MEDIUM_PARAMS, OTHER_SCREENS, PHONE_MAKERS, PRESERVED, SHOT_NAMES, SHOT_SOFTWARE, SUSPECT_KEY, SUSPECT_VALUE, TRACKERS
 from ..operators import correlation, items, results, screenshots
+from ..operators.graph import cut
+from ..sources import metadata
+from . import fixtures
 from .views import view, with_views
 
 QUERIES: dict = {}
@@ -284,13 +289,35 @@ def certificate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.removed_by_category(view(spark, sf_dir, "v_risk"), view(spark, sf_dir, "v_after"))
 
 
+def _done(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Files of these kinds, cleaned and written once for all that reads them."""
+    return cut(metadata.cleaned(metadata.with_parts(fixtures.built(spark, sf_dir, *kinds))).drop("parts"))
+
+
+def _hex(raw: bytes) -> str:
+    return f"from_hex('{raw.hex()}')"
+
+
+def _gif_sql() -> str:
+    """The GIF of a key as a SQL blob: what stands around the secret, and the secret."""
+    mark = b"Jane Secret 00000000"
+    pieces = [_hex(x) for x in fixtures.gif(mark).split(mark)]
+    return f" || encode({fixtures.SECRET_SQL}) || ".join(pieces)
+
+
+_CLEAN_GIF = fixtures.gif(None)
+
+
 @query(
-    """SELECT file_id, sha256(content) AS original_sha256, sha256(substring(content, 1, 2)) AS cleaned_sha256, length(content) AS original_size, length(substring(content, 1, 2)) AS cleaned_size,
-        length(content) - length(substring(content, 1, 2)) AS size_difference FROM v_files"""
+    f"""SELECT 'p' || p_partkey AS file_id, sha256({_gif_sql()}) AS original_sha256, '{hashlib.sha256(_CLEAN_GIF).hexdigest()}' AS cleaned_sha256, octet_length({_gif_sql()}) AS original_size,
+        {len(_CLEAN_GIF)} AS cleaned_size, octet_length({_gif_sql()}) - {len(_CLEAN_GIF)} AS size_difference,
+        concat('CERT|', '{hashlib.sha256(_CLEAN_GIF).hexdigest()[:16]}', '||a.gif') AS qr_payload, true AS holds FROM part"""
 )
 def certificate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = view(spark, sf_dir, "v_files").withColumn("cleaned", F.substring("content", 1, 2))
-    return results.certificates(files).select("file_id", "original_sha256", "cleaned_sha256", "original_size", "cleaned_size", "size_difference")
+    done = _done(spark, sf_dir, "gif")
+    issued = results.certificates(done)
+    holds = results.certificate_holds(issued, done.select("file_id", F.col("cleaned").alias("content")))
+    return issued.select("file_id", "original_sha256", "cleaned_sha256", "original_size", "cleaned_size", "size_difference", "qr_payload").join(holds, "file_id")
 
 
 @query("SELECT file_id, sha256(content) AS sha256, row_number() OVER (PARTITION BY sha256(content) ORDER BY ord) > 1 AS already_cleaned FROM v_files")
@@ -299,15 +326,53 @@ def dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.session_duplicates(files).select("file_id", "sha256", "already_cleaned")
 
 
+_MIXED = ("heic", "gif", "wav")
+_SIZE = lambda kind, secret: len(fixtures.FORMS[kind](b"Jane Secret 00000000" if secret else None))
+
+
 @query(
-    """SELECT count(*) AS n_files, count(*) FILTER (ord % 10 = 0) AS n_failed, sum(size) FILTER (ord % 10 <> 0) AS original_bytes, sum(size // 2) FILTER (ord % 10 <> 0) AS cleaned_bytes,
-        sum(size - size // 2) FILTER (ord % 10 <> 0) AS saved_bytes, count(*) FILTER (ord % 10 <> 0 AND ord % 3 = 0) AS n_verified FROM v_files"""
+    f"""WITH f AS (SELECT p_partkey % 3 AS k FROM part)
+    SELECT count(*) AS n_files, count(*) FILTER (k = 0) AS n_failed, sum(CASE k WHEN 1 THEN {_SIZE("gif", True)} WHEN 2 THEN {_SIZE("wav", True)} END) AS original_bytes,
+        sum(CASE k WHEN 1 THEN {_SIZE("gif", False)} WHEN 2 THEN {_SIZE("wav", False)} END) AS cleaned_bytes,
+        sum(CASE k WHEN 1 THEN {_SIZE("gif", True) - _SIZE("gif", False)} WHEN 2 THEN {_SIZE("wav", True) - _SIZE("wav", False)} END) AS saved_bytes, count(*) FILTER (k > 0) AS n_verified FROM f"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_files").select(
-        F.col("size").alias("original_size"), F.expr("size div 2").alias("cleaned_size"), F.when(F.col("ord") % 10 == 0, "FAILED").alias("error_code"), (F.col("ord") % 3 == 0).alias("verified")
-    )
-    return results.batch_summary(rows)
+    done = _done(spark, sf_dir, *_MIXED)
+    rows = done.join(metadata.verified(done), "file_id", "left")
+    return results.batch_summary(rows.select("error_code", "verified", F.length("content").alias("original_size"), F.length("cleaned").alias("cleaned_size")))
+
+
+# -- Files of every kind ------------------------------------------------------
+
+
+def _extract_sql(kind: str) -> str:
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(f)}, CAST({text(v)} AS VARCHAR), {text(r)})" for f, v, r in fixtures.EXPECTED[kind])
+    return f"SELECT 'p' || p_partkey AS file_id, field, replace(value, '*', {fixtures.SECRET_SQL}) AS value, risk FROM part, (VALUES {rows}) e(field, value, risk)"
+
+
+def _clean_sql(kind: str) -> str:
+    if kind in fixtures.REFUSED:
+        return f"SELECT 'p' || p_partkey AS file_id, '{fixtures.REFUSED[kind]}' AS error_code, CAST(NULL AS VARCHAR) AS cleaned_sha256, CAST(NULL AS BOOLEAN) AS verified FROM part"
+    seal = hashlib.sha256(fixtures.FORMS[kind](None)).hexdigest()
+    return f"SELECT 'p' || p_partkey AS file_id, CAST(NULL AS VARCHAR) AS error_code, '{seal}' AS cleaned_sha256, {kind not in fixtures.STILL_BAD} AS verified FROM part"
+
+
+def _of_kind(kind: str) -> None:
+    def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metadata.items(metadata.with_parts(fixtures.built(spark, sf_dir, kind))).select("file_id", "field", "value", "risk")
+
+    def clean_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = _done(spark, sf_dir, kind)
+        return done.select("file_id", "error_code", F.sha2("cleaned", 256).alias("cleaned_sha256")).join(metadata.verified(done).select("file_id", "verified"), "file_id", "left")
+
+    for name, f, sql in (("extract", extract, _extract_sql(kind)), ("clean_verify", clean_verify, _clean_sql(kind))):
+        f.__name__ = f"{name}_{kind}"
+        query(sql)(f)
+
+
+for _kind in fixtures.FORMS:
+    _of_kind(_kind)
 
 
 @query(

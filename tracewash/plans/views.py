@@ -92,11 +92,13 @@ def with_views(sql: str) -> str:
 
     add(sql)
     head, _, tail = sql.lstrip().partition(" ")
+    if not need:
+        return sql
     parts = ", ".join(f"{v} AS ({VIEWS[v]})" for v in need)
     if head.upper() == "WITH":
         word, _, rest = tail.lstrip().partition(" ")
         return f"WITH RECURSIVE {parts}, {rest}" if word.upper() == "RECURSIVE" else f"WITH {parts}, {tail}"
-    return f"WITH {parts} {sql}" if parts else sql
+    return f"WITH {parts} {sql}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

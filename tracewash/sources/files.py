@@ -1,4 +1,4 @@
-"""Files as rows: scans, kinds of files, and a stream of arriving files."""
+"""Files as rows: scans and kinds of files; `streaming` has them as they arrive."""
 
 from __future__ import annotations
 
@@ -12,17 +12,16 @@ KINDS = (
     ("webp", "image/webp", "webp"),
     ("svg", r"image/svg\+xml", "svg"),
     ("gif", "image/gif", "gif"),
-    ("eml", "message/rfc822", "eml"),
+    ("eml", "message/rfc822", "eml|msg"),
     ("heic", "image/hei[cf]", "hei[cf]"),
     ("tiff", "image/tiff", "tiff?"),
     ("pdf", "application/pdf", "pdf"),
     ("office", r"application/vnd\.openxmlformats-officedocument\..*", "docx|xlsx|pptx"),
-    ("video", "video/(mp4|quicktime|x-m4v)", "mp4|mov|m4v"),
-    ("audio", "audio/(mpeg|mp3|wav|x-wav|mp4|x-m4a|ogg|flac|x-flac)", "mp3|wav|m4a|ogg|flac"),
+    ("video", "video/(mp4|quicktime|x-m4v|3gpp2?)", "mp4|mov|m4v|3gp|3g2"),
+    ("audio", "audio/(mpeg|mp3|wav|x-wav|wave|mp4|x-m4a|aac|ogg|flac|x-flac)", "mp3|wav|wave|m4a|aac|ogg|oga|flac"),
 )
 #: First bytes, in hexadecimal, that each kind may start with.
 MAGIC = {"jpeg": "FFD8", "png": "89504E470D0A1A0A", "webp": "52494646", "gif": "47494638", "tiff": "49492A00|4D4D002A", "pdf": "25504446", "office": "504B"}
-BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_type(name: Column, mime: Column | None = None) -> Column:
@@ -44,10 +43,10 @@ def magic_error(kind: Column, content: Column) -> Column:
     return out
 
 
-def described(raw: DataFrame) -> DataFrame:
+def described(raw: DataFrame, *more: str) -> DataFrame:
     """``file_id, path, name, file_type, size, content`` from binary file rows."""
     name = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\+", "%2B"))
-    return raw.select(F.sha2("path", 256).substr(1, 16).alias("file_id"), "path", name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content")
+    return raw.select(F.sha2("path", 256).substr(1, 16).alias("file_id"), "path", name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content", *more)
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int = 512 * 2**20) -> DataFrame:
@@ -64,10 +63,3 @@ def rejects(spark: SparkSession, path: str, most_bytes: int = 512 * 2**20) -> Da
     out = described(raw).drop("content")
     error = F.when(F.col("size") > most_bytes, "TOO_LARGE").when(F.col("file_type") == "unknown", "UNKNOWN_TYPE")
     return out.withColumn("error_code", error).where("error_code is not null")
-
-
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """Files as they arrive; ``modificationTime`` is kept for watermarks."""
-    raw = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return raw.select("path", "modificationTime", name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha256"))

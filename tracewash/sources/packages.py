@@ -1,0 +1,75 @@
+"""Office packages: properties emptied, media cleaned by the rules for images.
+
+The members that hold media are rows of their own while they are cleaned; then
+the package is written anew with what came back.
+"""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# The emptied property parts.
+CORE = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"/>'
+APP = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"/>'
+CUSTOM = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/custom-properties"/>'
+EMPTIED = {"docProps/core.xml": CORE, "docProps/app.xml": APP, "docProps/custom.xml": CUSTOM}
+KINDS = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "webp": "webp", "gif": "gif"}
+
+
+def _members(files: DataFrame) -> DataFrame:
+    """``outer, name, file_type, content`` of the media in packages."""
+
+    def run(batches):
+        from .walkers import MEDIA
+
+        for batch in batches:
+            for outer, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    names = [n for n in z.namelist() if MEDIA.search(n)]
+                    for name in names:
+                        yield pa.RecordBatch.from_arrays([pa.array([outer]), pa.array([name]), pa.array([KINDS[name.rsplit(".", 1)[1].lower()]]), pa.array([z.read(name)], pa.binary())], ["outer", "name", "file_type", "content"])
+
+    return files.select("file_id", "content").mapInArrow(run, "outer string, name string, file_type string, content binary")
+
+
+def rewritten(files: DataFrame) -> DataFrame:
+    """``files`` with ``cleaned`` put together anew where it is an Office package.
+
+    A member that can't be cleaned stays, and leaves the package without
+    ``cleaned`` and with the ``error_code`` ``INNER_`` and its own.
+    """
+    from .metadata import _EDIT, _put_together, with_parts
+
+    good = files.where("walked = 'office' and error_code is null")
+    inner = with_parts(_members(good)).withColumn("inner", F.lit(None).cast(_EDIT))
+    inner = _put_together(inner).groupBy("outer").agg(F.collect_list(F.struct("name", "cleaned")).alias("_media"), F.min("error_code").alias("_inner_error"))
+    out = files.join(inner, F.col("file_id") == F.col("outer"), "left").drop("outer")
+    out = out.withColumn("error_code", F.coalesce("error_code", F.concat(F.lit("INNER_"), "_inner_error"))).drop("_inner_error")
+    out = out.withColumn("cleaned", F.when(F.col("error_code").isNull(), F.col("cleaned")))
+    columns = [c for c in out.columns if c != "_media"]
+    at = {c: k for k, c in enumerate(out.columns)}
+
+    def run(batches):
+        for batch in batches:
+            new = []
+            for k, walked in enumerate(batch.column(at["walked"]).to_pylist()):
+                old = batch.column(at["cleaned"])[k].as_py()
+                if walked != "office" or old is None:
+                    new.append(old)
+                    continue
+                media = {m["name"]: m["cleaned"] for m in batch.column(at["_media"])[k].as_py() or ()}
+                made = io.BytesIO()
+                with zipfile.ZipFile(io.BytesIO(batch.column(at["content"])[k].as_py())) as z, zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as to:
+                    for name in z.namelist():
+                        data = media.get(name) or EMPTIED.get(name) or z.read(name)
+                        to.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)  # without the member's own time
+                new.append(made.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()) if c == "cleaned" else batch.column(at[c]) for c in columns], columns)
+
+    return out.mapInArrow(run, T.StructType([f for f in out.schema.fields if f.name != "_media"]))

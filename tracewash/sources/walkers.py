@@ -1,133 +1,177 @@
-"""Small walkers over containers: where each part of a file lies.
+"""Small walkers over binary containers: where each part of a file lies.
 
 A walker yields ``(kind, key, start, end, text)``: the span of a part in the
-file, its name, and its text if it has one.  Walkers judge nothing; risk,
-labels and what to remove are rules on the resulting rows.  Damaged files end
-the walk with what was found so far.
+file, its name, and its text if it has one; a span without length tells
+something about the file that nothing can be cut from.  Walkers judge nothing;
+risk, labels and what to remove are rules on the resulting rows.  They go on to
+the end of the file, and raise ``Damaged`` where its structure does not hold, so
+that a file is never taken for walked when a part of it was not seen.
 """
 
 from __future__ import annotations
 
+import io
+import re
 import struct
+import zipfile
 
-TEXT = 1000
-# Names of EXIF tags by number.
-TAGS = {
-    0x0100: "ImageWidth", 0x0101: "ImageHeight", 0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x011A: "XResolution", 0x0131: "Software",
-    0x0132: "DateTime", 0x013B: "Artist", 0x013C: "HostComputer", 0x8298: "Copyright", 0x9C9B: "XPTitle", 0x9C9C: "XPComment", 0x9C9D: "XPAuthor",
-    0x829A: "ExposureTime", 0x829D: "FNumber", 0x8827: "ISOSpeedRatings", 0x9000: "ExifVersion", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized",
-    0x920A: "FocalLength", 0x927C: "MakerNote", 0x9286: "UserComment", 0xA002: "PixelXDimension", 0xA003: "PixelYDimension", 0xA420: "ImageUniqueID",
-    0xA430: "CameraOwnerName", 0xA431: "BodySerialNumber", 0xA433: "LensMake", 0xA434: "LensModel", 0xA435: "LensSerialNumber",
-}
-GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 7: "GPSTimeStamp", 18: "GPSMapDatum", 29: "GPSDateStamp"}
-SUB_IFDS = {0x8769: "Exif", 0x8825: "GPS"}
+from .names import BITRATES, CODECS, EXIF_TAGS, GPS_TAGS, IMAGE_TAGS, SAMPLE_RATES
+
+DEEPEST = 16
+SUB_IFDS = {0x8769: "Exif", 0x8825: "GPS", 0xA005: "Interop"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
+class Damaged(Exception):
+    pass
+
+
+def whole(ok: bool, what: str) -> None:
+    if not ok:
+        raise Damaged(what)
+
+
 def _text(raw: bytes, encoding: str = "latin-1") -> str:
-    return raw.decode(encoding, "replace").strip("\0 ")[:TEXT]
+    return raw.decode(encoding, "replace").strip("\0 ")
+
+
+def clock(seconds: float) -> str:
+    return f"{int(seconds) // 60}:{int(seconds) % 60:02d}"
 
 
 def png(b: bytes):
-    at = 8
-    while at + 12 <= len(b):
-        n, kind = struct.unpack(">I4s", b[at : at + 8])
+    at, kind = 8, ""
+    while kind != "IEND":
+        whole(at + 12 <= len(b), "no IEND")
+        n, name = struct.unpack(">I4s", b[at : at + 8])
         end, body = at + 12 + n, b[at + 8 : at + 8 + n]
-        if end > len(b):
-            return
-        kind, key, text = kind.decode("latin-1"), "", None
+        whole(end <= len(b), "chunk beyond the end")
+        kind, key, text = name.decode("latin-1"), "", None
         if kind in ("tEXt", "zTXt", "iTXt"):
             key, _, rest = body.partition(b"\0")
             key, text = _text(key), _text(rest) if kind == "tEXt" else "[binary/compressed]"
         elif kind == "IHDR" and n >= 8:
             text = "{}x{}".format(*struct.unpack(">II", body[:8]))
         yield kind, key, at, end, text
-        if kind == "IEND":
-            return
         at = end
+    if at < len(b):
+        yield "trailing", "", at, len(b), None
 
 
 def riff(b: bytes):
-    at = 12
-    while at + 8 <= len(b):
+    whole(len(b) >= 12, "no header")
+    stop = 8 + struct.unpack("<I", b[4:8])[0]
+    whole(stop <= len(b) + 1, "file ends early")
+    at, rate, data = 12, 0, 0
+    while at + 8 <= min(stop, len(b)):
         kind, n = struct.unpack("<4sI", b[at : at + 8])
+        whole(at + 8 + n <= len(b), "chunk beyond the end")
         end = min(at + 8 + n + n % 2, len(b))
         kind, form, text = kind.decode("latin-1"), b[at + 8 : at + 12], None
         if kind == "fmt " and n >= 16:
-            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", b[at + 8 : at + 24])
-            text = f"{channels} channels, {rate} Hz, {bits} bits"
+            _, channels, hertz, rate, _, bits = struct.unpack("<HHIIHH", b[at + 8 : at + 24])
+            text = f"{channels} channels, {hertz} Hz, {bits} bits"
+        elif kind == "data":
+            data += n
+        elif kind == "VP8X" and n >= 10:
+            text = "{}x{}".format(*(1 + int.from_bytes(b[at + k : at + k + 3], "little") for k in (12, 15)))
         yield kind, form.decode("latin-1") if kind == "LIST" else "", at, end, text
         if kind == "LIST" and form == b"INFO":
             k = at + 12
             while k + 8 <= end:
                 name, m = struct.unpack("<4sI", b[k : k + 8])
-                yield "INFO", name.decode("latin-1"), k, min(k + 8 + m, end), _text(b[k + 8 : k + 8 + m])
+                whole(k + 8 + m <= end, "INFO beyond its list")
+                yield "INFO", name.decode("latin-1"), k, k + 8 + m, _text(b[k + 8 : k + 8 + m])
                 k += 8 + m + m % 2
         at = end
+    if rate:
+        yield "technical", "Bitrate", at, at, f"{rate * 8 // 1000} kbps"
+        yield "technical", "Duration", at, at, clock(data / rate)
+    if at < len(b):
+        yield "trailing", "", at, len(b), None
 
 
 def gif(b: bytes):
-    if len(b) < 13:
-        return
-    yield "screen", "", 6, 13, "{}x{}".format(*struct.unpack("<HH", b[6:10]))
-    at = 13 + (3 << ((b[10] & 7) + 1) if b[10] & 128 else 0)
+    whole(len(b) >= 13, "no header")
+    yield "screen", "", 6, 6, "{}x{}".format(*struct.unpack("<HH", b[6:10]))
+    yield "technical", "Version", 0, 0, _text(b[:6])
+    at, frames = 13 + (3 << ((b[10] & 7) + 1) if b[10] & 128 else 0), 0
 
     def blocks(k):
         parts = []
-        while k < len(b) and b[k]:
+        while True:
+            whole(k < len(b), "blocks beyond the end")
+            if not b[k]:
+                return k + 1, parts
             parts.append(b[k + 1 : k + 1 + b[k]])
             k += 1 + b[k]
-        return k + 1, parts
 
-    while at < len(b):
-        if b[at] == 0x21 and at + 2 < len(b):
+    while True:
+        whole(at < len(b), "no trailer")
+        if b[at] == 0x21:
+            whole(at + 2 < len(b), "no label")
             end, parts = blocks(at + 2)
             label = {0xFE: "comment", 0x01: "plain", 0xFF: "application", 0xF9: "control"}.get(b[at + 1], "extension")
             key = _text(parts[0]) if label == "application" and parts else ""
-            yield label, key, at, min(end, len(b)), _text(b"".join(parts)) if label == "comment" else None
-            at = end
-        elif b[at] == 0x2C and at + 10 <= len(b):
-            k = at + 10 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0)
-            end, _ = blocks(k + 1)
-            yield "frame", "", at, min(end, len(b)), None
-            at = end
+            yield label, key, at, end, _text(b"".join(parts)) if label == "comment" else None
+        elif b[at] == 0x2C:
+            whole(at + 10 <= len(b), "no frame")
+            end, _ = blocks(at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0))
+            frames += 1
+            yield "frame", "", at, end, None
         else:
-            yield "trailer", "", at, len(b), None
-            return
+            whole(b[at] == 0x3B, "unknown block")
+            break
+        at = end
+    yield "technical", "Frames", at, at, str(frames)
+    if at + 1 < len(b):
+        yield "trailing", "", at + 1, len(b), None
 
 
 def tiff(b: bytes, base: int = 0):
     """Entries of all chained IFDs and of the EXIF and GPS ones below them."""
     order = {b"II": "<", b"MM": ">"}.get(b[base : base + 2])
-    if order is None or base + 8 > len(b):
-        return
-    todo, seen = [("0th", struct.unpack(order + "I", b[base + 4 : base + 8])[0])], set()
-    while todo and len(seen) < 64:
+    whole(order is not None and base + 8 <= len(b), "no byte order")
+    yield "technical", "ByteOrder", base, base, "little endian" if order == "<" else "big endian"
+    todo, seen, entries = [("0th", struct.unpack(order + "I", b[base + 4 : base + 8])[0])], set(), 0
+    while todo:
         name, offset = todo.pop(0)
         at = base + offset
-        if offset in seen or not offset or at + 2 > len(b):
+        if offset in seen or not offset:
             continue
+        whole(at + 2 <= len(b), "directory beyond the end")
         seen.add(offset)
         count = struct.unpack(order + "H", b[at : at + 2])[0]
+        entries += count
+        whole(at + 2 + 12 * count <= len(b), "entries beyond the end")
+        whole(12 * entries <= len(b), "directories overlap")
+        refs = {}
         for k in range(count):
             e = at + 2 + 12 * k
-            if e + 12 > len(b):
-                break
             tag, kind, n = struct.unpack(order + "HHI", b[e : e + 8])
             if tag in SUB_IFDS:
-                todo.append((SUB_IFDS[tag], struct.unpack(order + "I", b[e + 8 : e + 12])[0]))
+                there = struct.unpack(order + "I", b[e + 8 : e + 12])[0]
+                todo.append((SUB_IFDS[tag], there))
+                if there:
+                    yield "pointer", SUB_IFDS[tag], e, e, str(there)
                 continue
             size = SIZES.get(kind, 1) * n
             start = e + 8 if size <= 4 else base + struct.unpack(order + "I", b[e + 8 : e + 12])[0]
             raw = b[start : start + size]
-            key = (GPS_TAGS if name == "GPS" else TAGS).get(tag, f"Tag_{tag}")
-            yield name, key, start, start + len(raw), _value(order, kind, n, raw, key)
+            key = (GPS_TAGS if name == "GPS" else {**IMAGE_TAGS, **EXIF_TAGS}).get(tag, f"Unknown_{name}_{tag}")
+            text = _value(order, kind, n, raw, key, refs)
+            if key.endswith("Ref") and text:
+                refs[key[:-3]] = text
+            yield name, key, min(start, len(b)), min(start + size, len(b)), text
         nxt = at + 2 + 12 * count
-        if name == "0th" and nxt + 4 <= len(b):
-            todo.append(("0th", struct.unpack(order + "I", b[nxt : nxt + 4])[0]))
+        if name in ("0th", "1st") and nxt + 4 <= len(b):
+            more = struct.unpack(order + "I", b[nxt : nxt + 4])[0]
+            if more:
+                yield "technical", "AdditionalIFD", nxt, nxt, str(more)
+                todo.append(("1st", more))
 
 
-def _value(order: str, kind: int, n: int, raw: bytes, key: str) -> str | None:
+def _value(order: str, kind: int, n: int, raw: bytes, key: str, refs: dict) -> str | None:
     if kind == 2:
         return _text(raw, "utf-8") or None
     if key.startswith("XP"):
@@ -138,46 +182,89 @@ def _value(order: str, kind: int, n: int, raw: bytes, key: str) -> str | None:
     x = struct.unpack(order + code * n, raw[: struct.calcsize("=" + code) * n])
     if len(code) == 2:
         x = [a / c if c else 0.0 for a, c in zip(x[::2], x[1::2])]
-    if key in ("GPSLatitude", "GPSLongitude") and len(x) == 3:
-        return f"{x[0] + x[1] / 60 + x[2] / 3600:.6f}"
-    return " ".join(f"{v:.4g}" if isinstance(v, float) else str(v) for v in x)
+        if key in ("GPSLatitude", "GPSLongitude") and len(x) == 3:
+            return f"{(x[0] + x[1] / 60 + x[2] / 3600) * (-1 if refs.get(key, '')[:1].upper() in ('S', 'W') else 1):.6f}"
+        if len(x) == 1:
+            return _rational(key, x[0])
+    return " ".join(f"{v:.2f}" if isinstance(v, float) else str(v) for v in x)
+
+
+def _rational(key: str, x: float) -> str:
+    if key == "ExposureTime":
+        return f"1/{round(1 / x)}s" if 0 < x < 1 else f"{x:g}s"
+    return {"FNumber": f"f/{x:.1f}", "FocalLength": f"{x:.0f}mm"}.get(key, f"{x:.2f}")
 
 
 def jpeg(b: bytes):
     at = 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        mark, n = b[at + 1], struct.unpack(">H", b[at + 2 : at + 4])[0]
-        if mark == 0xDA:
-            yield "scan", "", at, len(b), None
-            return
-        end, body = at + 2 + n, b[at + 4 : at + 2 + n]
+    while True:
+        whole(at + 2 <= len(b) and b[at] == 0xFF, "no marker")
+        while b[at + 1] == 0xFF:  # fill bytes
+            at += 1
+            whole(at + 2 <= len(b), "no marker")
+        mark = b[at + 1]
+        if mark == 0xD9:
+            break
+        if 0xD0 <= mark <= 0xD7 or mark == 0x01:
+            at += 2
+            continue
+        whole(at + 4 <= len(b), "no length")
+        end = at + 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
+        whole(at + 4 <= end <= len(b), "segment beyond the end")
+        body = b[at + 4 : end]
         key = {0xE1: "EXIF" if body[:6] == b"Exif\0\0" else "XMP", 0xE2: "ICC", 0xED: "IPTC", 0xFE: "comment"}.get(mark, "")
         text = _text(body, "utf-8") if mark == 0xFE else None
+        if mark == 0xE2:
+            text = ", ".join(_text(s) for s in re.findall(rb"[\x20-\x7e]{8,}", body)[:2]) or None
         if 0xC0 <= mark <= 0xC3 and len(body) >= 5:
             key, text = "frame", "{1}x{0}".format(*struct.unpack(">HH", body[1:5]))
-        yield f"{mark:02X}", key, at, min(end, len(b)), text
+        yield f"{mark:02X}", key, at, end, text
         if key == "EXIF":
-            yield from tiff(b[:end], at + 10)
+            try:
+                yield from tiff(b[:end], at + 10)
+            except Damaged as e:  # the segment goes as a whole
+                yield "technical", "UnreadableEXIF", at, at, str(e)
+        if mark == 0xDA:
+            stop = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]").search(b, end)
+            whole(stop is not None, "no end of image")
+            end = stop.start()
         at = end
+    if at + 2 < len(b):
+        yield "trailing", "", at + 2, len(b), None
 
 
 def mp3(b: bytes):
-    if b[:3] == b"ID3" and len(b) >= 10:
-        synchsafe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
-        end = min(10 + synchsafe(b[6:10]), len(b))
+    at, end = 0, 0
+    synchsafe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
+    if b[:3] == b"ID3":
+        whole(len(b) >= 10 and 10 + synchsafe(b[6:10]) <= len(b), "tag beyond the end")
+        end = 10 + synchsafe(b[6:10])
         yield "ID3v2", str(b[3]), 0, end, None
-        at = 10
-        while at + 10 <= end and b[at]:
-            key = b[at : at + 4].decode("latin-1")
-            n = synchsafe(b[at + 4 : at + 8]) if b[3] == 4 else struct.unpack(">I", b[at + 4 : at + 8])[0]
-            raw = b[at + 10 : min(at + 10 + n, end)]
-            text = None
-            if raw and (key[0] in "TW" or key == "COMM"):
+        at, wide = 10, 3 if b[3] == 2 else 4
+        while at + (6 if wide == 3 else 10) <= end and b[at]:
+            key, size = b[at : at + wide].decode("latin-1"), b[at + wide : at + 2 * wide]
+            n = synchsafe(size) if b[3] == 4 else int.from_bytes(size, "big")
+            start = at + (6 if wide == 3 else 10)
+            raw, text = b[start : min(start + n, end)], None
+            if raw and (key[0] in "TW" or key in ("COMM", "COM")):
                 code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1")
-                text = _text(raw, "latin-1") if key[0] == "W" else _text(raw[4 if key == "COMM" else 1 :], code)
-            yield "frame", key, at, min(at + 10 + n, end), text
-            at += 10 + n
-    if len(b) >= 128 and b[-128:-125] == b"TAG":
+                text = _text(raw, "latin-1") if key[0] == "W" else _text(raw[4 if key[0] == "C" else 1 :], code)
+            yield "frame", key, at, min(start + n, end), text
+            at = start + n
+    sync = re.compile(rb"\xff[\xe0-\xff][\x00-\xff]{2}").search(b, end)
+    if sync:
+        _, version, rate, mode = sync[0]
+        mpeg1, layer3 = version >> 3 & 3 == 3, version >> 1 & 3 == 1
+        kbps, hertz = BITRATES[rate >> 4] if mpeg1 and layer3 else 0, SAMPLE_RATES[rate >> 2 & 3] if mpeg1 else 0
+        yield "technical", "Channels", end, end, "mono" if mode >> 6 == 3 else "stereo"
+        if hertz:
+            yield "technical", "SampleRate", end, end, f"{hertz} Hz"
+        if kbps:
+            yield "technical", "Bitrate", end, end, f"{kbps} kbps"
+            yield "technical", "Duration", end, end, clock((len(b) - end) * 8 / (kbps * 1000))
+    tagged = len(b) >= 128 and b[-128:-125] == b"TAG"
+    whole(tagged or b.find(b"TAG", max(end, len(b) - 127)) < 0, "tag cut off")
+    if tagged:
         more = 227 if b[-355:-351] == b"TAG+" else 0
         yield "ID3v1", "", len(b) - 128 - more, len(b), None
         for key, lo, hi in (("Title", 3, 33), ("Artist", 33, 63), ("Album", 63, 93), ("Comment", 97, 127)):
@@ -186,77 +273,131 @@ def mp3(b: bytes):
                 yield "tag", key, len(b) - 128 + lo, len(b) - 128 + hi, text
 
 
+def _comments(b: bytes, k: int, end: int):
+    """Vendor and comments of a Vorbis comment block."""
+    whole(k + 4 <= end, "no vendor")
+    size = struct.unpack("<I", b[k : k + 4])[0]
+    whole(k + 8 + size <= end, "vendor beyond its block")
+    yield "comment", "VENDOR", k + 4, k + 4 + size, _text(b[k + 4 : k + 4 + size], "utf-8")
+    k += 4 + size
+    count = struct.unpack("<I", b[k : k + 4])[0]
+    k += 4
+    for _ in range(count):
+        whole(k + 4 <= end, "comment beyond its block")
+        size = struct.unpack("<I", b[k : k + 4])[0]
+        whole(k + 4 + size <= end, "comment beyond its block")
+        key, _, text = _text(b[k + 4 : k + 4 + size], "utf-8").partition("=")
+        yield "comment", key.upper(), k + 4, k + 4 + size, text
+        k += 4 + size
+
+
 def flac(b: bytes):
     at, last = 4, False
-    while not last and at + 4 <= len(b):
+    whole(b[:4] == b"fLaC", "no marker")
+    while not last:
+        whole(at + 4 <= len(b), "block beyond the end")
         kind, n = b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
-        last, end = bool(b[at] & 128), min(at + 4 + n, len(b))
+        last, end = bool(b[at] & 128), at + 4 + n
+        whole(end <= len(b), "block beyond the end")
         yield {0: "info", 1: "padding", 4: "vorbis", 6: "picture"}.get(kind, "block"), "", at + 4, end, None
-        if kind == 4 and end >= at + 12:
-            k = at + 4
-            size = struct.unpack("<I", b[k : k + 4])[0]
-            yield "comment", "VENDOR", k + 4, min(k + 4 + size, end), _text(b[k + 4 : k + 4 + size], "utf-8")
-            k += 4 + size
-            count = struct.unpack("<I", b[k : k + 4])[0] if k + 4 <= end else 0
-            k += 4
-            for _ in range(count):
-                if k + 4 > end:
-                    break
-                size = struct.unpack("<I", b[k : k + 4])[0]
-                key, _, text = _text(b[k + 4 : min(k + 4 + size, end)], "utf-8").partition("=")
-                yield "comment", key.upper(), k + 4, min(k + 4 + size, end), text
-                k += 4 + size
+        if kind == 4:
+            yield from _comments(b, at + 4, end)
         at = end
 
 
-HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf"}
+def ogg(b: bytes):
+    """Comments of the first stream; pages are joined to packets for reading alone."""
+    at, packet, n = 0, b"", 0
+    while at < len(b):
+        whole(b[at : at + 4] == b"OggS" and at + 27 <= len(b), "no page")
+        sizes = b[at + 27 : at + 27 + b[at + 26]]
+        whole(at + 27 + len(sizes) + sum(sizes) <= len(b), "page beyond the end")
+        k = at + 27 + len(sizes)
+        for size in sizes:
+            if n < 2:
+                packet += b[k : k + size]
+                if size < 255:
+                    for mark in (b"\x03vorbis", b"OpusTags"):
+                        if packet.startswith(mark):
+                            yield from ((kind, key, at, at, text) for kind, key, _, _, text in _comments(packet, len(mark), len(packet)))
+                    packet, n = b"", n + 1
+            k += size
+        at = k
+
+
+HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf", "stbl"}
 
 
 def mp4(b: bytes):
     todo = [(0, len(b), "", 0)]
     while todo:
         at, stop, path, depth = todo.pop()
+        whole(depth <= DEEPEST, "boxes too deep")
         while at + 8 <= stop:
             n, kind = struct.unpack(">I4s", b[at : at + 8])
             head = 8
             if n == 1 and at + 16 <= stop:
                 n, head = struct.unpack(">Q", b[at + 8 : at + 16])[0], 16
             end = stop if n == 0 else at + n
-            if end < at + head or end > stop:
-                break
-            kind = kind.decode("latin-1")
-            text = None
-            body = b[at + head : end]
+            whole(at + head <= end <= stop, "box beyond its holder")
+            kind, text, body = kind.decode("latin-1"), None, b[at + head : min(end, at + head + 2**20)]
             if kind in ("mvhd", "tkhd", "mdhd") and len(body) >= 20:
                 wide = body[0] == 1
                 text = str(int.from_bytes(body[4:12] if wide else body[4:8], "big"))
-            elif path.endswith("udta") and kind[0] == "©" and len(body) > 4:
-                text = _text(body[4 : 4 + int.from_bytes(body[:2], "big")], "utf-8")
+                scale, length = (body[20:24], body[24:32]) if wide else (body[12:16], body[16:20])
+                if kind == "mvhd" and int.from_bytes(scale, "big"):
+                    yield "technical", "Duration", at, at, clock(int.from_bytes(length, "big") / int.from_bytes(scale, "big"))
+                size = struct.unpack(">II", body[-8:])
+                if kind == "tkhd" and len(body) >= 84 and size[0]:
+                    yield "technical", "Resolution", at, at, f"{size[0] >> 16}x{size[1] >> 16}"
+            elif kind == "stsd" and len(body) >= 16:
+                code = body[12:16].decode("latin-1")
+                yield "technical", "Codec", at, at, CODECS.get(code, code)
+            elif path.endswith("udta") and kind not in HOLDERS and kind != "meta" and len(body) > 4:
+                text = _text(b[at + head + 4 : at + head + 4 + int.from_bytes(body[:2], "big")] if kind[0] == "©" else b[at + head + 4 : end], "utf-8")
+                place = re.match(r"([+-]\d+\.?\d*)([+-]\d+\.?\d*)", text) if kind == "©xyz" else None
+                if place:
+                    yield "place", "GPSLatitude", at, at, place[1]
+                    yield "place", "GPSLongitude", at, at, place[2]
             elif path.endswith("ilst"):
-                text = _text(body[16:], "utf-8") if body[4:8] == b"data" else None
+                text = _text(b[at + head + 16 : end], "utf-8") if body[4:8] == b"data" and kind != "covr" else None
             yield path.rpartition("/")[2] or "file", kind, at, end, text
-            if kind in HOLDERS and depth < 8:
+            if kind in HOLDERS:
                 todo.append((at + head, end, f"{path}/{kind}", depth + 1))
-            elif kind == "meta" and depth < 8:
+            elif kind == "meta":
                 todo.append((at + head + (0 if body[4:8] == b"hdlr" else 4), end, f"{path}/meta", depth + 1))
             at = end
+        whole(path != "" or at == stop, "bytes behind the last box")
+
+
+def heic(b: bytes):
+    at = 0
+    while at + 8 <= len(b):
+        n, kind = struct.unpack(">I4s", b[at : at + 8])
+        head = 16 if n == 1 else 8
+        n = int.from_bytes(b[at + 8 : at + 16], "big") if n == 1 else n
+        end = len(b) if n == 0 else at + n
+        whole(at + head <= end <= len(b), "box beyond the end")
+        name = kind.decode("latin-1")
+        yield "file", name, at, end, _text(b[at + head : at + head + 4]) if name == "ftyp" else None
+        if name == "meta" and b.find(b"Exif", at, end) >= 0:
+            yield "marker", "Exif", at, at, None
+        if re.search(rb"GPS|gps", b[at + head : min(end, at + head + 200)]):
+            yield "marker", "GPS", at, at, None
+        at = end
+
+
+MEDIA = re.compile(r"/media/[^/]*\.(jpe?g|png|webp|gif)$", re.I)
 
 
 def office(b: bytes):
     """Leaves of the property parts, and the members that hold media."""
-    import io
-    import re
-    import zipfile
-
     with zipfile.ZipFile(io.BytesIO(b)) as z:
         for name in z.namelist():
-            if re.search("/media/", name):
+            if MEDIA.search(name):
                 yield "media", name, 0, 0, None
             elif name in ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml"):
                 xml = z.read(name).decode("utf-8", "replace")
                 for key, text in re.findall(r"<(?:[\w-]+:)?([\w-]+)(?:\s[^<>]*)?>([^<]+)</", xml):
                     if text.strip():
-                        yield name, key, 0, 0, text.strip()[:TEXT]
-
-
-WALKERS = {"png": png, "webp": riff, "wav": riff, "gif": gif, "tiff": tiff, "jpeg": jpeg, "mp3": mp3, "flac": flac, "video": mp4, "m4a": mp4, "heic": mp4, "office": office}
+                        yield name, key, 0, 0, text.strip()
