@@ -109,3 +109,54 @@ def test_arriving_files(spark, tmp_path):
     (tmp_path / "in" / "late.wav").write_bytes(BUILT["wav.wav"])
     (tmp_path / "in" / "again.gif").write_bytes(BUILT["gif.gif"])
     assert run() and spark.read.parquet(str(tmp_path / "scores")).count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    from tracewash.operators import results
+    from tracewash.sources import sinks
+
+    walked = metadata.with_parts(frame(spark, [("png.png", BUILT["png.png"]), ("heic.heic", BUILT["heic.heic"]), ("gif.gif", BUILT["gif.gif"])]))
+    done = metadata.cleaned(walked)
+    sinks.write_results(done, str(tmp_path / "done"))
+    back = {r.name: r for r in spark.read.parquet(str(tmp_path / "done")).collect()}
+    assert bytes(back["png.png"].cleaned) == FORMS["png"](None) and back["heic.heic"].cleaned is None and back["heic.heic"].error_code
+    issued = results.certificates(done.where("cleaned is not null"))
+    sinks.write_certificates(issued, str(tmp_path / "certificates"))
+    assert spark.read.json(str(tmp_path / "certificates/json")).count() == 2
+    assert spark.read.text(str(tmp_path / "certificates/text")).where("value = 'File: gif.gif'").count() == 1
+    rows = {r.file_id: r for r in sinks.report(done, metadata.items(walked)).collect()}
+    assert rows["0"].report.startswith("File: png.png\nStatus: SUCCESS") and "[high] Author: Jane Secret 00000007" in rows["0"].report
+    assert json.loads(rows["1"].report_json)["status"] == "FAILED HEIC_DECODE_UNSUPPORTED"
+    archives = sinks.archives(done, issued, most_bytes=200).collect()
+    names = [n for a in archives for n in zipfile.ZipFile(io.BytesIO(a.zip)).namelist()]
+    assert len(archives) > 1 and sorted(n for n in names if n != "summary.txt") == ["certificates/0.json", "certificates/2.json", "cleaned_files/0/clean_png.png", "cleaned_files/2/clean_gif.gif"]
+    assert spark.range(1).select(sinks.gps_text(F.lit(1.5), F.lit(-2.25))).first()[0] == "1.500000, -2.250000"
+
+
+def test_table_function(spark):
+    from tracewash.sources import registry
+
+    registry.register(spark)
+    frame(spark, [("a.png", BUILT["png.png"]), ("b.gif", b"GIF89a")]).createOrReplaceTempView("some_files")
+    got = {(r.name, r.kind, r.key) for r in spark.sql("SELECT name, p.kind, p.key FROM some_files, LATERAL metadata_parts(name, content) p").collect()}
+    assert ("a.png", "tEXt", "Author") in got and ("b.gif", "error", "Damaged") in got
+
+
+def test_screenshots_from_items_and_values(spark):
+    from tracewash.functions import values
+    from tracewash.operators import items, screenshots
+
+    rows = [("f", 0, "PixelXDimension", "1170"), ("f", 1, "PixelYDimension", "2532"), ("f", 2, "Make", "Apple"), ("g", 0, "Software", "Editor")]
+    found = screenshots.from_items(spark.createDataFrame(rows, "file_id string, ord int, field string, value string"), spark.createDataFrame([("f", "x.png"), ("g", "y.png")], "file_id string, name string"))
+    shots = screenshots.detect(found)
+    assert {(r.file_id, r.confidence, r.platform, r.is_screenshot) for r in shots.collect()} == {("f", 50, "iPhone", True), ("g", 0, None, False)}
+    assert {tuple(r) for r in screenshots.recommendations(shots).collect()} == {("f", "device,timestamp,screen,apple")}
+    risk = spark.createDataFrame([("f", 10, "low"), ("g", 10, "low"), ("h", 80, "critical")], "file_id string, score int, level string")
+    assert {(r.file_id, r.score, r.level) for r in items.with_screenshot_floor(risk, shots).collect()} == {("f", 60, "high"), ("g", 10, "low"), ("h", 80, "critical")}
+    one = spark.createDataFrame([(" a \n b ", "x" * 80, 1_700_000_000_000, "p.PNG", "S")], "t string, b string, ms long, name string, ref string")
+    got = one.select(values.one_line(F.col("t")), values.truncated(F.col("b"), 3), values.neutral_name(F.col("ms"), F.col("name")), values.wrapped_base64(F.col("b").cast("binary")), values.dms_to_decimal(F.lit(41), F.lit(30), F.lit(36), F.col("ref"))).first()
+    assert got[0] == "a b" and got[1] == "xxx..." and got[2] == "shared_loyw3v28.png" and got[3].split("\r\n") == [base64.b64encode(b"x" * 80).decode()[:76], base64.b64encode(b"x" * 80).decode()[76:]] and got[4] == -41.51

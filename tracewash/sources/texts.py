@@ -54,7 +54,9 @@ def eml(b: bytes):
                 found = re.search(r'filename\s*=\s*(?:"([^"]*)"|([^\s;]+))', value, re.I)
                 name = (found[1] or found[2]) if found else None
         if mime.startswith("multipart/") and boundary:
-            edges = [m.span() for m in re.finditer(rb"(?m)^--" + re.escape(boundary.encode("latin-1")) + rb"(?:--)?[ \t]*\r?$\n?", b[body:stop])]
+            edges = list(re.finditer(rb"(?m)^--" + re.escape(boundary.encode("latin-1")) + rb"(?:--)?[ \t]*\r?$\n?", b[body:stop]))
+            whole(bool(edges) and edges[-1][0].rstrip().endswith(b"--"), "no last boundary")
+            edges = [m.span() for m in edges]
             todo += [(body + x[1], body + y[0], depth + 1) for x, y in zip(edges[-2::-1], edges[:0:-1])]
             continue
         if not depth and not attached:
