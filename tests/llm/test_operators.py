@@ -185,15 +185,26 @@ def test_vectors_equal_all_pairs(spark):
         for j in others:
             x, y = sorted((root(i), root(j)))
             up[y] = x
-    total = sum(map(len, links.values()))
-    found = sum(r.n_links for r in got.values())
-    assert all(got[i].n_links <= len(links[i]) for i in got) and found >= 0.99 * total
-    if found == total:
-        assert all(got[i].component_id == root(i) and got[i].kept == (root(i) == i) for i in got)
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (len(links[i]), root(i), root(i) == i) for i in got}
     none = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert vectors.near_duplicates(none).count() == 0
 
 
+def test_all_directions_above_the_height_are_decoded():
+    rng = np.random.default_rng(8)
+    code = vectors.Code(12, 900)
+    unit = vectors._unit(rng.standard_normal((40, 12)))
+    rows, caps = code.decode(unit)
+    want = set()
+    for k, ((turn, (p, q)), height) in enumerate(zip(code.codes, code.heights)):
+        turned = unit @ turn
+        for n, v in enumerate(turned):
+            sums = ((p @ v[:6])[:, None] + (q @ v[6:])[None, :]).ravel()
+            low = min(height, np.sort(sums)[-vectors.LEAST])
+            want |= {(n, int(c) + k * code.words**2) for c in np.flatnonzero(sums >= low)}
+    assert set(zip(rows.tolist(), caps.tolist())) == want and len(rows) == len(want)
+
+
 def test_a_large_cap_is_cut_into_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.ones(8) + rng.standard_normal(8) * 0.01], 1) for i in range(150)]
@@ -317,6 +328,11 @@ def test_shards_are_even_and_keep_copies_together(spark, docs, text_of, empty):
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_shards_do_not_depend_on_the_splits(spark, docs):
+    one, other = ({(r.doc_id, r.shard, r.slot) for r in sharding.shard(docs.repartition(n), 16).collect()} for n in (2, 7))
+    assert one == other
+
+
 def test_shards_keep_groups_whole_where_all_rows_are_copies(spark):
     pairs = [f"p{i // 2}" for i in range(3200)]
     fours = [f"f{i // 4}" for i in range(1600)]

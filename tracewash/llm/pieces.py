@@ -74,7 +74,10 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row.
 
     ``keep`` may name ``ids`` and ``decoded`` to get the real outputs too.
+    Raises ``ValueError`` for a model with pieces that cross marks.
     """
+    if crossing_pieces(model):
+        raise ValueError("pieces of this model cross marks, so chunks cannot be segmented one by one")
 
     def run(batches):
         coder = Encoder(model)

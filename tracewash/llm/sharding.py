@@ -1,13 +1,16 @@
 """Shards of even row counts that keep equal texts together.
 
-Documents with equal texts are linked, so every group of copies is one label,
-which all of its rows have from the start; what is left to find is a shard for
-each label.  Groups larger than a quota come first and fill shard after shard.
-The others are counted by size and taken from the largest: groups of one size go whole to the shards with most room.  A group that fits in
-no shard's room is laid over the room that is left, row after row, so that it
-is cut only where a shard ends.  Unlinked documents have no edge to cut; they
-fill what is left, so that in the end the row counts of any two shards differ
-by one at most.
+Documents with equal texts are linked.  Labels spread over all links at once: a
+group of copies is complete, so one join gives each of its rows the label that
+the group agrees on, and what is left to find is a shard for each label under
+the quotas.  Rows that move one by one to their neighbours' shards, as in plain
+propagation from an even start, find the shards full and stay cut.  Groups
+larger than a quota come first and fill shard after shard.  The others are
+counted by size and taken from the largest: groups of one size go whole to the
+shards with most room.  A group that fits in no shard's room is laid over the
+room that is left, row after row, so that it is cut only where a shard ends.
+Unlinked documents have no edge to cut; they fill what is left, so that in the
+end the row counts of any two shards differ by one at most.
 
 Scale: groups are partial sums; a join on a frequent text is one that Spark
 splits; ranks are taken within buckets of about 50,000 rows and over bucket
@@ -15,7 +18,8 @@ totals.  The driver sees counts by size of group and by shard only.
 
 Defined results: a null text has size 1, the checksum of an empty text, and
 links with nothing; rows that repeat are rows of their own, linked by their
-text; an empty table gives an empty result.  Other columns are not read.
+text; an empty table gives an empty result.  Results depend on ``doc_id`` and
+text alone, not on the input splits.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +31,13 @@ from pyspark.sql import functions as F
 from .common import buckets, cut
 
 
+#: What rows are ordered by; ``rid``, which depends on the input splits, tells only equal rows apart.
+ROW = ["doc_id", "gid", "rid"]
+
+
 def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """``rank`` from 0 within ``keys``: bucket totals, then within buckets."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(n)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(3), *(c for c in order if c != "rid")), F.lit(n)))
     total = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     skip = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     total = total.select(*keys, "_bucket", F.coalesce(skip, F.lit(0)).alias("_skip"))
@@ -85,14 +93,14 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = cut(ranks.join(goals.alias("p"), (F.col("g.n") == F.col("p.n")) & (F.col("g.rank") >= F.col("p.lo")) & (F.col("g.rank") < F.col("p.hi")), "left").select("gid", "g.n", "shard"))
     flagged = cut(rows.join(groups, "gid", "left").withColumn("n", F.coalesce("n", F.lit(1))))
 
-    columns = ["rid", "doc_id", "size", "text_crc32", "n"]
+    columns = ["rid", "gid", "doc_id", "size", "text_crc32", "n"]
     keep = flagged.where("shard is not null").select(*columns, "shard")
     # Groups that fit nowhere, each in one run; a few of each size at most.
     before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("n"), "gid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = groups.where("shard is null").select("gid", before.alias("before"))
-    split = _ranked(flagged.where("n > 1 and shard is null").join(runs, "gid"), ["gid"], ["rid"], n).withColumn("rank", F.col("rank") + F.col("before"))
+    split = _ranked(flagged.where("n > 1 and shard is null").join(runs, "gid"), ["gid"], ROW, n).withColumn("rank", F.col("rank") + F.col("before"))
     n_split = sum(k * m for k, m in sizes) - sum((hi - lo) * k for k, _, lo, hi in plan)
-    rest = _ranked(flagged.where("n = 1").withColumn("_all", F.lit(0)), ["_all"], ["rid"], n).withColumn("rank", F.col("rank") + n_split)
+    rest = _ranked(flagged.where("n = 1").withColumn("_all", F.lit(0)), ["_all"], ROW, n).withColumn("rank", F.col("rank") + n_split)
     rest = split.select(*columns, "rank").union(rest.select(*columns, "rank"))
     upto, steps = 0, []
     for k, free in [*enumerate(laid), *sorted(enumerate(spare), key=lambda x: -x[1])]:
@@ -100,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         steps.append(F.when(F.col("rank") < upto, k))
     place = F.coalesce(*steps, F.lit(None).cast("int"))
     placed = keep.union(rest.select(*columns, place.alias("shard")))
-    out = _ranked(cut(placed), ["shard"], ["rid"], n)
+    out = _ranked(cut(placed), ["shard"], ROW, n)
     return out.select(
         "doc_id",
         "size",

@@ -3,17 +3,21 @@
 A filter is a direction; a vector belongs to the caps whose directions it
 exceeds.  Directions are structured: after a random rotation each half of the
 vector has a code of random unit words, and a direction is a pair of words, so
-its product with the vector is a sum of two.  The cap height is set by vector,
-so that each lies in exactly ``LIST`` caps of each of ``CODES`` codes: the best
-sums are found from the best words of the halves alone, without visiting the
-directions.  The number of directions follows the size of the largest label, so
-a cap holds about one vector of a label however large the table is.
+its product with the vector is a sum of two.  All directions above the cap
+height are decoded: of the words whose best partner reaches it, sorted, each
+takes its partners as far down as the sum holds, so that no other direction is
+visited.  The height is the one that a random vector exceeds ``LIST`` times a
+code; a vector that exceeds it fewer than ``LEAST`` times gets a lower one of
+its own.  The number of directions follows the size of the largest label, so a
+cap holds a quarter of a random vector of a label however large the table is.
 
 Vectors of one label that share a cap are compared in double precision.  Equal
-vectors are one node, counted by multiplicity.  A cap's members are compared in
-numpy blocks and give only counts and one edge for each linked member; a pair
-is counted in the first cap that it shares.  A cap with more than ``TILE``
-members is cut into tiles, so no task holds it whole.
+vectors are one node, counted by multiplicity.  Only numbers of caps and nodes
+are counted and joined; vectors go to the caps that hold two or more.  A cap's
+members are compared in numpy blocks and give only counts and one edge for each
+linked member; a pair is counted in the first cap that it shares.  A cap with
+more than ``TILE`` members is cut into tiles, so no task holds it whole; each
+member is then sent once for each ``TILE`` members, as counting all links asks.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite
 components, or whose label or ``vec_id`` is null, links with nothing; vectors
@@ -27,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
-CODES, LIST, TILE, SMALL = 2, 8, 1000, 12
+CODES, LIST, LEAST, TILE, SMALL = 2, 6, 8, 1000, 12
+#: Sums that one block of vectors may hold at once.
+BLOCK = 4_000_000
 
 
 class Code:
@@ -39,34 +46,54 @@ class Code:
     def __init__(self, dim: int, directions: int):
         rng = np.random.default_rng(dim)
         self.half = (dim + 1) // 2
-        words = max(LIST, int(np.ceil(directions**0.5)))
+        self.words = max(LIST, int(np.ceil(directions**0.5)))
         self.codes = []
         for _ in range(CODES):
             turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-            parts = [rng.standard_normal((words, n)) for n in (self.half, dim - self.half)]
-            self.codes.append((turn, [p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300) for p in parts]))
-        self.words = words
-        #: Ranks whose product is in reach: the best ``LIST`` sums are among these.
-        self.ranks = np.array([(i, j) for i in range(LIST) for j in range(LIST) if (i + 1) * (j + 1) <= LIST])
-
-    def decode(self, unit: np.ndarray) -> np.ndarray:
-        """Numbers of the ``CODES * LIST`` caps of each row, ascending."""
-        out = []
-        for k, (turn, parts) in enumerate(self.codes):
-            turned = unit @ turn
+            self.codes.append((turn, [self._word_code(rng, n) for n in (self.half, dim - self.half)]))
+        sample = _unit(rng.standard_normal((max(1, min(200, BLOCK // self.words)), dim)))
+        #: The cap height of each code.
+        self.heights = [float(np.median(self._best(*self._scores(code, sample), LIST))) for code in self.codes]
+
+    def _word_code(self, rng, n: int) -> np.ndarray:
+        if n < 2:  # there are only two words, or none
+            return np.array([[1.0], [-1.0]])[: n + 1, :n]
+        p = rng.standard_normal((self.words, n))
+        return p / np.linalg.norm(p, axis=1, keepdims=True)
+
+    def _scores(self, code, unit: np.ndarray) -> list[np.ndarray]:
+        turn, parts = code
+        turned = unit @ turn
+        return [v @ p.T for p, v in zip(parts, (turned[:, : self.half], turned[:, self.half :]))]
+
+    def _best(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        """The ``k``-th best sum of each row: both its words are among the best ``k``."""
+        a, b = (-np.partition(-x, min(k, x.shape[1]) - 1, axis=1)[:, :k] for x in (a, b))
+        sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
+        return -np.partition(-sums, min(k, sums.shape[1]) - 1, axis=1)[:, :k].max(axis=1)
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of all their caps, in order of both."""
+        rows, caps = [], []
+        for k, (code, height) in enumerate(zip(self.codes, self.heights)):
+            a, b = self._scores(code, unit)
+            low = np.minimum(height, self._best(a, b, LEAST))
+            reach = lambda x, y: int((x >= (low - y.max(axis=1))[:, None]).sum(axis=1).max())  # noqa: B023, E731
             best, score = [], []
-            for p, v in zip(parts, (turned[:, : self.half], turned[:, self.half :])):
-                s = v @ p.T
-                top = np.argpartition(-s, LIST - 1, axis=1)[:, :LIST]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+            for x, n in ((a, reach(a, b)), (b, reach(b, a))):
+                top = np.argpartition(-x, n - 1, axis=1)[:, :n]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(x, top, 1), axis=1, kind="stable"), 1)
                 best.append(top)
-                score.append(np.take_along_axis(s, top, 1))
-            i, j = self.ranks.T
-            total = score[0][:, i] + score[1][:, j]
-            pick = np.argpartition(-total, LIST - 1, axis=1)[:, :LIST]
-            number = best[0][:, i].astype(np.int64) * self.words + best[1][:, j]
-            out.append(np.take_along_axis(number, pick, 1) + k * self.words**2)
-        return np.sort(np.concatenate(out, axis=1), axis=1)
+                score.append(np.take_along_axis(x, top, 1))
+            for i in range(score[0].shape[1]):
+                row, j = np.nonzero(score[0][:, i, None] + score[1] >= low[:, None])
+                if not len(row):
+                    break  # words come sorted, so none is left
+                rows.append(row)
+                caps.append(best[0][row, i].astype(np.int64) * self.words + best[1][row, j] + k * self.words**2)
+        rows, caps = np.concatenate(rows), np.concatenate(caps)
+        order = np.lexsort((caps, rows))
+        return rows[order], caps[order]
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -75,30 +102,33 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _memberships(nodes: DataFrame, directions: int) -> DataFrame:
+    """``label, dim, cap, node`` for every cap of every vector."""
+
     def run(batches):
         codes: dict[int, Code] = {}
         for batch in batches:
-            label, node, many = (batch.column(k) for k in range(3))
-            vectors = batch.column(3)
+            label, node, vectors = (batch.column(k) for k in range(3))
             sizes = np.asarray(pa.compute.list_value_length(vectors))
-            flat, starts = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(sizes)])
+            flat, starts = np.asarray(vectors.flatten(), np.float64), np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                for lo in range(0, len(rows), 2000):
-                    some = rows[lo : lo + 2000]
-                    data = flat[starts[some][:, None] + np.arange(dim)]
-                    code = codes.setdefault(int(dim), Code(int(dim), directions))
-                    caps = code.decode(_unit(data))
-                    n = caps.shape[1]
-                    at = pa.array(np.repeat(some, n))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1) * n, pa.int32()), pa.array(np.repeat(caps, n, axis=0).ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [label.take(at), pa.array(np.full(len(at), dim, np.int32)), pa.array(caps.ravel()), node.take(at), many.take(at), vectors.take(at), lists],
-                        ["label", "dim", "cap", "node", "many", "vector", "caps"],
-                    )
-
-    schema = "label string, dim int, cap long, node long, many long, vector array<double>, caps array<long>"
-    return nodes.select("label", "node", "many", "vector").mapInArrow(run, schema)
+                some = np.flatnonzero(sizes == dim)
+                code = codes.setdefault(int(dim), Code(int(dim), directions))
+                step = max(1, min(2000, BLOCK // code.words))
+                for lo in range(0, len(some), step):
+                    at = some[lo : lo + step]
+                    rows, caps = code.decode(_unit(flat[starts[at][:, None] + np.arange(dim)]))
+                    took = pa.array(at[rows])
+                    yield pa.RecordBatch.from_arrays([label.take(took), pa.array(np.full(len(took), dim, np.int32)), pa.array(caps), node.take(took)], ["label", "dim", "cap", "node"])
+
+    return nodes.select("label", "node", "vector").mapInArrow(run, "label string, dim int, cap long, node long")
+
+
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """Lists as rows of one length, filled up with -1."""
+    n = np.asarray(pa.compute.list_value_length(lists))
+    out = np.full((len(n), n.max(initial=0)), -1, np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.asarray(lists.flatten())
+    return out
 
 
 def _links_of_run(unit, caps, block, cap, crossing, threshold):
@@ -125,9 +155,10 @@ def _links_of_small(unit, caps, cap, starts, size, threshold):
     keep = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
     a, b = a[keep], b[keep]
     out = []
-    for lo in range(0, len(a), 10_000):
-        x, y = a[lo : lo + 10_000], b[lo : lo + 10_000]
-        same = (caps[x][:, :, None] == caps[y][:, None, :]) & (caps[x] < cap[x][:, None])[:, :, None]
+    step = max(1, 20_000_000 // max(1, caps.shape[1] ** 2))
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b[lo : lo + step]
+        same = (caps[x][:, :, None] == caps[y][:, None, :]) & ((caps[x] < cap[x][:, None]) & (caps[x] >= 0))[:, :, None]
         out.append(~same.any(axis=(1, 2)))
     keep = np.concatenate(out) if out else np.zeros(0, bool)
     return a[keep], b[keep]
@@ -149,8 +180,8 @@ def _compare(members: DataFrame, threshold: float) -> DataFrame:
             at = np.full(len(dim), -1)
             at[rows] = np.arange(len(rows))
             pick = table.take(pa.array(rows))
-            unit = _unit(pick.column("vector").combine_chunks().flatten().to_numpy().reshape(len(rows), -1))
-            caps = pick.column("caps").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+            unit = _unit(pick.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(rows), -1))
+            caps = _padded(pick.column("caps").combine_chunks())
             own = dim[starts] == d
             s, e = at[starts[own]], at[ends[own] - 1] + 1
             size = e - s
@@ -208,25 +239,27 @@ def _compare(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    vector = F.col("embedding").cast("array<double>")
+    given = vectors.schema["embedding"].dataType
+    narrow = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)  # as exact, and half as wide
+    vector = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vector, lambda x: x != 0)
-    content = F.md5(F.array_join(F.transform(vector, lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"))
+    zero = F.lit(0.0).cast("float" if narrow else "double")
+    content = F.md5(F.array_join(F.transform(vector, lambda x: (x + zero).cast("string")), ",").cast("binary"))
     rows = vectors.select(F.col("vec_id").cast("long"), F.when(F.coalesce(sound, F.lit(False)), F.concat_ws("|", F.col("label").cast("string"), content)).alias("key"), F.col("label").cast("string").alias("label"), vector.alias("vector"))
     groups = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()))
     largest = nodes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
 
-    members = _memberships(nodes, LIST * largest).select("*", F.pmod(F.xxhash64("node"), F.lit(2**20)).alias("_h"))
-    members = cut(members)
-    sizes = members.groupBy("label", "dim", "cap").count().where("count > 1")
     # Caps with one member say nothing; large ones are cut into tiles.
-    members = members.join(sizes, ["label", "dim", "cap"]).withColumn("tiles", F.ceil(F.col("count") / TILE).cast("long"))
-    block = F.pmod(F.col("_h"), F.col("tiles"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    members = members.withColumn("block", block).withColumn("_o", other)
+    members = cut(_memberships(nodes, 4 * LIST * largest))
+    sizes = members.groupBy("label", "dim", "cap").agg(F.count("*").alias("count")).where("count > 1")
+    live = cut(members.join(sizes, ["label", "dim", "cap"]))
+    held = live.groupBy("node").agg(F.collect_list("cap").alias("caps")).join(nodes.select("node", "many", "vector"), "node")
+    live = live.withColumn("tiles", F.ceil(F.col("count") / TILE).cast("long"))
+    live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tile = F.when(F.col("tiles") == 1, F.lit(-1).cast("long")).otherwise(F.least("block", "_o") * 2**20 + F.greatest("block", "_o"))
-    members = members.select("label", "dim", "cap", tile.alias("tile"), "block", "node", "many", "vector", "caps")
-    parts = members.repartition(F.col("label"), F.col("dim"), F.col("cap"), F.col("tile")).sortWithinPartitions("label", "dim", "cap", "tile", "node")
+    live = live.select("label", "dim", "cap", tile.alias("tile"), "block", "node").join(held, "node").select("label", "dim", "cap", "tile", "block", "node", "many", "vector", "caps")
+    parts = live.repartition(F.col("label"), F.col("dim"), F.col("cap"), F.col("tile")).sortWithinPartitions("label", "dim", "cap", "tile", "node")
     found = cut(_compare(parts, threshold))
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
