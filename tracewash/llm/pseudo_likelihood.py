@@ -192,12 +192,17 @@ def _step(target: np.ndarray, squares: np.ndarray, grad: np.ndarray, rows=slice(
     target[rows] -= RATE * grad / np.sqrt(squares[rows])
 
 
-def _outer(h: np.ndarray, g: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """``h.T @ g`` of each run; runs of one row all at once."""
-    out = h[ends[:-1], :, None] * g[ends[:-1], None, :]
-    for k in np.flatnonzero(np.diff(ends) > 1).tolist():
-        i, j = ends[k], ends[k + 1]
-        np.matmul(h[i:j].T, g[i:j], out=out[k])
+def _through(h: np.ndarray, g: np.ndarray, w: np.ndarray, rows: np.ndarray, ends: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """``h.T @ g`` of each run; adds ``g @ w[row].T`` to ``back``.  Runs of one row go all at once."""
+    out = h.take(ends[:-1], axis=0)[:, :, None] * g.take(ends[:-1], axis=0)[:, None, :]
+    long = np.diff(ends) > 1
+    for k, row, i, j in zip(np.flatnonzero(long).tolist(), rows[long].tolist(), ends[:-1][long].tolist(), ends[1:][long].tolist()):
+        part = g[i:j]
+        np.matmul(h[i:j].T, part, out=out[k])
+        back[i:j] += part @ w[row].T
+    one = ends[:-1][~long]
+    if len(one):
+        back[one] += np.matmul(w.take(rows[~long], axis=0), g.take(one, axis=0)[:, :, None])[:, :, 0]
     return out
 
 
@@ -215,22 +220,22 @@ def train(p: dict, squares: dict, line: np.ndarray, at: np.ndarray) -> None:
             x[np.arange(len(some)), want] -= 1
             errors.append((row, x))
         (_, g), (a, ga), (ab, gab) = errors
-        back = g @ p["first"].T
+        back, steps = g @ p["first"].T, []
         for name, row, error in (("second", a, ga), ("third", ab, gab)):
-            _by_runs(row, lambda r, i, j: error[i:j] @ p[name][r].T, back)  # noqa: B023
+            first, ends = _runs(row)
+            steps.append((name, row[first], _through(h, error, p[name], row[first], ends, back), np.add.reduceat(error, first, axis=0)))
         back *= 1 - h * h
         _step(p["first"], squares["first"], h.T @ g)
         _step(p["first_bias"], squares["first_bias"], g.sum(0))
-        for name, row, error in (("second", a, ga), ("third", ab, gab)):
-            first, ends = _runs(row)
-            _step(p[name], squares[name], _outer(h, error, ends), row[first])
-            _step(p[name + "_bias"], squares[name + "_bias"], np.add.reduceat(error, first, axis=0), row[first])
+        for name, rows, grad, grad_bias in steps:
+            _step(p[name], squares[name], grad, rows)
+            _step(p[name + "_bias"], squares[name + "_bias"], grad_bias, rows)
         _step(p["bias"], squares["bias"], back.sum(0))
         grads = p["scale"][:, None, :] * back
         _step(p["scale"], squares["scale"], np.einsum("nh,knh->kh", back, seen))
         order, rows = _by(near.ravel())
         first, _ = _runs(rows)
-        _step(p["embed"], squares["embed"], np.add.reduceat(grads.reshape(-1, WIDTH)[order], first, axis=0), rows[first])
+        _step(p["embed"], squares["embed"], np.add.reduceat(grads.reshape(-1, WIDTH).take(order, axis=0), first, axis=0), rows[first])
 
 
 # -- Counting -----------------------------------------------------------------
@@ -297,16 +302,23 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((known.common, known.parts))  # COMMON short words
 
     def coded(part: pa.RecordBatch, memo: Numbers, parts: np.ndarray) -> pa.RecordBatch:
-        lengths, numbers, shares, rare = [], [], [], []
+        lengths, numbers, shares, rare, ends = [], [], [], ([], [], []), [0]
         for text in part.column(3).to_pylist():
             words = words_of(text)
-            place, number = np.divmod(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), WORDS)
+            found = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+            place, number = found >> 15, (found & (WORDS - 1)).astype(np.uint16)
             lengths.append(len(words))
-            numbers.append(number.astype(np.uint16).tobytes())
+            numbers.append(number.tobytes())
             shares.append(int(parts[place].sum()))
-            rare.append([{"word": w, "number": n, "k": k} for (w, n), k in Counter((words[i], int(number[i])) for i in np.flatnonzero(place == 0)).items()])
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("k", pa.int64())]))
-        new = [pa.array(lengths, pa.int64()), pa.array(numbers, pa.binary()), pa.array(shares, pa.int64()), pa.array(rare, kind)]
+            at = np.flatnonzero(place == 0).tolist()
+            of = dict(zip([words[i] for i in at], number[at].tolist()))
+            seen = Counter([words[i] for i in at])
+            for column, values in zip(rare, (seen.keys(), map(of.__getitem__, seen), seen.values())):
+                column += values
+            ends.append(len(rare[0]))
+        kind = ((pa.binary(), "word"), (pa.int32(), "number"), (pa.int64(), "k"))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, t) for x, (t, _) in zip(rare, kind)], [n for _, n in kind]))
+        new = [pa.array(lengths, pa.int64()), pa.array(numbers, pa.binary()), pa.array(shares, pa.int64()), listed]
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *new], ["rid", "key", "doc_id", "n_words", "numbers", "parts", "rare"])
 
     def run(batches):
@@ -404,7 +416,7 @@ def fit(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray
     """Parameters trained on each word of the ``encoded`` documents, as one flat array of fixed size."""
     flat = start(known.totals)
     total = int(known.totals.sum())
-    groups = -(-total // rounds // int(min(max((total * GROUP[0]) ** 0.5 / 8, GROUP[0]), GROUP[1]))) or 1
+    groups = -(-total // rounds // int(min(max((total * GROUP[0]) ** 0.5 / 4, GROUP[0]), GROUP[1]))) or 1
     dealt = coded.select(F.pmod("key", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("key", 8), F.lit(groups)).alias("group"), "key", "numbers")
     for turn in range(rounds):
         flat = _train_round(dealt.where(F.col("round") == turn).drop("round"), groups, flat)
