@@ -10,9 +10,9 @@ reaches the share ``disclosure`` of the value's own information
 Sanitised text replaces base spans by their kind; disclosing terms are
 generalised to a placeholder or removed.
 
-Scale: each distinct text is shuffled once; counting sends partial counts by
-word and by (value, term, context); a frequent value or word is summed before
-the shuffle.  Disclosing terms are not broadcast: a bit map of 16 bits a term,
+Scale: only texts with copies are shuffled, once each; counting sends partial
+counts by word and by (value, term, context); a frequent value or word is summed
+before the shuffle.  Disclosing terms are not broadcast: a bit map of 16 bits a term,
 16 MB at most, finds possible occurrences and a join on the term confirms them.
 
 Defined results: a null text counts as empty and has no spans.  Copies of a
@@ -23,6 +23,7 @@ neither discloses a term nor hides one.  Rows stay rows, whatever repeats;
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -124,8 +125,38 @@ def contexts(text: str, spans) -> list[tuple[str, int, set[str]]]:
     return out
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """Partial counts: ``value`` null for a term, ``term`` null for a value."""
+def _copied_map(docs: DataFrame) -> bytes:
+    """Bit map of the hashes of texts that occur more than once."""
+    keys = docs.select(F.md5(F.col("text").cast("string").cast("binary")).alias("term")).where("term is not null")
+    return _bit_map(keys.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term"))
+
+
+def _maybe_copied(text: str, flat: bytes) -> bool:
+    if not flat:
+        return False
+    k = _slot(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest(), 8 * len(flat))
+    return bool(flat[k >> 3] >> (k & 7) & 1)
+
+
+def _distinct_counts(docs: DataFrame) -> DataFrame:
+    """``_counts`` over distinct texts.
+
+    Only texts that the bit map takes for copied are shuffled; the map is of
+    bounded size, and one that is too small only has more texts shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_copied_map(docs))
+
+    def copied(batches):
+        for batch in batches:
+            keep = [t is not None and _maybe_copied(t, held.value) for t in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    once = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(copied, "text string").distinct()
+    return _counts(docs, held).unionByName(_counts(once))
+
+
+def _counts(docs: DataFrame, copied=None) -> DataFrame:
+    """Partial counts: ``value`` null for a term, ``term`` null for a value; ``copied`` maps texts to pass over."""
 
     def run(batches):
         terms: Counter = Counter()
@@ -140,7 +171,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                if not text:
+                if not text or (copied is not None and _maybe_copied(text, copied.value)):
                     continue
                 terms.update(w.strip(_EDGE) for w in _WORD.findall(text.lower()))
                 spans = base_spans(text)
@@ -163,8 +194,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, support: int = 3)
 
     ``support`` is the number of distinct contexts a pair needs.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    counted = cut(_counts(texts).groupBy("value", "term", "context").agg(F.sum("n").alias("n")))
+    counted = cut(_distinct_counts(docs).groupBy("value", "term", "context").agg(F.sum("n").alias("n")))
     n_term = counted.where("value is null and term <> ''").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = n_term.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
     n_value = counted.where("value is not null and term is null").groupBy("value").agg(F.sum("n").alias("n_value"))
