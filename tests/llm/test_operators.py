@@ -252,9 +252,8 @@ def shingle_set(text, width):
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - min(width, len(w)) + 1)) if w else frozenset()
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_minhash_equals_all_pairs(docs, text_of, empty, width, percent):
-    sets = {i: shingle_set(t, width) for i, t in text_of.items()}
+def classes(sets, percent):
+    """Smallest id that links of ``percent`` reach, by all pairs."""
     up = {i: i for i in sets}
 
     def root(x):
@@ -263,18 +262,44 @@ def test_minhash_equals_all_pairs(docs, text_of, empty, width, percent):
         return x
 
     for i in sets:
-        for j in range(i):
-            both = len(sets[i] & sets[j])
+        for j in sets:
+            both = len(sets[i] & sets[j]) if j < i else 0
             if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_minhash_equals_all_pairs(docs, text_of, empty, width, percent):
+    sets = {i: shingle_set(t, width) for i, t in text_of.items()}
+    least = classes(sets, percent)
     got = minhash.near_duplicates(docs, width, percent).collect()
     assert len(got) == len(sets)
     for r in got:
-        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), least[r.doc_id], least[r.doc_id] == r.doc_id)
     assert minhash.near_duplicates(empty, width, percent).count() == 0
 
 
+@pytest.mark.parametrize("split", [2, 1000])
+def test_minhash_clouds_around_the_threshold(spark, monkeypatch, split):
+    """Hubs leave many pairs of a cloud apart; parts of its buckets lose none."""
+    monkeypatch.setattr(minhash, "SPLIT", split)
+    rng = random.Random(6)
+    text_of = {}
+    for cloud in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+        for i in range(30):
+            words = list(base)
+            for at in rng.sample(range(240), rng.randint(2 + cloud, 5)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            text_of[100 * cloud + i] = " ".join(words)
+    least = classes({i: shingle_set(t, 3) for i, t in text_of.items()}, 85)
+    assert 3 < len(set(least.values())) < len(least)
+    found = minhash.near_duplicates(spark.createDataFrame(list(text_of.items()), "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: r.component_id for r in found.collect()} == least
+
+
 def test_minhash_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (1, "h i j k l m n"), (4, "h i j k l m n"), (4, "A b c d e f g")]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()

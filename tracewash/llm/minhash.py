@@ -10,7 +10,8 @@ link is confirmed on the full sets.
 How skew is met: documents with equal sets are one node; within a band bucket
 each node is first compared with the bucket's hub only, the node that shares
 most buckets, so a bucket gives rows in proportion to its size; the next hub
-follows in buckets that still hold several components.  Pairs that the hubs
+follows in buckets that still hold several components.  Joins by bucket deal
+the members of a large bucket to tasks by parts of 1,000.  Pairs that the hubs
 leave apart are then compared by size and by sharper signatures inside the
 join, and come out of the first bucket that they share.
 
@@ -43,6 +44,8 @@ MARGIN = 4.5
 MEMO = 300_000
 #: Hubs of a bucket that all its members are compared with.
 HUBS = 2
+#: Members of a bucket that one task gets; larger buckets are split.
+SPLIT = 1000
 #: Shingles whose sets a task keeps while it confirms pairs, 48 MB.
 HELD = 6_000_000
 
@@ -239,13 +242,18 @@ def _verified(near: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
     return full.select("u", "v", "tu", "tv").mapInArrow(confirm, "u long, v long")
 
 
+def _each_part(buckets: DataFrame) -> DataFrame:
+    """A row of ``buckets(band, parts, ...)`` for every part of its members."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
 def _open(member: DataFrame, label: DataFrame | None) -> DataFrame:
     """Members, with their labels, of the buckets that hold two or more."""
     if label is None:
         return member.withColumn("label", F.col("node"))
     known = member.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    return cut(known.join(mixed, "band", "left_semi"))
+    mixed = known.groupBy("band", "parts").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "parts")
+    return cut(known.join(_each_part(mixed), ["band", "part"], "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -269,7 +277,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
     order = F.struct("degree", F.xxhash64("node").alias("h"), "node")
     none = F.lit(None).cast("struct<degree:bigint,h:bigint,node:bigint>")
-    member = cut(member.join(degree, "node").select("band", "node", order.alias("order"), none.alias("last")))
+    # What a bucket's members are joined with by bucket is joined by parts of it.
+    parts = F.ceil(F.col("n") / SPLIT).cast("long")
+    part = F.pmod(F.xxhash64("node"), parts)
+    member = cut(member.join(degree, "node").select("band", "node", parts.alias("parts"), part.alias("part"), order.alias("order"), none.alias("last")))
 
     chosen = first.join(degree.select("node"), "node", "left_semi").select("node", "n_shingles", "signature", "least.*")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
@@ -278,8 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, label = None, None
     for _ in range(HUBS):
         member = _open(member, label)
-        top = member.where("last is null or order < last").groupBy("band").agg(F.max(F.struct("order", "label")).alias("top"))
-        member = cut(member.drop("last", "main").join(top.select("band", F.col("top.order").alias("last"), F.col("top.label").alias("main")), "band"))
+        top = member.where("last is null or order < last").groupBy("band", "parts").agg(F.max(F.struct("order", "label")).alias("top"))
+        top = _each_part(top.select("band", "parts", F.col("top.order").alias("last"), F.col("top.label").alias("main")))
+        member = cut(member.drop("last", "main").join(top, ["band", "part"]))
         star = cut(member.where("order < last and label <> main").select(F.col("node").alias("u"), F.col("last.node").alias("v")).distinct())
         new = cut(_verified(_pruned(star, nodes, percent), nodes, width, percent))
         links = new if links is None else links.union(new)
@@ -287,16 +299,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # What the hubs leave open: pairs of a bucket that are still apart.
     known = _open(member.drop("main"), label).where("order < last")
-    head = known.groupBy("band").agg(F.max(F.struct("order", "label"))["label"].alias("main"))
-    known = cut(known.join(head, "band").select("band", "node", "label", "main"))
+    head = known.groupBy("band", "parts").agg(F.max(F.struct("order", "label"))["label"].alias("main"))
+    known = cut(known.join(_each_part(head), ["band", "part"]).select("band", "parts", "part", "node", "label", "main"))
     sharp = sharp_signatures(nodes.join(known.select("node").distinct(), "node", "left_semi"), width)
     sharp = cut(sharp.join(known.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"))
     side = lambda x: _signed(sharp, x).join(sharp.select(F.col("node").alias(x), F.col("bands").alias("b" + x)), x)
-    apart = known.where("label <> main").select("band", F.col("node").alias("u"), F.col("label").alias("lu")).join(side("u"), "u")
-    other = known.select("band", F.col("node").alias("v"), F.col("label").alias("lv"), "main").join(side("v"), "v")
+    apart = known.where("label <> main").select("band", "parts", F.col("node").alias("u"), F.col("label").alias("lu")).join(side("u"), "u")
+    other = known.select("band", "part", F.col("node").alias("v"), F.col("label").alias("lv"), "main").join(side("v"), "v")
     once = (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("main")) | (F.col("u") < F.col("v")))
+    apart = _each_part(apart)
     first_shared = apart["band"] == F.array_min(F.array_intersect("bu", "bv"))
-    rest = cut(apart.join(other, (apart["band"] == other["band"]) & once & _close(percent, SHARP) & first_shared).select("u", "v"))
+    same = (apart["band"] == other["band"]) & (apart["part"] == other["part"])
+    rest = cut(apart.join(other, same & once & _close(percent, SHARP) & first_shared).select("u", "v"))
     more = cut(_verified(rest, nodes, width, percent))
     if not more.isEmpty():
         label = cut(components(links.union(more)))
