@@ -316,9 +316,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         label = cut(components(links.union(more)))
 
     # A component is named by its smallest document.
-    of_node = first.join(label, "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label"))
-    least = of_node.groupBy("label").agg(F.min("least").alias("first"))
-    of_set = cut(of_node.join(least, "label").select("set_key", "first"))
+    of_node = cut(first.join(label, "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label")))
+    several = of_node.groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # From a table of its own the join can be split where a label is frequent.
+    several = cut(several.drop("n"))
+    of_set = cut(of_node.join(several, "label", "left").select("set_key", F.coalesce("first", "least").alias("first")))
     out = shared.join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
