@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut  # noqa: F401
+from ..operators.graph import components, cut, shared_folder  # noqa: F401
 
 #: Separators of words: blank and the five ASCII control blanks.
 BLANKS = r"[\x20\x09-\x0D]+"

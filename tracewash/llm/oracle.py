@@ -1,8 +1,9 @@
 """DuckDB SQL for the operators that SQL can express, over whole tables.
 
 Written apart from the Spark code, in plain relational form.  Personal data,
-the two tokenizers, sharding by propagation and the network score have none;
-their tests hold them against brute-force versions.
+the two tokenizers, sharding by propagation, the network score, the Merkle tree
+(no checksum of its kind in DuckDB) and whitening (eigenvectors) have none; their
+tests hold them against brute-force versions.
 """
 
 from __future__ import annotations
@@ -83,10 +84,15 @@ QUALITY = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_chars / n_words BETWEEN 2 AND 15, true)
         AND coalesce(n_symbols / nullif(word_chars, 0) <= 0.05, true) AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.6, true) AND coalesce(n_stop / nullif(n_words, 0) >= 0.02, true) AS kept FROM v"""
 
+EXACT = f"""WITH d AS MATERIALIZED (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
+
 ORACLE_SQL = {
     "op2_vector_near_dedup": VECTORS,
     "op4_secret_scan": SECRETS,
     "op5_minhash_near_dedup": NEAR_DOCUMENTS,
     "op9_source_mixing": MIXING,
     "op10_quality_rules": QUALITY,
+    "op11_exact_dedup": EXACT,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pieces, pii, pseudo_likelihood, quality, secrets, sharding, token_counts, vectors
+from . import exact, merkle, minhash, mixing, pieces, pii, pseudo_likelihood, quality, secrets, sharding, token_counts, vectors, whitening
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_vector_near_dedup": op2_vector_near_dedup,
@@ -69,4 +81,7 @@ QUERIES = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
