@@ -70,9 +70,10 @@ class DigestIndex:
     def admit(self, digests: DataFrame, batch: str) -> None:
         """Append what the index lacks of ``digests(doc_id, rid, digest)``, the smallest ``doc_id`` of each."""
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-        found = digests.groupBy("digest").agg(first).repartition(self.buckets, "digest")
+        # Written first: else the join would go below the aggregate, and all copies of a text through one task of it.
+        found = cut(digests.groupBy("digest").agg(first))
         new = found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        rows = new.select("digest", "first.doc_id", F.lit(batch).alias("batch"), "first.rid")
+        rows = new.select("digest", "first.doc_id", F.lit(batch).alias("batch"), "first.rid").repartition(self.buckets, "digest")
         rows.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
@@ -84,8 +85,8 @@ class DigestIndex:
 def looked_up(digests: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of ``digests``."""
     n = digests.count()
-    groups = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = cut(groups.repartition(index.buckets, "digest").join(index.rows().hint("merge"), "digest").select("digest", "group_size", F.col("doc_id").alias("keep_id"), F.col("batch").alias("of"), F.col("rid").alias("main")))
+    groups = cut(digests.groupBy("digest").agg(F.count("*").alias("group_size")))
+    groups = cut(groups.join(index.rows().hint("merge"), "digest").select("digest", "group_size", F.col("doc_id").alias("keep_id"), F.col("batch").alias("of"), F.col("rid").alias("main")))
     hot = groups.where(F.col("group_size") * HOT >= n)
     few = digests.join(F.broadcast(hot), "digest")
     rest = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.where(F.col("group_size") * HOT < n).hint("merge"), "digest")
