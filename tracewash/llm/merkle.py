@@ -132,7 +132,7 @@ class NodeStore:
         paths = crown(len(self.levels)).select("tree", F.lit(0).cast("long").alias("idx"), "path", "subroot")
         for k in range(len(self.levels), 0, -1):
             nodes = self.levels[k - 1].select("tree", "idx", "children")
-            down = paths.join(nodes, ["tree", "idx"]).select("tree", "path", "subroot", "children", F.posexplode("children").alias("at", "child"))
+            down = paths.join(nodes.hint("merge"), ["tree", "idx"]).select("tree", "path", "subroot", "children", F.posexplode("children").alias("at", "child"))
             step = F.array(F.struct(left("children", F.col("at")).alias("left"), right("children", F.col("at")).alias("right")))
             down = down.select("tree", F.col("child.idx").alias("idx"), F.concat(step, "path").alias("path"), "subroot", "child")
             paths = down.select("tree", "idx", "path", "subroot")
@@ -167,7 +167,7 @@ def manifest(leaves: DataFrame, group: str = "source", key: str = "doc_id") -> D
     trees, many = placed(tops.select(F.lit("").alias("tree"), "group", "digest", F.struct(F.col("tree").alias("tree"), "level").alias("row")), "group")
     above = NodeStore(trees.select("tree", "idx", "last", "digest", "row"), many)
     root = above.tops().first()
-    crown = leaves.sparkSession.range(1).select(F.lit("").alias("tree"), F.lit(len(above.levels)).alias("level"), F.lit("").alias("subroot"), F.array().cast(_STEP).alias("path"))
+    crown = cut(leaves.sparkSession.range(1).select(F.lit("").alias("tree"), F.lit(len(above.levels)).alias("level"), F.lit("").alias("subroot"), F.array().cast(_STEP).alias("path")))
     crowns = cut(above.proofs(crown).select("row.tree", "row.level", F.col("digest").alias("subroot"), "path"))
     return store.proofs(crowns).withColumn("root", F.lit(root["digest"] if root else None).cast("string"))
 
