@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewash.plans.fixtures import EXPECTED, FORMS, NAMES, REFUSED, chunk
-from tracewash.sources import files, metadata
+from tracewash.sources import cleaning, files, metadata
 
 SECRET = b"Jane Secret 00000007"
 BUILT = {NAMES.get(k, f"a.{k}").replace("a.", f"{k}."): f(SECRET) for k, f in FORMS.items()}
@@ -21,7 +21,7 @@ def frame(spark, rows):
 
 
 def cleaned(spark, rows):
-    return {r.file_id: r for r in metadata.cleaned(metadata.with_parts(frame(spark, rows))).select("file_id", "name", "error_code", "cleaned").collect()}
+    return {r.file_id: r for r in cleaning.cleaned(metadata.with_parts(frame(spark, rows))).select("file_id", "name", "error_code", "cleaned").collect()}
 
 
 def test_scan_items_clean_and_clean_again(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_scan_items_clean_and_clean_again(spark, tmp_path):
         found.setdefault(r.name.split(".")[0], []).append((r.field, r.value, r.risk))
     for kind, want in EXPECTED.items():
         assert sorted(map(str, found[kind])) == sorted(str((f, v and v.replace("*", SECRET.decode()), r)) for f, v, r in want)
-    rows = {r.name: r for r in metadata.cleaned(walked).collect()}
+    rows = {r.name: r for r in cleaning.cleaned(walked).collect()}
     for name in BUILT:
         kind = name.split(".")[0]
         assert rows[name].error_code == REFUSED.get(kind)
@@ -120,7 +120,7 @@ def test_sinks(spark, tmp_path):
     from tracewash.sources import sinks
 
     walked = metadata.with_parts(frame(spark, [("png.png", BUILT["png.png"]), ("heic.heic", BUILT["heic.heic"]), ("gif.gif", BUILT["gif.gif"])]))
-    done = metadata.cleaned(walked)
+    done = cleaning.cleaned(walked)
     sinks.write_results(done, str(tmp_path / "done"))
     back = {r.name: r for r in spark.read.parquet(str(tmp_path / "done")).collect()}
     assert bytes(back["png.png"].cleaned) == FORMS["png"](None) and back["heic.heic"].cleaned is None and back["heic.heic"].error_code

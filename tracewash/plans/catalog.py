@@ -15,7 +15,7 @@ from ..functions import urls, values
 from ..functions.dictionaries import AUTHOR_PARTS, CATEGORIES, DESKTOP, DEVICE_PARTS, EXIF_RISK, HIGH_PARAMS, IPAD, IPHONE, MEDIUM_PARAMS, OTHER_SCREENS, PHONE_MAKERS, PRESERVED, SHOT_NAMES, SHOT_SOFTWARE, SUSPECT_KEY, SUSPECT_VALUE, TRACKERS
 from ..operators import correlation, items, results, screenshots
 from ..operators.graph import cut
-from ..sources import metadata
+from ..sources import cleaning, metadata
 from . import fixtures
 from .views import view, with_views
 
@@ -289,9 +289,9 @@ def certificate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.removed_by_category(view(spark, sf_dir, "v_risk"), view(spark, sf_dir, "v_after"))
 
 
-def _done(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+def _done(spark: SparkSession, sf_dir: str, *kinds: str, shapes: int = 1) -> DataFrame:
     """Files of these kinds, cleaned and written once for all that reads them."""
-    return cut(metadata.cleaned(metadata.with_parts(fixtures.built(spark, sf_dir, *kinds))).drop("parts"))
+    return cut(cleaning.cleaned(metadata.with_parts(fixtures.built(spark, sf_dir, *kinds, shapes=shapes))).drop("parts"))
 
 
 def _hex(raw: bytes) -> str:
@@ -338,7 +338,7 @@ _SIZE = lambda kind, secret: len(fixtures.FORMS[kind](b"Jane Secret 00000000" if
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _done(spark, sf_dir, *_MIXED)
-    rows = done.join(metadata.verified(done), "file_id", "left")
+    rows = done.join(cleaning.verified(done), "file_id", "left")
     return results.batch_summary(rows.select("error_code", "verified", F.length("content").alias("original_size"), F.length("cleaned").alias("cleaned_size")))
 
 
@@ -347,24 +347,25 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _extract_sql(kind: str) -> str:
     text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({text(f)}, CAST({text(v)} AS VARCHAR), {text(r)})" for f, v, r in fixtures.EXPECTED[kind])
-    return f"SELECT 'p' || p_partkey AS file_id, field, replace(value, '*', {fixtures.SECRET_SQL}) AS value, risk FROM part, (VALUES {rows}) e(field, value, risk)"
+    every = [(None, *e) for e in fixtures.EXPECTED[kind]] + [(k, *e) for k, some in fixtures.EXTRA.get(kind, {}).items() for e in some]
+    rows = ", ".join(f"({'NULL' if k is None else k}, {text(f)}, CAST({text(v)} AS VARCHAR), {text(r)})" for k, f, v, r in every)
+    return f"SELECT 'p' || p_partkey AS file_id, field, replace(value, '*', {fixtures.SECRET_SQL}) AS value, risk FROM part JOIN (VALUES {rows}) e(shape, field, value, risk) ON shape IS NULL OR shape = p_partkey % {fixtures.SHAPES}"
 
 
 def _clean_sql(kind: str) -> str:
     if kind in fixtures.REFUSED:
         return f"SELECT 'p' || p_partkey AS file_id, '{fixtures.REFUSED[kind]}' AS error_code, CAST(NULL AS VARCHAR) AS cleaned_sha256, CAST(NULL AS BOOLEAN) AS verified FROM part"
-    seal = hashlib.sha256(fixtures.FORMS[kind](None)).hexdigest()
-    return f"SELECT 'p' || p_partkey AS file_id, CAST(NULL AS VARCHAR) AS error_code, '{seal}' AS cleaned_sha256, {kind not in fixtures.STILL_BAD} AS verified FROM part"
+    seals = " ".join(f"WHEN {k} THEN '{hashlib.sha256(fixtures.FORMS[kind](None, k)).hexdigest()}'" for k in range(fixtures.SHAPES))
+    return f"SELECT 'p' || p_partkey AS file_id, CAST(NULL AS VARCHAR) AS error_code, CASE p_partkey % {fixtures.SHAPES} {seals} END AS cleaned_sha256, {kind not in fixtures.STILL_BAD} AS verified FROM part"
 
 
 def _of_kind(kind: str) -> None:
     def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return metadata.items(metadata.with_parts(fixtures.built(spark, sf_dir, kind))).select("file_id", "field", "value", "risk")
+        return metadata.items(metadata.with_parts(fixtures.built(spark, sf_dir, kind, shapes=fixtures.SHAPES))).select("file_id", "field", "value", "risk")
 
     def clean_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = _done(spark, sf_dir, kind)
-        return done.select("file_id", "error_code", F.sha2("cleaned", 256).alias("cleaned_sha256")).join(metadata.verified(done).select("file_id", "verified"), "file_id", "left")
+        done = _done(spark, sf_dir, kind, shapes=fixtures.SHAPES)
+        return done.select("file_id", "error_code", F.sha2("cleaned", 256).alias("cleaned_sha256")).join(cleaning.verified(done).select("file_id", "verified"), "file_id", "left")
 
     for name, f, sql in (("extract", extract, _extract_sql(kind)), ("clean_verify", clean_verify, _clean_sql(kind))):
         f.__name__ = f"{name}_{kind}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .registry import ADDED
+
 # File kinds in order of precedence, by MIME type and by ending.
 KINDS = (
     ("jpeg", "image/jpe?g", "jpe?g"),
@@ -28,7 +30,7 @@ def file_type(name: Column, mime: Column | None = None) -> Column:
     """The first kind whose MIME type or ending fits, else ``unknown``."""
     low, kind = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(mime if mime is not None else F.lit(None).cast("string"), F.lit("")))
     out = None
-    for k, types, endings in KINDS:
+    for k, types, endings in (*KINDS, *((f.kind, f.mime, f.endings) for f in ADDED.values())):
         hit = kind.rlike(f"^({types})$") | low.rlike(rf"\.({endings})$")
         out = F.when(hit, k) if out is None else out.when(hit, k)
     return out.otherwise("unknown")
@@ -37,7 +39,7 @@ def file_type(name: Column, mime: Column | None = None) -> Column:
 def magic_error(kind: Column, content: Column) -> Column:
     """``NOT_<KIND>`` where the content does not start as its kind does."""
     out = F.lit(None).cast("string")
-    for k, start in MAGIC.items():
+    for k, start in (MAGIC | {f.kind: f.magic for f in ADDED.values() if f.magic}).items():
         head = F.hex(F.substring(content, 1, max(map(len, start.split("|"))) // 2))
         out = F.when((kind == k) & ~head.rlike(f"^({start})"), f"NOT_{k.upper()}").otherwise(out)
     return out

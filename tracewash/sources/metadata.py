@@ -1,14 +1,11 @@
-"""From files to metadata items, to cleaned files, and back to check them.
+"""From files to metadata items.
 
 ``with_parts`` runs the walkers in Arrow batches and keeps their rows beside the
-content, so that neither is shuffled.  What a part is called, how risky it is
-and whether it goes are column expressions over those rows; the cleaned file is
-put together from the content by expression as well.  Files inside files
-(images in mail, in SVG, in Office packages) are rows of their own while they
-are cleaned, and come back by file and place.
+content, so that neither is shuffled.  What a part is called and how risky it is
+are column expressions over those rows; ``cleaning`` has those on what goes.
 
-A file that can't be walked to its end gets an ``error_code`` and no ``cleaned``
-content; no file fails the job.
+A file that can't be walked to its end gets an ``error_code``; no file fails the
+job.
 """
 
 from __future__ import annotations
@@ -20,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..operators.items import category, exif_risk, keyword_risk, office_risk, pdf_risk
 from .files import magic_error
-from .names import EMBEDDED, ESSENTIAL_HEADERS, LABELLED, LABELS, MORE_HEADERS, SCANNERS, SENSITIVE_HEADERS
+from .names import EMBEDDED, ENDINGS, ESSENTIAL_HEADERS, KEPT_CHUNKS, KEPT_IN_WAV, KEPT_IN_WEBP, LABELLED, LABELS, MORE_HEADERS, SCANNERS, SENSITIVE_HEADERS
+from .registry import ADDED, walkers_by_kind
 
 PART = "struct<ord:int,kind:string,key:string,start:int,end:int,text:string>"
 
@@ -30,9 +28,7 @@ WAV_HIGH, WAV_MEDIUM = ("IENG", "ISFT", "ITCH"), ("IART", "ICMT", "ICOP")
 VORBIS_HIGH, VORBIS_MEDIUM = ("VENDOR", "ENCODER", "ENCODED-BY"), ("ARTIST", "COMMENT", "COPYRIGHT")
 MP4_HIGH = ("©xyz", "©too", "©enc", "auth", "©ART", "©wrt")
 GIF_APPS = "XMP Data|ICCRGBG1|ADOBE:IR|ImageMagick|MGK8BIM0000|Adobe|Photoshop"
-TIFF_HIGH, TIFF_KEPT = ("Make", "Model", "MakerNote"), ("Make", "Model", "Software", "DateTime", "Artist", "Copyright", "HostComputer", "ImageDescription", "DocumentName", "XMLPacket", "IPTCNAA", "ImageResources", "UniqueCameraModel", "CameraSerialNumber", "OriginalRawFileName", "RawDataUniqueID")
-#: Parts with text that say who, where or with what, by how they are removed.
-ERRORS = {"encrypted": "PDF_ENCRYPTED", "compressed": "PDF_COMPRESSED_INFO"}
+TIFF_HIGH = ("Make", "Model", "MakerNote")
 
 
 def _walked_type() -> Column:
@@ -42,10 +38,9 @@ def _walked_type() -> Column:
 
 def with_parts(files: DataFrame) -> DataFrame:
     """``files`` with ``parts`` and ``error_code``."""
-    from . import texts, walkers
+    from . import walkers
 
-    known = {n: getattr(walkers, n) for n in ("png", "gif", "tiff", "jpeg", "mp3", "flac", "ogg", "heic", "office")} | {n: getattr(texts, n) for n in ("eml", "svg", "pdf")}
-    known |= {"webp": walkers.riff, "wav": walkers.riff, "wave": walkers.riff, "video": walkers.mp4, "m4a": walkers.mp4, "aac": walkers.mp3, "oga": walkers.ogg}
+    known = walkers_by_kind()
     files = files.withColumn("walked", _walked_type()).withColumn("error_code", magic_error(F.col("file_type"), F.col("content")))
     columns = files.columns
     at = {c: columns.index(c) for c in ("walked", "content", "error_code")}
@@ -80,42 +75,46 @@ def _mail_risk(low: Column) -> Column:
     return (
         F.when(low == "x-originating-ip", "critical")
         .when(low.isin("x-mailer", "user-agent", "message-id"), "medium")
-        .when(_sensitive(low), "high")
+        .when(sensitive(low), "high")
         .when(low.isin("from", "to", "cc", "subject", "date"), "low")
     )
 
 
-def _sensitive(low: Column) -> Column:
+def sensitive(low: Column) -> Column:
+    """Whether a header of mail, in lower case, goes."""
     return ~low.isin(*ESSENTIAL_HEADERS) & low.rlike("|".join((*SENSITIVE_HEADERS, *MORE_HEADERS)))
 
 
 def _risk(walked: Column, p: Column) -> Column:
     """Risk of a part, null for structure that is no metadata."""
     kind, key, text = p["kind"], p["key"], p["text"]
-    exif = F.when(kind.isin("0th", "1st", "Exif", "GPS", "Interop") & text.isNotNull(), exif_risk(key))
-    svg_risk = {"rdf": "high", "script": "high", "attribute": "high", "namespace": "medium", "editor": "medium", "metadata": "medium", "embedded": "medium", "license": "low", "title": "low", "desc": "medium"}
+    exif = F.when(kind.isin("0th", "1st", "Sub", "Exif", "GPS", "Interop") & text.isNotNull(), exif_risk(key))
+    svg_risk = {"rdf": "high", "script": "high", "attribute": "high", "namespace": "medium", "editor": "medium", "metadata": "medium", "embedded": "medium", "license": "low", "title": "low", "desc": "medium", "instruction": "medium"}
     svg = F.when((kind == "attribute") & key.rlike("^(inkscape|sodipodi):") & ~key.isin("inkscape:version", "sodipodi:docname"), "medium")
     svg = svg.when(kind == "dc", F.when(key.isin("dc:creator", "dc:rights"), "high").otherwise("medium")).when((kind == "comment") & (F.length("p.text") > 5), "medium")
     for k, r in svg_risk.items():
         svg = svg.when(kind == k, r)
-    return (
+    out = (
         F.when(kind == "technical", F.when(key.isin("UnreadableEXIF"), "medium").otherwise("low"))
         .when(kind == "trailing", "medium")
-        .when(walked == "png", F.when(kind.isin("tEXt", "zTXt", "iTXt"), keyword_risk(key)).when(kind == "iCCP", "medium").when(kind.isin("eXIf"), "high").when(kind.isin("tIME"), "medium").when(kind == "IHDR", "low"))
-        .when(walked == "webp", F.when(kind.isin("EXIF", "XMP "), "high").when(kind == "ICCP", "medium").when(kind == "VP8X", "low"))
-        .when(walked == "gif", F.when(kind == "comment", "high").when(kind == "plain", "medium").when(kind == "application", F.when(key.startswith("NETSCAPE"), "low").when(key.rlike(GIF_APPS), "high").otherwise("medium")).when(kind == "screen", "low"))
-        .when(walked == "tiff", F.when((kind == "GPS") | (kind == "pointer") & (key == "GPS"), "critical").when((kind == "pointer") | key.isin(*TIFF_HIGH), "high").otherwise(exif))
-        .when(walked == "jpeg", F.when(key.isin("XMP", "IPTC"), "high").when(key.isin("ICC", "comment"), "medium").when((kind == "1st") & (key == "JPEGInterchangeFormat"), "medium").when(key == "frame", "low").otherwise(exif))
-        .when(walked.isin("mp3", "aac"), F.when(kind == "frame", _listed(key, ID3_HIGH, ID3_MEDIUM)).when(kind == "tag", F.when(key.isin("Artist", "Comment"), "medium").otherwise("low")))
-        .when(walked.isin("wav", "wave"), F.when(kind == "INFO", _listed(key, WAV_HIGH, WAV_MEDIUM)).when(kind == "fmt ", "low").when(kind.isin("bext", "iXML", "id3 "), "high"))
-        .when(walked.isin("flac", "ogg", "oga"), F.when(kind == "comment", _listed(key, VORBIS_HIGH, VORBIS_MEDIUM)).when(kind == "picture", "medium"))
-        .when(walked.isin("video", "m4a"), F.when(kind == "place", "high").when(key == "mvhd", F.when(text.try_cast("long") > 0, "high")).when((kind == "udta") & text.isNotNull(), _listed(key, MP4_HIGH)).when(kind == "ilst", _listed(key, ["©too", "©enc"], ["©ART", "©cmt", "cprt"])))
+        .when(walked == "png", F.when(kind.isin("tEXt", "zTXt", "iTXt"), keyword_risk(key)).when(kind == "iCCP", "medium").when(kind.isin("eXIf"), "high").when(kind.isin("tIME"), "medium").when(kind == "IHDR", "low").when(~kind.isin(*KEPT_CHUNKS), "medium"))
+        .when(walked == "webp", F.when(kind.isin("EXIF", "XMP "), "high").when(kind == "ICCP", "medium").when(kind == "VP8X", "low").when((kind == "in frame") & ~key.isin(*KEPT_IN_WEBP) | ~kind.isin("in frame", *KEPT_IN_WEBP), "medium"))
+        .when(walked == "gif", F.when(kind == "comment", "high").when(kind == "plain", "medium").when(kind == "application", F.when(key.startswith("NETSCAPE"), "low").when(key.rlike(GIF_APPS), "high").otherwise("medium")).when(kind == "screen", "low").when(kind == "extension", "medium"))
+        .when(walked == "tiff", F.when(kind.isin("directory", "gap"), None).when((kind == "GPS") | (kind == "pointer") & (key == "GPS"), "critical").when((kind == "pointer") & (key == "Sub"), "low").when((kind == "pointer") | key.isin(*TIFF_HIGH), "high").otherwise(exif))
+        .when(walked == "jpeg", F.when(key.isin("XMP", "IPTC"), "high").when(key.isin("ICC", "comment"), "medium").when((kind == "1st") & (key == "JPEGInterchangeFormat"), "medium").when(key == "frame", "low").when(kind.rlike("^E[3-9A-CF]$"), "medium").otherwise(exif))
+        .when(walked.isin("mp3", "aac"), F.when(kind == "frame", _listed(key, ID3_HIGH, ID3_MEDIUM)).when(kind == "tag", F.when(key.isin("Artist", "Comment"), "medium").otherwise("low")).when(kind.isin("APE", "Lyrics3"), "medium"))
+        .when(walked.isin("wav", "wave"), F.when(kind == "INFO", _listed(key, WAV_HIGH, WAV_MEDIUM)).when(kind == "fmt ", "low").when(kind.isin("bext", "iXML", "id3 "), "high").when(~kind.isin("LIST", "INFO", *KEPT_IN_WAV), "medium"))
+        .when(walked.isin("flac", "ogg", "oga"), F.when(kind == "comment", _listed(key, VORBIS_HIGH, VORBIS_MEDIUM)).when(kind.isin("picture", "application", "block"), "medium").when(kind == "tag", "medium").when(kind == "frame", _listed(key, ID3_HIGH, ID3_MEDIUM)))
+        .when(walked.isin("video", "m4a"), F.when(kind == "place", "high").when(key == "mvhd", F.when(text.try_cast("long") > 0, "high")).when((kind == "udta") & text.isNotNull(), _listed(key, MP4_HIGH)).when(kind == "ilst", _listed(key, ["©too", "©enc"], ["©ART", "©cmt", "cprt"])).when((kind == "samples"), "high").when((key == "uuid") & ~kind.isin("stsd"), "medium"))
         .when(walked == "heic", F.when((kind == "marker") & (key == "GPS"), "critical").when((kind == "marker") | (key == "meta"), "high").when(key == "ftyp", "low"))
         .when(walked == "office", F.when(kind == "media", "medium").otherwise(office_risk(key)))
-        .when(walked == "eml", F.when(kind == "header", _mail_risk(F.lower(key))).when(kind == "attachment", F.when(key.isin(*EMBEDDED), "medium").otherwise("high")))
+        .when(walked == "eml", F.when(kind == "header", _mail_risk(F.lower(key))).when(kind == "attachment", F.when(key.isin(*EMBEDDED) | F.lower(F.regexp_extract(text, r"\.([^.]+)$", 1)).isin(*ENDINGS), "medium").otherwise("high")))
         .when(walked == "svg", svg)
         .when(walked == "pdf", F.when(kind == "info", pdf_risk(key)).when(kind.isin("page", "xmp"), "high"))
     )
+    for f in ADDED.values():
+        out = out.when(walked == f.kind, f.risk(p) if f.risk else F.lit(None))
+    return out
 
 
 def label(walked: Column, field: Column) -> Column:
@@ -140,8 +139,7 @@ def items(walked_files: DataFrame) -> DataFrame:
     value = (
         F.when(p["key"] == "mvhd", F.timestamp_seconds(p["text"].try_cast("long") - 2082844800).cast("string"))
         .when((p["kind"] == "header") & (F.lower(p["key"]) == "received") & (ip != ""), ip)
-        .when((F.col("walked") == "office") & (p["kind"] != "media") & (F.length("p.text") > 100), F.concat(F.substring("p.text", 1, 100), F.lit("...")))
-        .otherwise(p["text"])
+        .when(p["kind"] != "embedded", p["text"])
     )
     return rows.select("file_id", p["ord"].alias("ord"), field.alias("field"), label(F.col("walked"), field).alias("label"), value.alias("value"), "risk", category(field).alias("category"), p["kind"].alias("src"))
 
@@ -160,117 +158,3 @@ def attachment_counts(walked_files: DataFrame) -> DataFrame:
     """``file_id, n_attachments, n_embedded`` of mail, counted by its MIME parts."""
     count = lambda kind: F.size(F.filter("parts", lambda p: p["kind"] == kind))
     return walked_files.where("walked = 'eml'").select("file_id", count("attachment").alias("n_attachments"), count("embedded").alias("n_embedded"))
-
-
-def _edit(walked: Column, p: Column) -> Column:
-    """``drop`` takes a part out, ``zero`` and ``blank`` overwrite it in place, null keeps it."""
-    kind, key = p["kind"], p["key"]
-    return (
-        F.when(kind == "trailing", "drop")
-        .when(walked == "png", F.when(kind.isin("tEXt", "zTXt", "iTXt", "iCCP", "eXIf", "tIME"), "drop"))
-        .when(walked == "webp", F.when(kind.isin("EXIF", "XMP ", "ICCP"), "drop").when(kind == "VP8X", "flags"))
-        .when(walked == "gif", F.when(kind.isin("comment", "plain") | ((kind == "application") & ~key.startswith("NETSCAPE")), "drop"))
-        .when(walked == "jpeg", F.when(kind.isin("E1", "E2", "ED", "FE"), "drop"))
-        .when(walked == "tiff", F.when(kind.isin("GPS", "Exif") | kind.isin("0th", "1st") & (key.isin(*TIFF_KEPT) | key.startswith("XP")), "zero"))
-        .when(walked == "mp3", F.when(kind.isin("ID3v2", "ID3v1"), "drop"))
-        .when(walked.isin("wav", "wave"), F.when((kind == "LIST") & (key == "INFO") | kind.isin("bext", "iXML", "id3 "), "drop"))
-        .when(walked == "flac", F.when(kind.isin("vorbis", "picture"), "zero"))
-        .when(walked.isin("video", "m4a"), F.when(key.isin("udta", "meta"), "free").when(key.isin("mvhd", "tkhd", "mdhd"), "times"))
-        .when(walked == "eml", F.when((kind == "header") & _sensitive(F.lower(key)), "drop"))
-        .when(walked == "svg", F.when(kind.isin("comment", "metadata", "script", "editor", "namespace", "attribute"), "drop"))
-        .when(walked == "pdf", F.when(kind.isin("info", "xmp"), "blank"))
-    )
-
-
-def _u32(n: Column) -> Column:
-    """Four bytes, the lowest first."""
-    h = F.lpad(F.hex(n.cast("long")), 8, "0")
-    return F.unhex(F.concat(h.substr(7, 2), h.substr(5, 2), h.substr(3, 2), h.substr(1, 2)))
-
-
-def _zeros(n: Column) -> Column:
-    return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
-
-
-CLEANED = ("png", "webp", "gif", "jpeg", "tiff", "mp3", "wav", "wave", "flac", "video", "m4a", "eml", "svg", "pdf", "office")
-
-
-def _replacement(p: Column) -> Column:
-    """What stands in place of a part, null where it stays."""
-    content, edit, n = F.col("content"), _edit(F.col("walked"), p), p["end"] - p["start"]
-    bytes_of = lambda a, b: F.substring(content, a + 1, F.greatest(b - a, F.lit(0)))
-    wide = F.hex(F.substring(content, p["start"] + 9, F.lit(1))) == "01"
-    times = F.when(wide, 16).otherwise(8)
-    flags = F.conv(F.hex(F.substring(content, p["start"] + 9, F.lit(1))), 16, 10).cast("int").bitwiseAND(0xFF ^ 0x2C)
-    return (
-        F.when(edit == "drop", F.lit(b""))
-        .when(edit == "zero", _zeros(n))
-        .when(edit == "blank", F.unhex(F.repeat(F.lit("20"), n)))
-        .when(edit == "flags", F.concat(bytes_of(p["start"], p["start"] + 8), F.unhex(F.lpad(F.hex(flags), 2, "0")), bytes_of(p["start"] + 9, p["end"])))
-        .when(edit == "free", F.concat(bytes_of(p["start"], p["start"] + 4), F.lit(b"free"), _zeros(n - 8)))
-        .when(edit == "times", F.concat(bytes_of(p["start"], p["start"] + 12), _zeros(times), bytes_of(p["start"] + 12 + times, p["end"])))
-    )
-
-
-_EDIT = "array<struct<start:int,end:int,new:binary>>"
-
-
-def _put_together(walked_files: DataFrame) -> DataFrame:
-    """``cleaned`` and ``error_code`` from the parts and the edits in ``inner``."""
-    content, walked = F.col("content"), F.col("walked")
-    bytes_of = lambda a, b: F.substring(content, a + 1, F.greatest(b - a, F.lit(0)))
-    own = F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _replacement(p).alias("new")))
-    edits = F.concat(F.filter(own, lambda e: e["new"].isNotNull() & (e["end"] > e["start"])), F.coalesce("inner", F.array().cast(_EDIT)))
-    # Edits in order; one that starts inside another goes with it, or ends where it goes further.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
-    step = lambda acc, e: F.when(e["start"] < acc["at"], F.struct(F.greatest(acc["at"], e["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(bytes_of(acc["at"], e["start"]), e["new"])).alias("out")))
-    pieces = F.aggregate(F.sort_array(edits), start, step, lambda acc: F.concat(acc["out"], F.array(bytes_of(acc["at"], F.length(content)))))
-    joined = F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
-    sized = F.when(walked.isin("wav", "wave", "webp"), F.concat(F.substring(F.col("_out"), 1, 4), _u32(F.length("_out") - 8), F.substring(F.col("_out"), 9, 2**31 - 9))).otherwise(F.col("_out"))
-    can = walked.isin(*CLEANED)
-    missing = F.when(walked == "heic", "HEIC_DECODE_UNSUPPORTED").when(walked.isin("ogg", "oga"), "OGG_VORBIS_CLEAN_UNSUPPORTED").otherwise("CLEAN_UNSUPPORTED")
-    noted = F.element_at(F.transform(F.filter("parts", lambda p: p["kind"] == "note"), lambda p: F.create_map(*(F.lit(x) for pair in ERRORS.items() for x in pair))[p["key"]]), 1)
-    error = F.coalesce("error_code", F.when(F.exists("parts", lambda p: p["kind"] == "note"), noted), F.when(~can, missing))
-    out = walked_files.withColumn("error_code", error)
-    return out.withColumn("_out", F.when(F.col("error_code").isNull(), joined)).withColumn("cleaned", sized).drop("_out", "inner")
-
-
-def _inner_files(walked_files: DataFrame) -> DataFrame:
-    """The files inside text files: ``outer, start, end, name, file_type, content``."""
-    p = F.col("p")
-    rows = walked_files.where(F.exists("parts", lambda p: p["kind"] == "embedded")).select(F.col("file_id").alias("outer"), "content", F.explode(F.filter("parts", lambda p: p["kind"] == "embedded")).alias("p"))
-    raw = F.unbase64(F.regexp_replace(F.decode(F.substring(F.col("content"), p["start"] + 1, p["end"] - p["start"]), "ISO-8859-1"), r"\s", ""))
-    return rows.select("outer", p["start"].alias("start"), p["end"].alias("end"), F.concat(F.lit("inner."), p["key"]).alias("name"), p["key"].alias("file_type"), F.coalesce(raw, F.lit(b"")).alias("content"))
-
-
-def cleaned(walked_files: DataFrame) -> DataFrame:
-    """``walked_files`` with ``cleaned``, null where a file can't be cleaned.
-
-    Dropped parts go, blanked ones keep their place so that no offset moves; a
-    RIFF file gets its new size.  Files inside mail and SVG are cleaned by the
-    same rules and put back in base64; one that can't be stays as it is and
-    leaves the outer file with the ``error_code`` ``INNER_`` and its own.  What
-    has no cleaner gets an ``error_code``.
-    """
-    from .packages import rewritten
-
-    inner = with_parts(_inner_files(walked_files)).withColumn("inner", F.lit(None).cast(_EDIT))
-    inner = _put_together(inner).select("outer", "start", "end", "cleaned", "error_code")
-    text = F.rtrim(F.regexp_replace(F.regexp_replace(F.base64("cleaned"), r"[\r\n]", ""), "(.{76})", "$1\r\n"))
-    edit = F.struct("start", "end", F.encode(text, "ISO-8859-1").alias("new"))
-    inner = inner.groupBy("outer").agg(F.collect_list(F.when(F.col("cleaned").isNotNull(), edit)).alias("inner"), F.min("error_code").alias("_inner_error"))
-    out = walked_files.join(inner, F.col("file_id") == F.col("outer"), "left").drop("outer")
-    out = _put_together(out.withColumn("error_code", F.coalesce("error_code", F.concat(F.lit("INNER_"), "_inner_error"))).drop("_inner_error"))
-    return rewritten(out)
-
-
-def verified(cleaned_files: DataFrame) -> DataFrame:
-    """``file_id, n_left, n_bad, verified``: what the extractor finds in cleaned files.
-
-    No high and no critical item may be left, blanked values aside.
-    """
-    again = with_parts(cleaned_files.where("cleaned is not null").select("file_id", "name", "file_type", F.col("cleaned").alias("content")))
-    left = items(again).where("src not in ('technical', 'pointer') and coalesce(value, '') not rlike '^[0. ]*$' or src in ('script', 'rdf', 'marker', 'page', 'eXIf', 'E1', 'ED', 'EXIF', 'XMP ')")
-    counts = left.groupBy("file_id").agg(F.count("*").alias("n_left"), F.count_if(F.col("risk").isin("high", "critical")).alias("n_bad"))
-    out = again.select("file_id", "error_code").join(counts, "file_id", "left").na.fill(0, ["n_left", "n_bad"])
-    return out.withColumn("verified", (F.col("n_bad") == 0) & F.col("error_code").isNull()).drop("error_code")

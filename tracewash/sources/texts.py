@@ -1,4 +1,4 @@
-"""Walkers over formats that are text: mail, SVG and PDF; see ``walkers``.
+"""Walkers over formats that are text: mail and SVG; see ``walkers``.
 
 No pattern here backtracks over more than one value, whatever its length.
 """
@@ -6,10 +6,9 @@ No pattern here backtracks over more than one value, whatever its length.
 from __future__ import annotations
 
 import re
-import zlib
 from xml.parsers import expat
 
-from .names import EDITORS, EMBEDDED, TELLING_ATTRIBUTES
+from .names import EMBEDDED, ENDINGS, HOME_NAMES, TELLING_ATTRIBUTES
 from .walkers import DEEPEST, Damaged, whole
 
 _HEADER = re.compile(rb"([^\r\n:]*):([^\r\n]*(?:\r?\n[ \t][^\r\n]*)*+)(?:\r?\n|$)")
@@ -29,8 +28,17 @@ def _headers(b: bytes, at: int, end: int):
         at = m.end()
 
 
+def _parameter(value: str, name: str) -> str | None:
+    found = re.search(name + r"""\s*=\s*(?:"([^"]*)"|([^\s;]+))""", value, re.I)
+    return (found[1] or found[2]) if found else None
+
+
 def eml(b: bytes):
-    """Headers, and the parts of a multipart body down to the innermost."""
+    """Headers, and the parts of a multipart body down to the innermost.
+
+    ``embedded`` is the body of a part that is a file of a known kind, with its
+    transfer encoding as text; the line end before a boundary is not part of it.
+    """
     whole(b[:4] != b"\xd0\xcf\x11\xe0", "OLE container")
     todo = [(0, len(b), 0)]
     while todo:
@@ -38,172 +46,137 @@ def eml(b: bytes):
         whole(depth <= DEEPEST, "parts too deep")
         m = _END.search(b, at, stop)
         head, body = (m.start() + (2 if b[m.start() : m.start() + 2] == b"\r\n" else 1), m.end()) if m else (stop, stop)
-        mime, encoding, boundary, attached, name = "text/plain", "", None, False, None
+        mime, encoding, boundary, attached, name = "text/plain", "7bit", None, False, None
         for field, value, a, z in _headers(b, at, head):
             low = field.lower()
-            if not depth:
-                yield "header", field, a, z, value
+            yield "part header" if depth else "header", field, a, z, value
             if low == "content-type":
                 mime = value.partition(";")[0].strip().lower()
-                found = re.search(r'boundary\s*=\s*(?:"([^"]+)"|([^\s;]+))', value, re.I)
-                boundary = (found[1] or found[2]) if found else None
+                boundary, name = _parameter(value, "boundary"), name or _parameter(value, "name")
             elif low == "content-transfer-encoding":
                 encoding = value.lower()
             elif low == "content-disposition":
-                attached = value.lower().startswith("attachment")
-                found = re.search(r'filename\s*=\s*(?:"([^"]*)"|([^\s;]+))', value, re.I)
-                name = (found[1] or found[2]) if found else None
+                name = _parameter(value, "filename") or name
+                attached = value.lower().startswith("attachment") or name is not None
         if mime.startswith("multipart/") and boundary:
             edges = list(re.finditer(rb"(?m)^--" + re.escape(boundary.encode("latin-1")) + rb"(?:--)?[ \t]*\r?$\n?", b[body:stop]))
             whole(bool(edges) and edges[-1][0].rstrip().endswith(b"--"), "no last boundary")
             edges = [m.span() for m in edges]
             todo += [(body + x[1], body + y[0], depth + 1) for x, y in zip(edges[-2::-1], edges[:0:-1])]
             continue
-        if not depth and not attached:
+        if not depth and not attached and mime not in EMBEDDED:
             continue
-        if mime in EMBEDDED and encoding == "base64":
-            yield "embedded", EMBEDDED[mime], body, len(b[:stop].rstrip()) if stop - body < 2**20 else stop, None
-        if attached:
+        kind = EMBEDDED.get(mime) or (ENDINGS.get((name or "").rpartition(".")[2].lower()) if mime == "application/octet-stream" else None)
+        while stop > body and b[stop - 1] in b"\r\n":
+            stop -= 1
+        if kind and body < stop:
+            yield "embedded", kind, body, stop, encoding
+        if attached or kind == "eml":
             yield "attachment", mime, at, at, name
 
 
-_IMAGE = re.compile(rb"data:image/(jpe?g|png|webp|gif);base64,([A-Za-z0-9+/=\s]*)")
-_SVG = {
-    "comment": re.compile(rb"(?s)<!--(.*?)-->"),
-    "metadata": re.compile(rb"(?s)<metadata\b[^>]*/>|<metadata\b.*?</metadata\s*>"),
-    "script": re.compile(rb"(?si)<script\b[^>]*/>|<script\b.*?</script\s*>"),
-    "editor": re.compile(rb"(?s)<(" + "|".join(EDITORS).encode() + rb"):([\w-]+)\b[^>]*/>|<(" + "|".join(EDITORS).encode() + rb"):([\w-]+)\b.*?</\3:\4\s*>"),
-    "namespace": re.compile(rb"\sxmlns:(?:" + "|".join((*EDITORS, "dc", "cc", "rdf")).encode() + rb")\s*=\s*(?:\"[^\"]*\"|'[^']*')"),
-    "attribute": re.compile(rb"\s((?:" + "|".join(EDITORS).encode() + rb"):[\w-]+|" + "|".join(TELLING_ATTRIBUTES).encode() + rb")\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"),
-    "title": re.compile(rb"(?s)<title\b[^>]*>(.*?)</title\s*>"),
-    "desc": re.compile(rb"(?s)<desc\b[^>]*>(.*?)</desc\s*>"),
-    "rdf": re.compile(rb"<rdf:RDF\b"),
-    "dc": re.compile(rb"(?s)<dc:(title|creator|rights|date|description|publisher)\b[^>]*>(.*?)</dc:\1\s*>"),
-    "license": re.compile(rb"<cc:license\b[^>]*"),
-}
+_IMAGE = r"data:image/(jpe?g|png|webp|gif);base64,([A-Za-z0-9+/=\s]*)"
+_ATTRIBUTE = re.compile(r"""\s+([^\s=/>]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_LOCAL = re.compile(r"(?i)^\s*(?:file:|[a-z]:[\\/]|/(?:home|users)/)")
+_PLAIN_ENTITY = re.compile(r"https?://(?:www\.w3\.org|ns\.adobe\.com)/[\w./-]*")
 
 
-def svg(b: bytes):
-    """What an SVG tells, by pattern, once it is known to be well formed."""
+def _events(b: bytes):
+    """Events of a parser as ``[kind, start, end, data]`` over bytes of the file, and its encoding."""
+    parser, events, said = expat.ParserCreate(), [], [None]
+    parser.ordered_attributes = True
+
+    def told(kind):
+        return lambda *data: events.append([kind, parser.CurrentByteIndex, 0, data])
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = told("start"), told("end"), told("text")
+    parser.CommentHandler, parser.ProcessingInstructionHandler, parser.EntityDeclHandler = told("comment"), told("instruction"), told("entity")
+    parser.StartDoctypeDeclHandler, parser.EndDoctypeDeclHandler, parser.AttlistDeclHandler = told("doctype"), told("other"), told("attlist")
+    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler, parser.DefaultHandlerExpand = told("other"), told("other"), told("other")
+    parser.XmlDeclHandler = lambda version, encoding, alone: said.__setitem__(0, encoding)
     try:
-        expat.ParserCreate().Parse(b, True)
+        parser.Parse(b, True)
     except expat.ExpatError as e:
         raise Damaged(str(e)) from None
-    text = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", x.decode("utf-8", "replace"))).strip()
-    for kind, pattern in _SVG.items():
-        for m in pattern.finditer(b):
-            key, value = "", None
-            if kind == "attribute":
-                key, value = m[1].decode(), text(m[2] or m[3] or b"")
-            elif kind == "dc":
-                key, value = "dc:" + m[1].decode(), text(m[2])
-            elif kind in ("comment", "title", "desc"):
-                value = text(m[1])
-            elif kind == "editor":
-                key = ":".join(g.decode() for g in m.groups() if g)
-            yield kind, key, m.start(), m.end(), value
-    for m in _IMAGE.finditer(b):
-        kind = m[1].decode()
-        yield "embedded", "jpeg" if kind == "jpg" else kind, m.start(2), m.end(2), None
-
-
-# Fields of a PDF's information dictionary.
-PDF_FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
-_OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[ \r\n]+(\d{1,5})[ \r\n]+obj\b")
-_FIELD = re.compile(rb"/(" + "|".join(PDF_FIELDS).encode() + rb")\s*([(<])")
-_STREAM = re.compile(rb"stream\r?\n")
-
-
-def _string_end(b: bytes, at: int, stop: int) -> int:
-    """The place of the bracket that ends the literal string whose text starts at ``at``."""
-    depth = 1
-    for m in re.compile(rb"\\.|[()]", re.S).finditer(b, at, stop):
-        depth += {b"(": 1, b")": -1}.get(m[0], 0)
-        if not depth:
-            return m.start()
-    raise Damaged("string without end")
-
-
-def _pdf_text(raw: bytes) -> str:
-    if raw[:2] == b"\xfe\xff":
-        return raw[2:].decode("utf-16-be", "replace")
-    return re.sub(r"\\([()\\])", r"\1", raw.decode("latin-1"))
-
-
-def _fields(b: bytes, at: int, stop: int):
-    """``(field, start, end, text)`` of the strings of a dictionary."""
-    while m := _FIELD.search(b, at, stop):
-        if m[2] == b"(":
-            at = _string_end(b, m.end(), stop)
-            yield m[1].decode(), m.end(), at, _pdf_text(b[m.end() : at])
-        else:
-            at = b.find(b">", m.end(), stop)
-            whole(at >= 0, "string without end")
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", b[m.end() : at])
-            yield m[1].decode(), m.end(), at, _pdf_text(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
-
-
-def _stream(body: bytes) -> bytes:
-    m = _STREAM.search(body)
-    if not m:
-        return b""
-    data = body[m.end() : body.rfind(b"endstream")]
-    if b"/FlateDecode" not in body[: m.start()]:
-        return data
-    try:
-        return zlib.decompressobj().decompress(data, 2**26)
-    except zlib.error:
-        return b""
+    after = len(b)
+    for k in range(len(events) - 1, -1, -1):  # an event ends where the next one further on starts
+        if k + 1 < len(events) and events[k + 1][1] > events[k][1]:
+            after = events[k + 1][1]
+        events[k][2] = after
+    encoding = {b"\xff\xfe": "utf-16-le", b"<\0": "utf-16-le", b"\xfe\xff": "utf-16-be", b"\0<": "utf-16-be"}.get(b[:2]) or said[0] or "utf-8"
+    return events, encoding
+
 
+def _one_line(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
 
-def pdf(b: bytes):
-    """Strings of the information dictionary, XMP, pages and what looks redacted.
 
-    Notes ``encrypted`` and ``compressed`` stand for strings that cannot be
-    blanked in place.
+def svg(b: bytes):
+    """What an SVG tells, from the events of a parser, in any encoding.
+
+    Names are told apart by their namespaces, whatever prefix they have; that of
+    the root is at home.  A document type with entities other than names of
+    namespaces gives the note ``unknown``.
     """
-    whole(b.rfind(b"%%EOF") > max(b.rfind(b" obj"), b.rfind(b"trailer")), "no end of file")
-    starts = [(int(m[1]), m.end()) for m in _OBJECT.finditer(b)]
-    spans, objects = {}, {}
-    for (number, at), (_, stop) in zip(starts, [*((0, m.start()) for m in _OBJECT.finditer(b, starts[0][1] if starts else 0)), (0, len(b))]):
-        spans.setdefault(number, []).append((at, stop))
-        objects[number] = b[at:stop]
-    inner = {}
-    for body in list(objects.values()):
-        if b"/ObjStm" in body and (first := re.search(rb"/First\s+(\d+)", body)):
-            data, at = _stream(body), int(first[1])
-            numbers = [int(x) for x in data[:at].split() if x.isdigit()]
-            places = [*numbers[1::2], len(data) - at]
-            inner |= {n: data[at + x : at + y] for n, x, y in zip(numbers[::2], places, places[1:])}
-    if re.search(rb"/Encrypt\s+\d", b):
-        yield "note", "encrypted", 0, 0, None
-    for number in dict.fromkeys(int(m[1]) for m in re.finditer(rb"/Info\s+(\d{1,10})\s+\d", b)):
-        for at, stop in spans.get(number, ()):
-            for field, x, y, text in _fields(b, at, stop):
-                yield "info", field, x, y, text
-        if number in inner:
-            yield "note", "compressed", 0, 0, None
-            for field, _, _, text in _fields(inner[number], 0, len(inner[number])):
-                yield "info", field, 0, 0, text
-    for m in re.finditer(rb"/Info\s*<<", b):
-        for field, x, y, text in _fields(b, m.end(), (b.find(b"endobj", m.end()) + 1 or len(b) + 1) - 1):
-            yield "info", field, x, y, text
-    for number, found in spans.items():
-        for at, stop in found:
-            m = _STREAM.search(b, at, stop)
-            if m and re.search(rb"/Subtype\s*/XML\b", b[at : m.start()]):
-                if b"/Filter" in b[at : m.start()]:
-                    yield "note", "compressed", 0, 0, None
-                yield "xmp", "XMP", m.end(), max(m.end(), b.rfind(b"endstream", at, stop)), None
-    objects = {**inner, **objects}
-    pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page(?![a-zA-Z])", body)]
-    yield "technical", "Pages", 0, 0, str(len(pages))
-    for n, body in enumerate(pages, 1):
-        listed = re.search(rb"/Annots\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", body, re.S)
-        notes = (listed[1] if listed[1] is not None else objects.get(int(listed[2]), b"")) if listed else b""
-        notes += b"".join(objects.get(int(m[1]), b"") for m in re.finditer(rb"(\d+)\s+\d+\s+R", notes))
-        held = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", body, re.S)
-        drawn = b"\n".join(_stream(objects.get(int(m[1]), b"")) for m in re.finditer(rb"(\d+)\s+\d+\s+R", (held[1] or held[2]) if held else b""))
-        black = re.search(rb"\b0\s+0\s+0\s+r[gG]\b", drawn) and re.search(rb"\bre\s+[fFbB]", drawn)
-        if (black or re.search(rb"/Subtype\s*/(?:Square|Highlight|StrikeOut)\b", notes)) and not re.search(rb"/Subtype\s*/Redact\b", notes):
-            yield "page", "FakeRedaction", 0, 0, f"page {n}"
+    events, encoding = _events(b)
+    size = lambda text: len(text.encode(encoding))
+    scopes, opened, home = [{"xml": "http://www.w3.org/XML/1998/namespace"}], [], None
+    for kind, start, end, data in events:
+        if kind == "start":
+            names, values = data[1][::2], data[1][1::2]
+            scope = {**scopes[-1], **{n[6:]: v for n, v in zip(names, values) if n == "xmlns" or n.startswith("xmlns:")}}
+            scopes.append(scope)
+            space = lambda name: scope.get(name.rpartition(":")[0], "")  # noqa: E731, B023
+            shown = lambda name: ":".join(x for x in (HOME_NAMES.get(space(name), name.rpartition(":")[0]), name.rpartition(":")[2]) if x)  # noqa: E731, B023
+            home = space(data[0]) if home is None else home
+            opened.append((data[0], shown(data[0]), space(data[0]), start, []))
+            tag = b[start:end].decode(encoding)
+            stated = dict(zip(names, values))
+            for m in _ATTRIBUTE.finditer(tag):
+                name, value = m[1], _one_line(stated.get(m[1], ""))
+                a = start + size(tag[: m.start()])
+                z = a + size(m[0])
+                here = shown(name) if ":" in name else name
+                if name.startswith("xmlns:"):
+                    if scope[name[6:]] not in (home, "http://www.w3.org/1999/xlink", scopes[0]["xml"]):
+                        yield "namespace", "", a, z, None
+                elif name == "xmlns":
+                    continue
+                elif name[:2].lower() == "on" or value.lower().startswith("javascript:"):
+                    yield "script", "", a, z, None
+                elif ":" in name and space(name) not in (home, "http://www.w3.org/1999/xlink", scopes[0]["xml"]) or name.startswith("data-") or here in TELLING_ATTRIBUTES or _LOCAL.match(value):
+                    yield "attribute", here, a, z, value
+        elif kind == "end":
+            scopes.pop()
+            name, here, space_of, a, texts = opened.pop()
+            z, prefix = end, here.rpartition(":")[0]
+            if opened:
+                opened[-1][4].extend(texts)
+            text = _one_line(" ".join("".join(texts).split("\0")))
+            if space_of == home and name.rpartition(":")[2] in ("metadata", "script"):
+                yield name.rpartition(":")[2], "", a, z, None
+            elif space_of == home and name.rpartition(":")[2] in ("title", "desc"):
+                yield name.rpartition(":")[2], "", a, z, text
+            elif here == "rdf:RDF":
+                yield "rdf", "", a, z, None
+            elif prefix == "dc":
+                yield "dc", here, a, z, text
+            elif here == "cc:license":
+                yield "license", "", a, z, None
+            elif space_of != home:
+                yield "editor", here, a, z, None
+        elif kind == "text":
+            if opened:
+                opened[-1][4].append(data[0])
+        elif kind in ("comment", "instruction"):
+            yield kind, "", start, end, _one_line(data[-1])
+        elif kind == "entity" and not _PLAIN_ENTITY.fullmatch(data[2] or "") or kind == "attlist":
+            yield "note", "unknown", 0, 0, None
+    if encoding.startswith("utf-16"):
+        text = b.decode(encoding)
+        for m in re.finditer(_IMAGE, text):
+            a = size(text[: m.start(2)])
+            yield "embedded", "jpeg" if m[1] == "jpg" else m[1], a, a + size(m[2]), f"base64:{encoding}"
+    else:
+        for m in re.finditer(_IMAGE.encode(), b):
+            yield "embedded", "jpeg" if m[1] == b"jpg" else m[1].decode(), m.start(2), m.end(2), "base64"

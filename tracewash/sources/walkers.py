@@ -14,12 +14,17 @@ import io
 import re
 import struct
 import zipfile
+from xml.etree import ElementTree
 
-from .names import BITRATES, CODECS, EXIF_TAGS, GPS_TAGS, IMAGE_TAGS, SAMPLE_RATES
+from .names import CODECS, EXIF_TAGS, FRAME_RATES, GPS_TAGS, IMAGE_TAGS, SAMPLE_RATES
 
 DEEPEST = 16
-SUB_IFDS = {0x8769: "Exif", 0x8825: "GPS", 0xA005: "Interop"}
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: What the first eight bytes of a user's comment say of its encoding; two bytes a character have the file's order.
+CHARSETS = {b"ASCII\0\0\0": "latin-1", b"UNICODE\0": None, b"JIS\0\0\0\0\0": "iso2022_jp", bytes(8): "utf-8"}
+SUB_IFDS = {0x8769: "Exif", 0x8825: "GPS", 0xA005: "Interop", 0x014A: "Sub"}
+#: Tags with places of image data, and those with its sizes.
+DATA_TAGS = {"StripOffsets": "StripByteCounts", "TileOffsets": "TileByteCounts", "JPEGInterchangeFormat": "JPEGInterchangeFormatLength"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 
 
 class Damaged(Exception):
@@ -83,6 +88,13 @@ def riff(b: bytes):
                 whole(k + 8 + m <= end, "INFO beyond its list")
                 yield "INFO", name.decode("latin-1"), k, k + 8 + m, _text(b[k + 8 : k + 8 + m])
                 k += 8 + m + m % 2
+        elif kind == "ANMF":
+            k = at + 24
+            while k + 8 <= end:
+                name, m = struct.unpack("<4sI", b[k : k + 8])
+                whole(k + 8 + m <= end, "chunk beyond its frame")
+                yield "in frame", name.decode("latin-1"), k + 8, k + 8 + m, None
+                k += 8 + m + m % 2
         at = end
     if rate:
         yield "technical", "Bitrate", at, at, f"{rate * 8 // 1000} kbps"
@@ -129,11 +141,16 @@ def gif(b: bytes):
 
 
 def tiff(b: bytes, base: int = 0):
-    """Entries of all chained IFDs and of the EXIF and GPS ones below them."""
+    """Directories and entries of all IFDs, chained ones and those that a tag points to, and bytes that belong to none.
+
+    A directory is met once, however many tags point to it, and directories may
+    not overlap, so a cycle ends.
+    """
     order = {b"II": "<", b"MM": ">"}.get(b[base : base + 2])
     whole(order is not None and base + 8 <= len(b), "no byte order")
     yield "technical", "ByteOrder", base, base, "little endian" if order == "<" else "big endian"
     todo, seen, entries = [("0th", struct.unpack(order + "I", b[base + 4 : base + 8])[0])], set(), 0
+    used, known = [(base, base + 8)], True
     while todo:
         name, offset = todo.pop(0)
         at = base + offset
@@ -143,32 +160,47 @@ def tiff(b: bytes, base: int = 0):
         seen.add(offset)
         count = struct.unpack(order + "H", b[at : at + 2])[0]
         entries += count
-        whole(at + 2 + 12 * count <= len(b), "entries beyond the end")
+        nxt = at + 2 + 12 * count
+        whole(nxt <= len(b), "entries beyond the end")
         whole(12 * entries <= len(b), "directories overlap")
-        refs = {}
+        yield "directory", name, at, min(nxt + 4, len(b)), order
+        used.append((at, nxt + 4))
+        refs, data = {}, {}
         for k in range(count):
             e = at + 2 + 12 * k
             tag, kind, n = struct.unpack(order + "HHI", b[e : e + 8])
-            if tag in SUB_IFDS:
-                there = struct.unpack(order + "I", b[e + 8 : e + 12])[0]
-                todo.append((SUB_IFDS[tag], there))
-                if there:
-                    yield "pointer", SUB_IFDS[tag], e, e, str(there)
-                continue
             size = SIZES.get(kind, 1) * n
             start = e + 8 if size <= 4 else base + struct.unpack(order + "I", b[e + 8 : e + 12])[0]
             raw = b[start : start + size]
+            used.append((start, start + size))
+            if tag in SUB_IFDS:
+                there = [x for x in struct.unpack(order + "I" * (len(raw) // 4), raw[: len(raw) // 4 * 4]) if x] if kind in (4, 13) else []
+                todo += [(SUB_IFDS[tag], x) for x in there]
+                if there:
+                    yield "pointer", SUB_IFDS[tag], e, e, " ".join(map(str, there))
+                continue
             key = (GPS_TAGS if name == "GPS" else {**IMAGE_TAGS, **EXIF_TAGS}).get(tag, f"Unknown_{name}_{tag}")
+            if (key in DATA_TAGS or key in DATA_TAGS.values()) and kind in (3, 4):
+                data[key] = struct.unpack(order + {3: "H", 4: "I"}[kind] * (len(raw) // SIZES[kind]), raw)
             text = _value(order, kind, n, raw, key, refs)
             if key.endswith("Ref") and text:
                 refs[key[:-3]] = text
             yield name, key, min(start, len(b)), min(start + size, len(b)), text
-        nxt = at + 2 + 12 * count
-        if name in ("0th", "1st") and nxt + 4 <= len(b):
+        for places, sizes in DATA_TAGS.items():
+            known &= len(data.get(places, ())) == len(data.get(sizes, ()))
+            used += [(base + x, base + x + n) for x, n in zip(data.get(places, ()), data.get(sizes, ()))]
+        if name in ("0th", "1st", "Sub") and nxt + 4 <= len(b):
             more = struct.unpack(order + "I", b[nxt : nxt + 4])[0]
             if more:
                 yield "technical", "AdditionalIFD", nxt, nxt, str(more)
-                todo.append(("1st", more))
+                todo.append(("Sub" if name == "Sub" else "1st", more))
+    at = base
+    for start, end in sorted(used) if known and not base else ():
+        if at < start:
+            yield "gap", "", at, min(start, len(b)), None
+        at = max(at, end)
+    if known and not base and at < len(b):
+        yield "gap", "", at, len(b), None
 
 
 def _value(order: str, kind: int, n: int, raw: bytes, key: str, refs: dict) -> str | None:
@@ -176,8 +208,10 @@ def _value(order: str, kind: int, n: int, raw: bytes, key: str, refs: dict) -> s
         return _text(raw, "utf-8") or None
     if key.startswith("XP"):
         return _text(raw, "utf-16-le")
+    if key == "UserComment" and raw[:8] in CHARSETS:
+        return _text(raw[8:], CHARSETS[raw[:8]] or ("utf-16-be" if order == ">" else "utf-16-le"))
     code = {3: "H", 4: "I", 5: "II", 8: "h", 9: "i", 10: "ii"}.get(kind)
-    if code is None or n > 10 or len(raw) < struct.calcsize("=" + code) * n:
+    if code is None or n > 1000 or len(raw) < struct.calcsize("=" + code) * n:
         return "[binary data]"
     x = struct.unpack(order + code * n, raw[: struct.calcsize("=" + code) * n])
     if len(code) == 2:
@@ -233,44 +267,113 @@ def jpeg(b: bytes):
         yield "trailing", "", at + 2, len(b), None
 
 
-def mp3(b: bytes):
-    at, end = 0, 0
+def _id3v2(b: bytes):
+    """The tag at the start and its frames."""
     synchsafe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
+    whole(len(b) >= 10 and 10 + synchsafe(b[6:10]) <= len(b), "tag beyond the end")
+    end = 10 + synchsafe(b[6:10])
+    yield "ID3v2", str(b[3]), 0, end, None
+    at, wide = 10, 3 if b[3] == 2 else 4
+    while at + (6 if wide == 3 else 10) <= end and b[at]:
+        key, size = b[at : at + wide].decode("latin-1"), b[at + wide : at + 2 * wide]
+        n = synchsafe(size) if b[3] == 4 else int.from_bytes(size, "big")
+        start = at + (6 if wide == 3 else 10)
+        raw, text = b[start : min(start + n, end)], None
+        if raw and (key[0] in "TW" or key in ("COMM", "COM")):
+            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1")
+            text = _text(raw, "latin-1") if key[0] == "W" else _text(raw[4 if key[0] == "C" else 1 :], code)
+        yield "frame", key, at, min(start + n, end), text
+        at = start + n
+
+
+def _tail_tags(b: bytes, at: int):
+    """Tags at the end of sound, the last one first: ID3v1, Lyrics3 and APE."""
+    stop = len(b)
+    while True:
+        if stop - at >= 128 and b[stop - 128 : stop - 125] == b"TAG":
+            start = stop - 128 - (227 if b[stop - 355 : stop - 351] == b"TAG+" else 0)
+            yield "ID3v1", "", start, stop, None
+            for key, lo, hi in (("Title", 3, 33), ("Artist", 33, 63), ("Album", 63, 93), ("Comment", 97, 127)):
+                text = _text(b[stop - 128 + lo : stop - 128 + hi])
+                if text:
+                    yield "tag", key, stop - 128 + lo, stop - 128 + hi, text
+        elif stop - at >= 32 and b[stop - 32 : stop - 24] == b"APETAGEX":
+            size, count, flags = struct.unpack("<III", b[stop - 20 : stop - 8])
+            start = stop - size
+            whole(at <= start <= stop - 32, "tag beyond the start")
+            k = start
+            start -= 32 if flags >> 31 and b[max(start - 32, 0) : start - 24] == b"APETAGEX" else 0
+            yield "APE", "", start, stop, None
+            for _ in range(count):
+                m = re.compile(rb"[\x20-\x7e]+\0").match(b, k + 8, stop - 32)
+                whole(m is not None and m.end() + int.from_bytes(b[k : k + 4], "little") <= stop - 32, "item beyond its tag")
+                end = m.end() + int.from_bytes(b[k : k + 4], "little")
+                yield "tag", _text(m[0]), k, end, _text(b[m.end() : end], "utf-8") if not b[k + 4] & 6 else None
+                k = end
+        elif b[stop - 9 : stop] == b"LYRICS200" and b[stop - 15 : stop - 9].isdigit():
+            start = stop - 15 - int(b[stop - 15 : stop - 9])
+            whole(at <= start and b[start : start + 11] == b"LYRICSBEGIN", "lyrics without begin")
+            yield "Lyrics3", "", start, stop, None
+        else:
+            return
+        stop = start
+
+
+def _frame(b: bytes, at: int) -> int:
+    """Length of the frame of sound at ``at``, 0 where there is none."""
+    if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
+        return 0
+    version, layer, rate, hertz, pad = b[at + 1] >> 3 & 3, 4 - (b[at + 1] >> 1 & 3), b[at + 2] >> 4, b[at + 2] >> 2 & 3, b[at + 2] >> 1 & 1
+    if layer == 4:  # AAC has its length in the header
+        n = (b[at + 3] & 3) << 11 | int.from_bytes(b[at + 4 : at + 6], "big") >> 5 if version >> 1 else 0
+        return n if n >= 7 else 0
+    if version == 1 or hertz == 3 or not 0 < rate < 15:
+        return 0
+    kbps = FRAME_RATES["1" if version == 3 else "2", layer][rate]
+    hertz = SAMPLE_RATES[hertz] >> {3: 0, 2: 1, 0: 2}[version]
+    if layer == 1:
+        return (12_000 * kbps // hertz + pad) * 4
+    return (72_000 if layer == 3 and version != 3 else 144_000) * kbps // hertz + pad
+
+
+def _between_frames(b: bytes, at: int, stop: int):
+    """Spans before, between and behind the frames of sound."""
+    gap, met = at, False
+    while 0 <= at < stop:
+        n = _frame(b, at)
+        if n and (met and gap == at or at + n >= stop or _frame(b, at + n)):
+            if gap < at:
+                yield "junk", "", gap, at, None
+            gap, met = min(at + n, stop), True
+            at = gap
+        else:
+            at = b.find(b"\xff", at + 1, stop)
+    whole(met, "no frames")
+    if gap < stop:
+        yield "junk", "", gap, stop, None
+
+
+def mp3(b: bytes):
+    end = 0
     if b[:3] == b"ID3":
-        whole(len(b) >= 10 and 10 + synchsafe(b[6:10]) <= len(b), "tag beyond the end")
-        end = 10 + synchsafe(b[6:10])
-        yield "ID3v2", str(b[3]), 0, end, None
-        at, wide = 10, 3 if b[3] == 2 else 4
-        while at + (6 if wide == 3 else 10) <= end and b[at]:
-            key, size = b[at : at + wide].decode("latin-1"), b[at + wide : at + 2 * wide]
-            n = synchsafe(size) if b[3] == 4 else int.from_bytes(size, "big")
-            start = at + (6 if wide == 3 else 10)
-            raw, text = b[start : min(start + n, end)], None
-            if raw and (key[0] in "TW" or key in ("COMM", "COM")):
-                code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1")
-                text = _text(raw, "latin-1") if key[0] == "W" else _text(raw[4 if key[0] == "C" else 1 :], code)
-            yield "frame", key, at, min(start + n, end), text
-            at = start + n
-    sync = re.compile(rb"\xff[\xe0-\xff][\x00-\xff]{2}").search(b, end)
-    if sync:
-        _, version, rate, mode = sync[0]
-        mpeg1, layer3 = version >> 3 & 3 == 3, version >> 1 & 3 == 1
-        kbps, hertz = BITRATES[rate >> 4] if mpeg1 and layer3 else 0, SAMPLE_RATES[rate >> 2 & 3] if mpeg1 else 0
-        yield "technical", "Channels", end, end, "mono" if mode >> 6 == 3 else "stereo"
-        if hertz:
-            yield "technical", "SampleRate", end, end, f"{hertz} Hz"
-        if kbps:
-            yield "technical", "Bitrate", end, end, f"{kbps} kbps"
-            yield "technical", "Duration", end, end, clock((len(b) - end) * 8 / (kbps * 1000))
-    tagged = len(b) >= 128 and b[-128:-125] == b"TAG"
-    whole(tagged or b.find(b"TAG", max(end, len(b) - 127)) < 0, "tag cut off")
-    if tagged:
-        more = 227 if b[-355:-351] == b"TAG+" else 0
-        yield "ID3v1", "", len(b) - 128 - more, len(b), None
-        for key, lo, hi in (("Title", 3, 33), ("Artist", 33, 63), ("Album", 63, 93), ("Comment", 97, 127)):
-            text = _text(b[len(b) - 128 + lo : len(b) - 128 + hi])
-            if text:
-                yield "tag", key, len(b) - 128 + lo, len(b) - 128 + hi, text
+        for part in _id3v2(b):
+            end = max(end, part[3] if part[0] == "ID3v2" else 0)
+            yield part
+    tail = list(_tail_tags(b, end))
+    stop = min([len(b), *(p[2] for p in tail if p[0] != "tag")])
+    gaps = list(_between_frames(b, end, stop))
+    first = gaps[0][3] if gaps and gaps[0][2] == end else end
+    _, version, rate, mode = b[first : first + 4]
+    mpeg1, layer3 = version >> 3 & 3 == 3, version >> 1 & 3 == 1
+    kbps, hertz = FRAME_RATES["1", 3][rate >> 4] if mpeg1 and layer3 else 0, SAMPLE_RATES[rate >> 2 & 3] if mpeg1 else 0
+    yield "technical", "Channels", end, end, "mono" if mode >> 6 == 3 else "stereo"
+    if hertz:
+        yield "technical", "SampleRate", end, end, f"{hertz} Hz"
+    if kbps:
+        yield "technical", "Bitrate", end, end, f"{kbps} kbps"
+        yield "technical", "Duration", end, end, clock((len(b) - end) * 8 / (kbps * 1000))
+    yield from gaps
+    yield from tail
 
 
 def _comments(b: bytes, k: int, end: int):
@@ -291,18 +394,27 @@ def _comments(b: bytes, k: int, end: int):
         k += 4 + size
 
 
+FLAC_BLOCKS = ("info", "padding", "application", "seektable", "vorbis", "cuesheet", "picture")
+
+
 def flac(b: bytes):
-    at, last = 4, False
-    whole(b[:4] == b"fLaC", "no marker")
+    at, last = 0, False
+    if b[:3] == b"ID3":
+        for part in _id3v2(b):
+            at = max(at, part[3] if part[0] == "ID3v2" else 0)
+            yield part
+    whole(b[at : at + 4] == b"fLaC", "no marker")
+    at += 4
     while not last:
         whole(at + 4 <= len(b), "block beyond the end")
         kind, n = b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
         last, end = bool(b[at] & 128), at + 4 + n
         whole(end <= len(b), "block beyond the end")
-        yield {0: "info", 1: "padding", 4: "vorbis", 6: "picture"}.get(kind, "block"), "", at + 4, end, None
+        yield FLAC_BLOCKS[kind] if kind < len(FLAC_BLOCKS) else "block", _text(b[at + 4 : at + 8]) if kind == 2 else "", at + 4, end, None
         if kind == 4:
             yield from _comments(b, at + 4, end)
         at = end
+    yield from _tail_tags(b, at)
 
 
 def ogg(b: bytes):
@@ -325,49 +437,121 @@ def ogg(b: bytes):
         at = k
 
 
-HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf", "stbl"}
+HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf", "stbl", "edts", "dinf", "mvex", "moof", "traf"}
+SHOWN_TRACKS = ("vide", "soun", "text", "sbtl", "subt", "clcp")
+
+
+def _boxes(b: bytes, at: int, stop: int):
+    """``(kind, start, body, end)`` of the boxes in a span."""
+    while at + 8 <= stop:
+        n, kind = struct.unpack(">I4s", b[at : at + 8])
+        head = 8
+        if n == 1 and at + 16 <= stop:
+            n, head = struct.unpack(">Q", b[at + 8 : at + 16])[0], 16
+        end = stop if n == 0 else at + n
+        whole(at + head <= end <= stop, "box beyond its holder")
+        yield kind.decode("latin-1"), at, at + head, end
+        at = end
+
+
+def _inside(b: bytes, at: int, stop: int, *path: str) -> tuple[int, int]:
+    """Body of the first box at a path below a span, an empty one where there is none."""
+    for name in path:
+        at, stop = next(((body, end) for kind, _, body, end in _boxes(b, at, stop) if kind == name), (stop, stop))
+    return at, stop
+
+
+def _table(b: bytes, span: tuple[int, int], code: str, skip: int = 4) -> list[tuple]:
+    """Rows of a table box, each as ``code`` tells, behind version, flags and count."""
+    at, stop = span
+    if stop - at < skip + 4:
+        return []
+    n = struct.unpack(">I", b[at + skip : at + skip + 4])[0]
+    whole(at + skip + 4 + n * struct.calcsize(">" + code) <= stop, "table beyond its box")
+    return list(struct.iter_unpack(">" + code, b[at + skip + 4 : at + skip + 4 + n * struct.calcsize(">" + code)]))
+
+
+def _samples(b: bytes, at: int, stop: int):
+    """Spans of the chunks of a track whose body is given."""
+    table = lambda name: _inside(b, at, stop, "mdia", "minf", "stbl", name)
+    places = [x for x, in _table(b, table("stco"), "I")] or [x for x, in _table(b, table("co64"), "Q")]
+    span = table("stsz")
+    same, count = struct.unpack(">II", b[span[0] + 4 : span[0] + 12]) if span[1] - span[0] >= 12 else (0, 0)
+    sizes = None if same else [x for x, in _table(b, span, "I", 8)]
+    runs, first = _table(b, table("stsc"), "III"), 0
+    for (start, each, _), (then, _, _) in zip(runs, [*runs[1:], (len(places) + 1, 0, 0)]):
+        for k in range(start - 1, min(then - 1, len(places))):
+            n = same * each if same else sum(sizes[first : first + each])
+            first += each
+            yield places[k], min(places[k] + n, len(b))
+
+
+def _described(b: bytes, at: int, stop: int, handler: str):
+    """Names and unknown boxes in the sample descriptions of a track."""
+    for _, start, body, end in _boxes(b, at + 8, stop):
+        k = end
+        if handler == "vide" and end - start >= 86:
+            yield "stsd", "compressor", start + 50, start + 82, None
+            k = start + 86
+        elif handler == "soun" and end - start >= 36:
+            k = start + 36 + {1: 16, 2: 36}.get(int.from_bytes(b[start + 16 : start + 18], "big"), 0)
+        try:
+            for kind, x, _, z in _boxes(b, k, end):
+                yield "stsd", kind, x, z, None
+                k = z
+        except Damaged:
+            pass
+        if k < end:
+            yield "stsd", "junk", k, end, None
 
 
 def mp4(b: bytes):
-    todo = [(0, len(b), "", 0)]
+    """Boxes, as ``(holder, box)``; what tracks hold that are not for eyes and ears is told as ``samples``."""
+    todo = [(0, len(b), "", 0, "")]
     while todo:
-        at, stop, path, depth = todo.pop()
+        at, stop, path, depth, handler = todo.pop()
         whole(depth <= DEEPEST, "boxes too deep")
-        while at + 8 <= stop:
-            n, kind = struct.unpack(">I4s", b[at : at + 8])
-            head = 8
-            if n == 1 and at + 16 <= stop:
-                n, head = struct.unpack(">Q", b[at + 8 : at + 16])[0], 16
-            end = stop if n == 0 else at + n
-            whole(at + head <= end <= stop, "box beyond its holder")
-            kind, text, body = kind.decode("latin-1"), None, b[at + head : min(end, at + head + 2**20)]
+        for kind, start, begin, end in _boxes(b, at, stop):
+            text, body, head = None, b[begin : min(end, begin + 2**20)], begin - start
+            at = end
             if kind in ("mvhd", "tkhd", "mdhd") and len(body) >= 20:
                 wide = body[0] == 1
                 text = str(int.from_bytes(body[4:12] if wide else body[4:8], "big"))
                 scale, length = (body[20:24], body[24:32]) if wide else (body[12:16], body[16:20])
                 if kind == "mvhd" and int.from_bytes(scale, "big"):
-                    yield "technical", "Duration", at, at, clock(int.from_bytes(length, "big") / int.from_bytes(scale, "big"))
+                    yield "technical", "Duration", start, start, clock(int.from_bytes(length, "big") / int.from_bytes(scale, "big"))
                 size = struct.unpack(">II", body[-8:])
                 if kind == "tkhd" and len(body) >= 84 and size[0]:
-                    yield "technical", "Resolution", at, at, f"{size[0] >> 16}x{size[1] >> 16}"
+                    yield "technical", "Resolution", start, start, f"{size[0] >> 16}x{size[1] >> 16}"
             elif kind == "stsd" and len(body) >= 16:
                 code = body[12:16].decode("latin-1")
-                yield "technical", "Codec", at, at, CODECS.get(code, code)
+                yield "technical", "Codec", start, start, CODECS.get(code, code)
+                yield from _described(b, begin, end, handler)
+            elif kind == "trak":
+                x, z = _inside(b, begin, end, "mdia", "hdlr")
+                text = handler = _text(b[x + 8 : x + 12]) if z - x >= 12 else "none"
+                if handler not in SHOWN_TRACKS:
+                    yield from (("samples", handler, x, z, None) for x, z in _samples(b, begin, end))
+            elif kind == "hdlr" and end - begin > 24:
+                yield "hdlr", "name", begin + 24, end, None
+            elif kind == "dref":
+                yield from (("dref", k, y + 4, z, None) for k, _, y, z in _boxes(b, begin + 8, end) if z > y + 4)
             elif path.endswith("udta") and kind not in HOLDERS and kind != "meta" and len(body) > 4:
-                text = _text(b[at + head + 4 : at + head + 4 + int.from_bytes(body[:2], "big")] if kind[0] == "©" else b[at + head + 4 : end], "utf-8")
+                text = _text(b[begin + 4 : begin + 4 + int.from_bytes(body[:2], "big")] if kind[0] == "©" else b[begin + 4 : end], "utf-8")
                 place = re.match(r"([+-]\d+\.?\d*)([+-]\d+\.?\d*)", text) if kind == "©xyz" else None
                 if place:
-                    yield "place", "GPSLatitude", at, at, place[1]
-                    yield "place", "GPSLongitude", at, at, place[2]
+                    yield "place", "GPSLatitude", start, start, place[1]
+                    yield "place", "GPSLongitude", start, start, place[2]
             elif path.endswith("ilst"):
-                text = _text(b[at + head + 16 : end], "utf-8") if body[4:8] == b"data" and kind != "covr" else None
-            yield path.rpartition("/")[2] or "file", kind, at, end, text
+                text = _text(b[begin + 16 : end], "utf-8") if body[4:8] == b"data" and kind != "covr" else None
+            yield path.rpartition("/")[2] or "file", kind, start, end, text
             if kind in HOLDERS:
-                todo.append((at + head, end, f"{path}/{kind}", depth + 1))
+                todo.append((begin, end, f"{path}/{kind}", depth + 1, handler))
             elif kind == "meta":
-                todo.append((at + head + (0 if body[4:8] == b"hdlr" else 4), end, f"{path}/meta", depth + 1))
-            at = end
+                todo.append((begin + (0 if body[4:8] == b"hdlr" else 4), end, f"{path}/meta", depth + 1, handler))
         whole(path != "" or at == stop, "bytes behind the last box")
+        if path and at < stop:
+            yield "junk", path.rpartition("/")[2], at, stop, None
 
 
 def heic(b: bytes):
@@ -387,17 +571,16 @@ def heic(b: bytes):
         at = end
 
 
-MEDIA = re.compile(r"/media/[^/]*\.(jpe?g|png|webp|gif)$", re.I)
+MEDIA = re.compile(r"/(?:media|embeddings)/[^/]*\.(?:jpe?g|png|webp|gif|tiff?|svg|docx|xlsx|pptx|pdf|mp4|mov|m4a|mp3|wav)$|^docProps/thumbnail\.(?:jpe?g|png)$", re.I)
 
 
 def office(b: bytes):
-    """Leaves of the property parts, and the members that hold media."""
+    """Leaves of the property parts, and the members that hold media or other packages."""
     with zipfile.ZipFile(io.BytesIO(b)) as z:
         for name in z.namelist():
             if MEDIA.search(name):
                 yield "media", name, 0, 0, None
             elif name in ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml"):
-                xml = z.read(name).decode("utf-8", "replace")
-                for key, text in re.findall(r"<(?:[\w-]+:)?([\w-]+)(?:\s[^<>]*)?>([^<]+)</", xml):
-                    if text.strip():
-                        yield name, key, 0, 0, text.strip()
+                for _, leaf in ElementTree.iterparse(io.BytesIO(z.read(name))):
+                    if not len(leaf) and (leaf.text or "").strip():
+                        yield name, leaf.tag.rpartition("}")[2], 0, 0, leaf.text.strip()
