@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 _EITHER = lambda s: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
 
@@ -142,11 +142,16 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Matches whose spans are gathered in one array before those are joined.
+RUN = 128
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """Spans of the leftmost matches that are long enough, in code points.
 
     Pieces between matches and the matches alternate, so running lengths are
-    the places.
+    the places.  An array that grows is copied at each step; so spans grow in
+    runs of ``RUN`` matches, and the array of runs is flattened at the end.
     """
     pattern, text = F.lit(rule.pattern), F.col("text")
     part = F.arrays_zip(
@@ -154,7 +159,6 @@ def _spans(rule: Rule, number: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc, x):
         a = acc["at"] + F.length(x["before"])
@@ -162,8 +166,17 @@ def _spans(rule: Rule, number: int) -> Column:
         found = F.array(F.struct(a.alias("start"), F.lit(number).alias("kind"), b.alias("end")))
         return F.struct(b.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
+    def of_run(acc, run):
+        one = F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(_SPANS).alias("out")), step)
+        return let(one, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["runs"], F.array(r["out"])).alias("runs")))
+
+    def of_text(matches):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda k: F.slice(matches, k * RUN + 1, RUN))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("runs"))
+        return F.aggregate(runs, start, of_run, lambda acc: F.flatten(acc["runs"]))
+
     matches = F.filter(part, lambda x: x["match"].isNotNull())
-    return F.when(text.rlike(rule.pattern), F.aggregate(matches, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(rule.pattern), let(matches, of_text)).otherwise(F.array().cast(_SPANS))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
