@@ -112,7 +112,9 @@ def _memberships(nodes: DataFrame, directions: int) -> DataFrame:
             flat, starts = np.asarray(vectors.flatten(), np.float64), np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
                 some = np.flatnonzero(sizes == dim)
-                code = codes.setdefault(int(dim), Code(int(dim), directions))
+                if dim not in codes:
+                    codes[dim] = Code(int(dim), directions)
+                code = codes[dim]
                 step = max(1, min(2000, BLOCK // code.words))
                 for lo in range(0, len(some), step):
                     at = some[lo : lo + step]
