@@ -373,6 +373,85 @@ def test_shards_keep_groups_whole_where_all_rows_are_copies(spark):
     assert len(of["same"]) <= 8  # 200 rows over quotas of about 31
 
 
+def admitted(groups, quota):
+    """Shards of the groups ``{gid: (n, label)}`` by the rules of propagation, in plain loops; those that fit nowhere have none."""
+    room, asking, out = list(quota), groups, {}
+    while asking:
+        refused, used = [], Counter()
+        for gid, (n, label) in sorted(asking.items(), key=lambda x: (-x[1][0], x[0])):
+            if used[label] + n <= room[label]:
+                out[gid] = label
+            else:
+                refused.append(gid)
+            used[label] += n
+        took = Counter()
+        for gid, label in out.items():
+            if gid in asking:
+                took[label] += asking[gid][0]
+        room = [r - took[k] for k, r in enumerate(room)]
+        if not took or not refused:
+            break
+        upto, nxt = 0, {}
+        for gid in refused:
+            at = 0
+            for k in sorted(range(len(room)), key=lambda k: -room[k]):
+                at += room[k]
+                if upto < at:
+                    nxt[gid] = (asking[gid][0], k)
+                    break
+            upto += asking[gid][0]
+        asking = nxt
+    return out
+
+
+def test_propagation_equals_plain_loops(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        groups = {bytes([k, 7]): (rnd.choice([2, 2, 2, 3, 5, 9]), rnd.choice([0, 0, 1, 2, 3])) for k in range(60)}
+        total = sum(n for n, _ in groups.values())
+        quota = [total // 4 + (k < total % 4) for k in range(4)]
+        rows = spark.createDataFrame([(bytearray(g), n, k) for g, (n, k) in groups.items()], "gid binary, n long, label int")
+        whole, lost, room = sharding.propagated(rows, quota, 1)
+        got = {bytes(r.gid): r.shard for r in whole.collect()}
+        assert got == admitted(groups, quota) and len(got) + lost.count() == len(groups) and lost.count() < 4
+        held = Counter()
+        for g, k in got.items():
+            held[k] += groups[g][0]
+        assert room == [q - held[k] for k, q in enumerate(quota)]
+
+
+def test_shards_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL", 40)
+    rows = [(None, None)] * 500 + [(7, "same")] * 300 + [(i, f"t{i}") for i in range(100)]
+    runs = []
+    for splits in (2, 5):
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(splits), 16).collect()
+        sizes, slots = Counter(r.shard for r in got), defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert len(got) == 900 and max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        runs.append(sorted(map(str, got)))
+    assert runs[0] == runs[1]
+    numbered = sharding._numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.rid for r in numbered.where("doc_id is null").collect()) == list(range(500)) and numbered.count() == 900
+
+
+def test_a_text_with_very_many_secrets(spark):
+    n = 20_000
+    text = "password=abcdef12 é " * n
+    spans = secrets.find(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).collect()
+    assert sorted(len(r.spans) for r in spans) == [0, n, n]
+    got = next(r.spans for r in spans if r.spans)
+    assert [(s.start, s.end) for s in got] == [(20 * k, 20 * k + 17) for k in range(n)]
+
+
+def test_vectors_with_repeated_ids_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], "a", "n"), (1, [1.0, 0.001], "a", "n"), (2, [1.0, 0.0], "a", "n"), (3, [1.0, 0.0], "b", "n"), (None, [1.0, 0.0], "a", "n")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, node string").selectExpr("*", "1 AS cap", "2 AS kept", "3 AS key", "4 AS least")
+    got = sorted((tuple(r) for r in vectors.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True)], key=repr)
+
+
 def forward(p, ids, k):
     """Hidden values and the three distributions for one word, in plain loops."""
     pl = pseudo_likelihood
