@@ -122,6 +122,39 @@ def test_two_clouds_at_just_the_radius(spark):
     assert got == want
 
 
+def test_findings_follow_arrivals(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tracewash.operators import correlation, items
+    from tracewash.plans.views import view
+    from tracewash.streaming import findings
+
+    rows = view(spark, folder("sf0.001"), "v_items").select("file_id", "ord", "field", "value")
+    places = view(spark, folder("sf0.001"), "v_gps").selectExpr("file_id", "stack(2, 0L, 'GPSLatitude', cast(lat as string), 1L, 'GPSLongitude', cast(lon as string)) as (ord, field, value)")
+    rows = rows.where("cast(substring(file_id, 2) as int) < 1500").union(places).cache()
+    n = F.pmod(F.xxhash64("file_id"), F.lit(3))
+    stored = f"file:{tmp_path}/state"
+    for k in (0, 1, 2, 2):  # the last batch runs twice
+        findings.add_batch(rows.where(n == k), stored, k)
+        upto = rows.where(n <= k)
+        want = correlation.batch_findings(upto, items.gps_points(upto)).collect()
+        got = findings.findings(spark, stored).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and any(r.finding_type == "gps-cluster" for r in got)
+    assert sorted(p.name for p in (tmp_path / "state" / "labels").iterdir()) == ["batch=1", "batch=2"]
+
+
+def test_clusters_that_a_later_place_joins(spark, tmp_path):
+    from tracewash.streaming import findings
+
+    stored = f"file:{tmp_path}/state"
+    places = [[("a", 10.0, 20.0), ("b", 10.03, 20.0)], [("c", 10.015, 20.0)], [("d", 50.0, 20.0)]]
+    for k, some in enumerate(places):
+        rows = [(f, i, field, str(v)) for f, lat, lon in some for i, (field, v) in enumerate((("GPSLatitude", lat), ("GPSLongitude", lon)))]
+        findings.add_batch(spark.createDataFrame(rows, "file_id string, ord long, field string, value string"), stored, k)
+        assert [(r.key, r.n_files) for r in findings.findings(spark, stored).collect()] == ([("a", 3)] if k else [])
+    assert {r.file_id for r in findings.members(spark, stored).where("key = 'a'").collect()} == {"a", "b", "c"}
+
+
 def test_components_of_a_path_and_a_star(spark):
     from tracewash.operators.graph import components
 

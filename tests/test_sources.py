@@ -131,9 +131,14 @@ def test_sinks(spark, tmp_path):
     rows = {r.file_id: r for r in sinks.report(done, metadata.items(walked)).collect()}
     assert rows["0"].report.startswith("File: png.png\nStatus: SUCCESS") and "[high] Author: Jane Secret 00000007" in rows["0"].report
     assert json.loads(rows["1"].report_json)["status"] == "FAILED HEIC_DECODE_UNSUPPORTED"
-    archives = sinks.archives(done, issued, most_bytes=200).collect()
+    archives = sinks.archives(done, issued, most_bytes=50).collect()
     names = [n for a in archives for n in zipfile.ZipFile(io.BytesIO(a.zip)).namelist()]
     assert len(archives) > 1 and sorted(n for n in names if n != "summary.txt") == ["certificates/0.json", "certificates/2.json", "cleaned_files/0/clean_png.png", "cleaned_files/2/clean_gif.gif"]
+    one = sinks.archives(done.join(cleaning.verified(done), "file_id", "left"), issued).collect()
+    assert len(one) == 1
+    told = zipfile.ZipFile(io.BytesIO(one[0].zip)).read("summary.txt").decode()
+    files_of = [n.split("/")[1] for n in zipfile.ZipFile(io.BytesIO(one[0].zip)).namelist() if n.startswith("cleaned_files")]
+    assert told.startswith("Files: 2") and "Verified: 2 of 2" in told and told.index({"0": "png.png", "2": "gif.gif"}[files_of[0]]) < told.index({"0": "png.png", "2": "gif.gif"}[files_of[1]])
     assert spark.range(1).select(sinks.gps_text(F.lit(1.5), F.lit(-2.25))).first()[0] == "1.500000, -2.250000"
 
 
@@ -160,3 +165,170 @@ def test_screenshots_from_items_and_values(spark):
     one = spark.createDataFrame([(" a \n b ", "x" * 80, 1_700_000_000_000, "p.PNG", "S")], "t string, b string, ms long, name string, ref string")
     got = one.select(values.one_line(F.col("t")), values.truncated(F.col("b"), 3), values.neutral_name(F.col("ms"), F.col("name")), values.wrapped_base64(F.col("b").cast("binary")), values.dms_to_decimal(F.lit(41), F.lit(30), F.lit(36), F.col("ref"))).first()
     assert got[0] == "a b" and got[1] == "xxx..." and got[2] == "shared_loyw3v28.png" and got[3].split("\r\n") == [base64.b64encode(b"x" * 80).decode()[:76], base64.b64encode(b"x" * 80).decode()[76:]] and got[4] == -41.51
+
+
+def test_archives_fill_up_one_after_the_other(spark):
+    from tracewash.sources import sinks
+
+    rows = spark.range(3000).selectExpr("cast(id as string) as file_id", "id % 97 + 1 as size")
+    got = sorted((r.place, r.archive, r["size"]) for r in sinks.packed(rows, 1000).collect())
+    assert [p for p, *_ in got] == list(range(1, 3001))
+    total = 0
+    for _, archive, size in got:
+        assert archive == total // 1000
+        total += size
+
+
+def mail(*parts, edge=b"edge"):
+    head = b"From: a@b\r\nContent-Type: multipart/mixed; boundary=" + edge + b"\r\n\r\n"
+    return head + b"".join(b"--" + edge + b"\r\n" + p + b"\r\n" for p in parts) + b"--" + edge + b"--\r\n"
+
+
+def test_large_attachments_keep_their_boundaries(spark):
+    photo = FORMS["png"](None)[:-12] + chunk(b"IDAT", bytes(2 * 2**20)) + chunk(b"tEXt", b"Author\0" + SECRET) + chunk(b"IEND", b"")
+    wrap = lambda x: base64.encodebytes(x).replace(b"\n", b"\r\n").rstrip()
+    part = lambda x: b"Content-Type: image/png\r\nContent-Transfer-Encoding: base64\r\n\r\n" + wrap(x)
+    text = b"Content-Type: text/plain\r\n\r\nlast words"
+    clean = FORMS["png"](None)[:-12] + chunk(b"IDAT", bytes(2 * 2**20)) + chunk(b"IEND", b"")
+    got = cleaned(spark, [("a.eml", mail(part(photo), text, part(FORMS["png"](SECRET))))])["0"]
+    assert got.error_code is None and bytes(got.cleaned) == mail(part(clean), text, part(FORMS["png"](None)))
+
+
+def test_files_in_files_to_a_stated_depth(spark):
+    def nested(n, s):
+        inner = FORMS["png"](s)
+        body = b"Content-Type: image/png\r\nContent-Transfer-Encoding: base64\r\n\r\n" + base64.b64encode(inner)
+        for k in range(n):
+            body = b"Content-Type: message/rfc822\r\n\r\n" + (b"Reply-To: " + s + b"\r\n" if s else b"") + mail(body, edge=b"edge%d" % k)
+        return mail(body)
+
+    walked = metadata.with_parts(frame(spark, [("a.eml", nested(2, SECRET)), ("b.eml", nested(4, SECRET))]))
+    got = {r.name: r for r in cleaning.cleaned(walked, deepest=4).collect()}
+    assert bytes(got["a.eml"].cleaned).count(b"--\r\n") == 3 and SECRET not in bytes(got["a.eml"].cleaned) and base64.b64encode(FORMS["png"](None))[:76] in bytes(got["a.eml"].cleaned)
+    assert got["b.eml"].cleaned is None and got["b.eml"].error_code.endswith("TOO_DEEP")
+    zipped = mail(b'Content-Type: application/zip\r\nContent-Disposition: attachment; filename="a.zip"\r\n\r\nPK')
+    left = cleaning.parts_left(metadata.with_parts(frame(spark, [("c.eml", zipped)]))).collect()
+    assert [(r.name, r.mime) for r in left] == [("a.zip", "application/zip")]
+
+
+def test_pdf_strings_wherever_they_stand(spark):
+    import zlib
+
+    def stream(number, entries, data, packed=True):
+        data = zlib.compress(data) if packed else data
+        return b"%d 0 obj<<%s /Length %d%s>>stream\n" % (number, entries, len(data), b" /Filter /FlateDecode" if packed else b"") + data + b"\nendstream endobj\n"
+
+    info = b"<</Author (" + SECRET + b") /Company 9 0 R /Nested [(" + SECRET + b")]>>"
+    text = b"<</Kept (Visible words)>>"
+    numbers = b"1 0 8 %d 9 %d " % (len(info) + 1, len(info) + len(text) + 2)
+    held = stream(7, b"/Type /ObjStm /N 3 /First %d" % len(numbers), numbers + info + b" " + text + b" (" + SECRET + b")")
+    xmp = stream(5, b"/Type /Met#61data", b"<x:xmpmeta>" + SECRET + b"</x:xmpmeta>")
+    older = b"1 0 obj<</Title (" + SECRET + b")>>endobj\n"
+    file = b"%PDF-1.5\n" + older + held + xmp + b"trailer<</Inf#6f 1 0 R>>\n%%EOF"
+    odd = file.replace(b"/FlateDecode>>stream", b"/LZWDecode>>stream", 1)
+    escaped = b"%PDF-1.4\n1 0 obj<</Author (Jane\\040Secret\\)) /Producer <FEFF004A0061006E0065>>>endobj trailer<</Info 1 0 R>>%%EOF"
+    rows = [("a.pdf", file), ("b.pdf", odd), ("c.pdf", escaped)]
+    walked = metadata.with_parts(frame(spark, rows))
+    values = {(r.file_id, r.field, r.value) for r in metadata.items(walked).where("src = 'info'").collect()}
+    said = SECRET.decode()
+    assert values == {("0", "Title", said), ("0", "Author", said), ("0", "Company", said), ("0", "Nested", said), ("2", "Author", "Jane Secret)"), ("2", "Producer", "Jane")}
+    done = cleaning.cleaned(walked)
+    got = {r.name: r for r in done.collect()}
+    assert got["b.pdf"].cleaned is None and got["b.pdf"].error_code.startswith("DAMAGED")
+    new = bytes(got["a.pdf"].cleaned)
+    assert len(new) == len(file)
+    from tracewash.sources.pdfs import Objects
+
+    objects = Objects(new)
+    assert objects.body(8).strip() == text and SECRET not in objects.body(9) and SECRET not in new
+    assert SECRET not in b"".join(objects.data(*span) for spans in objects.spans.values() for span in spans if b"stream" in new[span[0] : span[1]])
+    assert {r.file_id: r.n_traces for r in cleaning.verified(done).collect()} == {"0": 0, "2": 0}
+
+
+def test_the_verifier_finds_what_a_cleaner_leaves(spark):
+    photo, film = FORMS["jpeg"](SECRET, 1), FORMS["mp4"](SECRET, 1)
+    rows = [("a.jpg", photo, photo), ("b.mp4", film, film), ("c.flac", FORMS["flac"](SECRET, 1), FORMS["flac"](SECRET, 1)), ("d.pdf", FORMS["pdf"](SECRET, 1), FORMS["pdf"](SECRET, 1))]
+    rows += [("e.wav", FORMS["wav"](SECRET, 1), FORMS["wav"](SECRET, 1)), ("f.svg", FORMS["svg"](SECRET, 1), FORMS["svg"](SECRET, 1)), ("g.tiff", FORMS["tiff"](SECRET, 2), FORMS["tiff"](SECRET, 2)), ("h.png", FORMS["png"](SECRET, 1), FORMS["png"](None, 1) + b"<x:xmpmeta")]
+    rows += [("i.png", FORMS["png"](SECRET, 1), FORMS["png"](None, 1)), ("j.eml", FORMS["eml"](SECRET), FORMS["eml"](None)), ("k.jpg", photo, FORMS["jpeg"](None, 1) + SECRET.decode().encode("utf-16-le"))]
+    df = spark.createDataFrame([(str(i), n, bytearray(a), bytearray(b)) for i, (n, a, b) in enumerate(rows)], "file_id string, name string, content binary, cleaned binary")
+    found = {rows[int(r.file_id)][0]: r.traces for r in cleaning.traces(df.withColumn("file_type", files.file_type(F.col("name")))).collect()}
+    assert {n for n, t in found.items() if not t} == {"i.png", "j.eml"}
+    assert SECRET.decode() in found["k.jpg"] and SECRET.decode() in found["d.pdf"] and SECRET.decode() in found["g.tiff"]
+
+
+def test_fragmented_films_and_wide_tables(spark):
+    from tracewash.plans.fixtures import box
+
+    film = FORMS["mp4"](SECRET, 1)
+    more = box(b"moof", box(b"mfhd", bytes(8)) + box(b"traf", box(b"tfhd", bytes(8)))) + box(b"mdat", b"more") + box(b"uuid", SECRET)
+    spread = film + more
+    telemetry = FORMS["mp4"](SECRET, 2) + more
+    got = {r.name: r for r in cleaned(spark, [("a.mp4", spread), ("b.mp4", telemetry)]).values()}
+    assert len(got["a.mp4"].cleaned) == len(spread) and SECRET not in bytes(got["a.mp4"].cleaned) and bytes(got["a.mp4"].cleaned)[spread.index(b"frames") :][:6] == b"frames"
+    assert got["b.mp4"].cleaned is None and got["b.mp4"].error_code == "UNKNOWN_PART"
+    wide = film.replace(box(b"stco", bytes(4) + struct.pack(">II", 1, film.index(b"frames"))), box(b"co64", bytes(4) + struct.pack(">IQ", 1, film.index(b"frames"))))
+    # The tables above it are four bytes larger each, and so are the boxes around.
+    grown = bytearray(wide)
+    for name in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        at = wide.index(name) - 4
+        grown[at : at + 4] = struct.pack(">I", struct.unpack(">I", wide[at : at + 4])[0] + 4)
+    at = wide.index(b"co64") + 12
+    grown[at : at + 8] = struct.pack(">Q", wide.index(b"frames"))
+    new = bytes(cleaned(spark, [("c.mp4", bytes(grown))])["0"].cleaned)
+    at = new.index(b"co64") + 12
+    assert struct.unpack(">Q", new[at : at + 8])[0] == new.index(b"frames") and SECRET not in new
+
+
+def test_sound_of_other_kinds(spark):
+    aac = b"".join(b"\xff\xf1\x50\x80" + bytes([0x01, 0x9F, 0xFC]) + b"x" * 5 for _ in range(4))  # 12 bytes a frame
+    slow = (b"\xff\xf3\x40\x00" + bytes(100)) * 3  # MPEG-2, 32 kbit/s, 22,050 Hz: 104 bytes a frame
+    rows = [("a.aac", SECRET + aac), ("b.mp3", slow[:-2] + SECRET), ("c.mp3", SECRET * 9), ("d.flac", FORMS["flac"](SECRET) + b"TAG" + SECRET.ljust(125, b"\0"))]
+    got = {r.name: r for r in cleaned(spark, rows).values()}
+    assert bytes(got["a.aac"].cleaned) == aac and bytes(got["b.mp3"].cleaned)[:310] == slow[:-2] and got["c.mp3"].error_code.startswith("DAMAGED")
+    assert bytes(got["d.flac"].cleaned) == FORMS["flac"](None)
+
+
+def test_svg_entities_and_local_paths(spark):
+    plain = b'<!DOCTYPE svg [<!ENTITY ns_svg "http://www.w3.org/2000/svg">]><svg xmlns="&ns_svg;"><a href="C:\\Users\\Jane"/><g onclick="x()" id="k"/></svg>'
+    told = plain.replace(b"http://www.w3.org/2000/svg", SECRET)
+    got = {r.name: r for r in cleaned(spark, [("a.svg", plain), ("b.svg", told)]).values()}
+    assert bytes(got["a.svg"].cleaned) == plain.replace(b' href="C:\\Users\\Jane"', b"").replace(b' onclick="x()"', b"")
+    assert got["b.svg"].error_code == "UNKNOWN_PART" and got["b.svg"].cleaned is None
+
+
+def test_formats_that_users_add(spark):
+    from tracewash.sources import registry
+
+    def notes(b):
+        at = 4
+        for line in b[4:].splitlines(True):
+            key, _, value = line.decode().partition("=")
+            yield "note line", key, at, at + len(line), value.strip()
+            at += len(line)
+
+    new = registry.Format("notes", "note", notes, magic="4E4F5445", risk=lambda p: F.when(p["key"] == "who", "high"), edit=lambda p: F.when(p["key"] == "who", "drop"))
+    registry.add_format(new)
+    try:
+        rows = [("a.note", b"NOTEwho=Jane\nwhat=words\n"), ("b.note", b"none"), ("c.png", FORMS["png"](SECRET))]
+        walked = metadata.with_parts(frame(spark, rows))
+        assert [(r.field, r.value, r.risk) for r in metadata.items(walked).where("file_id = '0'").collect()] == [("who", "Jane", "high")]
+        got = {r.name: r for r in cleaned(spark, rows).values()}
+        assert bytes(got["a.note"].cleaned) == b"NOTEwhat=words\n" and got["b.note"].error_code == "NOT_NOTES" and bytes(got["c.png"].cleaned) == FORMS["png"](None)
+        registry.register(spark)
+        frame(spark, rows).createOrReplaceTempView("noted_files")
+        assert {r.key for r in spark.sql("SELECT p.key FROM noted_files, LATERAL metadata_parts(name, content) p WHERE p.kind = 'note line'").collect()} == {"who", "what"}
+        with pytest.raises(ValueError):
+            registry.add_format(registry.Format("png", "png", notes))
+    finally:
+        registry.remove_format("notes")
+        registry.register(spark)
+
+
+def test_comments_of_users_in_their_encodings(spark):
+    def tagged(raw):
+        exif = struct.pack("<HHHII", 1, 0x9286, 7, len(raw), 44) + bytes(4)
+        return b"II*\0" + struct.pack("<IHHHIII", 8, 1, 0x8769, 4, 1, 26, 0) + exif + raw
+
+    rows = [("a.tiff", tagged(b"ASCII\0\0\0Jane")), ("b.tiff", tagged(b"UNICODE\0" + "Jané".encode("utf-16-le"))), ("c.tiff", tagged(b"JIS\0\0\0\0\0" + "山".encode("iso2022_jp")))]
+    got = metadata.items(metadata.with_parts(frame(spark, rows))).where("field = 'UserComment'").collect()
+    assert {r.file_id: r.value for r in got} == {"0": "Jane", "1": "Jané", "2": "山"}

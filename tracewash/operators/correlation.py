@@ -138,29 +138,56 @@ def gps_clusters(points: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     points of a cell, but where two parts of 90 m face each other at just the
     radius.
     """
+    at = cut(placed(points, radius_km))
+    label = cut(components(cell_links(at, radius_km)))
+    out = at.join(label.withColumnRenamed("node", "cell"), "cell", "left").select("file_id", F.coalesce("label", "cell").alias("label"))
+    return clusters(out)
+
+
+def clusters(labelled: DataFrame) -> DataFrame:
+    """``file_id, cluster`` of ``file_id, label``: a cluster is named by its smallest file."""
+    names = labelled.groupBy("label").agg(F.min("file_id").alias("cluster"))
+    return labelled.join(names, "label").select("file_id", "cluster")
+
+
+def placed(points: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """``file_id, lat, lon`` with the grid's ``band, col`` and ``cell``."""
     grid = _Grid(radius_km)
     at = points.where("lat is not null and lon is not null").select("file_id", (F.col("lat") + F.lit(0.0)).alias("lat"), F.pmod(F.col("lon") + F.lit(0.0), F.lit(360.0)).alias("lon"))
     at = at.withColumn("band", grid.band(F.col("lat")))
-    at = at.withColumn("col", grid.column(F.col("lon"), F.col("band"))).withColumn("cell", F.xxhash64("band", "col"))
-    at = cut(at)
+    return at.withColumn("col", grid.column(F.col("lon"), F.col("band"))).withColumn("cell", F.xxhash64("band", "col"))
+
 
+def near_cells(at: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """``band, col`` of the cells of ``at`` and of all that may hold a point within the radius of them."""
+    around = _outer(at, "band", "col", "cell").select("band", "col", F.explode(_Grid(radius_km).around(F.col("box"))).alias("n"))
+    return around.select("n.band", "n.col").union(around.select("band", "col")).distinct()
+
+
+def cell_links(at: DataFrame, radius_km: float = RADIUS_KM, fresh: DataFrame | None = None) -> DataFrame:
+    """Links ``u, v`` between cells of placed points, enough to find all clusters.
+
+    With ``fresh(cell)`` only links that have one of those at an end.
+    """
+    grid = _Grid(radius_km)
     cells = cut(_outer(at, "band", "col", "cell"))
-    around = cells.select(F.col("cell").alias("u"), F.struct("box", "points").alias("a"), F.explode(grid.around(F.col("box"))).alias("n"))
+    some = cells if fresh is None else cells.join(fresh, "cell", "left_semi")
+    around = some.select(F.col("cell").alias("u"), F.struct("box", "points").alias("a"), F.explode(grid.around(F.col("box"))).alias("n"))
     other = cells.select(F.col("cell").alias("v"), F.struct("box", "points").alias("b"), "band", "col")
-    pairs = around.join(other, (F.col("n.band") == F.col("band")) & (F.col("n.col") == F.col("col")) & (F.col("u") < F.col("v")))
+    once = F.col("u") < F.col("v") if fresh is None else F.col("u") != F.col("v")
+    pairs = around.join(other, (F.col("n.band") == F.col("band")) & (F.col("n.col") == F.col("col")) & once)
     pairs = cut(pairs.where(_may_touch(radius_km)).select("u", "v", _touch(radius_km).alias("linked")))
     links = pairs.where("linked").select("u", "v")
+    apart = pairs.where("not linked").select("u", "v")
+    if apart.isEmpty():
+        return links
+    # Cells that others link already need no closer look.
     label = cut(components(links))
     to = lambda x: label.select(F.col("node").alias(x), F.col("label").alias("l" + x))
-    apart = pairs.where("not linked").join(to("u"), "u", "left").join(to("v"), "v", "left").where("lu is null or lv is null or lu <> lv").select("u", "v")
-    apart = cut(apart)
-    if not apart.isEmpty():
-        more = cut(_closer(at, apart, grid, radius_km))
-        if not more.isEmpty():
-            label = cut(components(links.union(more)))
-    out = at.join(label.withColumnRenamed("node", "cell"), "cell", "left").select("file_id", F.coalesce("label", "cell").alias("label"))
-    names = out.groupBy("label").agg(F.min("file_id").alias("cluster"))
-    return out.join(names, "label").select("file_id", "cluster")
+    apart = cut(apart.join(to("u"), "u", "left").join(to("v"), "v", "left").where("lu is null or lv is null or lu <> lv").select("u", "v"))
+    if apart.isEmpty():
+        return label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return label.select(F.col("node").alias("u"), F.col("label").alias("v")).union(cut(_closer(at, apart, grid, radius_km)))
 
 
 def _closer(at: DataFrame, apart: DataFrame, grid: _Grid, radius_km: float) -> DataFrame:
@@ -185,9 +212,10 @@ def gps_members(points: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
 
 def batch_members(items: DataFrame, points: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """Keys and files of a batch; a batch of one file has none."""
-    some = items.select("file_id").distinct().limit(2).count() > 1
-    out = gps_members(points, radius_km).unionByName(device_members(items)).unionByName(author_members(items))
-    return out if some else out.limit(0)
+    first, last = items.agg(F.min("file_id"), F.max("file_id")).first()
+    if first == last:
+        return items.select(F.lit("").alias("finding_type"), F.lit("").alias("key"), "file_id").limit(0)
+    return cut(gps_members(points, radius_km).unionByName(device_members(items)).unionByName(author_members(items)))
 
 
 def batch_findings(items: DataFrame, points: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:

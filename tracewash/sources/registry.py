@@ -86,8 +86,10 @@ def register(spark: SparkSession) -> None:
     @udtf(returnType="ord int, kind string, key string, start int, end int, text string")
     class MetadataParts:
         def eval(self, name: str, content: bytes):
-            ADDED.update(added)
-            n, walker = 0, _walker_of(name)
+            from tracewash.sources import registry  # the module of the worker, not a copy of it
+
+            registry.ADDED.update(added)
+            n, walker = 0, registry._walker_of(name)
             try:
                 for kind, key, start, end, text in walker(bytes(content or b"")) if walker else ():
                     yield n, kind, key, start, end, text

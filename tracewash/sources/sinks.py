@@ -7,9 +7,11 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_name, human_size
+from ..operators.graph import cut
 
 
 def write_results(done: DataFrame, path: str) -> None:
@@ -54,38 +56,71 @@ def gps_text(lat: Column, lon: Column) -> Column:
     return F.format_string("%.6f, %.6f", lat, lon)
 
 
+def summary_lines(rows: DataFrame, certificates: DataFrame) -> DataFrame:
+    """``file_id, lines``: what the summary says of each file, ``rows`` having its sizes and how it went."""
+    seals = certificates.select("file_id", "cleaned_sha256")
+    went = F.when(F.col("error_code").isNotNull(), F.concat(F.lit("failed, "), "error_code")).when(F.col("verified"), "verified").otherwise("to be checked by hand")
+    sizes = F.concat(human_size(F.col("original_size")), F.lit(" -> "), F.coalesce(human_size(F.col("cleaned_size")), F.lit("-")))
+    seal = F.when(F.col("cleaned_sha256").isNotNull(), F.concat(F.lit("   SHA-256: "), "cleaned_sha256"))
+    return rows.join(seals, "file_id", "left").select("file_id", F.concat_ws("\n", "name", F.concat(F.lit("   Size: "), sizes), F.concat(F.lit("   Status: "), went), seal).alias("lines"))
+
+
+def packed(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """``rows(file_id, size)`` with ``archive`` and ``place``: files in order until an archive holds ``most_bytes``.
+
+    Running totals are taken in two steps, within parts of the order and over
+    the totals of parts.  An archive is larger than ``most_bytes`` by less than
+    its last file.
+    """
+    n = max(64, -(-rows.count() // 50_000))
+    rows = rows.withColumn("_part", F.shiftright(F.conv(F.substring(F.md5("file_id"), 1, 8), 16, 10).cast("long") * n, 32)).withColumn("_order", F.md5("file_id"))
+    total = rows.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_files"))
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part
+    total = total.select("_part", F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_skip"), F.coalesce(F.sum("_files").over(upto), F.lit(0)).alias("_past"))
+    within = W.partitionBy("_part").orderBy("_order", "file_id")
+    rows = rows.withColumns({"_at": F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_nth": F.row_number().over(within)}).join(total, "_part")
+    archive = F.floor((F.col("_skip") + F.col("_at")) / most_bytes).alias("archive")
+    return rows.select("file_id", "size", archive, (F.col("_past") + F.col("_nth")).alias("place"))
+
+
 def archives(done: DataFrame, certificates: DataFrame, most_bytes: int = 256 * 2**20) -> DataFrame:
-    """ZIP files of cleaned files and their certificates: ``archive, zip``.
+    """ZIP files of cleaned files, their certificates and a summary: ``archive, zip``.
 
-    Files are dealt to archives by a hash of ``file_id``, so many that one
-    holds about ``most_bytes``; each archive is put together by one task.
+    Archives are filled one after the other; each is put together by one task,
+    as its files come, and its summary lists them in that order.  ``done`` may
+    have ``verified``.
     """
-    rows = done.where("cleaned is not null").select("file_id", "name", "cleaned")
-    size = rows.agg(F.coalesce(F.sum(F.length("cleaned")), F.lit(0))).first()[0]
-    many = max(1, -(-2 * size // most_bytes))
+    verified = F.col("verified") if "verified" in done.columns else F.lit(None).cast("boolean")
+    rows = done.where("cleaned is not null").select("file_id", "name", "cleaned", "error_code", verified.alias("verified"), F.length("content").cast("long").alias("original_size"), F.length("cleaned").cast("long").alias("cleaned_size"))
+    places = cut(packed(rows.select("file_id", F.col("cleaned_size").alias("size")), most_bytes))
+    many = places.agg(F.count_distinct("archive")).first()[0] or 1
     text = certificates.select("file_id", F.to_json(F.struct(*certificates.columns)).alias("certificate"))
-    rows = rows.join(text, "file_id", "left").select(F.pmod(F.xxhash64("file_id"), F.lit(many)).alias("archive"), "file_id", clean_name(F.col("name")).alias("name"), "cleaned", "certificate")
+    rows = rows.join(places, "file_id").join(text, "file_id", "left").join(summary_lines(rows, certificates), "file_id")
+    rows = rows.select("archive", "place", "file_id", clean_name(F.col("name")).alias("name"), "cleaned", "certificate", "lines", "original_size", "verified")
 
     def run(batches):
-        now, made, z, n, size = None, None, None, 0, 0
+        now, made, z, told, before, after, good = None, None, None, [], 0, 0, 0
 
         def row():
-            z.writestr(zipfile.ZipInfo("summary.txt"), f"{n} files, {size} bytes\n")
+            head = f"Files: {len(told)}\n\n"
+            tail = f"\n\nOriginal bytes: {before}\nCleaned bytes: {after}\nSaved bytes: {before - after}\nVerified: {good} of {len(told)}\n"
+            z.writestr(zipfile.ZipInfo("summary.txt"), head + "\n".join(f"{n}. {lines}" for n, lines in enumerate(told, 1)) + tail)
             z.close()
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([made.getvalue()], pa.binary())], ["archive", "zip"])
 
         for batch in batches:
-            for archive, file_id, name, cleaned, certificate in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for archive, _, file_id, name, cleaned, certificate, lines, size, verified in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if archive != now:
                     if z:
                         yield row()
-                    now, made, n, size = archive, io.BytesIO(), 0, 0
+                    now, made, told, before, after, good = archive, io.BytesIO(), [], 0, 0, 0
                     z = zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED)
                 z.writestr(zipfile.ZipInfo(f"cleaned_files/{file_id}/{name}"), cleaned)
                 if certificate:
                     z.writestr(zipfile.ZipInfo(f"certificates/{file_id}.json"), certificate)
-                n, size = n + 1, size + len(cleaned)
+                told.append(lines)
+                before, after, good = before + size, after + len(cleaned), good + bool(verified)
         if z:
             yield row()
 
-    return rows.repartition(many, "archive").sortWithinPartitions("archive", "file_id").mapInArrow(run, "archive long, zip binary")
+    return rows.repartition(many, "archive").sortWithinPartitions("archive", "place").mapInArrow(run, "archive long, zip binary")
