@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dictionaries import HIGH_PARAMS, MEDIUM_PARAMS, PRESERVED, SUSPECT_KEY, SUSPECT_VALUE, TRACKERS
+from .dictionaries import HIGH_PARAMS, MEDIUM_PARAMS, PRESERVED, SUSPECT_KEYS, SUSPECT_LENGTH, SUSPECT_VALUE, TRACKERS
 
 #: scheme, host, path, query, fragment
 URL = r"^\s*([hH][tT][tT][pP][sS]?)://(?:[^/?#@]*@)?([^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?\s*$"
@@ -50,20 +50,20 @@ def params(query: Column) -> Column:
 def platform(name: Column, value: Column) -> Column:
     """The first platform whose list has the key, ``unknown`` for a suspect, else null."""
     key = F.lower(name)
-    out = F.when(key.isin(PRESERVED), F.lit(None).cast("string"))
+    out = F.when(key.isin(*PRESERVED), F.lit(None).cast("string"))
     for known, listed in TRACKERS.items():
-        exact = [p for p in listed.split() if not p.endswith("*")]
-        hit = key.isin(exact)
-        for p in listed.split():
+        exact = [p for p in listed if not p.endswith("*")]
+        hit = key.isin(*exact)
+        for p in listed:
             if p.endswith("*"):
                 hit = hit | key.startswith(p[:-1])
         out = out.when(hit, known)
-    return out.when(key.rlike(SUSPECT_KEY) | value.rlike(SUSPECT_VALUE), "unknown")
+    return out.when(key.rlike("|".join(SUSPECT_KEYS)) | (F.length(value) > SUSPECT_LENGTH) & value.rlike(SUSPECT_VALUE), "unknown")
 
 
 def param_risk(name: Column, known: Column) -> Column:
     key = F.lower(name)
-    listed = F.when(key.isin(HIGH_PARAMS), "high").when(key.isin(MEDIUM_PARAMS), "medium").otherwise("low")
+    listed = F.when(key.isin(*HIGH_PARAMS), "high").when(key.isin(*MEDIUM_PARAMS), "medium").otherwise("low")
     return F.when(known == "unknown", "low").when(known.isNotNull(), listed)
 
 
@@ -168,5 +168,5 @@ def clean_text(text: Column, **options) -> Column:
 
 
 def known_trackers(spark: SparkSession) -> DataFrame:
-    rows = [(p, k) for k, listed in TRACKERS.items() for p in listed.split()]
+    rows = [(p, k) for k, listed in TRACKERS.items() for p in listed]
     return spark.createDataFrame(rows, "param string, platform string")

@@ -19,11 +19,11 @@ def field_name(df: DataFrame) -> Column:
 
 
 def exif_risk(field: Column) -> Column:
-    return F.when(field.isin(EXIF_RISK["high"]), "high").when(field.isin(EXIF_RISK["medium"]), "medium").otherwise("low")
+    return F.when(field.isin(*EXIF_RISK["high"]), "high").when(field.isin(*EXIF_RISK["medium"]), "medium").otherwise("low")
 
 
 def pdf_risk(field: Column) -> Column:
-    return F.when(field.isin(PDF_RISK["high"]), "high").when(field.isin(PDF_RISK["medium"]), "medium").otherwise("low")
+    return F.when(field.isin(*PDF_RISK["high"]), "high").when(field.isin(*PDF_RISK["medium"]), "medium").otherwise("low")
 
 
 def office_risk(field: Column) -> Column:

@@ -51,6 +51,30 @@ def recommendations(shots: DataFrame) -> DataFrame:
     return shots.where("is_screenshot").select("file_id", F.concat_ws(",", names).alias("recommendations"))
 
 
+#: What is said of each part that goes.
+SAID = {
+    "device": ("Device", "maker and model of the phone or computer go"),
+    "timestamp": ("Time", "day and hour of the screenshot go"),
+    "screen": ("Screen", "its resolution and the program's name go"),
+    "apple": ("Apple", "what iOS and iPadOS add goes"),
+}
+
+
+def recommendation_rows(shots: DataFrame) -> DataFrame:
+    """``file_id, ord, part, title, said``: a row for each part to remove."""
+    parts = F.posexplode(F.split("recommendations", ",")).alias("ord", "part")
+    told = lambda k: F.create_map(*(F.lit(x) for part, texts in SAID.items() for x in (part, texts[k])))[F.col("part")]
+    return recommendations(shots).select("file_id", parts).withColumns({"title": told(0), "said": told(1)})
+
+
+def warnings(found: DataFrame) -> DataFrame:
+    """``file_id, kind, value, risk``: makers of phones and times in files described by ``from_items``."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    makers = "|".join(PHONE_MAKERS)
+    device = found.where(low("make").rlike(makers) | low("model").rlike(makers)).select("file_id", F.lit("device").alias("kind"), F.trim(F.concat_ws(" ", low("make"), low("model"))).alias("value"), F.lit("medium").alias("risk"))
+    return device.union(found.where("taken is not null").select("file_id", F.lit("datetime"), "taken", F.lit("low")))
+
+
 def from_items(items: DataFrame, names: DataFrame) -> DataFrame:
     """Inputs of ``detect`` from items: the first item of each field counts."""
     key = F.lower(F.col("field"))
@@ -58,6 +82,6 @@ def from_items(items: DataFrame, names: DataFrame) -> DataFrame:
     whole = lambda c: F.regexp_extract(c, r"^\s*(\d+)", 1).try_cast("int")
     width, height = key.contains("width") | (key == "pixelxdimension"), key.contains("height") | (key == "pixelydimension")
     found = items.groupBy("file_id").agg(
-        whole(first(width)).alias("width"), whole(first(height)).alias("height"), first(key == "software").alias("software"), first(key == "make").alias("make"), first(key == "model").alias("model")
+        whole(first(width)).alias("width"), whole(first(height)).alias("height"), first(key == "software").alias("software"), first(key == "make").alias("make"), first(key == "model").alias("model"), first((key.contains("date") | key.contains("time") & ~key.contains("exposure")) & F.col("value").isNotNull()).alias("taken")
     )
     return names.join(found, "file_id", "left")

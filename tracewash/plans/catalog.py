@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls, values
-from ..functions.dictionaries import AUTHOR_PARTS, CATEGORIES, DESKTOP, DEVICE_PARTS, EXIF_RISK, HIGH_PARAMS, IPAD, IPHONE, MEDIUM_PARAMS, OTHER_SCREENS, PHONE_MAKERS, PRESERVED, SHOT_NAMES, SHOT_SOFTWARE, SUSPECT_KEY, SUSPECT_VALUE, TRACKERS
+from ..functions.dictionaries import AUTHOR_PARTS, CATEGORIES, DESKTOP, DEVICE_PARTS, EXIF_RISK, HIGH_PARAMS, IPAD, IPHONE, MEDIUM_PARAMS, OTHER_SCREENS, PHONE_MAKERS, PRESERVED, SHOT_NAMES, SHOT_SOFTWARE, SUSPECT_KEYS, SUSPECT_LENGTH, SUSPECT_VALUE, TRACKERS
 from ..operators import correlation, items, results, screenshots
 from ..operators.graph import cut
 from ..sources import cleaning, metadata
@@ -46,9 +46,9 @@ def _cases(key: str, table: dict, test) -> str:
 _URL = urls.URL.replace("'", "''")
 
 
-def _tracker(key: str, names: str) -> str:
-    exact = [n for n in names.split() if not n.endswith("*")]
-    stars = [f"starts_with({key}, '{n[:-1]}')" for n in names.split() if n.endswith("*")]
+def _tracker(key: str, names: tuple[str, ...]) -> str:
+    exact = [n for n in names if not n.endswith("*")]
+    stars = [f"starts_with({key}, '{n[:-1]}')" for n in names if n.endswith("*")]
     return "(" + " OR ".join([f"{key} IN {_list(exact)}", *stars]) + ")"
 
 
@@ -56,12 +56,13 @@ def _decoded(c: str) -> str:
     return f"url_decode(replace({c}, '+', ' '))"
 
 
-_PARSED = f"""WITH parsed AS (
+def _parsed(source: str) -> str:
+    return f"""parsed AS (
     SELECT page_id, url, regexp_matches(url, '{_URL}') AS ok, lower(regexp_extract(url, '{_URL}', 1)) AS scheme,
         lower(regexp_replace(regexp_extract(url, '{_URL}', 2), ':80$', '')) AS domain,
         CASE WHEN regexp_extract(url, '{_URL}', 3) = '' THEN '/' ELSE regexp_extract(url, '{_URL}', 3) END AS path,
         substring(regexp_extract(url, '{_URL}', 4), 2) AS query, substring(regexp_extract(url, '{_URL}', 5), 2) AS hash
-    FROM v_urls),
+    FROM {source}),
 pairs AS (
     SELECT page_id, 'query' AS section, unnest(list_filter(string_split(query, '&'), lambda x: x <> '')) AS pair,
         generate_subscripts(list_filter(string_split(query, '&'), lambda x: x <> ''), 1) - 1 AS pos FROM parsed WHERE ok
@@ -73,14 +74,17 @@ named AS (
         {_decoded("CASE WHEN contains(pair, '=') THEN substring(pair, instr(pair, '=') + 1) ELSE '' END")} AS value FROM pairs),
 placed AS (
     SELECT *, CASE WHEN lower(name) IN {_list(PRESERVED)} THEN NULL {_cases("lower(name)", TRACKERS, _tracker)}
-        WHEN regexp_matches(lower(name), '{SUSPECT_KEY}') OR regexp_matches(value, '{SUSPECT_VALUE}') THEN 'unknown' END AS platform FROM named),
+        WHEN regexp_matches(lower(name), '{"|".join(SUSPECT_KEYS)}') OR length(value) > {SUSPECT_LENGTH} AND regexp_matches(value, '{SUSPECT_VALUE}') THEN 'unknown' END AS platform FROM named),
 classified AS (
     SELECT *, CASE WHEN platform = 'unknown' THEN 'suspected' WHEN platform IS NOT NULL THEN 'tracking' END AS category,
         CASE WHEN platform = 'unknown' THEN 'low' WHEN platform IS NULL THEN NULL WHEN lower(name) IN {_list(HIGH_PARAMS)} THEN 'high'
             WHEN lower(name) IN {_list(MEDIUM_PARAMS)} THEN 'medium' ELSE 'low' END AS risk FROM placed)
 """
+
+
+_PARSED = "WITH " + _parsed("v_urls")
 _ENCODED = lambda c: f"replace(replace(replace(url_encode({c}), '%20', '+'), '~', '%7E'), '%2A', '*')"
-_CLEAN = f"""{_PARSED}, kept AS (
+_DONE = f"""kept AS (
     SELECT page_id, string_agg({_ENCODED("name")} || '=' || {_ENCODED("value")}, '&' ORDER BY pos) AS q
     FROM classified WHERE section = 'query' AND category IS NULL GROUP BY page_id),
 gone AS (SELECT page_id, count(*) AS n FROM classified WHERE section = 'query' AND category IS NOT NULL GROUP BY page_id),
@@ -88,6 +92,7 @@ done AS (
     SELECT p.page_id, p.url, p.ok, CASE WHEN ok THEN scheme || '://' || domain || path || CASE WHEN q IS NULL THEN '' ELSE '?' || q END END AS cleaned,
         CASE WHEN ok THEN coalesce(g.n, 0) END AS removed_count
     FROM parsed p LEFT JOIN kept k USING (page_id) LEFT JOIN gone g USING (page_id))"""
+_CLEAN = f"{_PARSED}, {_DONE}"
 
 
 @query(f"{_CLEAN} SELECT page_id, url, ok AS success, cleaned, removed_count, length(url) - length(cleaned) AS size_saved FROM done")
@@ -118,12 +123,23 @@ def url_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.analyzed(view(spark, sf_dir, "v_urls")).drop("url")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for k, names in TRACKERS.items() for p in names.split()) + ") t(param, platform)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for k, names in TRACKERS.items() for p in names) + ") t(param, platform)")
 def url_known_trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.known_trackers(spark)
 
 
-@query()
+_IN_TEXT = urls.IN_TEXT.replace("'", "''")
+_PUT = lambda text, k: f"CASE WHEN u{k}.goes AND instr({text}, u{k}.url) > 0 THEN left({text}, CAST(instr({text}, u{k}.url) AS INT) - 1) || u{k}.cleaned || substring({text}, instr({text}, u{k}.url) + length(u{k}.url)) ELSE {text} END"
+
+
+@query(
+    f"""WITH t AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{_IN_TEXT}', 0) AS urls FROM v_text),
+    found AS (SELECT doc_id * 2 + generate_subscripts(urls, 1) - 1 AS page_id, unnest(urls) AS url FROM t),
+    {_parsed("found")}, {_DONE},
+    u AS MATERIALIZED (SELECT page_id // 2 AS doc_id, page_id % 2 AS k, url, cleaned, ok AND removed_count > 0 AS goes FROM done),
+    one AS (SELECT t.doc_id, len(urls) AS n_found, {_PUT("t.text", 0)} AS text, coalesce(u0.goes, false)::INT AS n FROM t LEFT JOIN u u0 ON u0.doc_id = t.doc_id AND u0.k = 0)
+    SELECT one.doc_id, n_found, n + coalesce(u1.goes, false)::INT AS n_cleaned, sha256({_PUT("one.text", 1)}) AS text_sha256 FROM one LEFT JOIN u u1 ON u1.doc_id = one.doc_id AND u1.k = 1"""
+)
 def url_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = view(spark, sf_dir, "v_text").withColumn("c", urls.clean_text(F.col("text")))
     return out.select("doc_id", F.col("c.found").alias("n_found"), F.col("c.cleaned_urls").alias("n_cleaned"), F.sha2("c.text", 256).alias("text_sha256"))
@@ -260,6 +276,35 @@ def screenshot_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screenshots.detect(view(spark, sf_dir, "v_files")).select("file_id", "confidence", "is_screenshot", "reasons", "platform")
 
 
+_FIRST = lambda test, cast=None: (f"CAST(regexp_extract(arg_min(value, ord) FILTER ({test}), '^\\s*(\\d+)', 1) AS INT)" if cast else f"arg_min(value, ord) FILTER ({test})")
+_SHOTS = f"""f AS (SELECT file_id, {_FIRST("field = 'ImageWidth' AND value IS NOT NULL", 1)} AS width, {_FIRST("field = 'ImageHeight' AND value IS NOT NULL", 1)} AS height, {_FIRST("field = 'Software'")} AS software,
+            {_FIRST("field = 'Make'")} AS make, {_FIRST("field = 'Model'")} AS model, {_FIRST("field = 'DateTimeOriginal'")} AS taken FROM v_items GROUP BY file_id),
+    g AS (SELECT *, EXISTS (SELECT 1 FROM {_SCREENS} WHERE abs(width - w) <= 10 AND abs(height - h) <= 10 OR abs(width - h) <= 10 AND abs(height - w) <= 10) AS b,
+            {_MATCH("software", SHOT_SOFTWARE)} AS c, {_MATCH("make", "|".join(PHONE_MAKERS))} OR {_MATCH("model", "|".join(PHONE_MAKERS))} AS d,
+            {_IN(IPHONE)} OR {_IN(IPAD)} AS apple FROM f)"""
+
+
+@query(
+    f"""WITH {_SHOTS} SELECT file_id, 'device' AS kind, trim(concat(lower(coalesce(make, '')), ' ', lower(coalesce(model, '')))) AS value, 'medium' AS risk FROM g WHERE d
+    UNION ALL SELECT file_id, 'datetime', taken, 'low' FROM g WHERE taken IS NOT NULL"""
+)
+def screenshot_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screenshots.warnings(_shots(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SHOTS} SELECT file_id, ord, part FROM g, (VALUES (0, 'device'), (1, 'timestamp'), (2, 'screen'), (3, 'apple')) r(ord, part)
+    WHERE b::INT * 30 + c::INT * 30 + d::INT * 20 >= 40 AND (part <> 'apple' OR b AND coalesce(apple, false))"""
+)
+def screenshot_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screenshots.recommendation_rows(screenshots.detect(_shots(spark, sf_dir))).select("file_id", "ord", "part")
+
+
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_items")
+    return screenshots.from_items(rows, rows.select("file_id").distinct().withColumn("name", F.lit("a.png")))
+
+
 # -- Results ------------------------------------------------------------------
 
 

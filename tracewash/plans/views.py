@@ -27,8 +27,8 @@ VIEWS = {
             ELSE url END AS url
         FROM (SELECT page_id, url, regexp_extract(url, '^[^?#]*', 0) AS base FROM pages) b""",
     "v_text": """
-        SELECT d.doc_id, concat(d.text, ' see ', u.url, ' and ', u.url, '.') AS text
-        FROM documents d JOIN v_urls u ON u.page_id = d.doc_id % 97""",
+        SELECT d.doc_id, concat(d.text, coalesce(concat(' see ', u.url, ' and ', u.url, '.'), '')) AS text
+        FROM documents d LEFT JOIN v_urls u ON u.page_id = floor(d.doc_id / 4)""",
     "v_items": """
         SELECT concat('f', CAST(l_orderkey AS VARCHAR(20))) AS file_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000 AS ord, field,
             CASE field

@@ -329,6 +329,11 @@ def cleaned(walked_files: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     return done
 
 
+def ready(walked_files: DataFrame) -> DataFrame:
+    """Those of ``walked_files`` that a batch can clean: walked to their end and of a kind that has a cleaner."""
+    return walked_files.where(F.col("error_code").isNull() & F.col("walked").isin(*CLEANED, *(f.kind for f in ADDED.values() if f.edit)))
+
+
 def parts_left(walked_files: DataFrame) -> DataFrame:
     """``file_id, name, mime``: attachments of mail of a kind that is not cleaned."""
     from .names import EMBEDDED
