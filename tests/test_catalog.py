@@ -187,11 +187,15 @@ def test_tables_need_a_shared_folder_and_can_be_dropped(spark, monkeypatch):
         graph.shared_folder(Far)
 
 
-def test_faults_inside_optional_modules_are_not_hidden(monkeypatch, tmp_path):
+def test_faults_inside_optional_modules_are_logged(monkeypatch, tmp_path, caplog):
     import __spark_entry__
 
     (tmp_path / "faulty.py").write_text("import xxhash_is_missing")
+    (tmp_path / "broken.py").write_text("from math import nothing_of_that_name")
+    (tmp_path / "wrong.py").write_text("1 / 0")
     monkeypatch.syspath_prepend(str(tmp_path))
-    assert __spark_entry__._optional("not_there_at_all") is None
-    with pytest.raises(ModuleNotFoundError):
-        __spark_entry__._optional("faulty")
+    assert __spark_entry__._optional("not_there_at_all") is None and not caplog.records
+    assert __spark_entry__._optional("faulty") is None and "xxhash_is_missing" in caplog.text
+    assert __spark_entry__._optional("broken") is None and "nothing_of_that_name" in caplog.text
+    with pytest.raises(ZeroDivisionError):
+        __spark_entry__._optional("wrong")

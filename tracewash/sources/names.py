@@ -11,10 +11,34 @@ IMAGE_TAGS = {
     0x0214: "ReferenceBlackWhite", 0x02BC: "XMLPacket", 0x4746: "Rating", 0x8298: "Copyright", 0x83BB: "IPTCNAA", 0x8649: "ImageResources", 0x8773: "InterColorProfile",
     0x9C9B: "XPTitle", 0x9C9C: "XPComment", 0x9C9D: "XPAuthor", 0x9C9E: "XPKeywords", 0x9C9F: "XPSubject", 0xC4A5: "PrintImageMatching", 0xC614: "UniqueCameraModel",
     0xC62F: "CameraSerialNumber", 0xC65D: "RawDataUniqueID", 0xC68B: "OriginalRawFileName",
+    0x0108: "CellWidth", 0x0109: "CellLength", 0x0120: "FreeOffsets", 0x0121: "FreeByteCounts", 0x0156: "TransferRange", 0x0157: "ClipPath", 0x0158: "XClipPathUnits", 0x0159: "YClipPathUnits",
+    0x015A: "Indexed", 0x015F: "OPIProxy", 0x0202: "JPEGInterchangeFormatLength", 0x0203: "JPEGRestartInterval", 0x0205: "JPEGLosslessPredictors", 0x0206: "JPEGPointTransforms", 0x4749: "RatingPercent",
+    0x800D: "ImageID", 0x828D: "CFARepeatPatternDim", 0x828E: "CFAPattern", 0x828F: "BatteryLevel", 0x882A: "TimeZoneOffset", 0x882B: "SelfTimerMode", 0x920D: "Noise", 0x9211: "ImageNumber",
+    0x9212: "SecurityClassification", 0x9213: "ImageHistory", 0x9216: "TIFFEPStandardID",
 }
+# Image tags of digital negatives, runs of consecutive numbers.
+NEGATIVE_TAGS = {
+    0xC612: ("DNGVersion", "DNGBackwardVersion"),
+    0xC615: ("LocalizedCameraModel", "CFAPlaneColor", "CFALayout", "LinearizationTable", "BlackLevelRepeatDim", "BlackLevel", "BlackLevelDeltaH", "BlackLevelDeltaV", "WhiteLevel", "DefaultScale", "DefaultCropOrigin",
+             "DefaultCropSize", "ColorMatrix1", "ColorMatrix2", "CameraCalibration1", "CameraCalibration2", "ReductionMatrix1", "ReductionMatrix2", "AnalogBalance", "AsShotNeutral", "AsShotWhiteXY", "BaselineExposure",
+             "BaselineNoise", "BaselineSharpness", "BayerGreenSplit", "LinearResponseLimit"),
+    0xC630: ("LensInfo", "ChromaBlurRadius", "AntiAliasStrength", "ShadowScale", "DNGPrivateData", "MakerNoteSafety"),
+    0xC65A: ("CalibrationIlluminant1", "CalibrationIlluminant2", "BestQualityScale"),
+    0xC68C: ("OriginalRawFileData", "ActiveArea", "MaskedAreas", "AsShotICCProfile", "AsShotPreProfileMatrix", "CurrentICCProfile", "CurrentPreProfileMatrix"),
+    0xC6BF: ("ColorimetricReference",),
+    0xC6F3: ("CameraCalibrationSignature", "ProfileCalibrationSignature", "ExtraCameraProfiles", "AsShotProfileName", "NoiseReductionApplied", "ProfileName", "ProfileHueSatMapDims", "ProfileHueSatMapData1", "ProfileHueSatMapData2",
+             "ProfileToneCurve", "ProfileEmbedPolicy", "ProfileCopyright"),
+    0xC714: ("ForwardMatrix1", "ForwardMatrix2", "PreviewApplicationName", "PreviewApplicationVersion", "PreviewSettingsName", "PreviewSettingsDigest", "PreviewColorSpace", "PreviewDateTime", "RawImageDigest",
+             "OriginalRawFileDigest", "SubTileBlockSize", "RowInterleaveFactor"),
+    0xC725: ("ProfileLookTableDims", "ProfileLookTableData"),
+    0xC740: ("OpcodeList1", "OpcodeList2"),
+    0xC74E: ("OpcodeList3",),
+    0xC761: ("NoiseProfile",),
+}
+IMAGE_TAGS |= {first + k: name for first, names in NEGATIVE_TAGS.items() for k, name in enumerate(names)}
 # EXIF tags by number.
 EXIF_TAGS = {
-    0x829A: "ExposureTime", 0x829D: "FNumber", 0x8822: "ExposureProgram", 0x8824: "SpectralSensitivity", 0x8827: "ISOSpeedRatings", 0x8828: "OECF", 0x8830: "SensitivityType",
+    0x829A: "ExposureTime", 0x829D: "FNumber", 0x8822: "ExposureProgram", 0x8824: "SpectralSensitivity", 0x8827: "ISOSpeedRatings", 0x8828: "OECF", 0x8831: "StandardOutputSensitivity", 0x8832: "RecommendedExposureIndex", 0x8833: "ISOSpeed", 0x8834: "ISOSpeedLatitudeyyy", 0x8835: "ISOSpeedLatitudezzz", 0xA20C: "SpatialFrequencyResponse", 0x8830: "SensitivityType",
     0x9000: "ExifVersion", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized", 0x9010: "OffsetTime", 0x9011: "OffsetTimeOriginal", 0x9012: "OffsetTimeDigitized",
     0x9101: "ComponentsConfiguration", 0x9102: "CompressedBitsPerPixel", 0x9201: "ShutterSpeedValue", 0x9202: "ApertureValue", 0x9203: "BrightnessValue", 0x9204: "ExposureBiasValue",
     0x9205: "MaxApertureValue", 0x9206: "SubjectDistance", 0x9207: "MeteringMode", 0x9208: "LightSource", 0x9209: "Flash", 0x920A: "FocalLength", 0x9214: "SubjectArea",
