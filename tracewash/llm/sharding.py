@@ -55,9 +55,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return blocks.withColumn("rid", F.explode(F.sequence(F.col("_block") * EQUAL, last))).drop("_many", "_block")
 
 
-def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], order: list[str], n: int, seed: int = 3) -> DataFrame:
     """``rank`` from 0 within ``keys``: bucket totals, then within buckets."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(n)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(n)))
     total = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     skip = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     total = total.select(*keys, "_bucket", F.coalesce(skip, F.lit(0)).alias("_skip"))
@@ -146,7 +146,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         steps.append(F.when(F.col("rank") < upto, k))
     place = F.coalesce(*steps, F.lit(None).cast("int"))
     placed = keep.union(rest.select(*columns, place.alias("shard")))
-    out = _ranked(cut(placed), ["shard"], ROW, n)
+    out = _ranked(cut(placed), ["shard"], ROW, n, seed=5)  # ranks above follow the other buckets, so a shard has few of those
     return out.select(
         "doc_id",
         "size",
