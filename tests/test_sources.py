@@ -120,6 +120,7 @@ def test_sinks(spark, tmp_path):
     from tracewash.sources import sinks
 
     walked = metadata.with_parts(frame(spark, [("png.png", BUILT["png.png"]), ("heic.heic", BUILT["heic.heic"]), ("gif.gif", BUILT["gif.gif"])]))
+    assert {r.name for r in cleaning.ready(walked).collect()} == {"png.png", "gif.gif"}
     done = cleaning.cleaned(walked)
     sinks.write_results(done, str(tmp_path / "done"))
     back = {r.name: r for r in spark.read.parquet(str(tmp_path / "done")).collect()}
