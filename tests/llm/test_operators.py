@@ -493,6 +493,8 @@ def test_pseudo_likelihood_scores_each_word(spark, empty):
     unigram = lambda i: np.mean([np.log(counts[w] / sum(counts.values())) for w in pl.words_of(text[i])])
     assert np.mean([got[i].mean_score - unigram(i) for i in range(1, 20, 2)]) > 0.1  # held-out documents with an order
     assert pl.fit_and_score(empty).count() == 0
+    clashing = df.where("doc_id < 30").selectExpr("*", "'x' AS key", "'y' AS numbers", "'z' AS rare", "'u' AS parts", "'v' AS score", "'w' AS n_words")
+    assert sorted(map(str, pl.score(pl.encoded(clashing, known), known, flat).collect())) == sorted(map(str, pl.score(pl.encoded(df.where("doc_id < 30"), known), known, flat).collect()))
 
 
 def test_training_equals_plain_loops(monkeypatch):
@@ -602,6 +604,21 @@ def test_mixing_targets_and_words(docs, text_of, empty):
     assert mixing.mix(empty.select("doc_id", "text", "source")).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    rows = [(None, None, "a")] * 50 + [(7, "one two three", "a")] * 300 + [(i, "word " * (i % 5), None) for i in range(200)]
+    runs = []
+    for splits in (2, 5):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(splits)).collect()
+        taken, target = Counter(), {}
+        for r in got:
+            assert 0 <= r.taken <= 3 * r.size
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert len(got) == len(rows) and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+        runs.append(sorted(map(str, got)))
+    assert runs[0] == runs[1]
+
+
 def test_quality_counts(docs, text_of, empty):
     got = quality.judge(docs.select("doc_id", "text", "lang")).collect()
     assert len(got) == len(text_of)

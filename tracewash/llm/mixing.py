@@ -66,7 +66,8 @@ def mix(docs: DataFrame, most: int = 3, ramp: float = 0.5) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken, copies, position``.
 
     ``copies`` counts the passes that take at least half of the document.
-    ``ramp`` is the slope of weight 3; weight 1 has the opposite one.
+    ``ramp`` is the slope of weight 3; weight 1 has the opposite one.  New
+    columns take the place of those of their names; ``common.packed`` keeps these.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     size = F.size(words(F.col("text").cast("string"))).cast("long")

@@ -116,6 +116,9 @@ def verdict(rules=RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules=RULES, least_words: int = 50, most_repeats: int = 50) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept`` as new columns."""
+    """``docs`` with the counts, ``base_failed`` and ``kept`` as new columns.
+
+    They take the place of columns of these names; ``common.packed`` keeps those.
+    """
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     return measures(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
