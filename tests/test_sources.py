@@ -289,6 +289,39 @@ def test_sound_of_other_kinds(spark):
     assert bytes(got["d.flac"].cleaned) == FORMS["flac"](None)
 
 
+def test_damaged_files_fail_no_job_and_tell(spark):
+    import io
+    import random
+    import zipfile
+
+    rnd, rows = random.Random(2), []
+    for kind, form in FORMS.items():
+        for shape in range(4):
+            for _ in range(8):
+                b = bytearray(form(SECRET, shape))
+                for _ in range(2):
+                    b[rnd.randrange(len(b))] = rnd.randrange(256)
+                rows.append((NAMES.get(kind, f"a.{kind}"), bytes(b)))
+    torn = bytearray(FORMS["office"](SECRET))
+    torn[torn.index(b"a.png") + 8] ^= 0xFF  # the member's data, its place intact
+    rows.append(("torn.docx", bytes(torn)))
+    walked = metadata.with_parts(frame(spark, rows))
+    done = cleaning.cleaned(walked).select("file_id", "name", "file_type", "content", "error_code", "cleaned").cache()
+    got = done.collect()
+    assert len(got) == len(rows) and all((r.cleaned is None) == (r.error_code is not None) for r in got)
+    assert next(r for r in got if r.name == "torn.docx").error_code.startswith("INNER_")
+    assert cleaning.verified(done).count() == sum(r.cleaned is not None for r in got)
+    one, other = FORMS["pdf"](SECRET).replace(b"/Info", b"/Xnfo"), FORMS["tiff"](SECRET, 3).replace(struct.pack("<HH", 0x0117, 4), struct.pack("<HH", 0x0118, 4))
+    film = FORMS["mp4"](SECRET, 2)
+    at = film.rindex(b"stsz")
+    film = film[: at + 12] + struct.pack(">I", 7) + film[at + 16 :]
+    sound = bytearray(FORMS["flac"](SECRET, 1))
+    sound[45] = 0x18 + 4 + 43  # a block that ends where frames are yet to come
+    new = {r.name: r for r in cleaned(spark, [("a.pdf", one), ("b.tiff", other), ("c.mp4", film), ("d.flac", bytes(sound))]).values()}
+    assert SECRET not in bytes(new["a.pdf"].cleaned) and new["b.tiff"].error_code == "UNKNOWN_PART" and new["c.mp4"].error_code.startswith("DAMAGED") and new["d.flac"].error_code.startswith("DAMAGED")
+    assert zipfile.is_zipfile(io.BytesIO(FORMS["office"](SECRET)))
+
+
 def test_svg_entities_and_local_paths(spark):
     plain = b'<!DOCTYPE svg [<!ENTITY ns_svg "http://www.w3.org/2000/svg">]><svg xmlns="&ns_svg;"><a href="C:\\Users\\Jane"/><g onclick="x()" id="k"/></svg>'
     told = plain.replace(b"http://www.w3.org/2000/svg", SECRET)

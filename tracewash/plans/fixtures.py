@@ -146,7 +146,7 @@ def _vorbis(s: bytes | None) -> bytes:
 def flac(s: bytes | None, shape: int = 0) -> bytes:
     body = _vorbis(s)
     more = {1: b"\2\0\0\x18" + (b"ABCD" + s if s else bytes(24)), 3: b"\5\0\0\x14" + (s or bytes(20))}.get(shape, b"")
-    return (_id3(s) if s and shape == 2 else b"") + b"fLaC" + b"\0\0\0\x22" + bytes(34) + more + b"\x84" + len(body).to_bytes(3, "big") + body + b"frames"
+    return (_id3(s) if s and shape == 2 else b"") + b"fLaC" + b"\0\0\0\x22" + bytes(34) + more + b"\x84" + len(body).to_bytes(3, "big") + body + b"\xff\xf8frames"
 
 
 def ogg(s: bytes | None, shape: int = 0) -> bytes:

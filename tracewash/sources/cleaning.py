@@ -234,9 +234,9 @@ def _decoded(raw: bytes, how: str) -> bytes:
 
 
 def _taken_out(files: DataFrame) -> DataFrame:
-    """The files inside ``files``: ``outer, slot, name, file_type, content``; a damaged one keeps its bytes and fails there."""
+    """The files inside ``files``: ``outer, slot, name, file_type, content``; one that does not come out is empty, and fails as such."""
     inside = F.filter("parts", lambda p: p["kind"].isin("embedded", "media"))
-    rows = files.where(F.size(inside) > 0).select("file_id", "walked", "content", inside.alias("inside"))
+    rows = files.where((F.size(inside) > 0) & F.col("error_code").isNull()).select("file_id", "walked", "content", inside.alias("inside"))
 
     def run(batches):
         for batch in batches:
@@ -245,7 +245,10 @@ def _taken_out(files: DataFrame) -> DataFrame:
                 package = zipfile.ZipFile(io.BytesIO(content)) if walked == "office" else None
                 for p in inside:
                     kind = p["key"] if package is None else _kind_of(p["key"])
-                    raw = package.read(p["key"]) if package else _decoded(content[p["start"] : p["end"]], p["text"])
+                    try:
+                        raw = package.read(p["key"]) if package else _decoded(content[p["start"] : p["end"]], p["text"])
+                    except Exception:
+                        raw = b""
                     yield pa.RecordBatch.from_arrays([pa.array([outer]), pa.array([p["ord"]], pa.int32()), pa.array([f"inner.{kind}"]), pa.array([kind]), pa.array([raw], pa.binary())], ["outer", "slot", "name", "file_type", "content"])
 
     return rows.mapInArrow(run, "outer string, slot int, name string, file_type string, content binary")

@@ -15,6 +15,7 @@ from .walkers import Damaged, whole
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[ \r\n\t]+(\d{1,5})[ \r\n\t]+obj\b")
 _STREAM = re.compile(rb"stream\r?\n")
 _TOKEN = re.compile(rb"[\s\0]+|%[^\r\n]*|<<|>>|[\[\](]|<[0-9A-Fa-f\s]*>|/[^\s\0()<>\[\]{}/%]*|[^\s\0()<>\[\]{}/%]+|.", re.S)
+_PLAIN = re.compile(rb"[-+.0-9]+|R|true|false|null|endobj|>>|[\[\]]")
 #: A stream that grows beyond this many bytes is refused.
 LARGEST = 2**29
 
@@ -150,6 +151,7 @@ def _strings(objects: Objects, tokens: list, key: str, source, seen: frozenset):
     stream that holds it.
     """
     for k, (token, start, end) in enumerate(tokens):
+        whole(source is not None or token[:1] in b"(</" or _PLAIN.fullmatch(token) is not None, "stray text in a dictionary")
         if token[:1] == b"(" or token[:1] == b"<" and token != b"<<":
             yield source, key, start + 1, end - 1, _text(token)
         elif token == b"R" and k >= 2 and tokens[k - 2][0].isdigit() and int(tokens[k - 2][0]) not in seen:
@@ -182,6 +184,14 @@ def _made(objects: Objects):
         for data, start, stop, source in holders:
             for key, value in _dictionary(data, start, stop).items():
                 found += _strings(objects, value, key, source, frozenset(done))
+    # Dictionaries that no trailer names any more, of what is never in others.
+    lost = [(b, *span, None) for n, spans in objects.spans.items() if n not in done for span in spans]
+    lost += [(held[2], held[3], held[4], held[:2]) for n, some in objects.inner.items() if n not in done for held in some]
+    for data, start, stop, source in lost:
+        entries = _dictionary(data, start, stop)
+        if "Type" not in entries and not {"Author", "Creator", "Producer", "CreationDate"}.isdisjoint(entries):
+            for key, value in entries.items():
+                found += _strings(objects, value, key, source, frozenset(done))
     return found, locked
 
 

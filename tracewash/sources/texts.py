@@ -75,7 +75,7 @@ def eml(b: bytes):
             yield "attachment", mime, at, at, name
 
 
-_IMAGE = r"data:image/(jpe?g|png|webp|gif);base64,([A-Za-z0-9+/=\s]*)"
+_IMAGE = r"data:image/(jpe?g|png|webp|gif|svg\+xml);base64,([A-Za-z0-9+/=\s]*)"
 _ATTRIBUTE = re.compile(r"""\s+([^\s=/>]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 _LOCAL = re.compile(r"(?i)^\s*(?:file:|[a-z]:[\\/]|/(?:home|users)/)")
 _PLAIN_ENTITY = re.compile(r"https?://(?:www\.w3\.org|ns\.adobe\.com)/[\w./-]*")
@@ -176,7 +176,7 @@ def svg(b: bytes):
         text = b.decode(encoding)
         for m in re.finditer(_IMAGE, text):
             a = size(text[: m.start(2)])
-            yield "embedded", "jpeg" if m[1] == "jpg" else m[1], a, a + size(m[2]), f"base64:{encoding}"
+            yield "embedded", {"jpg": "jpeg", "svg+xml": "svg"}.get(m[1], m[1]), a, a + size(m[2]), f"base64:{encoding}"
     else:
         for m in re.finditer(_IMAGE.encode(), b):
-            yield "embedded", "jpeg" if m[1] == b"jpg" else m[1].decode(), m.start(2), m.end(2), "base64"
+            yield "embedded", {b"jpg": "jpeg", b"svg+xml": "svg"}.get(m[1], m[1].decode()), m.start(2), m.end(2), "base64"

@@ -201,6 +201,8 @@ def tiff(b: bytes, base: int = 0):
         at = max(at, end)
     if known and not base and at < len(b):
         yield "gap", "", at, len(b), None
+    if not known and not base:  # image data without an end
+        yield "note", "unknown", 0, 0, None
 
 
 def _value(order: str, kind: int, n: int, raw: bytes, key: str, refs: dict) -> str | None:
@@ -410,10 +412,14 @@ def flac(b: bytes):
         kind, n = b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
         last, end = bool(b[at] & 128), at + 4 + n
         whole(end <= len(b), "block beyond the end")
-        yield FLAC_BLOCKS[kind] if kind < len(FLAC_BLOCKS) else "block", _text(b[at + 4 : at + 8]) if kind == 2 else "", at + 4, end, None
+        name = FLAC_BLOCKS[kind] if kind < len(FLAC_BLOCKS) else "block"
+        if name == "info" and n != 34 or name == "seektable" and n % 18:
+            name = "block"
+        yield name, _text(b[at + 4 : at + 8]) if kind == 2 else "", at + 4, end, None
         if kind == 4:
             yield from _comments(b, at + 4, end)
         at = end
+    whole(at == len(b) or b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8, "no frame")
     yield from _tail_tags(b, at)
 
 
@@ -479,11 +485,14 @@ def _samples(b: bytes, at: int, stop: int):
     same, count = struct.unpack(">II", b[span[0] + 4 : span[0] + 12]) if span[1] - span[0] >= 12 else (0, 0)
     sizes = None if same else [x for x, in _table(b, span, "I", 8)]
     runs, first = _table(b, table("stsc"), "III"), 0
+    whole(bool(places and runs) and (same > 0 or sum(sizes) > 0), "track without samples")
     for (start, each, _), (then, _, _) in zip(runs, [*runs[1:], (len(places) + 1, 0, 0)]):
         for k in range(start - 1, min(then - 1, len(places))):
             n = same * each if same else sum(sizes[first : first + each])
             first += each
-            yield places[k], min(places[k] + n, len(b))
+            whole(places[k] + n <= len(b), "sample beyond the end")
+            yield places[k], places[k] + n
+    whole(first == (count if same else len(sizes)), "samples that are not placed")
 
 
 def _described(b: bytes, at: int, stop: int, handler: str):
