@@ -30,7 +30,7 @@ from ..operators.graph import cut
 from .metadata import items, sensitive, with_parts
 from .names import IMAGE_TAGS, KEPT_BOXES, KEPT_CHUNKS, KEPT_IN_STSD, KEPT_IN_WAV, KEPT_IN_WEBP, KEPT_SEGMENTS, KEPT_TIFF
 from .registry import ADDED
-from .walkers import HOLDERS, SHOWN_TRACKS, _boxes
+from .walkers import HOLDERS, SHOWN_TRACKS, boxes
 
 #: Kinds that can be cleaned, and the error of those that can't.
 CLEANED = ("png", "webp", "gif", "jpeg", "tiff", "mp3", "aac", "wav", "wave", "flac", "video", "m4a", "eml", "svg", "pdf", "office")
@@ -140,7 +140,7 @@ def _film(content: bytes, edits) -> bytes:
     there is emptied where it stands.
     """
     b, drops, at = bytearray(content), [], 0
-    fragments = any(kind == "moof" for kind, *_ in _boxes(content, 0, len(content)))
+    fragments = any(kind == "moof" for kind, *_ in boxes(content, 0, len(content)))
     for start, end, how in edits:
         if start < at:
             continue
@@ -161,7 +161,7 @@ def _film(content: bytes, edits) -> bytes:
     before = lambda place: gone[bisect.bisect_left(starts, place)]
     todo = [(0, len(content))]
     while todo:
-        for kind, start, body, end in _boxes(content, *todo.pop()):
+        for kind, start, body, end in boxes(content, *todo.pop()):
             if before(start + 1) - before(start):  # gone itself
                 continue
             less = before(end) - before(start)

@@ -447,7 +447,7 @@ HOLDERS = {"moov", "trak", "mdia", "udta", "ilst", "minf", "stbl", "edts", "dinf
 SHOWN_TRACKS = ("vide", "soun", "text", "sbtl", "subt", "clcp")
 
 
-def _boxes(b: bytes, at: int, stop: int):
+def boxes(b: bytes, at: int, stop: int):
     """``(kind, start, body, end)`` of the boxes in a span."""
     while at + 8 <= stop:
         n, kind = struct.unpack(">I4s", b[at : at + 8])
@@ -463,7 +463,7 @@ def _boxes(b: bytes, at: int, stop: int):
 def _inside(b: bytes, at: int, stop: int, *path: str) -> tuple[int, int]:
     """Body of the first box at a path below a span, an empty one where there is none."""
     for name in path:
-        at, stop = next(((body, end) for kind, _, body, end in _boxes(b, at, stop) if kind == name), (stop, stop))
+        at, stop = next(((body, end) for kind, _, body, end in boxes(b, at, stop) if kind == name), (stop, stop))
     return at, stop
 
 
@@ -497,7 +497,7 @@ def _samples(b: bytes, at: int, stop: int):
 
 def _described(b: bytes, at: int, stop: int, handler: str):
     """Names and unknown boxes in the sample descriptions of a track."""
-    for _, start, body, end in _boxes(b, at + 8, stop):
+    for _, start, body, end in boxes(b, at + 8, stop):
         k = end
         if handler == "vide" and end - start >= 86:
             yield "stsd", "compressor", start + 50, start + 82, None
@@ -505,7 +505,7 @@ def _described(b: bytes, at: int, stop: int, handler: str):
         elif handler == "soun" and end - start >= 36:
             k = start + 36 + {1: 16, 2: 36}.get(int.from_bytes(b[start + 16 : start + 18], "big"), 0)
         try:
-            for kind, x, _, z in _boxes(b, k, end):
+            for kind, x, _, z in boxes(b, k, end):
                 yield "stsd", kind, x, z, None
                 k = z
         except Damaged:
@@ -520,7 +520,7 @@ def mp4(b: bytes):
     while todo:
         at, stop, path, depth, handler = todo.pop()
         whole(depth <= DEEPEST, "boxes too deep")
-        for kind, start, begin, end in _boxes(b, at, stop):
+        for kind, start, begin, end in boxes(b, at, stop):
             text, body, head = None, b[begin : min(end, begin + 2**20)], begin - start
             at = end
             if kind in ("mvhd", "tkhd", "mdhd") and len(body) >= 20:
@@ -544,7 +544,7 @@ def mp4(b: bytes):
             elif kind == "hdlr" and end - begin > 24:
                 yield "hdlr", "name", begin + 24, end, None
             elif kind == "dref":
-                yield from (("dref", k, y + 4, z, None) for k, _, y, z in _boxes(b, begin + 8, end) if z > y + 4)
+                yield from (("dref", k, y + 4, z, None) for k, _, y, z in boxes(b, begin + 8, end) if z > y + 4)
             elif path.endswith("udta") and kind not in HOLDERS and kind != "meta" and len(body) > 4:
                 text = _text(b[begin + 4 : begin + 4 + int.from_bytes(body[:2], "big")] if kind[0] == "©" else b[begin + 4 : end], "utf-8")
                 place = re.match(r"([+-]\d+\.?\d*)([+-]\d+\.?\d*)", text) if kind == "©xyz" else None
