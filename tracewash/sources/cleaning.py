@@ -37,6 +37,8 @@ CLEANED = ("png", "webp", "gif", "jpeg", "tiff", "mp3", "aac", "wav", "wave", "f
 REFUSED = {"heic": "HEIC_DECODE_UNSUPPORTED", "ogg": "OGG_VORBIS_CLEAN_UNSUPPORTED", "oga": "OGG_VORBIS_CLEAN_UNSUPPORTED"}
 NOTED = {"encrypted": "PDF_ENCRYPTED", "compressed": "PDF_COMPRESSED_INFO", "unknown": "UNKNOWN_PART"}
 SOUND_TAGS = ("ID3v2", "ID3v1", "APE", "Lyrics3", "junk")
+#: Bytes after which files that were taken out go on to Spark.
+LARGE = 2**25
 #: How many files may lie in each other.
 DEEPEST = 8
 
@@ -238,7 +240,15 @@ def _taken_out(files: DataFrame) -> DataFrame:
     inside = F.filter("parts", lambda p: p["kind"].isin("embedded", "media"))
     rows = files.where((F.size(inside) > 0) & F.col("error_code").isNull()).select("file_id", "walked", "content", inside.alias("inside"))
 
+    names = ["outer", "slot", "name", "file_type", "content"]
+
     def run(batches):
+        held, size = [], 0
+
+        def batch_of():
+            columns = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()))], names)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 outer, walked, content, inside = (batch.column(c)[k].as_py() for c in range(4))
@@ -249,7 +259,13 @@ def _taken_out(files: DataFrame) -> DataFrame:
                         raw = package.read(p["key"]) if package else _decoded(content[p["start"] : p["end"]], p["text"])
                     except Exception:
                         raw = b""
-                    yield pa.RecordBatch.from_arrays([pa.array([outer]), pa.array([p["ord"]], pa.int32()), pa.array([f"inner.{kind}"]), pa.array([kind]), pa.array([raw], pa.binary())], ["outer", "slot", "name", "file_type", "content"])
+                    held.append((outer, p["ord"], f"inner.{kind}", kind, raw))
+                    size += len(raw)
+                    if size > LARGE:
+                        yield batch_of()
+                        held, size = [], 0
+        if held:
+            yield batch_of()
 
     return rows.mapInArrow(run, "outer string, slot int, name string, file_type string, content binary")
 
@@ -280,19 +296,21 @@ def _put_together(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            errors, made = [], []
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                value = lambda c: row.column(at[c])[0].as_py()  # noqa: E731, B023
+                value = lambda c: batch.column(at[c])[k].as_py()  # noqa: E731, B023
                 error, new = value("error_code"), None
                 if error is None:
                     back = {i["slot"]: i["cleaned"] for i in value("inner") or ()}
-                    inner = [(p["start"], p["end"], p["key"] if p["kind"] == "media" else p["text"], back[p["ord"]]) for p in value("parts") if p["kind"] in ("embedded", "media") and p["ord"] in back]
+                    inner = [(p["start"], p["end"], p["key"] if p["kind"] == "media" else p["text"], back[p["ord"]]) for p in value("parts") if p["ord"] in back] if back else []
                     try:
                         new = spliced(value("content") or b"", value("walked"), [(e["start"], e["end"], e["how"]) for e in value("edits")], inner)
                     except Exception as e:
                         error = f"DAMAGED: {type(e).__name__}"
-                data = [pa.array([error], pa.string()) if c == "error_code" else row.column(at[c]) for c in columns]
-                yield pa.RecordBatch.from_arrays([*data, pa.array([new], pa.binary())], [*columns, "cleaned"])
+                errors.append(error)
+                made.append(new)
+            data = [pa.array(errors, pa.string()) if c == "error_code" else batch.column(at[c]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*data, pa.array(made, pa.binary())], [*columns, "cleaned"])
 
     kept = [f for f in files.schema.fields if f.name in columns]
     return files.mapInArrow(run, T.StructType([*kept, T.StructField("cleaned", T.BinaryType())]))
@@ -394,10 +412,11 @@ def traces(cleaned_files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            found = []
             for k in range(batch.num_rows):
-                file_id, walked, content, cleaned, spans, values = (batch.column(c)[k].as_py() for c in range(6))
-                found = _searched(content, cleaned, walked, [(s["a"], s["z"]) for s in spans], values)
-                yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.string()), pa.array([found], pa.list_(pa.string()))], ["file_id", "traces"])
+                walked, content, cleaned, spans, values = (batch.column(c)[k].as_py() for c in range(1, 6))
+                found.append(_searched(content, cleaned, walked, [(s["a"], s["z"]) for s in spans], values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["file_id", "traces"])
 
     return rows.mapInArrow(run, "file_id string, traces array<string>")
 

@@ -46,23 +46,24 @@ def with_parts(files: DataFrame) -> DataFrame:
     at = {c: columns.index(c) for c in ("walked", "content", "error_code")}
     schema = T.StructType([*files.schema.fields, T.StructField("parts", T.DataType.fromDDL(f"array<{PART}>"))])
 
+    kind = pa.struct([("ord", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                walker = known.get(row.column(at["walked"])[0].as_py())
-                error, parts = row.column(at["error_code"])[0].as_py(), []
+        for batch in batches:  # Spark bounds a batch by its bytes
+            errors, found = [], []
+            for walked, content, error in zip(*(batch.column(at[c]) for c in ("walked", "content", "error_code"))):
+                walker, error, parts = known.get(walked.as_py()), error.as_py(), []
                 if walker and not error:
                     try:
-                        for part in walker(row.column(at["content"])[0].as_py() or b""):
+                        for part in walker(content.as_py() or b""):
                             parts.append(part)
                     except Exception as e:  # a damaged file keeps the parts found so far
                         error = f"DAMAGED: {e if isinstance(e, walkers.Damaged) else type(e).__name__}"
-                kind = pa.struct([("ord", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
-                rows = [{"ord": n, "kind": k, "key": key, "start": a, "end": b, "text": t} for n, (k, key, a, b, t) in enumerate(parts)]
-                data = [row.column(k) for k in range(len(columns))] + [pa.array([rows], pa.list_(kind))]
-                data[at["error_code"]] = pa.array([error], pa.string())
-                yield pa.RecordBatch.from_arrays(data, [*columns, "parts"])
+                errors.append(error)
+                found.append([{"ord": n, "kind": k, "key": key, "start": a, "end": b, "text": t} for n, (k, key, a, b, t) in enumerate(parts)])
+            data = [*batch.columns, pa.array(found, pa.list_(kind))]
+            data[at["error_code"]] = pa.array(errors, pa.string())
+            yield pa.RecordBatch.from_arrays(data, [*columns, "parts"])
 
     return files.mapInArrow(run, schema)
 
