@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     main = main.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     rows = packed(docs, F.col("doc_id").cast("long").alias("_id"), minhash.text_key().alias("_key"))
     whole = F.col("_id").isNull() | F.col("_key").isNull()
-    once = rows.where(~whole).join(main, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    once = rows.where(~whole).join(main.hint("merge"), ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     return once.select("_row.*").unionByName(rows.where(whole).select("_row.*"))
 
 

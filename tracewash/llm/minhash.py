@@ -13,7 +13,9 @@ most buckets, so a bucket gives rows in proportion to its size; the next hub
 follows in buckets that still hold several components.  Joins by bucket deal
 the members of a large bucket to tasks by parts of 1,000.  Pairs that the hubs
 leave apart are then compared by size and by sharper signatures inside the
-join, and come out of the first bucket that they share.
+join, and come out of the first bucket that they share.  All joins merge: a
+table of keys is small on disk and many times that where it is broadcast, and
+broadcasts pass through the driver.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 null ``doc_id`` links with nothing and keeps a null component; repeated rows
@@ -216,7 +218,7 @@ def _signed(nodes: DataFrame, x: str) -> DataFrame:
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` that sizes and signatures leave."""
-    return pairs.join(_signed(nodes, "u"), "u").join(_signed(nodes, "v"), "v").where(_close(percent)).select("u", "v")
+    return pairs.join(_signed(nodes, "u").hint("merge"), "u").join(_signed(nodes, "v").hint("merge"), "v").where(_close(percent)).select("u", "v")
 
 
 def _verified(near: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -225,7 +227,7 @@ def _verified(near: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
     ``nodes`` has the texts; Spark can split the join on a frequent ``v``.
     """
     text = nodes.select("node", "text")
-    full = near.join(text.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    full = near.join(text.select(F.col("node").alias("u"), F.col("text").alias("tu")).hint("merge"), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("tv")).hint("merge"), "v")
 
     def confirm(batches):
         sets = _Sets(width)
@@ -251,9 +253,9 @@ def _open(member: DataFrame, label: DataFrame | None) -> DataFrame:
     """Members, with their labels, of the buckets that hold two or more."""
     if label is None:
         return member.withColumn("label", F.col("node"))
-    known = member.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = member.drop("label").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("band", "parts").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "parts")
-    return cut(known.join(_each_part(mixed), ["band", "part"], "left_semi"))
+    return cut(known.join(_each_part(mixed).hint("merge"), ["band", "part"], "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -273,25 +275,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = cut(first.withColumn("node", F.monotonically_increasing_id()))
     band = first.select("node", F.explode("bands").alias("band"))
     some = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    member = cut(band.join(some, "band"))
+    member = cut(band.join(some.hint("merge"), "band"))
     degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
     order = F.struct("degree", F.xxhash64("node").alias("h"), "node")
     none = F.lit(None).cast("struct<degree:bigint,h:bigint,node:bigint>")
     # What a bucket's members are joined with by bucket is joined by parts of it.
     parts = F.ceil(F.col("n") / SPLIT).cast("long")
     part = F.pmod(F.xxhash64("node"), parts)
-    member = cut(member.join(degree, "node").select("band", "node", parts.alias("parts"), part.alias("part"), order.alias("order"), none.alias("last")))
+    member = cut(member.join(degree.hint("merge"), "node").select("band", "node", parts.alias("parts"), part.alias("part"), order.alias("order"), none.alias("last")))
 
-    chosen = first.join(degree.select("node"), "node", "left_semi").select("node", "n_shingles", "signature", "least.*")
+    chosen = first.join(degree.select("node").hint("merge"), "node", "left_semi").select("node", "n_shingles", "signature", "least.*")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
-    nodes = cut(chosen.join(text, ["doc_id", "text_key"]).dropDuplicates(["node"]).drop("doc_id", "text_key"))
+    nodes = cut(chosen.join(text.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["node"]).drop("doc_id", "text_key"))
 
     links, label = None, None
     for _ in range(HUBS):
         member = _open(member, label)
         top = member.where("last is null or order < last").groupBy("band", "parts").agg(F.max(F.struct("order", "label")).alias("top"))
         top = _each_part(top.select("band", "parts", F.col("top.order").alias("last"), F.col("top.label").alias("main")))
-        member = cut(member.drop("last", "main").join(top, ["band", "part"]))
+        member = cut(member.drop("last", "main").join(top.hint("merge"), ["band", "part"]))
         star = cut(member.where("order < last and label <> main").select(F.col("node").alias("u"), F.col("last.node").alias("v")).distinct())
         new = cut(_verified(_pruned(star, nodes, percent), nodes, width, percent))
         links = new if links is None else links.union(new)
@@ -300,28 +302,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # What the hubs leave open: pairs of a bucket that are still apart.
     known = _open(member.drop("main"), label).where("order < last")
     head = known.groupBy("band", "parts").agg(F.max(F.struct("order", "label"))["label"].alias("main"))
-    known = cut(known.join(_each_part(head), ["band", "part"]).select("band", "parts", "part", "node", "label", "main"))
-    sharp = sharp_signatures(nodes.join(known.select("node").distinct(), "node", "left_semi"), width)
-    sharp = cut(sharp.join(known.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"))
-    side = lambda x: _signed(sharp, x).join(sharp.select(F.col("node").alias(x), F.col("bands").alias("b" + x)), x)
-    apart = known.where("label <> main").select("band", "parts", F.col("node").alias("u"), F.col("label").alias("lu")).join(side("u"), "u")
-    other = known.select("band", "part", F.col("node").alias("v"), F.col("label").alias("lv"), "main").join(side("v"), "v")
+    known = cut(known.join(_each_part(head).hint("merge"), ["band", "part"]).select("band", "parts", "part", "node", "label", "main"))
+    sharp = sharp_signatures(nodes.join(known.select("node").distinct().hint("merge"), "node", "left_semi"), width)
+    sharp = cut(sharp.join(known.groupBy("node").agg(F.collect_set("band").alias("bands")).hint("merge"), "node"))
+    side = lambda x: _signed(sharp, x).join(sharp.select(F.col("node").alias(x), F.col("bands").alias("b" + x)).hint("merge"), x)
+    apart = known.where("label <> main").select("band", "parts", F.col("node").alias("u"), F.col("label").alias("lu")).join(side("u").hint("merge"), "u")
+    other = known.select("band", "part", F.col("node").alias("v"), F.col("label").alias("lv"), "main").join(side("v").hint("merge"), "v")
     once = (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("main")) | (F.col("u") < F.col("v")))
     apart = _each_part(apart)
     first_shared = apart["band"] == F.array_min(F.array_intersect("bu", "bv"))
     same = (apart["band"] == other["band"]) & (apart["part"] == other["part"])
-    rest = cut(apart.join(other, same & once & _close(percent, SHARP) & first_shared).select("u", "v"))
+    rest = cut(apart.join(other.hint("merge"), same & once & _close(percent, SHARP) & first_shared).select("u", "v"))
     more = cut(_verified(rest, nodes, width, percent))
     if not more.isEmpty():
         label = cut(components(links.union(more)))
 
     # A component is named by its smallest document.
-    of_node = cut(first.join(label, "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label")))
+    of_node = cut(first.join(label.hint("merge"), "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label")))
     several = of_node.groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
     # From a table of its own the join can be split where a label is frequent.
     several = cut(several.drop("n"))
-    of_set = cut(of_node.join(several, "label", "left").select("set_key", F.coalesce("first", "least").alias("first")))
-    out = shared.join(of_set, "set_key", "left")
+    of_set = cut(of_node.join(several.hint("merge"), "label", "left").select("set_key", F.coalesce("first", "least").alias("first")))
+    out = shared.join(of_set.hint("merge"), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     main = kept & F.coalesce(F.col("text_key") == F.col("first.text_key"), F.lit(True))

@@ -201,7 +201,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, support: int = 3)
     both = counted.where("value is not null and term is not null").groupBy("value", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     mutual = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term")))
     own = F.log(F.lit(float(total)) / F.col("n_value"))
-    return both.join(n_value, "value").join(n_term, "term").where(mutual >= disclosure * own).select("term", "value", "both", "n_value", "n_term")
+    return both.join(n_value.hint("merge"), "value").join(n_term.hint("merge"), "term").where(mutual >= disclosure * own).select("term", "value", "both", "n_value", "n_term")
 
 
 def _slot(term: str, bits: int) -> int:
@@ -279,7 +279,7 @@ def _scan(rows: DataFrame, flat: bytes) -> DataFrame:
 
 def _confirmed(maybe: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     """``key, terms``: the spans of ``maybe`` whose term is one of ``terms``, sorted."""
-    hits = maybe.where(F.size("maybe") > 0).select(key, F.explode("maybe").alias("m")).join(terms, F.col("m.term") == F.col("term"), "left_semi")
+    hits = maybe.where(F.size("maybe") > 0).select(key, F.explode("maybe").alias("m")).join(terms.hint("merge"), F.col("m.term") == F.col("term"), "left_semi")
     return hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("m.start").alias("start"), F.lit(4).alias("kind"), F.col("m.end").alias("end")))).alias("terms"))
 
 
@@ -292,7 +292,7 @@ def find(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFram
     if not flat:
         return rows.select("doc_id", "base", none.alias("terms"))
     rows = cut(rows)
-    return rows.drop("maybe").join(_confirmed(rows, "rid", terms), "rid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return rows.drop("maybe").join(_confirmed(rows, "rid", terms).hint("merge"), "rid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, remove:
         key = F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
         maybe = _scan(docs.select(key, F.col("text").cast("string").alias("text")), flat).where(F.size("maybe") > 0)
         spans = _confirmed(maybe.groupBy("text_key").agg(F.first("maybe").alias("maybe")), "text_key", terms)
-        rows = rows.select(key, "*").join(spans, "text_key", "left").drop("text_key")
+        rows = rows.select(key, "*").join(spans.hint("merge"), "text_key", "left").drop("text_key")
 
     listed = bool(flat)
 
