@@ -366,3 +366,14 @@ def test_comments_of_users_in_their_encodings(spark):
     rows = [("a.tiff", tagged(b"ASCII\0\0\0Jane")), ("b.tiff", tagged(b"UNICODE\0" + "Jané".encode("utf-16-le"))), ("c.tiff", tagged(b"JIS\0\0\0\0\0" + "山".encode("iso2022_jp")))]
     got = metadata.items(metadata.with_parts(frame(spark, rows))).where("field = 'UserComment'").collect()
     assert {r.file_id: r.value for r in got} == {"0": "Jane", "1": "Jané", "2": "山"}
+
+
+def test_built_files_are_dealt_to_all_tasks(spark, monkeypatch):
+    from conftest import folder
+    from tracewash.plans import fixtures
+
+    made = fixtures.built(spark, folder("sf0.01"), "wav")
+    counts = [r["count"] for r in made.select("file_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) >= spark.sparkContext.defaultParallelism and sum(counts) == 2000 and max(counts) < 2 * sum(counts) / len(counts)
+    monkeypatch.setattr(fixtures, "EACH", 100)
+    assert fixtures.built(spark, folder("sf0.01"), "wav").rdd.getNumPartitions() == 20
