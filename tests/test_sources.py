@@ -377,3 +377,24 @@ def test_built_files_are_dealt_to_all_tasks(spark, monkeypatch):
     assert len(counts) >= spark.sparkContext.defaultParallelism and sum(counts) == 2000 and max(counts) < 2 * sum(counts) / len(counts)
     monkeypatch.setattr(fixtures, "EACH", 100)
     assert fixtures.built(spark, folder("sf0.01"), "wav").rdd.getNumPartitions() == 20
+
+
+def test_cleaned_files_are_walked_once_more_to_verify_them(spark, monkeypatch):
+    rows = [(name, content) for name, content in BUILT.items() if name.split(".")[0] in ("png", "gif", "wav", "pdf", "tiff", "mp3")]
+    done = cleaning.cleaned(metadata.with_parts(frame(spark, rows))).cache()
+    calls = []
+    monkeypatch.setattr(cleaning, "with_parts", lambda df: calls.append(df.columns) or metadata.with_parts(df))
+    with_them = sorted(map(str, cleaning.verified(done).collect()))
+    assert len(calls) == 1 and len(with_them) == len(rows)
+    assert with_them == sorted(map(str, cleaning.verified(done.drop("parts", "walked", "error_code")).collect()))
+    # what stays is found alike: as if nothing had gone
+    same = done.withColumn("cleaned", F.col("content"))
+    assert sorted(map(str, cleaning.traces(same).collect())) == sorted(map(str, cleaning.traces(same.drop("parts", "walked", "error_code")).collect()))
+
+
+def test_search_one_by_one_equals_the_automaton(monkeypatch):
+    content = b"ab" + b"Jane Secret 1\0" * 3 + "Jané Nobody".encode("utf-16-le") + b"http://ns.adobe.com/" + bytes(50)
+    search = lambda cleaned: cleaning._searched(content, cleaned, "jpeg", [(2, 60)], ["Jane Secret 1", "Jané Nobody"])
+    few = search(content), search(b"nothing")
+    monkeypatch.setattr(cleaning, "FEW", 0)
+    assert few == (search(content), search(b"nothing")) and few[0] and not few[1]
