@@ -398,3 +398,36 @@ def test_search_one_by_one_equals_the_automaton(monkeypatch):
     few = search(content), search(b"nothing")
     monkeypatch.setattr(cleaning, "FEW", 0)
     assert few == (search(content), search(b"nothing")) and few[0] and not few[1]
+
+
+def test_files_are_opened_in_the_task_that_walks_them(spark):
+    held = dict(BUILT)
+    opened = lambda by: held[by.decode()]
+    whole = frame(spark, list(BUILT.items()))
+    named = whole.withColumn("content", F.encode("name", "utf-8"))
+    walked, there = metadata.with_parts(whole), metadata.with_parts(named, opened)
+    assert max(len(r.content) for r in there.collect()) < 30
+    columns = ("file_id", "error_code", "parts")
+    assert sorted(map(str, there.select(*columns).collect())) == sorted(map(str, walked.select(*columns).collect()))
+
+
+def test_checked_equals_cleaned_and_verified(spark):
+    held = dict(BUILT) | {"cut.png": BUILT["png.png"][:-30], "none.pdf": b"<html>", "a.xyz": b"?", "old.heic": BUILT["heic.heic"]}
+    opened = lambda by: held[by.decode()]
+    whole = frame(spark, list(held.items()))
+    done = cleaning.cleaned(metadata.with_parts(whole)).cache()
+    seals = done.select("file_id", "error_code", F.sha2("cleaned", 256).alias("cleaned_sha256"))
+    want = sorted(map(str, seals.join(cleaning.verified(done), "file_id", "left").collect()))
+    named = metadata.with_parts(whole.withColumn("content", F.encode("name", "utf-8")), opened)
+    assert sorted(map(str, cleaning.checked(named, opened).collect())) == want
+    assert sorted(map(str, cleaning.checked(metadata.with_parts(whole)).collect())) == want
+    bad = done.withColumn("cleaned", F.col("content"))
+    assert {r.verified for r in cleaning.verified(bad).where("n_bad > 0").collect()} == {False}
+
+
+def test_outer_files_are_dealt_to_tasks_when_inner_ones_come_back(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "EACH", 10)
+    rows = [(f"{k}.docx", FORMS["office"](SECRET)) for k in range(120)]
+    done = cleaning.cleaned(metadata.with_parts(frame(spark, rows)))
+    tasks = [r["count"] for r in done.select("file_id", "cleaned").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 6 and sum(tasks) == 120
