@@ -431,3 +431,15 @@ def test_outer_files_are_dealt_to_tasks_when_inner_ones_come_back(spark, monkeyp
     done = cleaning.cleaned(metadata.with_parts(frame(spark, rows)))
     tasks = [r["count"] for r in done.select("file_id", "cleaned").groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 6 and sum(tasks) == 120
+
+
+def test_frames_that_are_alike_are_measured_once(monkeypatch):
+    from tracewash.sources import walkers
+
+    calls, measure = [], walkers._frame
+    monkeypatch.setattr(walkers, "_frame", lambda b, at: calls.append(at) or measure(b, at))
+    parts = list(walkers.mp3(FORMS["mp3"](SECRET, 3)))
+    assert len(calls) < 20 and [p[0] for p in parts].count("junk") == 1
+    adts = lambda n: b"\xff\xf1\x50\x80" + (n << 5).to_bytes(2, "big") + bytes(n - 6)
+    sound = adts(40) + adts(50) + b"Jane" + adts(40) + adts(60)
+    assert [(p[2], p[3]) for p in walkers._between_frames(sound, 0, len(sound))] == [(90, 94)]
