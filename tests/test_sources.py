@@ -443,3 +443,14 @@ def test_frames_that_are_alike_are_measured_once(monkeypatch):
     adts = lambda n: b"\xff\xf1\x50\x80" + (n << 5).to_bytes(2, "big") + bytes(n - 6)
     sound = adts(40) + adts(50) + b"Jane" + adts(40) + adts(60)
     assert [(p[2], p[3]) for p in walkers._between_frames(sound, 0, len(sound))] == [(90, 94)]
+
+
+def test_dictionaries_of_a_pdf_are_read_once(monkeypatch):
+    from tracewash.sources import pdfs
+
+    read, calls = pdfs._dictionary, []
+    monkeypatch.setattr(pdfs, "_dictionary", lambda b, at, stop: calls.append((bytes(b), at, stop)) or read(b, at, stop))
+    list(pdfs.pdf(FORMS["pdf"](SECRET)))
+    assert len(calls) < 15
+    tokens = [t for t, *_ in pdfs._tokens(b" % (no) <<\n<< /A#20b(x(%)y) % end\n[1 <41>]>>\0 ", 0, 46)]
+    assert tokens == [b"<<", b"/A#20b", b"(x(%)y)", b"[", b"1", b"<41>", b"]", b">>"] and pdfs._name(tokens[1]) == "A b"
