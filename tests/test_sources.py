@@ -454,3 +454,26 @@ def test_dictionaries_of_a_pdf_are_read_once(monkeypatch):
     assert len(calls) < 15
     tokens = [t for t, *_ in pdfs._tokens(b" % (no) <<\n<< /A#20b(x(%)y) % end\n[1 <41>]>>\0 ", 0, 46)]
     assert tokens == [b"<<", b"/A#20b", b"(x(%)y)", b"[", b"1", b"<41>", b"]", b">>"] and pdfs._name(tokens[1]) == "A b"
+
+
+def test_parts_are_judged_once_and_by_the_rules_of_their_kind(spark):
+    from conftest import folder
+    from tracewash.plans import catalog
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    general = plan(metadata.items(metadata.with_parts(frame(spark, [("a.eml", FORMS["eml"](SECRET))]))).select("field", "value", "risk"))
+    assert general.count("dkim-signature") == 2 and "Filter" not in general  # one pattern names it twice
+    own = plan(catalog.QUERIES["extract_eml"](spark, folder("sf0.001")))
+    assert own.count("dkim-signature") == 2 and "VP8X" not in own and "inkscape" not in own and "SampleRate" not in own
+
+
+def test_boundaries_of_mail_are_those_of_whole_lines():
+    import re
+
+    from tracewash.sources import texts
+
+    bodies = [b"--b\n\nx\n--b--", b"a--b\n--b \t\r\n\r\n--bx\n --b\n--b--\r\n", b"\n--b--\r\n--b\r--b\n--b--\t", b"--b----b\n--b--", b"--b" * 9, b"\n--b--x"]
+    for body in bodies:
+        want = [m.span() for m in re.finditer(rb"(?m)^--b(?:--)?[ \t]*\r?$\n?", body)]
+        whole = b"--b\nhead" + body + b"\n--b tail"
+        assert [(a - 8, z - 8) for a, z in texts._edges(whole, b"--b", 8, 8 + len(body))] == want
