@@ -477,3 +477,35 @@ def test_boundaries_of_mail_are_those_of_whole_lines():
         want = [m.span() for m in re.finditer(rb"(?m)^--b(?:--)?[ \t]*\r?$\n?", body)]
         whole = b"--b\nhead" + body + b"\n--b tail"
         assert [(a - 8, z - 8) for a, z in texts._edges(whole, b"--b", 8, 8 + len(body))] == want
+
+
+def test_plain_packages_are_read_like_zipfile_reads_them(monkeypatch):
+    import io
+    import zipfile
+
+    from tracewash.plans.fixtures import zipped
+    from tracewash.sources import walkers
+
+    members = [("docProps/core.xml", "<a><b>1</b><c/></a>"), ("word/media/a.png", b"\x89" * 400), ("docProps/app.xml", "<a><Company>W</Company>")]
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for name, data in members:
+            z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
+    assert zipped(members) == made.getvalue()
+
+    def parts(b):
+        found = []
+        try:
+            found += [p for p in iter(lambda g=walkers.office(b): next(g, None), None) if not found.append(p)]
+        except Exception as e:
+            found.append(type(e).__name__)
+        return found
+
+    files = [FORMS["office"](SECRET, k) for k in range(4)] + [made.getvalue(), made.getvalue() + b"x", b"x" + made.getvalue(), made.getvalue().replace(b"core", b"cose", 1)]
+    files += [made.getvalue()[:k] + bytes([made.getvalue()[k] ^ 1]) + made.getvalue()[k + 1 :] for k in range(0, len(made.getvalue()), 3)]
+    quick = [parts(b) for b in files]
+    with monkeypatch.context() as m:
+        m.setattr(walkers, "_plain_members", lambda b: None)
+        assert [parts(b) for b in files] == quick
+    monkeypatch.setattr(walkers.zipfile, "ZipFile", None)
+    assert [parts(b) for b in files[:4]] == quick[:4] and ["docProps/core.xml", "b", 0, 0, "1"] == list(quick[4][0])
