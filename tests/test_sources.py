@@ -509,3 +509,21 @@ def test_plain_packages_are_read_like_zipfile_reads_them(monkeypatch):
         assert [parts(b) for b in files] == quick
     monkeypatch.setattr(walkers.zipfile, "ZipFile", None)
     assert [parts(b) for b in files[:4]] == quick[:4] and ["docProps/core.xml", "b", 0, 0, "1"] == list(quick[4][0])
+
+
+def test_tags_without_attributes_are_not_read_again(monkeypatch):
+    from tracewash.sources import texts
+
+    class Counted:
+        tags = []
+
+        def finditer(self, tag):
+            self.tags.append(tag)
+            return pattern.finditer(tag)
+
+    pattern = texts._ATTRIBUTE
+    monkeypatch.setattr(texts, "_ATTRIBUTE", Counted())
+    b = '<svg xmlns="s"><g><title>\n a  b c </title></g><g xmlns:q="q"><t data-é="é" q:z="1"/><q:u/> </g></svg>'.encode()
+    parts = list(texts.svg(b))
+    assert [(p[0], p[1], b[p[2] : p[3]].decode().strip(), p[4]) for p in parts if p[0] != "title"] == [("namespace", "", 'xmlns:q="q"', None), ("attribute", "data-é", 'data-é="é"', "é"), ("attribute", "q:z", 'q:z="1"', "1"), ("editor", "q:u", "<q:u/>", None)]
+    assert [p[4] for p in parts if p[0] == "title"] == ["a b c"] and len(Counted.tags) == 3
