@@ -527,3 +527,12 @@ def test_tags_without_attributes_are_not_read_again(monkeypatch):
     parts = list(texts.svg(b))
     assert [(p[0], p[1], b[p[2] : p[3]].decode().strip(), p[4]) for p in parts if p[0] != "title"] == [("namespace", "", 'xmlns:q="q"', None), ("attribute", "data-é", 'data-é="é"', "é"), ("attribute", "q:z", 'q:z="1"', "1"), ("editor", "q:u", "<q:u/>", None)]
     assert [p[4] for p in parts if p[0] == "title"] == ["a b c"] and len(Counted.tags) == 3
+
+
+def test_patterns_of_the_jpeg_walker_are_compiled_before(monkeypatch):
+    from tracewash.sources import walkers
+
+    want = list(walkers.jpeg(FORMS["jpeg"](SECRET, 3)))
+    for name in ("compile", "findall"):
+        monkeypatch.setattr(walkers.re, name, None)
+    assert list(walkers.jpeg(FORMS["jpeg"](SECRET, 3))) == want and ("comment", "Jane Secret 00000007") in [(p[1], p[4]) for p in want]
