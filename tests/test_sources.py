@@ -536,3 +536,22 @@ def test_patterns_of_the_jpeg_walker_are_compiled_before(monkeypatch):
     for name in ("compile", "findall"):
         monkeypatch.setattr(walkers.re, name, None)
     assert list(walkers.jpeg(FORMS["jpeg"](SECRET, 3))) == want and ("comment", "Jane Secret 00000007") in [(p[1], p[4]) for p in want]
+
+
+def test_samples_and_holders_of_a_film_are_not_copied():
+    from tracewash.plans.fixtures import box
+    from tracewash.sources import walkers
+
+    class Read(bytes):
+        most = 0
+
+        def __getitem__(self, k):
+            out = bytes.__getitem__(self, k)
+            Read.most = max(Read.most, len(out)) if isinstance(out, bytes) else Read.most
+            return out
+
+    film = FORMS["m4a"](SECRET) + box(b"mdat", bytes(100_000)) + box(b"moov", box(b"free", b"") * 1000)
+    parts = list(walkers.mp4(Read(film)))
+    assert Read.most < 1000 and ("ilst", "©too", "Jane Secret 00000007") in [(p[0], p[1], p[4]) for p in parts]
+    inside = box(b"moov", box(b"udta", box(b"mdat", b"\0\3\0\0abc") + box(b"ilst", box(b"minf", bytes(4) + b"data" + bytes(8) + b"x"))))
+    assert [(p[1], p[4]) for p in walkers.mp4(inside)] == [("moov", None), ("udta", None), ("mdat", "abc"), ("ilst", None), ("minf", "x"), ("data", None)]
