@@ -555,3 +555,12 @@ def test_samples_and_holders_of_a_film_are_not_copied():
     assert Read.most < 1000 and ("ilst", "©too", "Jane Secret 00000007") in [(p[0], p[1], p[4]) for p in parts]
     inside = box(b"moov", box(b"udta", box(b"mdat", b"\0\3\0\0abc") + box(b"ilst", box(b"minf", bytes(4) + b"data" + bytes(8) + b"x"))))
     assert [(p[1], p[4]) for p in walkers.mp4(inside)] == [("moov", None), ("udta", None), ("mdat", "abc"), ("ilst", None), ("minf", "x"), ("data", None)]
+
+
+def test_built_packages_make_what_their_shape_holds_alone(monkeypatch):
+    from tracewash.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "jpeg", None)
+    assert all(fixtures.office(SECRET, k)[:2] == b"PK" for k in (0, 1, 2))
+    with pytest.raises(TypeError):
+        fixtures.office(SECRET, 3)
